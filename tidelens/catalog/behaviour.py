@@ -415,6 +415,7 @@ SELECT event_type, avg_time, median_time, std_time, occurrences, friction_score,
        friction_score * 0.5 + coalesce(drop_off_rate, 0) * 0.5 AS overall_friction
 FROM gf LEFT JOIN sd ON stage = event_type""",
     "avg_time median_time std_time friction_score drop_off_rate overall_friction",
+    4,
 )
 def _(spark, sf):
     return journeys.friction_points(b.events(spark, sf), V, 10, LONG)
@@ -444,6 +445,7 @@ fb AS (SELECT fa.from_stage, fa.to_stage, (min(sx.us) - min(fa.t)) / 1000000.0::
        GROUP BY 1, 2, fa.user_id, fa.sno)
 SELECT from_stage, to_stage, avg(s) AS avg_seconds, quantile_cont(s, 0.5) AS median_seconds, count(*) AS sessions FROM fb GROUP BY 1, 2""",
     "avg_seconds median_seconds",
+    3,
 )
 def _(spark, sf):
     return journeys.time_between_stages(b.events(spark, sf), V, LONG)

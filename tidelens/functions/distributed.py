@@ -121,50 +121,57 @@ def percentile_ranks(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     out = df
     for source, target in columns.items():
         r = value_positions(df, source).select(
-            F.col(source).alias("_v"),
+            F.col(source).alias("_ranked_value"),
             ((F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)) / F.col("total")).alias(target),
         )
-        out = out.join(r, out[source] == r["_v"], "left").drop("_v")
+        out = out.join(r, F.col(source) == F.col("_ranked_value"), "left").drop("_ranked_value")
     return out
 
 
-def ordinal_bins(df: DataFrame, value: str, tiebreak: str, n: int, target: str) -> DataFrame:
-    """Equal-count bins 1..n of the ordinal rank by ``(value, tiebreak)``.
+def ordinal_cuts(df: DataFrame, value: str, tiebreak: str, n: int) -> DataFrame:
+    """One row with the (value, tiebreak) pairs at the n-1 inner cuts of the ordinal rank.
 
-    Only the values that straddle a bin edge (at most n-1) need an order among their own rows; for
-    those the tiebreak at the edge is selected, so no global row_number is taken.
+    Cut i is rank ``floor(1 + (rows-1) * i/n)``.  Only rows that share a cut value are put in order
+    by the tiebreak, so no global row number is taken.
     """
-    pos = value_positions(df, value)
-    cuts = [i / n for i in range(1, n)]
-    total = F.col("total")
-    # A row of ordinal rank r is above the cut q when r > 1 + (total-1)*q.
-    room = [F.floor(1 + (total - 1) * F.lit(q)) - F.col("before") for q in cuts]
-    limits = pos.select(
-        F.col(value).alias("_v"),
-        *[F.greatest(F.lit(0), F.least(F.col("cnt"), r)).cast("long").alias(f"_k{i}") for i, r in enumerate(room)],
-        "cnt",
-    )
-    # F.floor in room keeps the last whole rank at or below the cut.
-    split = [(F.col(f"_k{i}") > 0) & (F.col(f"_k{i}") < F.col("cnt")) for i in range(len(cuts))]
-    any_split = split[0]
-    for s in split[1:]:
-        any_split = any_split | s
-    joined = df.join(limits, df[value] == limits["_v"])
-    straddling = joined.where(any_split).select("_v", F.col(tiebreak).alias("_t"), *[f"_k{i}" for i in range(len(cuts))])
-    tpos = value_positions(straddling, "_t", ["_v"]).join(
-        F.broadcast(limits.where(any_split).drop("cnt")), "_v"  # at most n-1 rows
-    )
-    edges = tpos.groupBy("_v").agg(
-        *[F.max(F.when(F.col("before") < F.col(f"_k{i}"), F.col("_t"))).alias(f"_t{i}") for i in range(len(cuts))]
+    cuts = range(1, n)
+
+    def at(i: int, total: Column) -> Column:
+        return F.floor(1 + (total - 1) * F.lit(i / n))
+
+    def needed(below: Column, inside: Column, total: Column) -> Column:
+        out = None
+        for i in cuts:
+            hit = (below < at(i, total)) & (at(i, total) <= below + inside)
+            out = hit if out is None else out | hit
+        return out
+
+    pos = value_positions(df, value, needed=needed)
+    before, upto, total = F.col("before"), F.col("before") + F.col("cnt"), F.col("total")
+    cells = [
+        F.when(
+            (before < at(i, total)) & (at(i, total) <= upto),
+            F.struct(F.lit(i).alias("cut"), F.col(value).alias("v"), (at(i, total) - before).alias("k")),
+        )
+        for i in cuts
+    ]
+    at_cut = pos.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")  # n-1 rows
+    members = df.select(value, F.col(tiebreak).alias("t")).join(F.broadcast(at_cut), F.col(value) == F.col("v")).select("cut", "t")
+    ranked = value_positions(members, "t", ["cut"]).join(F.broadcast(at_cut), "cut")
+    hit = ranked.where((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("cnt")))
+    return hit.agg(
+        *[F.max(F.when(F.col("cut") == i, F.col("v"))).alias(f"v{i}") for i in cuts],
+        *[F.max(F.when(F.col("cut") == i, F.col("t"))).alias(f"t{i}") for i in cuts],
     )
-    ranked = joined.join(F.broadcast(edges), "_v", "left")  # at most n-1 rows
-    bin_no = F.lit(1)
-    for i in range(len(cuts)):
-        k = F.col(f"_k{i}")
-        above = F.when(k <= 0, 1).when(k >= F.col("cnt"), 0).otherwise(F.when(F.col(tiebreak) > F.col(f"_t{i}"), 1).otherwise(0))
-        bin_no = bin_no + above
-    extra = [c for c in ranked.columns if c.startswith("_k") or c.startswith("_t")]
-    return ranked.withColumn(target, bin_no.cast("int")).drop("_v", "cnt", *extra)
+
+
+def ordinal_bin(cuts: Column, value: str, tiebreak: str, n: int) -> Column:
+    """Bin 1..n of a row given the cuts of :func:`ordinal_cuts` as a struct."""
+    out = F.lit(1)
+    for i in range(1, n):
+        above = (F.col(value) > cuts[f"v{i}"]) | ((F.col(value) == cuts[f"v{i}"]) & (F.col(tiebreak) > cuts[f"t{i}"]))
+        out = out + F.when(above, 1).otherwise(0)
+    return out.cast("int")
 
 
 def scalar_row(df: DataFrame) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelens.functions.columns import count_if, days, micros, percent, ratio, round_half_even
-from tidelens.functions.distributed import ordinal_bins, quantiles, scalar_row
+from tidelens.functions.distributed import ordinal_bin, ordinal_cuts, quantiles, scalar_row
 from tidelens.schema import DEFAULT_VOCABULARY, Vocabulary
 from tidelens.sources.normalise import order_properties, with_order_total
 
@@ -223,9 +223,14 @@ def rfm(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, n: int = 5) -
     r = F.lit(n)
     for c in cuts:
         r = r - F.when(F.col("recency") > F.col("_edges")[c], 1).otherwise(0)
-    scored = base.withColumn("_edges", scalar_row(edges)).withColumn("R_score", r.cast("int")).drop("_edges")
-    scored = ordinal_bins(scored, "frequency", "user_id", n, "F_score")
-    scored = ordinal_bins(scored, "monetary", "user_id", n, "M_score")
+    scored = (
+        base.withColumn("_edges", scalar_row(edges))
+        .withColumn("_f", scalar_row(ordinal_cuts(base, "frequency", "user_id", n)))
+        .withColumn("_m", scalar_row(ordinal_cuts(base, "monetary", "user_id", n)))
+        .withColumn("R_score", r.cast("int"))
+        .withColumn("F_score", ordinal_bin(F.col("_f"), "frequency", "user_id", n))
+        .withColumn("M_score", ordinal_bin(F.col("_m"), "monetary", "user_id", n))
+    )
     R, Fq = F.col("R_score"), F.col("F_score")
     segment = (
         F.when((R >= 4) & (Fq >= 4), "Champions")

@@ -183,7 +183,7 @@ def cohort_survival(
     u = span.select(number.alias("cohort"), label.alias("cohort_label"), F.least(last_week, F.lit(weeks)).alias("week"))
     counts = u.groupBy("cohort", "cohort_label", "week").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("cohort", "cohort_label").agg(F.sum("n").alias("initial_users")).orderBy("cohort").limit(cohorts)
-    grid = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(weeks))).cast("long").alias("week"))
+    grid = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(weeks).cast("long"))).alias("week"))
     later = Window.partitionBy("cohort").orderBy(F.desc("week")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         grid.join(counts.drop("cohort_label"), ["cohort", "week"], "left")
