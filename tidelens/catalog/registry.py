@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("behaviour", "attribution", "users", "commerce", "baskets", "recommendations")
+_MODULES = ("behaviour", "attribution", "users", "commerce", "baskets", "recommendations", "modelling", "dashboards", "streams", "scans")
 
 
 def shaped(df: DataFrame, rounded: Sequence[str] = (), digits: int = 6) -> DataFrame:

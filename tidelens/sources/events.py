@@ -70,17 +70,14 @@ def load_multiple(
 ) -> DataFrame:
     """Union of several files with ``_source_file``; unreadable files are skipped, none readable raises."""
     parts: list[DataFrame] = []
-    for suffix in (".parquet", ".csv"):
-        group = [p for p in paths if p.lower().rstrip("/").endswith(suffix)]
-        for p in group:
-            try:
-                df = _reader(spark, p)(p)
-                if validate:
-                    validate_schema(df, schema)
-            except Exception:  # a missing, corrupt or foreign file
-                continue
-            name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-            parts.append(preprocess(df.withColumn("_source_file", name), schema))
+    for p in paths:
+        try:
+            df = _reader(spark, p)(p)
+            if validate:
+                validate_schema(df, schema)
+        except Exception:  # a missing, corrupt or foreign file
+            continue
+        parts.append(preprocess(df.withColumn("_source_file", F.lit(os.path.basename(p.rstrip("/")))), schema))
     if not parts:
         raise ValueError("no file could be read")
     out = parts[0]
@@ -185,3 +182,9 @@ def canonical(df: DataFrame, schema: EventSchema = DEFAULT_SCHEMA) -> DataFrame:
         ),
     ]
     return src.select(*cols, *[F.col(c) for c in df.columns if c not in taken])
+
+
+def files_per_user(events: DataFrame, user: str = "user_id") -> DataFrame:
+    """Users by the number of source files they appear in."""
+    per = events.select(user, "_source_file").distinct().groupBy(user).agg(F.count(F.lit(1)).alias("files"))
+    return per.groupBy("files").agg(F.count(F.lit(1)).alias("users"))

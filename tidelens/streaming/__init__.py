@@ -1 +1 @@
-
+"""Structured Streaming versions of the operators that make sense online."""
