@@ -414,8 +414,7 @@ gf AS (SELECT *, avg_time / max(avg_time) OVER () * 0.5 + std_time / max(std_tim
 SELECT event_type, avg_time, median_time, std_time, occurrences, friction_score, drop_off_rate,
        friction_score * 0.5 + coalesce(drop_off_rate, 0) * 0.5 AS overall_friction
 FROM gf LEFT JOIN sd ON stage = event_type""",
-    "avg_time median_time std_time friction_score drop_off_rate overall_friction",
-    4,
+    "avg_time:4 median_time:7 std_time:4 friction_score drop_off_rate overall_friction",
 )
 def _(spark, sf):
     return journeys.friction_points(b.events(spark, sf), V, 10, LONG)
@@ -444,8 +443,7 @@ fb AS (SELECT fa.from_stage, fa.to_stage, (min(sx.us) - min(fa.t)) / 1000000.0::
        FROM fa JOIN sx ON sx.user_id = fa.user_id AND sx.sno = fa.sno AND sx.event_type = fa.to_stage AND sx.us > fa.t
        GROUP BY 1, 2, fa.user_id, fa.sno)
 SELECT from_stage, to_stage, avg(s) AS avg_seconds, quantile_cont(s, 0.5) AS median_seconds, count(*) AS sessions FROM fb GROUP BY 1, 2""",
-    "avg_seconds median_seconds",
-    3,
+    "avg_seconds:3 median_seconds:7",
 )
 def _(spark, sf):
     return journeys.time_between_stages(b.events(spark, sf), V, LONG)

@@ -40,8 +40,7 @@ def _metrics(spark, sf):
 @query(
     "mer01_metrics",
     f"WITH {MM} SELECT * REPLACE (first_order_date::VARCHAR AS first_order_date, last_order_date::VARCHAR AS last_order_date) FROM mm",
-    "total_revenue avg_order_value avg_items_per_order avg_delivery_fee repeat_rate",
-    4,
+    "total_revenue:3 avg_order_value avg_items_per_order avg_delivery_fee repeat_rate",
 )
 def _(spark, sf):
     return _metrics(spark, sf)
@@ -115,8 +114,7 @@ def _(spark, sf):
  avg(order_count) AS avg_orders_per_merchant, CAST(sum(unique_customers) AS BIGINT) AS total_customers, sum(total_revenue) AS total_revenue,
  avg(repeat_rate) AS avg_repeat_rate, avg(orders_per_customer) AS avg_orders_per_customer,
  {pct('sum(order_count)', '(SELECT sum(order_count) FROM mm)', 1)} AS market_share FROM mm GROUP BY 1""",
-    "avg_orders_per_merchant total_revenue avg_repeat_rate avg_orders_per_customer",
-    4,
+    "avg_orders_per_merchant total_revenue:3 avg_repeat_rate avg_orders_per_customer",
 )
 def _(spark, sf):
     return merchants.category_performance(_metrics(spark, sf))
@@ -127,7 +125,6 @@ def _(spark, sf):
     f"""WITH {ORD} SELECT {SLOT} AS time_slot, count(*) AS orders, count(DISTINCT user_id) AS unique_customers, avg(order_total) AS avg_order_value,
  {pct('count(*)', '(SELECT count(*) FROM o)', 1)} AS pct_of_orders FROM o GROUP BY 1""",
     "avg_order_value",
-    4,
 )
 def _(spark, sf):
     return merchants.time_performance(b.orders(spark, sf))
@@ -169,8 +166,7 @@ def _(spark, sf):
  {r('avg(repeat_rate)', 1)} AS avg_repeat_rate, {r('avg(orders_per_customer)', 2)} AS avg_orders_per_customer,
  (SELECT count(DISTINCT user_id) FROM o) AS total_customers,
  (SELECT primary_category FROM mm GROUP BY 1 ORDER BY sum(order_count) DESC, 1 LIMIT 1) AS top_category FROM mm""",
-    "total_revenue",
-    3,
+    "total_revenue:3",
 )
 def _(spark, sf):
     return merchants.summary(b.orders(spark, sf), _metrics(spark, sf))
@@ -200,17 +196,17 @@ PSUM = f"""ps AS (SELECT count(*) AS total_orders, count(*) FILTER (WHERE has_pr
  sum(discount_amount) AS total_discount_given, avg(discount_amount) FILTER (WHERE has_promo) AS avg_discount FROM o)"""
 
 
-@query("pro01_summary", f"WITH {ORD}, {PSUM} SELECT * FROM ps", "total_discount_given avg_discount", 3)
+@query("pro01_summary", f"WITH {ORD}, {PSUM} SELECT * FROM ps", "total_discount_given:5 avg_discount")
 def _(spark, sf):
     return promos.promo_summary(b.orders(spark, sf))
 
 
-@query("pro02_performance", f"WITH {PRO} SELECT * FROM pf WHERE uses >= 5", "total_revenue avg_order_value total_discount avg_discount", 3)
+@query("pro02_performance", f"WITH {PRO} SELECT * FROM pf WHERE uses >= 5", "total_revenue:3 avg_order_value total_discount:5 avg_discount")
 def _(spark, sf):
     return promos.promo_performance(_promo(spark, sf))
 
 
-@query("pro03_first_order_promos", f"WITH {PRO} SELECT * FROM fp", "avg_order_value avg_discount", 3)
+@query("pro03_first_order_promos", f"WITH {PRO} SELECT * FROM fp", "avg_order_value avg_discount")
 def _(spark, sf):
     return promos.first_order_promos(_promo(spark, sf))
 
@@ -220,7 +216,6 @@ def _(spark, sf):
     f"""WITH {ORD} SELECT CASE WHEN has_promo THEN 'Promo' ELSE 'Organic' END AS has_promo, count(*) AS orders, count(DISTINCT user_id) AS unique_users,
  avg(order_total) AS avg_order_value, count(DISTINCT merchant) AS unique_merchants, {r('count(*)::DOUBLE / count(DISTINCT user_id)', 2)} AS orders_per_user FROM o GROUP BY 1""",
     "avg_order_value",
-    3,
 )
 def _(spark, sf):
     return promos.promo_vs_organic(b.orders(spark, sf))
@@ -232,12 +227,12 @@ SELECT merchant, total_orders, promo_orders, {r('promo_orders::DOUBLE / total_or
  {r('total_discount / total_revenue * 100', 2)} AS discount_pct_revenue FROM g"""
 
 
-@query("pro05_by_merchant", f"WITH {_BYM} ORDER BY promo_orders DESC, merchant LIMIT 20", "total_discount total_revenue", 3)
+@query("pro05_by_merchant", f"WITH {_BYM} ORDER BY promo_orders DESC, merchant LIMIT 20", "total_discount:5 total_revenue:3")
 def _(spark, sf):
     return promos.promo_by_merchant(b.orders(spark, sf))
 
 
-@query("dsh17_top_promo_rate", f"WITH {_BYM} ORDER BY promo_rate DESC, merchant LIMIT 10", "total_discount total_revenue", 3)
+@query("dsh17_top_promo_rate", f"WITH {_BYM} ORDER BY promo_rate DESC, merchant LIMIT 10", "total_discount:5 total_revenue:3")
 def _(spark, sf):
     all_merchants = promos.promo_by_merchant(b.orders(spark, sf), 1_000_000)
     return all_merchants.orderBy(F.desc("promo_rate"), "merchant").limit(10)
@@ -249,7 +244,7 @@ pk AS (SELECT *, CASE WHEN n = 1 THEN '{promos.USER_TYPES[5]}' WHEN s = 1 THEN '
 pc AS (SELECT user_type, count(*) AS users, avg(n) AS avg_orders, avg(aov) AS avg_order_value, {pct('count(*)', '(SELECT count(*) FROM pk)', 1)} AS pct_of_users FROM pk GROUP BY 1)"""
 
 
-@query("pro06_cannibalization", f"WITH {ORD}, {CAN} SELECT * FROM pc", "avg_orders avg_order_value", 3)
+@query("pro06_cannibalization", f"WITH {ORD}, {CAN} SELECT * FROM pc", "avg_orders avg_order_value")
 def _(spark, sf):
     return promos.promo_cannibalization(b.orders(spark, sf))
 
@@ -267,7 +262,6 @@ def _(spark, sf):
     f"""WITH {ORD} SELECT payment_method, count(*) AS orders, count(*) FILTER (WHERE has_promo) AS promo_orders, {r('avg(has_promo::INT) * 100', 1)} AS promo_rate,
  avg(order_total) AS avg_order_value FROM o GROUP BY 1""",
     "avg_order_value",
-    3,
 )
 def _(spark, sf):
     return promos.payment_methods(b.orders(spark, sf))
@@ -279,7 +273,6 @@ def _(spark, sf):
 SELECT promo_code, uses, unique_users, {r(f"{rank_pct('first_order_rate')} * 100 * 0.30 + {rank_pct('retention_rate')} * 100 * 0.30 + {rank_pct('revenue_per_discount')} * 100 * 0.25 + {rank_pct('unique_users')} * 100 * 0.15", 1)} AS effectiveness_score,
  first_order_rate, retention_rate, revenue_per_discount, avg_order_value, avg_discount FROM j""",
     "avg_order_value avg_discount",
-    3,
 )
 def _(spark, sf):
     return promos.promo_effectiveness(_promo(spark, sf))
@@ -458,17 +451,17 @@ def _perf(spark, sf):
     return deliveries.merchant_performance(_c(spark, sf), _m(spark, sf))
 
 
-@query("del05_merchants", f"WITH {DEL}, {MDEL} SELECT * FROM md", _MD, 4)
+@query("del05_merchants", f"WITH {DEL}, {MDEL} SELECT * FROM md", _MD)
 def _(spark, sf):
     return _perf(spark, sf)
 
 
-@query("dsh18_fastest", f"WITH {DEL}, {MDEL} SELECT * FROM md WHERE avg_delivery_time IS NOT NULL ORDER BY avg_delivery_time, merchant LIMIT 15", _MD, 4)
+@query("dsh18_fastest", f"WITH {DEL}, {MDEL} SELECT * FROM md WHERE avg_delivery_time IS NOT NULL ORDER BY avg_delivery_time, merchant LIMIT 15", _MD)
 def _(spark, sf):
     return deliveries.fastest_merchants(_perf(spark, sf))
 
 
-@query("dsh18_slowest", f"WITH {DEL}, {MDEL} SELECT * FROM md WHERE avg_delivery_time IS NOT NULL ORDER BY avg_delivery_time DESC, merchant LIMIT 15", _MD, 4)
+@query("dsh18_slowest", f"WITH {DEL}, {MDEL} SELECT * FROM md WHERE avg_delivery_time IS NOT NULL ORDER BY avg_delivery_time DESC, merchant LIMIT 15", _MD)
 def _(spark, sf):
     return deliveries.slowest_merchants(_perf(spark, sf))
 
@@ -490,7 +483,6 @@ def _(spark, sf):
     f"""WITH {DEL} SELECT order_type, count(*) AS orders, count(DISTINCT user_id) AS unique_customers, avg(order_total) AS avg_order_value, avg(delivery_fee) AS avg_delivery_fee,
  {pct('count(*)', '(SELECT count(*) FROM c)', 1)} AS pct_of_orders FROM c GROUP BY 1""",
     "avg_order_value avg_delivery_fee",
-    3,
 )
 def _(spark, sf):
     return deliveries.order_type_analysis(_c(spark, sf))
@@ -502,7 +494,6 @@ def _(spark, sf):
 SELECT label AS delivery_fee, coalesce(n, 0) AS orders, coalesce(u, 0) AS unique_customers, a AS avg_order_value, {pct('coalesce(n, 0)', '(SELECT sum(n) FROM g)', 1)} AS pct_of_orders
 FROM (VALUES {values(deliveries.FEE_LABELS)}) t(position, label) LEFT JOIN g ON bk = label""",
     "avg_order_value",
-    3,
 )
 def _(spark, sf):
     return deliveries.fee_impact(_c(spark, sf))
@@ -534,8 +525,7 @@ def top_sql(inner: str, order: str, n: int, part: str = "") -> str:
 @query(
     "tre01_base_stats",
     f"WITH {ORD} SELECT merchant, {_T}, sum(order_total) AS total_revenue, count(*)::DOUBLE / count(DISTINCT user_id) AS orders_per_customer FROM o GROUP BY 1",
-    "total_revenue orders_per_customer",
-    3,
+    "total_revenue:3 orders_per_customer",
 )
 def _(spark, sf):
     return trending.base_stats(b.orders(spark, sf))

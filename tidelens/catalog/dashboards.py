@@ -101,8 +101,7 @@ def _(spark, sf):
 @query(
     "dsh04_ltv",
     f"""WITH {_PRED} SELECT count(*) AS customers, sum(total_revenue) AS total_revenue, avg(predicted_ltv) AS avg_predicted_ltv, sum(predicted_ltv) AS total_predicted_ltv FROM pp""",
-    "total_revenue avg_predicted_ltv total_predicted_ltv",
-    3,
+    "total_revenue:3 avg_predicted_ltv total_predicted_ltv:3",
 )
 def _(spark, sf):
     return overview.ltv_overview(_pred(spark, sf))
@@ -128,8 +127,7 @@ def _(spark, sf):
 @query(
     "dsh09_order_headline",
     f"WITH {ORD} SELECT count(*) AS orders, sum(order_total) AS revenue, count(DISTINCT user_id) AS buyers, avg(order_total) AS avg_order_value FROM o",
-    "revenue avg_order_value",
-    3,
+    "revenue:3 avg_order_value",
 )
 def _(spark, sf):
     return overview.order_headline(b.orders(spark, sf))
@@ -145,7 +143,7 @@ def _(spark, sf):
     return overview.top_counts(b.orders(spark, sf), "user_id", "orders")
 
 
-@query("dsh09_value_histogram", f"WITH {ORD}, ov AS (SELECT * FROM o WHERE order_total > 0) {hist_sql('ov', 'order_total', 50)}", "bucket_start", 3)
+@query("dsh09_value_histogram", f"WITH {ORD}, ov AS (SELECT * FROM o WHERE order_total > 0) {hist_sql('ov', 'order_total', 50)}", "bucket_start")
 def _(spark, sf):
     return overview.histogram(b.orders(spark, sf).where(F.col("order_total") > 0), "order_total", 50)
 

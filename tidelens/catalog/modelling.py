@@ -108,14 +108,13 @@ lt AS (SELECT *, order_count::DOUBLE / active_days AS order_frequency, CASE WHEN
  total_events / greatest(account_age_days, 1.0::DOUBLE) AS events_per_day, total_sessions / greatest(account_age_days, 1.0::DOUBLE) AS sessions_per_day,
  CASE WHEN order_count > 0 THEN product_views::DOUBLE / order_count ELSE product_views END AS views_per_order,
  CASE WHEN order_count > 0 THEN searches::DOUBLE / order_count ELSE searches END AS searches_per_order, (order_count > 1)::BIGINT AS is_repeat_customer,
- (avg_order_value > (SELECT quantile_cont(avg_order_value, 0.5) FROM lb))::BIGINT AS is_high_value FROM lb)"""
+ (round(avg_order_value, 6) > round((SELECT quantile_cont(avg_order_value, 0.5) FROM lb), 6))::BIGINT AS is_high_value FROM lb)"""
 
 
 @query(
     "mlb20_ltv_features",
     f"WITH {LTV} SELECT * FROM lt",
-    "total_revenue avg_order_value order_value_std order_frequency revenue_velocity events_per_day sessions_per_day views_per_order searches_per_order avg_hour weekend_ratio",
-    4,
+    "total_revenue:3 avg_order_value order_value_std order_frequency revenue_velocity events_per_day sessions_per_day views_per_order searches_per_order avg_hour weekend_ratio",
 )
 def _(spark, sf):
     return feats.ltv_features(b.events(spark, sf), V)

@@ -209,7 +209,7 @@ def _crm(spark, sf, n):
     return o, i, recommender.recommend(i, recommender.item_similarity(i), n), crm.order_profiles(o)
 
 
-@query("crm01_profiles", f"WITH {ORD}, {PROF} SELECT * FROM pf", "total_revenue avg_order_value", 4)
+@query("crm01_profiles", f"WITH {ORD}, {PROF} SELECT * FROM pf", "total_revenue:3 avg_order_value")
 def _(spark, sf):
     return crm.order_profiles(b.orders(spark, sf))
 
@@ -229,8 +229,7 @@ def _(spark, sf):
     "crm03_lapsed",
     f"""WITH {REC}, {PROF}, {wide(3)} SELECT user_id, days_since_order, order_count, total_revenue, avg_order_value, wd.* EXCLUDE (user_id)
 FROM pf LEFT JOIN wd USING (user_id) WHERE days_since_order BETWEEN 14 AND 60""",
-    "total_revenue avg_order_value rec_1_score rec_2_score rec_3_score",
-    4,
+    "total_revenue:3 avg_order_value rec_1_score rec_2_score rec_3_score",
 )
 def _(spark, sf):
     _, _, recs, prof = _crm(spark, sf, 3)
@@ -254,8 +253,7 @@ def _(spark, sf):
     "crm05_superfans",
     f"""WITH {ORD} SELECT merchant, user_id, min(event_time) AS first_order, max(event_time) AS last_order, count(*) AS order_count, sum(order_total) AS total_spent, avg(order_total) AS avg_order_value
 FROM o WHERE merchant = '{M1}' GROUP BY 1, 2 ORDER BY order_count DESC, total_spent DESC, user_id LIMIT 100""",
-    "total_spent avg_order_value",
-    4,
+    "total_spent:3 avg_order_value",
 )
 def _(spark, sf):
     return crm.merchant_superfans(b.orders(spark, sf), M1)
@@ -276,7 +274,6 @@ def _(spark, sf):
     "crm07_onboarding",
     f"""WITH {REC}, {PROF}, {wide(5)} SELECT user_id, order_count, days_since_first_order, avg_order_value, wd.* EXCLUDE (user_id) FROM pf LEFT JOIN wd USING (user_id) WHERE order_count <= 25""",
     "avg_order_value rec_1_score rec_2_score rec_3_score rec_4_score rec_5_score",
-    4,
 )
 def _(spark, sf):
     _, _, recs, prof = _crm(spark, sf, 5)

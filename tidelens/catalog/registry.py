@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import importlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ _SQL: dict[str, str] = {}
 _MODULES = ("behaviour", "attribution", "users", "commerce", "baskets", "recommendations", "modelling", "dashboards", "streams", "scans")
 
 
-def shaped(df: DataFrame, rounded: Sequence[str] = (), digits: int = 6) -> DataFrame:
+def shaped(df: DataFrame, rounded: Mapping[str, int]) -> DataFrame:
     """Whole numbers as long, instants without zone, dates as text, named doubles rounded."""
     cols = []
     for f in df.schema.fields:
@@ -30,20 +30,23 @@ def shaped(df: DataFrame, rounded: Sequence[str] = (), digits: int = 6) -> DataF
         elif isinstance(f.dataType, T.DateType):
             c = c.cast("string")
         elif f.name in rounded:
-            c = round_half_even(c.cast("double"), digits)
+            c = round_half_even(c.cast("double"), rounded[f.name])
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
 def query(name: str, sql: str | None = None, rounded: str = "", digits: int = 6):
-    """Registers ``fn(spark, sf_dir)``.  ``rounded`` names doubles whose last digits depend on summation order."""
-    names = rounded.split()
+    """Registers ``fn(spark, sf_dir)``.
+
+    ``rounded`` names doubles whose last digits depend on summation order, as ``name`` or ``name:digits``.
+    """
+    names = {n.partition(":")[0]: int(n.partition(":")[2] or digits) for n in rounded.split()}
 
     def wrap(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             if spark.conf.get("spark.sql.session.timeZone") != "UTC":
                 spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return shaped(fn(spark, sf_dir), names, digits)
+            return shaped(fn(spark, sf_dir), names)
 
         run.__doc__ = fn.__doc__
         if name in _QUERIES:
@@ -52,8 +55,7 @@ def query(name: str, sql: str | None = None, rounded: str = "", digits: int = 6)
         if sql is not None:
             text = sql.strip()
             if names:
-                scale = f"1e{digits}"
-                rep = ", ".join(f"round_even({c} * {scale}, 0) / {scale} AS {c}" for c in names)
+                rep = ", ".join(f"round_even({c} * 1e{d}, 0) / 1e{d} AS {c}" for c, d in names.items())
                 text = f"SELECT * REPLACE ({rep}) FROM ({text})"
             _SQL[name] = text
         return fn

@@ -49,7 +49,7 @@ def _(spark, sf):
  max(order_total) AS max_order_value, 0.0::DOUBLE AS total_products, 0.0::DOUBLE AS avg_products_per_order, 0::BIGINT AS promo_orders,
  0::BIGINT AS group_orders, 0::BIGINT AS multi_cart_orders, 0::BIGINT AS unique_merchants, 0.0::DOUBLE AS pct_promo_orders,
  0.0::DOUBLE AS pct_group_orders FROM ev WHERE event_type = 'purchase' GROUP BY 1""",
-    "total_revenue avg_order_value",
+    "total_revenue:3 avg_order_value",
 )
 def _(spark, sf):
     return features.user_order_features(_ev(spark, sf), V)
@@ -100,7 +100,7 @@ _FEATURES = f"""SELECT user_id, count(*) AS total_events, {_COUNTS},
  coalesce({cnt('purchase')}::DOUBLE / NULLIF({cnt('signup')}, 0), 0) AS user_conversion_rate FROM ev GROUP BY 1"""
 
 
-@query("fea01_user_features", f"WITH {EV} {_FEATURES}", "total_revenue avg_order_value avg_funnel_stage user_conversion_rate")
+@query("fea01_user_features", f"WITH {EV} {_FEATURES}", "total_revenue:3 avg_order_value avg_funnel_stage user_conversion_rate")
 def _(spark, sf):
     return features.build_user_features(_ev(spark, sf), V)
 
@@ -113,7 +113,7 @@ _SUMMARY = " UNION ALL ".join(
 )
 
 
-@query("fea10_feature_summary", f"WITH {EV}, uf AS ({_FEATURES}) {_SUMMARY}", "mean std min p25 p50 p75 max", 4)
+@query("fea10_feature_summary", f"WITH {EV}, uf AS ({_FEATURES}) {_SUMMARY}", "mean std min p25 p50 p75 max")
 def _(spark, sf):
     f = features.build_user_features(_ev(spark, sf), V).select("user_id", *_SUMMARY_COLS)
     return features.feature_summary(f)
@@ -121,7 +121,7 @@ def _(spark, sf):
 
 _QCUT = " + ".join(f"CASE WHEN {{x}} > 1 + (n - 1) * {q}::DOUBLE THEN 1 ELSE 0 END" for q in (0.2, 0.4, 0.6, 0.8))
 RFM = f"""{EV},
-rb AS (SELECT user_id, ({_REF} - max(us)) / {DAY} AS recency, count(*) AS frequency, sum(order_total) AS monetary
+rb AS (SELECT user_id, ({_REF} - max(us)) / {DAY} AS recency, count(*) AS frequency, round(sum(order_total), 6) AS monetary
        FROM ev WHERE event_type = 'purchase' GROUP BY 1),
 rq AS (SELECT quantile_cont(recency, [0.2, 0.4, 0.6, 0.8]) AS q, count(*) AS n FROM rb),
 rk AS (SELECT rb.*, n, q, row_number() OVER (ORDER BY frequency, user_id) AS fr, row_number() OVER (ORDER BY monetary, user_id) AS mr
@@ -135,7 +135,7 @@ rfm AS (SELECT *, R_score * 100 + F_score * 10 + M_score AS RFM_score,
                     WHEN R_score <= 2 AND F_score <= 2 THEN 'At Risk' ELSE 'Regular' END AS RFM_segment FROM rs)"""
 
 
-@query("fea09_rfm", f"WITH {RFM} SELECT * FROM rfm", "monetary")
+@query("fea09_rfm", f"WITH {RFM} SELECT * FROM rfm", "monetary:3")
 def _(spark, sf):
     return features.rfm(_ev(spark, sf), V)
 
@@ -261,8 +261,7 @@ def _(spark, sf):
     f"""WITH {_COH.format(n=7)}, rv AS (SELECT cohort, period, cohort_size, coalesce(sum(order_total), 0) AS rev FROM gr LEFT JOIN od USING (cohort, period) GROUP BY 1, 2, 3)
 SELECT cohort, period AS week, sum(rev) OVER w AS cumulative_revenue, sum(rev) OVER w / cohort_size AS cumulative_ltv
 FROM rv WINDOW w AS (PARTITION BY cohort ORDER BY period ROWS UNBOUNDED PRECEDING)""",
-    "cumulative_revenue cumulative_ltv",
-    4,
+    "cumulative_revenue:3 cumulative_ltv",
 )
 def _(spark, sf):
     return cohorts.cumulative_ltv(_ev(spark, sf), _cohorts(spark, sf), 12, V)
@@ -302,8 +301,7 @@ def _(spark, sf):
     f"""WITH {_COH.format(n=7)} SELECT cohort, count(DISTINCT user_id) AS users, count(*) AS orders, sum(order_total) AS total_revenue,
  avg(order_total) AS avg_order_value, count(*)::DOUBLE / count(DISTINCT user_id) AS orders_per_user,
  sum(order_total) / count(DISTINCT user_id) AS ltv FROM od GROUP BY 1""",
-    "total_revenue avg_order_value orders_per_user ltv",
-    4,
+    "total_revenue:3 avg_order_value orders_per_user ltv",
 )
 def _(spark, sf):
     return cohorts.cohort_summary(_ev(spark, sf), _cohorts(spark, sf), V)
@@ -746,12 +744,12 @@ def _(spark, sf):
     return reactivation.dormant_users(_ev(spark, sf), IDLE)
 
 
-@query("rea02_features", f"WITH {REA} SELECT * FROM df", "total_revenue avg_order_value")
+@query("rea02_features", f"WITH {REA} SELECT * FROM df", "total_revenue:3 avg_order_value")
 def _(spark, sf):
     return reactivation.dormant_features(_ev(spark, sf), V, IDLE)
 
 
-@query("rea03_scores", f"WITH {REA} SELECT * FROM ds", "total_revenue avg_order_value order_score revenue_score engagement_score recency_score tenure_score reactivation_score")
+@query("rea03_scores", f"WITH {REA} SELECT * FROM ds", "total_revenue:3 avg_order_value order_score revenue_score engagement_score recency_score tenure_score reactivation_score")
 def _(spark, sf):
     return _dormant(spark, sf)
 
@@ -770,10 +768,10 @@ def _(spark, sf):
 
 
 _CAMP = {
-    "high_value_recently_dormant": "total_revenue > (SELECT quantile_cont(total_revenue, 0.5) FROM ds) AND days_inactive <= 30",
+    "high_value_recently_dormant": "round(total_revenue, 6) > round((SELECT quantile_cont(total_revenue, 0.5) FROM ds), 6) AND days_inactive <= 30",
     "frequent_orderers_churned": "total_orders >= 3 AND days_inactive > 30",
     "one_time_buyers": "total_orders = 1 AND days_inactive <= 45",
-    "long_dormant_whales": "total_revenue > (SELECT quantile_cont(total_revenue, 0.75) FROM ds) AND days_inactive > 60",
+    "long_dormant_whales": "round(total_revenue, 6) > round((SELECT quantile_cont(total_revenue, 0.75) FROM ds), 6) AND days_inactive > 60",
     "never_converted": "total_orders = 0",
 }
 _CAMP_SQL = " UNION ALL ".join(
@@ -784,7 +782,7 @@ _CAMP_SQL = " UNION ALL ".join(
 )
 
 
-@query("rea05_campaign_segments", f"WITH {REA} {_CAMP_SQL}", "avg_revenue avg_orders", 4)
+@query("rea05_campaign_segments", f"WITH {REA} {_CAMP_SQL}", "avg_revenue avg_orders")
 def _(spark, sf):
     return reactivation.campaign_segments(_dormant(spark, sf))
 
@@ -794,7 +792,7 @@ def _(spark, sf):
     f"""WITH {REA}, {_INC} SELECT user_id, days_inactive, dormancy_tier, total_orders, total_revenue, avg_order_value, reactivation_score, reactivation_tier,
  incentive_type, incentive_value, priority, primary_platform FROM dx
 WHERE {_CAMP['high_value_recently_dormant']} ORDER BY round(reactivation_score, 9) DESC, user_id LIMIT 1000""",
-    "total_revenue avg_order_value reactivation_score",
+    "total_revenue:3 avg_order_value reactivation_score",
 )
 def _(spark, sf):
     return reactivation.export_for_campaign(_dormant(spark, sf), "high_value_recently_dormant").drop("suggested_message")
@@ -809,8 +807,7 @@ _T += ", " + ", ".join(f"count(*) FILTER (WHERE reactivation_tier = '{t}') AS po
     f"""WITH {REA} SELECT count(*) AS total_dormant_users, avg(days_inactive) AS avg_days_inactive, {_T},
  count(*) FILTER (WHERE reactivation_tier IN ('high', 'very_high')) AS high_potential_users,
  coalesce(sum(total_revenue) FILTER (WHERE reactivation_tier IN ('high', 'very_high')), 0) AS potential_recoverable_revenue FROM ds""",
-    "avg_days_inactive potential_recoverable_revenue",
-    4,
+    "avg_days_inactive potential_recoverable_revenue:3",
 )
 def _(spark, sf):
     return reactivation.reactivation_summary(_dormant(spark, sf))

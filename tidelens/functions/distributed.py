@@ -151,17 +151,18 @@ def ordinal_cuts(df: DataFrame, value: str, tiebreak: str, n: int) -> DataFrame:
     cells = [
         F.when(
             (before < at(i, total)) & (at(i, total) <= upto),
-            F.struct(F.lit(i).alias("cut"), F.col(value).alias("v"), (at(i, total) - before).alias("k")),
+            F.struct(F.lit(i).alias("_cut"), F.col(value).alias("_at"), (at(i, total) - before).alias("_k")),
         )
         for i in cuts
     ]
     at_cut = pos.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")  # n-1 rows
-    members = df.select(value, F.col(tiebreak).alias("t")).join(F.broadcast(at_cut), F.col(value) == F.col("v")).select("cut", "t")
-    ranked = value_positions(members, "t", ["cut"]).join(F.broadcast(at_cut), "cut")
-    hit = ranked.where((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("cnt")))
+    rows = df.select(F.col(value).alias("_value"), F.col(tiebreak).alias("_tie"))
+    members = rows.join(F.broadcast(at_cut), F.col("_value") == F.col("_at")).select("_cut", "_tie")
+    ranked = value_positions(members, "_tie", ["_cut"]).join(F.broadcast(at_cut), "_cut")
+    hit = ranked.where((F.col("before") < F.col("_k")) & (F.col("_k") <= F.col("before") + F.col("cnt")))
     return hit.agg(
-        *[F.max(F.when(F.col("cut") == i, F.col("v"))).alias(f"v{i}") for i in cuts],
-        *[F.max(F.when(F.col("cut") == i, F.col("t"))).alias(f"t{i}") for i in cuts],
+        *[F.max(F.when(F.col("_cut") == i, F.col("_at"))).alias(f"v{i}") for i in cuts],
+        *[F.max(F.when(F.col("_cut") == i, F.col("_tie"))).alias(f"t{i}") for i in cuts],
     )
 
 

@@ -318,5 +318,6 @@ def ltv_features(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, drop
         (orders > 1).cast("int").alias("is_repeat_customer"),
     )
     median = scalar_quantile(base.select("avg_order_value"), "avg_order_value", 0.5)
-    out = out.withColumn("is_high_value", (F.col("avg_order_value") > median).cast("int"))
+    # The value and the median come from two evaluations whose sums may differ in the last digit.
+    out = out.withColumn("is_high_value", (F.round("avg_order_value", 6) > F.round(median, 6)).cast("int"))
     return out.drop("avg_order_value", "revenue_velocity") if drop_leaky else out

@@ -235,7 +235,13 @@ LTV_TIERS = (("Diamond", 0.9), ("Gold", 0.7), ("Silver", 0.4))
 
 
 def segment_by_ltv(predictions: DataFrame) -> DataFrame:
-    ranked = percentile_ranks(predictions, {"predicted_ltv": "ltv_percentile"})
+    """Tiers by percentile rank.
+
+    Ranks are joined back on the predicted value, so the predictions are checkpointed first: a second
+    evaluation of the model features could differ in the last digit.
+    """
+    checkpoint_dir(predictions.sparkSession)
+    ranked = percentile_ranks(predictions.checkpoint(), {"predicted_ltv": "ltv_percentile"})
     tier = None
     for name, bound in LTV_TIERS:
         cond = F.col("ltv_percentile") >= bound

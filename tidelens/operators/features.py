@@ -214,7 +214,8 @@ def rfm(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, n: int = 5) -
     base = (
         with_order_total(events.where(_is(vocab.order)))
         .groupBy("user_id")
-        .agg(F.max(us).alias("last"), F.count(F.lit(1)).alias("frequency"), F.sum("order_total").alias("monetary"))
+        # Rounded, so that every evaluation of the sum gives the same number and cuts compare exactly.
+        .agg(F.max(us).alias("last"), F.count(F.lit(1)).alias("frequency"), F.round(F.sum("order_total"), 6).alias("monetary"))
         .select("user_id", days(reference_time(events) - F.col("last")).alias("recency"), "frequency", "monetary")
     )
     cuts = [f"q{i}" for i in range(1, n)]

@@ -174,13 +174,14 @@ def with_incentives(scored: DataFrame) -> DataFrame:
 def _rules(scored: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     """Campaign predicates; revenue thresholds come from one scalar sub-query."""
     q = quantiles(scored, "total_revenue", {"median": 0.5, "p75": 0.75})
-    rev, orders, idle = F.col("total_revenue"), F.col("total_orders"), F.col("days_inactive")
+    # Revenue and thresholds come from two evaluations: compare without the last digits of the sums.
+    rev, orders, idle = F.round("total_revenue", 6), F.col("total_orders"), F.col("days_inactive")
     with_q = scored.withColumn("_q", scalar_row(q))
     return with_q, {
-        "high_value_recently_dormant": (rev > F.col("_q.median")) & (idle <= 30),
+        "high_value_recently_dormant": (rev > F.round("_q.median", 6)) & (idle <= 30),
         "frequent_orderers_churned": (orders >= 3) & (idle > 30),
         "one_time_buyers": (orders == 1) & (idle <= 45),
-        "long_dormant_whales": (rev > F.col("_q.p75")) & (idle > 60),
+        "long_dormant_whales": (rev > F.round("_q.p75", 6)) & (idle > 60),
         "never_converted": orders == 0,
     }
 
