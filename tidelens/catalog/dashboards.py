@@ -8,8 +8,8 @@ from tidelens.catalog import bindings as b
 from tidelens.catalog.behaviour import _DROP, _JOURNEYS, _LIFT, _TOP_JOURNEYS, _journeys
 from tidelens.catalog.bindings import EV, ORD, STEPS
 from tidelens.catalog.registry import query
-from tidelens.catalog.users import REA, _NTH, _dormant
-from tidelens.operators import cohorts, funnels, journeys, overview
+from tidelens.catalog.users import REA, SURV, _NTH, _dormant
+from tidelens.operators import cohorts, funnels, journeys, overview, survival
 
 V = b.VOCAB
 
@@ -124,6 +124,11 @@ def _(spark, sf):
     return overview.histogram(cohorts.time_to_nth_order(b.events(spark, sf), 2, V), "days_to_nth_order", 30)
 
 
+@query("dsh23_second_order_histogram", f"WITH {SURV} {hist_sql('t2', 'time_to_second_order_days', 30)}", "bucket_start")
+def _(spark, sf):
+    return overview.histogram(survival.time_to_second_order(b.events(spark, sf), V), "time_to_second_order_days", 30)
+
+
 @query(
     "dsh09_order_headline",
     f"WITH {ORD} SELECT count(*) AS orders, sum(order_total) AS revenue, count(DISTINCT user_id) AS buyers, avg(order_total) AS avg_order_value FROM o",

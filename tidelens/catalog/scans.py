@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tidelens.catalog import bindings as b
 from tidelens.catalog.bindings import EV, ORD, STEPS
+from tidelens.catalog.commerce import SLOT, top_sql
 from tidelens.catalog.registry import query
+from tidelens.catalog.users import _COH
 from tidelens.operators import segments
 from tidelens.plans import jobs
 from tidelens.schema import EventSchema
@@ -290,7 +292,10 @@ def _(spark, sf):
     return spark.read.option("header", True).schema("user_id long").csv(path).select("user_id")
 
 
-@query("src31_cohort_job", None)
+_HEAT = ", ".join(f"max(CASE WHEN period = {k} THEN active_users::DOUBLE / cohort_size * 100 END) AS p{k}" for k in range(9))
+
+
+@query("src31_cohort_job", f"WITH {_COH.format(n=7)} SELECT cohort, {_HEAT} FROM rt GROUP BY 1", " ".join(f"p{k}" for k in range(9)))
 def _(spark, sf):
     """Runs the cohort job and reads its retention table back."""
     paths = jobs.cohort_analysis(b.events(spark, sf), _scratch(spark), "first_visit_week", V)
@@ -307,8 +312,43 @@ def _(spark, sf):
     return spark.read.parquet(paths["event_shares"])
 
 
-@query("src43_trending_job", None)
+@query("src43_trending_job", f"WITH {ORD} " + top_sql(f"SELECT {SLOT} AS time_slot, merchant, count(*) AS order_count, count(DISTINCT user_id) AS unique_customers FROM o GROUP BY 1, 2", "order_count DESC, merchant", 10, "time_slot"))
 def _(spark, sf):
     """Runs the trending job and reads its slot table back."""
     paths = jobs.trending_tables(b.orders(spark, sf), _scratch(spark))
     return spark.read.parquet(paths["popular_by_slot"])
+
+
+@query("src34_features_job", "SELECT user_id, count(*) AS total_events FROM events GROUP BY 1")
+def _(spark, sf):
+    paths = jobs.user_features(b.events(spark, sf), _scratch(spark), V)
+    return spark.read.parquet(paths["user_features"]).select("user_id", "total_events")
+
+
+@query("src37_conversion_job", "SELECT event_type AS step, count(DISTINCT user_id) AS users, count(*) AS events FROM events WHERE event_type <> 'error' GROUP BY 1")
+def _(spark, sf):
+    paths = jobs.conversion_funnel(b.events(spark, sf), _scratch(spark), STEPS, V)
+    return spark.read.parquet(paths["conversion_funnel"]).select("step", "users", "events")
+
+
+@query("src38_churn_features_job", "SELECT user_id, count(*) AS total_events FROM events GROUP BY 1")
+def _(spark, sf):
+    """Without a future period the churn job writes its features only."""
+    paths = jobs.churn_prediction(b.events(spark, sf), None, _scratch(spark), V)
+    return spark.read.parquet(paths["churn_features"]).select("user_id", "total_events")
+
+
+@query("src39_conversion_prediction_job", None)
+def _(spark, sf):
+    """High-intent sessions written by the conversion job."""
+    paths = jobs.conversion_prediction(b.events(spark, sf), _scratch(spark), V, "logistic", "session")
+    return spark.read.parquet(paths["high_intent"])
+
+
+@query("src42_recommendation_job", None)
+def _(spark, sf):
+    """Evaluation table written by the recommendation job; the split is by order date."""
+    o = b.orders(spark, sf)
+    cut = F.to_timestamp(F.lit("2000-04-01"))
+    paths = jobs.recommendations(o.where(F.col("event_time") < cut), o.where(F.col("event_time") >= cut), _scratch(spark))
+    return spark.read.parquet(paths["evaluation"])

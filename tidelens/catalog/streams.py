@@ -77,7 +77,13 @@ def _(spark, sf):
     return streams.top_of_windows(streams.run_available(streams.trending_counts(orders)), 5)
 
 
-@query("str05_delivery_match")
+@query(
+    "str05_delivery_match",
+    f"""WITH {EV}, o AS (SELECT user_id, event_time, event_id, us FROM ev WHERE event_type = 'purchase'), d AS (SELECT user_id, event_time AS delivered_at, us AS dus FROM ev WHERE event_type = 'error'),
+mk AS (SELECT least((SELECT max(us) FROM o), (SELECT max(dus) FROM d)) - 3600000000 AS m),
+j AS (SELECT o.*, delivered_at FROM o LEFT JOIN d ON d.user_id = o.user_id AND dus > us AND dus <= us + 10800000000)
+SELECT user_id, event_time, event_id, delivered_at FROM j, mk WHERE delivered_at IS NOT NULL OR us + 10800000000 < m""",
+)
 def _(spark, sf):
     """Purchases matched with a later 'error' event of the user within three hours; unmatched rows follow the watermark."""
     s = _stream(spark, sf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelens.catalog import bindings as b
-from tidelens.catalog.bindings import EV, ORD, STEPS, pct, r, sql_bins, values
+from tidelens.catalog.bindings import EV, ORD, pct, r, sql_bins, values
 from tidelens.catalog.registry import query
 from tidelens.operators import anomalies, cohorts, features, reactivation, scoring, segments, survival
 

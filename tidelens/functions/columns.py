@@ -51,10 +51,6 @@ def count_if(c: Column) -> Column:
     return F.sum(F.when(c, 1).otherwise(0)).cast("long")
 
 
-def distinct_if(value: Column, cond: Column) -> Column:
-    return F.countDistinct(F.when(cond, value))
-
-
 def bins(c: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
     """Right-closed bins ``(a, b]``; values on or below the lowest edge get NULL."""
     out: Column | None = None

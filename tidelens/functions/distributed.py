@@ -21,19 +21,26 @@ PAIR_BLOCK = 512
 # --- value ranges ---------------------------------------------------------------------------
 
 
-def _value_range(column: str) -> Column:
+def _value_range(column: str, width: float | None = None) -> Column:
     """Order-preserving range number of a numeric value: a fixed number of ranges per power of two.
 
     The ranges do not depend on the data, so no pass is needed to find them; a group has at most
-    2 * 2100 * RANGES_PER_OCTAVE of them whatever it holds.
+    2 * 2100 * RANGES_PER_OCTAVE of them whatever it holds.  ``width`` gives equal-width ranges
+    instead, for values such as instants whose spread is known.
     """
     v = F.col(column).cast("double")
+    if width is not None:
+        return F.floor(v / F.lit(float(width))).cast("long")
     size = F.floor(F.log2(F.abs(v)) * RANGES_PER_OCTAVE) + 1100 * RANGES_PER_OCTAVE
     return F.when(v == 0, 0).when(v > 0, size).otherwise(-size).cast("long")
 
 
 def value_positions(
-    df: DataFrame, column: str, by: Sequence[str] = (), needed: Callable[[Column, Column, Column], Column] | None = None
+    df: DataFrame,
+    column: str,
+    by: Sequence[str] = (),
+    needed: Callable[[Column, Column, Column], Column] | None = None,
+    width: float | None = None,
 ) -> DataFrame:
     """Distinct values per group with their counts and positions in sorted order.
 
@@ -44,7 +51,7 @@ def value_positions(
     """
     by = list(by)
     hist = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("cnt"))
-    ranged = hist.withColumn("_range", _value_range(column))
+    ranged = hist.withColumn("_range", _value_range(column, width))
     group = Window.partitionBy(*by)
     below = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Only range totals reach these two windows, a bounded number per group.

@@ -9,8 +9,6 @@ whatever the number of touches per conversion; no (conversion, touch) pair is ev
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +17,6 @@ from tidelens.functions.columns import (
     US_PER_MINUTE,
     label_rows,
     percent,
-    ratio,
 )
 from tidelens.functions.distributed import scalar_quantile
 from tidelens.schema import DEFAULT_VOCABULARY, Vocabulary
@@ -267,22 +264,25 @@ def top_paths(
 
     Within one user a path is the slice of the user's own touch sequence between two positions, so
     touches are packed once per (user, look-back chunk) and each conversion cuts its slice from two
-    neighbouring chunks.
+    neighbouring chunks.  Chunks no conversion looks at are dropped first.  The text of a path is the
+    result itself, so this report (unlike the models above) needs memory for a user's touches of one
+    look-back period.
     """
     span = int(lookback_hours * US_PER_HOUR)
     us = F.unix_micros("event_time")
     touches = events.where(F.col("event_type").isin(list(vocab.touchpoints))).select(
         "user_id", us.alias("us"), "event_id", "event_type"
     )
-    packed = (
-        touches.groupBy("user_id", F.floor(F.col("us") / F.lit(span)).alias("chunk"))
-        .agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "event_type"))).alias("seq"))
-    )
     orders = events.where(F.col("event_type") == vocab.order).select(
         "user_id", us.alias("conv_us"), F.col("event_id").alias("conv_id")
     )
-    probes = orders.select(
-        "*", F.explode(F.array(F.floor(F.col("conv_us") / F.lit(span)), F.floor(F.col("conv_us") / F.lit(span)) - 1)).alias("chunk")
+    at = F.floor(F.col("conv_us") / F.lit(span))
+    probes = orders.select("*", F.explode(F.array(at, at - 1)).alias("chunk"))
+    packed = (
+        touches.withColumn("chunk", F.floor(F.col("us") / F.lit(span)))
+        .join(probes.select("user_id", "chunk").distinct(), ["user_id", "chunk"], "left_semi")
+        .groupBy("user_id", "chunk")
+        .agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "event_type"))).alias("seq"))
     )
     cut = F.filter(
         "seq", lambda e: (e["us"] < F.col("conv_us")) & (e["us"] >= F.col("conv_us") - F.lit(span))

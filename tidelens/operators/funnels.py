@@ -8,17 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions.columns import (
-    bins,
     label_rows,
     literal_rows,
     micros,
     minutes,
     percent,
-    ratio,
     round_half_even,
 )
 from tidelens.functions.distributed import quantiles, top_per_group
-from tidelens.schema import DEFAULT_VOCABULARY, FUNNEL_7
+from tidelens.schema import FUNNEL_7
 
 # Advice shown per step of the default funnel.
 LEAK_ADVICE = (

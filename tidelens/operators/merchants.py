@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions.columns import (
+    US_PER_HOUR,
     bins,
     count_if,
     label_rows,
@@ -110,8 +111,16 @@ def health_scores(metrics: DataFrame, top_n: int | None = 50) -> DataFrame:
 
 def _halves(orders: DataFrame) -> DataFrame:
     """Orders up to and after the median order time per merchant, read off the value positions."""
-    pos = value_positions(orders.select("merchant", micros(F.col("event_time")).alias("us")), "us", ["merchant"])
+    times = orders.select("merchant", micros(F.col("event_time")).alias("us"))
     lo = F.floor((F.col("total") - 1) * 0.5)
+    # hour ranges; only the hour that holds a merchant's median is sorted
+    pos = value_positions(
+        times,
+        "us",
+        ["merchant"],
+        lambda below, inside, total: (below <= F.floor((total - 1) * 0.5)) & (F.floor((total - 1) * 0.5) < below + inside),
+        US_PER_HOUR,
+    )
     upto = F.col("before") + F.col("cnt")
     return pos.groupBy("merchant").agg(
         F.max(F.when((F.col("before") <= lo) & (lo < upto), upto)).alias("first_half"), F.max("total").alias("_all")

@@ -9,7 +9,6 @@ from tidelens.functions.columns import (
     INF,
     bins,
     count_if,
-    flag_mean,
     percent,
     ratio,
     round_half_even,
