@@ -13,6 +13,10 @@ from tidelens.functions.columns import round_half_even
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Sums of doubles differ in the last digits with the order of addition.  Before rounding, both sides move a
+# value by this factor, far more than that noise and far less than a rounding step, so exact halves agree.
+NUDGE = 1.0000000000001137
+
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _MODULES = ("behaviour", "attribution", "users", "commerce", "baskets", "recommendations", "modelling", "dashboards", "streams", "scans")
@@ -30,7 +34,7 @@ def shaped(df: DataFrame, rounded: Mapping[str, int]) -> DataFrame:
         elif isinstance(f.dataType, T.DateType):
             c = c.cast("string")
         elif f.name in rounded:
-            c = round_half_even(c.cast("double"), rounded[f.name])
+            c = round_half_even(c.cast("double") * NUDGE, rounded[f.name])
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -55,7 +59,7 @@ def query(name: str, sql: str | None = None, rounded: str = "", digits: int = 6)
         if sql is not None:
             text = sql.strip()
             if names:
-                rep = ", ".join(f"round_even({c} * 1e{d}, 0) / 1e{d} AS {c}" for c, d in names.items())
+                rep = ", ".join(f"round_even({c} * {NUDGE}::DOUBLE * 1e{d}, 0) / 1e{d} AS {c}" for c, d in names.items())
                 text = f"SELECT * REPLACE ({rep}) FROM ({text})"
             _SQL[name] = text
         return fn
