@@ -144,7 +144,8 @@ def encode_decode(
                 for i in range(0, len(parts), 64):
                     some = parts[i : i + 64]
                     n = len(some)
-                    yield pa.RecordBatch.from_pydict({"doc_id": [doc] * n, "row": [row] * n, "leaf": list(range(i, i + n)), "text": some})
+                    numbers = [pa.array([doc] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array(range(i, i + n), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*numbers, pa.array(some, pa.string())], ["doc_id", "row", "leaf", "text"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import bpe, licences, vptree
+from tidelens.llm import bpe, langid, licences, toxicity, vptree
 from tidelens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,29 @@ def op2_bpe_tree_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _remainder(docs: DataFrame, n: int) -> Column:
+    return F.crc32(docs["doc_id"].cast("string").cast("binary")) % n
+
+
+@query
+def op3_language_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned where the remainder of the id's checksum is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs.where(_remainder(docs, 3) != 1))
+    found = langid.predict(docs, net)
+    return found.select("doc_id", (_remainder(found, 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every text, learned from labels where the remainder of the id's checksum is not 2."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    taught = docs.where(_remainder(docs, 4) != 2).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    found = toxicity.score(docs, toxicity.fit(taught))
+    held_out = (_remainder(found, 4) == 2).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, identifier tags and their expressions in every text."""
