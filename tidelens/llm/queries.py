@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import bpe, langid, licences, toxicity, vptree
+from tidelens.llm import bpe, jaccard, langid, licences, toxicity, vptree
 from tidelens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,12 @@ def op6_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query
+def op9_jaccard_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles are similar to 0.75."""
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, identifier tags and their expressions in every text."""

@@ -5,8 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelens.session import checkpoint_dir
 
@@ -53,3 +57,33 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = PIECE)
             size += len(t)
         if start < len(texts):
             yield texts[start:], b.slice(start)
+
+
+#: Bits of a membership table: 8 MB, whatever the input.
+TABLE_BITS = 26
+
+
+def membership(values: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
+    """A table of 2**bits bits in which the bits of all values of the only column (long) are set.
+
+    Its size is fixed.  It lets no member be missed; non-members pass it by chance, more of them the fuller it is, so an exact join has
+    to follow.
+    """
+    at = F.shiftrightunsigned(F.xxhash64(F.col(values.columns[0])), 64 - bits)
+    words = values.select(F.shiftright(at, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def in_table(table: Broadcast, at: Column) -> Column:
+    """Condition on the column of xxhash64 values ``at``: is its bit set in the broadcast table?"""
+    bits = int(np.log2(len(table.value))) + 6
+
+    @F.pandas_udf("boolean")
+    def set_(h: pd.Series) -> pd.Series:
+        place = h.to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        return pd.Series((table.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)).astype(np.int64)) & 1 == 1)
+
+    return set_(at)
