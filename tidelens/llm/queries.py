@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import bpe, jaccard, langid, licences, toxicity, vptree
+from tidelens.llm import bpe, jaccard, langid, licences, suffixes, toxicity, vptree
 from tidelens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,13 @@ def op3_language_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(found, 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op4_suffix_array_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without its repeated strings of 100 bytes."""
+    done = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op6_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every text, learned from labels where the remainder of the id's checksum is not 2."""

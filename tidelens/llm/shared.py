@@ -63,13 +63,14 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = PIECE)
 TABLE_BITS = 26
 
 
-def membership(values: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
-    """A table of 2**bits bits in which the bits of all values of the only column (long) are set.
+def membership(values: DataFrame, bits: int = TABLE_BITS, hashed: bool = False) -> np.ndarray:
+    """A table of 2**bits bits in which the bits of all values of the only column (long; ``hashed``: hashes already) are set.
 
     Its size is fixed.  It lets no member be missed; non-members pass it by chance, more of them the fuller it is, so an exact join has
     to follow.
     """
-    at = F.shiftrightunsigned(F.xxhash64(F.col(values.columns[0])), 64 - bits)
+    value = F.col(values.columns[0])
+    at = F.shiftrightunsigned(value if hashed else F.xxhash64(value), 64 - bits)
     words = values.select(F.shiftright(at, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
