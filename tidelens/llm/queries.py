@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import bpe, jaccard, langid, licences, suffixes, toxicity, vptree
+from tidelens.llm import bpe, jaccard, langid, licences, pitmanyor, suffixes, toxicity, vptree
 from tidelens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,14 @@ def op6_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under a model of those where the remainder of the id's checksum is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    found = pitmanyor.score(docs, _remainder(docs, 7) != 2)
+    return found.select("doc_id", (_remainder(found, 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op9_jaccard_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingles are similar to 0.75."""
