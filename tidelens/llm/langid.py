@@ -182,6 +182,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return net
 
 
+def _judged(net: Network | None, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    some = [i for i, t in enumerate(texts) if any(map(str.isalpha, t.decode("utf-8")))]
+    if net is not None and some:
+        probs = net.documents([texts[i] for i in some])
+        best = probs.argmax(1)
+        names[some] = np.array(net.languages, object)[best]
+        scores[some] = np.minimum(probs[np.arange(len(best)), best], 1.0)
+    return names, scores
+
+
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (the mean probability of that language over all positions) for every document with an id.
 
@@ -191,16 +203,23 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, rows in pieces(batches):
-            letters = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            some = np.flatnonzero(letters)
-            if net is not None and len(some):
-                probs = net.documents([texts[i] for i in some])
-                best = probs.argmax(1)
-                names[some] = np.array(net.languages, object)[best]
-                scores[some] = np.minimum(probs[np.arange(len(best)), best], 1.0)
+            names, scores = _judged(net, texts)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    named = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"))
+    named = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return named.where("doc_id is not null").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def in_known_language(docs: DataFrame, net: Network | None, least_score: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) with an id whose text is in a language of the network, with at least that score.
+
+    Rows stay where they are, so nothing is shuffled.  Null and letterless texts go.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, rows in pieces(batches, at):
+            names, scores = _judged(net, texts)
+            yield rows.filter(pa.array((names != UNKNOWN) & (scores >= least_score)))
+
+    return docs.where(docs[id_col].isNotNull()).mapInArrow(run, docs.schema)

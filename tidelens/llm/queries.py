@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import bpe, jaccard, langid, licences, pitmanyor, suffixes, toxicity, vptree
+from tidelens.llm import bpe, decontam, jaccard, langid, licences, pitmanyor, sentences, suffixes, toxicity, vptree
 from tidelens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,12 @@ def op4_suffix_array_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op5_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold three quarters or more of the shingles of a test item."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op6_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every text, learned from labels where the remainder of the id's checksum is not 2."""
@@ -78,6 +84,13 @@ def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(found, 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without runs of sentences that occur before."""
+    done = sentences.without_repeated_sentences(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_jaccard_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingles are similar to 0.75."""

@@ -78,13 +78,31 @@ def membership(values: DataFrame, bits: int = TABLE_BITS, hashed: bool = False)
     return out
 
 
+def bits_set(table: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Which of the hashes (unsigned) have their bit set?"""
+    place = hashed >> np.uint64(64 - int(np.log2(len(table))) - 6)
+    return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)).astype(np.int64)) & 1 == 1
+
+
 def in_table(table: Broadcast, at: Column) -> Column:
     """Condition on the column of xxhash64 values ``at``: is its bit set in the broadcast table?"""
-    bits = int(np.log2(len(table.value))) + 6
 
     @F.pandas_udf("boolean")
     def set_(h: pd.Series) -> pd.Series:
-        place = h.to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-        return pd.Series((table.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)).astype(np.int64)) & 1 == 1)
+        return pd.Series(bits_set(table.value, h.to_numpy(np.int64).view(np.uint64)))
 
     return set_(at)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` (with an id) whose id is none of ``ids``, one row for each id (of repeated rows, any one).
+
+    Rows that the membership table rules out stay where they are; only the others are shuffled for the exact join.
+    """
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("gone")).where("gone is not null").distinct()
+    repeated = docs.groupBy(docs[id_col].cast("long").alias("gone")).agg(F.count("*").alias("n")).where("n > 1").select("gone")
+    table = docs.sparkSession.sparkContext.broadcast(membership(ids.union(repeated)))
+    docs = docs.where(docs[id_col].isNotNull())
+    maybe = in_table(table, F.xxhash64(docs[id_col].cast("long")))
+    rest = docs.where(maybe).join(ids, F.col(id_col) == F.col("gone"), "left_anti").dropDuplicates([id_col])
+    return docs.where(~maybe).unionByName(rest)

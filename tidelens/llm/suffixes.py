@@ -20,8 +20,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelens.llm.shared import folder, in_table, membership, partitions, pieces, remove, saved
+from tidelens.llm.shared import bits_set, folder, in_table, membership, partitions, pieces, remove, saved
 from tidelens.llm.words import U64, mix
 
 #: Bytes of a match and of an anchor's gram; batches; windows that are looked at together; different segs of a key in one task.
@@ -109,11 +110,6 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(k[new].view(np.int64)), pa.array(s[new].view(np.int64)), pa.array(more)], ["key", "seg", "more"])
 
 
-def _bits(table: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    place = hashed >> U64(64 - int(np.log2(len(table))) - 6)
-    return (table[(place >> U64(6)).astype(np.int64)] >> (place & U64(63)).astype(np.int64)) & 1 == 1
-
-
 ENTRY = "key long, seg long, doc_id long, pos long, windows int, off int, bytes binary"
 
 
@@ -126,9 +122,9 @@ def _entries(repeated, mixed):
             owner = np.array(ids, np.int64)
             for e in anchors(texts):
                 spread = mix(e["key"])
-                keep = np.flatnonzero(_bits(repeated.value, spread))
+                keep = np.flatnonzero(bits_set(repeated.value, spread))
                 raw = e["buf"].tobytes()
-                some = _bits(mixed.value, spread[keep])
+                some = bits_set(mixed.value, spread[keep])
                 a, b = e["start"][keep], e["start"][keep] + e["windows"][keep] + LENGTH - 1
                 shown = [raw[i:j] if m else None for i, j, m in zip(a.tolist(), b.tolist(), some.tolist(), strict=True)]
                 columns = [e["key"][keep].view(np.int64), e["seg"][keep].view(np.int64), owner[e["text"][keep]], e["pos"][keep], e["windows"][keep].astype(np.int32), e["off"][keep].astype(np.int32)]
@@ -291,7 +287,7 @@ KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their spans (columns: doc_id, text, starts, stops in order of the starts; null: none)."""
+    """Texts without their spans (columns: doc_id, text, starts, stops in order of the starts, carried; null: none)."""
     for texts, rows in pieces(batches):
         out = []
         for t, starts, stops in zip(texts, rows.column(2), rows.column(3), strict=True):
@@ -306,12 +302,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((len(t), removed, spans, b"".join(kept)))
         n, removed, spans, kept = zip(*out, strict=True)
         kinds = [pa.int64()] * 3 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, k) for c, k in zip((n, removed, spans, kept), kinds, strict=True))], [c.split()[0] for c in KEPT.split(", ")])
+        yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, k) for c, k in zip((n, removed, spans, kept), kinds, strict=True)), rows.column(4)], [*(c.split()[0] for c in KEPT.split(", ")), "carried"])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the other bytes) of every document with an id.
 
+    ``carry`` names columns of ``docs`` that come along in a struct ``carried``.
+
     A byte goes if it lies in a string of LENGTH bytes that also starts earlier: in a document of smaller id, or before in the same one.
     Null and empty texts, and texts below LENGTH bytes, keep all they have.  Rows of one id stand at the same place: they are reported each
     and take nothing from one another where they are equal.  An empty table gives no rows.
@@ -345,11 +343,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     touched = in_table(table, F.xxhash64("doc_id"))
     ordered = F.array_sort(F.collect_set(F.struct("start", "stop")))
     by_doc = spans.groupBy("doc_id").agg(ordered.alias("s")).select("doc_id", F.col("s.start").alias("starts"), F.col("s.stop").alias("stops"))
-    rest = named.where(touched).join(by_doc, "doc_id", "left").select("doc_id", "text", "starts", "stops").mapInArrow(_kept, KEPT)
+    carried = F.struct(*(docs[c] for c in carry)) if carry else F.lit(None).cast("struct<none:int>")
+    full = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), carried.alias("carried")).where("doc_id is not null")
+    rest = full.where(touched).join(by_doc, "doc_id", "left").select("doc_id", "text", "starts", "stops", "carried")
+    schema = T._parse_datatype_string(KEPT).add("carried", full.schema["carried"].dataType)
     size = F.octet_length("text").cast("long")
     zero = F.lit(0).cast("long")
-    free = named.where(~touched).select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
-    return free.unionByName(rest)
+    free = full.where(~touched).select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"), "carried")
+    done = free.unionByName(rest.mapInArrow(_kept, schema))
+    return done if carry else done.drop("carried")
 
 
 def _table(keys: DataFrame) -> np.ndarray:
