@@ -160,12 +160,18 @@ class Network:
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[bytes, str]]:
     """A stretch of at most 512 characters from anywhere in each of at most ``per_language`` documents of every language, by a hash of the id."""
+    usable = docs.where(docs[text_col].rlike(r"\p{L}") & docs[lang_col].isNotNull())
+    languages = usable.groupBy(usable[lang_col].cast("string").alias("lang")).count().collect()
+    if not languages:
+        return []
+    # of each language only as many rows are sorted as fill the sample with some to spare
     place = F.pmod(F.xxhash64(docs[id_col], F.lit(1)), F.greatest(F.lit(1), F.length(docs[text_col]) - 511)) + 1
-    rows = docs.where(docs[text_col].rlike(r"\p{L}") & docs[lang_col].isNotNull()).select(
+    share = F.create_map(*(F.lit(v) for r in languages for v in (r["lang"], min(1.0, (2 * per_language + 100) / r["count"]))))
+    rows = usable.select(
         docs[lang_col].cast("string").alias("lang"),
         F.xxhash64(docs[id_col], F.lit(2)).alias("at"),
         docs[text_col].substr(place.cast("int"), F.lit(512)).alias("part"),
-    )
+    ).where(F.pmod("at", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     order = Window.partitionBy("lang").orderBy("at", "part")
     rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).orderBy("lang", "at", "part")
     return [(r["part"].encode(), r["lang"]) for r in rows.select("part", "lang").collect() if r["part"]]

@@ -171,8 +171,9 @@ def _runs(row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Consecutive windows of a row put together: row, first and last window."""
     order = np.lexsort((number, row))
     r, n = row[order], number[order]
-    new = np.r_[True, (r[1:] != r[:-1]) | (n[1:] != n[:-1] + 1)]
-    last = np.r_[new[1:], True]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (n[1:] != n[:-1] + 1)
+    last = np.r_[new[1:], True][: len(r)]
     return r[new], n[new], n[last]
 
 
@@ -190,8 +191,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows[several].reset_index(drop=True)
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
         if len(rows):
-            row, first, last = _runs(*seen_before(rows)) if len(rows) else ()
-            new = rows["new"].to_numpy(bool)[row] if len(row) else np.empty(0, bool)
+            row, first, last = _runs(*seen_before(rows))
+            new = rows["new"].to_numpy(bool)[row]
             row, first, last = row[new], first[new], last[new]
             pos = rows["pos"].to_numpy(np.int64)[row]
             out[0].append(rows["doc_id"].to_numpy(np.int64)[row])
