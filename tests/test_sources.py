@@ -29,11 +29,15 @@ def test_required_columns_and_suffix(spark, tmp_path):
         ev.load(spark, str(tmp_path / "x.json"))
 
 
-def test_load_multiple_skips_bad_files(spark, tmp_path):
+def test_load_multiple_names_bad_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text(CSV)
     (tmp_path / "b.csv").write_text("x\n1\n")
-    df = ev.load_multiple(spark, [str(tmp_path / n) for n in ("a.csv", "b.csv", "absent.parquet")])
+    names, skipped = [str(tmp_path / n) for n in ("a.csv", "b.csv", "absent.parquet")], {}
+    df = ev.load_multiple(spark, names, skipped=skipped)
     assert {r["_source_file"] for r in df.select("_source_file").distinct().collect()} == {"a.csv"}
+    assert set(skipped) == set(names[1:]) and "missing required columns" in skipped[names[1]]
+    with pytest.raises(ValueError, match="absent.parquet"):
+        ev.load_multiple(spark, names)
     with pytest.raises(ValueError):
         ev.load_multiple(spark, [str(tmp_path / "b.csv")])
 

@@ -33,7 +33,7 @@ def test_live_features_equal_final_sessions(spark, tmp_path):
     write(spark, base, "f2", [(3, 1, 25, "checkout_completed"), (4, 1, 90, "homepage_viewed")])
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
     live = streams.run_available(streams.live_session_features(stream))
-    last = live.groupBy("user_id", "session_start_us").agg(F.max("events_in_session").alias("n"), F.max("converted").alias("c"))
+    last = live.groupBy("user_id", "session_start_us").agg(F.max("events_in_session").alias("n"), F.max("has_checkout_completed").alias("c"))
     got = sorted((r["user_id"], r["n"], r["c"]) for r in last.collect())
     batch = spark.read.schema(SCHEMA).parquet(f"{base}/*").withColumn("platform", F.lit("ios"))
     want = sorted((r["user_id"], r["event_count"], int(r["converted"])) for r in sessions.sessions(batch).collect())

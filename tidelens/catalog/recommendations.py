@@ -217,12 +217,12 @@ def _(spark, sf):
 @query(
     "crm02_prospects",
     f"""WITH {REC}, {PROF} SELECT user_id, merchant AS target_merchant, score AS affinity_score, order_count, days_since_order FROM rc JOIN pf USING (user_id)
-WHERE rank <= 20 AND merchant = '{M1}' AND score >= 0.05 ORDER BY round(score, 9) DESC, user_id LIMIT 1000""",
+WHERE rank <= 20 AND merchant = '{M1}' AND score >= 0.05""",
     "affinity_score",
 )
 def _(spark, sf):
     _, _, recs, prof = _crm(spark, sf, 20)
-    return crm.high_affinity_prospects(recs, prof, M1, 0.05)
+    return crm.high_affinity_prospects(recs, prof, M1, 0.05, depth=20)
 
 
 @query(
@@ -240,13 +240,12 @@ def _(spark, sf):
     "crm04_category_explorers",
     f"""WITH {REC}, {PROF}, g AS (SELECT user_id, avg(score) AS avg_category_score, max(score) AS max_category_score, count(*) AS n_relevant_merchants FROM rc
 WHERE rank <= 50 AND merchant IN ('{M1}', '{M2}', '{M3}') AND user_id NOT IN (SELECT user_id FROM it WHERE merchant IN ('{M1}', '{M2}', '{M3}')) GROUP BY 1 HAVING avg(score) >= 0.05)
-SELECT user_id, 'target' AS category, avg_category_score, max_category_score, n_relevant_merchants, order_count FROM g JOIN pf USING (user_id)
-ORDER BY round(avg_category_score, 9) DESC, user_id LIMIT 5000""",
+SELECT user_id, 'target' AS category, avg_category_score, max_category_score, n_relevant_merchants, order_count FROM g JOIN pf USING (user_id)""",
     "avg_category_score max_category_score",
 )
 def _(spark, sf):
     _, i, recs, prof = _crm(spark, sf, 50)
-    return crm.category_explorers(recs, i, prof, [M1, M2, M3], "target", 0.05)
+    return crm.category_explorers(recs, i, prof, [M1, M2, M3], "target", 0.05, depth=50)
 
 
 @query(
@@ -256,18 +255,18 @@ FROM o WHERE merchant = '{M1}' GROUP BY 1, 2 ORDER BY order_count DESC, total_sp
     "total_spent:3 avg_order_value",
 )
 def _(spark, sf):
-    return crm.merchant_superfans(b.orders(spark, sf), M1)
+    return crm.merchant_superfans(b.orders(spark, sf), M1, 100)
 
 
 @query(
     "crm06_cross_sell",
     f"""WITH {REC}, {PROF} SELECT user_id, '{M1}' AS source_merchant, merchant AS target_merchant, score AS affinity_score, order_count FROM rc JOIN pf USING (user_id)
-WHERE rank <= 50 AND merchant = '{M2}' AND score >= 0.05 AND user_id IN (SELECT user_id FROM it WHERE merchant = '{M1}') ORDER BY round(score, 9) DESC, user_id LIMIT 1000""",
+WHERE rank <= 50 AND merchant = '{M2}' AND score >= 0.05 AND user_id IN (SELECT user_id FROM it WHERE merchant = '{M1}')""",
     "affinity_score",
 )
 def _(spark, sf):
     _, i, recs, prof = _crm(spark, sf, 50)
-    return crm.cross_sell_targets(recs, i, prof, M1, M2, 0.05)
+    return crm.cross_sell_targets(recs, i, prof, M1, M2, 0.05, depth=50)
 
 
 @query(

@@ -52,7 +52,7 @@ def _(spark, sf):
 def _two_files(spark, sf):
     path = _scratch(spark) + "/late.parquet"
     b.table(spark, sf, "events").where(F.col("user_id") % 3 == 0).write.parquet(path)
-    return ev.load_multiple(spark, [f"{sf}/events.parquet", path, f"{sf}/absent.parquet"], schema=RAW)
+    return ev.load_multiple(spark, [f"{sf}/events.parquet", path, f"{sf}/absent.parquet"], schema=RAW, skipped={})
 
 
 @query(

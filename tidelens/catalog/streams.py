@@ -8,6 +8,8 @@ from tidelens.catalog import bindings as b
 from tidelens.catalog.bindings import EV
 from tidelens.catalog.behaviour import sess
 from tidelens.catalog.registry import query
+from tidelens.models import predictors as pred
+from tidelens.operators import sessions
 from tidelens.streaming import streams
 
 V = b.VOCAB
@@ -38,16 +40,20 @@ def _(spark, sf):
 
 @query(
     "str02_volume_flags",
-    f"""WITH {EV}, h AS (SELECT date_trunc('hour', event_time)::TIMESTAMP AS datetime, hour(event_time) AS hour, count(*) AS events FROM ev GROUP BY 1, 2),
-bl AS (SELECT hour, avg(events) AS mean, stddev_pop(events) AS deviation FROM h GROUP BY 1),
-z AS (SELECT datetime, hour, events, (events - mean) / NULLIF(deviation, 0) AS z_score FROM h JOIN bl USING (hour) WHERE epoch_us(datetime) + 3600000000 <= {MARK})
-SELECT *, CASE WHEN z_score > 1.5 THEN 'spike' WHEN z_score < -1.5 THEN 'drop' ELSE 'normal' END AS anomaly_type FROM z""",
-    "z_score",
+    f"""WITH {EV}, h AS (SELECT date_trunc('hour', event_time)::TIMESTAMP AS datetime, hour(event_time) AS hour, count(*) AS events, count(DISTINCT user_id) AS users,
+ count(DISTINCT CASE WHEN event_type = 'purchase' THEN user_id END) AS buyers FROM ev GROUP BY 1, 2),
+r AS (SELECT *, buyers::DOUBLE / users AS conversion_rate FROM h),
+bl AS (SELECT hour, avg(events) AS mean, stddev_pop(events) AS deviation, avg(conversion_rate) AS sm, stddev_pop(conversion_rate) AS sd FROM r GROUP BY 1),
+z AS (SELECT datetime, hour, events, users, buyers, conversion_rate, (events - mean) / NULLIF(deviation, 0) AS z_score, (conversion_rate - sm) / NULLIF(sd, 0) AS conversion_z_score
+ FROM r JOIN bl USING (hour) WHERE epoch_us(datetime) + 3600000000 <= {MARK})
+SELECT *, CASE WHEN z_score > 1.5 THEN 'spike' WHEN z_score < -1.5 THEN 'drop' ELSE 'normal' END AS anomaly_type,
+ CASE WHEN conversion_z_score > 1.5 THEN 'high' WHEN conversion_z_score < -1.5 THEN 'low' ELSE 'normal' END AS conversion_anomaly FROM z""",
+    "z_score conversion_rate conversion_z_score",
 )
 def _(spark, sf):
-    base = streams.volume_baseline(b.events(spark, sf))
+    base = streams.volume_baseline(b.events(spark, sf), V)
     flags = streams.volume_flags(_stream(spark, sf), base, V, 1.5)
-    return streams.run_available(flags).drop("users", "buyers", "conversion_rate")
+    return streams.run_available(flags)
 
 
 @query(
@@ -57,13 +63,31 @@ def _(spark, sf):
  max((event_type = 'purchase')::INT) OVER s AS p, max((event_type = 'error')::INT) OVER s AS e
  FROM sx WINDOW s AS (PARTITION BY user_id, sno ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))
 SELECT user_id, s0 AS session_start_us, us AS event_us, n AS events_in_session, (a + v + c + p + e)::BIGINT AS unique_events,
- least((s1 - s0) / 60000000.0::DOUBLE, 120) AS session_duration_mins, a::BIGINT AS f0, v::BIGINT AS f1, c::BIGINT AS f2, 0::BIGINT AS f3,
- p::BIGINT AS converted, (a + v + c)::BIGINT AS funnel_depth FROM w""",
+ least((s1 - s0) / 60000000.0::DOUBLE, 120) AS session_duration_mins, a::BIGINT AS has_signup, v::BIGINT AS has_view, c::BIGINT AS has_click, 0::BIGINT AS has_checkout_button,
+ p::BIGINT AS has_purchase, (a + v + c)::BIGINT AS funnel_depth FROM w""",
 )
 def _(spark, sf):
     return streams.run_available(streams.live_session_features(_stream(spark, sf), V))
 
 
+@query(
+    "str03_live_scores",
+    f"""WITH {sess(30)} SELECT user_id, min(us) AS session_start_us, count(*) AS events_in_session, true AS as_in_batch FROM sx GROUP BY user_id, sno""",
+)
+def _(spark, sf):
+    """The last live score of every session, and whether it is the batch score of the whole session."""
+    model = pred.ConversionPredictor("logistic", V)
+    events = b.events(spark, sf)
+    batch = model.run(events, "session")["predictions"]
+    live = streams.run_available(streams.score_live(streams.live_session_features(_stream(spark, sf), V), model.model, model.columns))
+    last = live.groupBy("user_id", "session_start_us").agg(
+        F.max("events_in_session").alias("events_in_session"), F.max_by("conversion_probability", "events_in_session").alias("live")
+    )
+    starts = sessions.sessions(events).select("user_id", "session_key", F.unix_micros("session_start").alias("session_start_us"))
+    both = last.join(starts, ["user_id", "session_start_us"]).join(batch.select("session_key", "conversion_probability"), "session_key")
+    return both.select("user_id", "session_start_us", "events_in_session", (F.abs(F.col("live") - F.col("conversion_probability")) < 1e-9).alias("as_in_batch"))
+
+
 @query(
     "str04_trending",
     f"""WITH {EV}, o AS (SELECT json_extract_string(props, '$.k') AS merchant, us FROM ev WHERE event_type = 'purchase'),

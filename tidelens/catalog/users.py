@@ -521,7 +521,7 @@ def _(spark, sf):
 WHERE order_count >= 2 AND health_tier IN ('At Risk', 'Critical') ORDER BY order_count DESC, user_id LIMIT 100""",
 )
 def _(spark, sf):
-    return scoring.high_value_at_risk(_scored(spark, sf))
+    return scoring.high_value_at_risk(_scored(spark, sf), 100)
 
 
 @query(
@@ -530,7 +530,7 @@ def _(spark, sf):
 WHERE order_count = 0 AND engagement_tier IN ('Medium', 'High') ORDER BY engagement_score DESC, user_id LIMIT 100""",
 )
 def _(spark, sf):
-    return scoring.conversion_opportunities(_scored(spark, sf))
+    return scoring.conversion_opportunities(_scored(spark, sf), 100)
 
 
 @query(
@@ -791,7 +791,7 @@ def _(spark, sf):
     "rea06_export",
     f"""WITH {REA}, {_INC} SELECT user_id, days_inactive, dormancy_tier, total_orders, total_revenue, avg_order_value, reactivation_score, reactivation_tier,
  incentive_type, incentive_value, priority, primary_platform FROM dx
-WHERE {_CAMP['high_value_recently_dormant']} ORDER BY round(reactivation_score, 9) DESC, user_id LIMIT 1000""",
+WHERE {_CAMP['high_value_recently_dormant']}""",
     "total_revenue:3 avg_order_value reactivation_score",
 )
 def _(spark, sf):

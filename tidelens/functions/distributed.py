@@ -11,8 +11,9 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelens.functions.columns import US_PER_HOUR, micros
+from tidelens.functions.columns import US_PER_HOUR, micros, round_half_even
 
 RANGES_PER_OCTAVE = 1024
 PAIR_BLOCK = 512
@@ -66,8 +67,6 @@ def value_positions(
     offsets = offsets.drop("_in")
     keys = [*by, "_range"]
     a, b = ranged.alias("a"), offsets.alias("b")
-    if not by:
-        b = F.broadcast(b)  # bounded by the number of ranges
     cond = F.col("a._range") == F.col("b._range")
     for k in by:
         cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
@@ -124,14 +123,19 @@ def scalar_quantile(df: DataFrame, column: str, q: float) -> Column:
 
 
 def percentile_ranks(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Adds, for each ``source -> target``, the average-tie rank divided by the non-null count."""
+    """Adds, for each ``source -> target``, the average-tie rank divided by the non-null count.
+
+    Doubles are compared to nine digits after the point, so a sum that is evaluated again in another order finds its rank.
+    """
     out = df
     for source, target in columns.items():
-        r = value_positions(df, source).select(
-            F.col(source).alias("_ranked_value"),
+        kind = df.schema[source].dataType
+        key = round_half_even(F.col(source), 9) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(source)
+        r = value_positions(df.select(key.alias("_ranked")), "_ranked").select(
+            F.col("_ranked").alias("_ranked_value"),
             ((F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)) / F.col("total")).alias(target),
         )
-        out = out.join(r, F.col(source) == F.col("_ranked_value"), "left").drop("_ranked_value")
+        out = out.join(r, key == F.col("_ranked_value"), "left").drop("_ranked_value")
     return out
 
 
@@ -182,6 +186,11 @@ def ordinal_bin(cuts: Column, value: str, tiebreak: str, n: int) -> Column:
     return out.cast("int")
 
 
+def first_rows(df: DataFrame, n: int | None, *order: Column | str) -> DataFrame:
+    """The first ``n`` rows in that order; None: all rows, which then need no global sort."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
 def scalar_row(df: DataFrame) -> Column:
     """The single row of a frame as a struct from a lazy scalar sub-query."""
     return df.select(F.struct(*df.columns).alias("row")).scalar()

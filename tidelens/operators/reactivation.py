@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelens.functions.columns import INF, bins, clip, count_if, days, micros, ratio
-from tidelens.functions.distributed import quantiles, scalar_row
+from tidelens.functions.distributed import first_rows, quantiles, scalar_row
 from tidelens.schema import DEFAULT_VOCABULARY, Vocabulary
 from tidelens.sources.normalise import with_order_value
 
@@ -221,16 +221,14 @@ def campaign_segments(scored: DataFrame) -> DataFrame:
     )
 
 
-def export_for_campaign(scored: DataFrame, segment: str | None = None, limit: int = 1000) -> DataFrame:
-    """Best users first.  Segments other than the first three names do not filter."""
+def export_for_campaign(scored: DataFrame, segment: str | None = None, limit: int | None = None) -> DataFrame:
+    """All users of a segment, or the best ``limit`` of them.  Segments other than the first three names do not filter."""
     base = scored
     if segment in ("high_value_recently_dormant", "frequent_orderers_churned", "one_time_buyers"):
         with_q, rules = _rules(scored)
         base = with_q.where(rules[segment])
     return (
-        with_incentives(base)
-        .orderBy(F.desc("reactivation_score"), "user_id")
-        .limit(limit)
+        first_rows(with_incentives(base), limit, F.desc("reactivation_score"), "user_id")
         .select(
             "user_id",
             "days_inactive",

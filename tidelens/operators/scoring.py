@@ -16,7 +16,7 @@ from tidelens.functions.columns import (
     round_half_even,
     whole_days,
 )
-from tidelens.functions.distributed import chunk_window, with_chunks
+from tidelens.functions.distributed import chunk_window, first_rows, with_chunks
 from tidelens.schema import DEFAULT_VOCABULARY, Vocabulary
 
 # Tiers, stage values and the action catalogue.
@@ -252,20 +252,16 @@ def segment_summary(scored: DataFrame) -> DataFrame:
     return g.withColumn("pct_of_users", percent(F.col("users"), F.sum("users").over(Window.partitionBy()), 1))
 
 
-def high_value_at_risk(scored: DataFrame, n: int = 100) -> DataFrame:
+def high_value_at_risk(scored: DataFrame, n: int | None = None) -> DataFrame:
     return (
-        scored.where((F.col("order_count") >= 2) & F.col("health_tier").isin("At Risk", "Critical"))
-        .orderBy(F.desc("order_count"), "user_id")
-        .limit(n)
+        first_rows(scored.where((F.col("order_count") >= 2) & F.col("health_tier").isin("At Risk", "Critical")), n, F.desc("order_count"), "user_id")
         .select("user_id", "lifecycle_stage", "health_score", "health_tier", "order_count", "days_since_last")
     )
 
 
-def conversion_opportunities(scored: DataFrame, n: int = 100) -> DataFrame:
+def conversion_opportunities(scored: DataFrame, n: int | None = None) -> DataFrame:
     return (
-        scored.where((F.col("order_count") == 0) & F.col("engagement_tier").isin("Medium", "High"))
-        .orderBy(F.desc("engagement_score"), "user_id")
-        .limit(n)
+        first_rows(scored.where((F.col("order_count") == 0) & F.col("engagement_tier").isin("Medium", "High")), n, F.desc("engagement_score"), "user_id")
         .select("user_id", "lifecycle_stage", "engagement_score", "engagement_tier", "depth_score", "recency_score")
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,21 +67,58 @@ def load(spark: SparkSession, path: str, validate: bool = True, schema: EventSch
     return preprocess(df, schema)
 
 
-def load_multiple(
+def check_files(
     spark: SparkSession, paths: Sequence[str], validate: bool = True, schema: EventSchema = DEFAULT_SCHEMA
-) -> DataFrame:
-    """Union of several files with ``_source_file``; unreadable files are skipped, none readable raises."""
-    parts: list[DataFrame] = []
+) -> dict[str, str | None]:
+    """Why each file cannot be used, None if it can.  Looks at schemas only, which is no job over the rows."""
+    found: dict[str, str | None] = {}
     for p in paths:
         try:
             df = _reader(spark, p)(p)
             if validate:
                 validate_schema(df, schema)
-        except Exception:  # a missing, corrupt or foreign file
-            continue
-        parts.append(preprocess(df.withColumn("_source_file", F.lit(os.path.basename(p.rstrip("/")))), schema))
-    if not parts:
+            found[p] = None
+        except (ValueError, AnalysisException, SparkRuntimeException, Py4JJavaError) as e:  # foreign, missing or corrupt
+            found[p] = str(e).strip().splitlines()[0]
+    return found
+
+
+def load_multiple(
+    spark: SparkSession,
+    paths: Sequence[str],
+    validate: bool = True,
+    schema: EventSchema = DEFAULT_SCHEMA,
+    skipped: dict[str, str] | None = None,
+) -> DataFrame:
+    """Several files as one frame with ``_source_file``, read by one scan for each file type.
+
+    A file that cannot be used raises, and so do files that only break while they are read.  With a dict as ``skipped`` such files are left
+    out and named there with the reason; if none is left, that raises too.
+    """
+    problems = {p: why for p, why in check_files(spark, paths, validate, schema).items() if why}
+    if problems and skipped is None:
+        raise ValueError("unusable files: " + "; ".join(f"{p}: {why}" for p, why in problems.items()))
+    if skipped is not None:
+        skipped.update(problems)
+    usable = [p for p in paths if p not in problems]
+    if not usable:
         raise ValueError("no file could be read")
+    parts = []
+    for suffix in (".parquet", ".csv"):
+        mine = [p for p in usable if p.rstrip("/").lower().endswith(suffix)]
+        if suffix == ".csv":  # columns are taken by name, so files with other headers are read apart
+            by_header: dict[tuple[str, ...], list[str]] = {}
+            for p in mine:
+                by_header.setdefault(tuple(_reader(spark, p)(p).columns), []).append(p)
+            frames = [(_reader(spark, same[0])(*same), same) for same in by_header.values()]
+        else:
+            frames = [(spark.read.option("mergeSchema", True).parquet(*mine), mine)] if mine else []
+        for df, same in frames:
+            # a part of a directory goes by the directory's name
+            steps = F.split(F.col("_metadata.file_path"), "/")
+            name, folder = F.url_decode(F.element_at(steps, -1)), F.url_decode(F.element_at(steps, -2))
+            given = F.when(folder.isin([os.path.basename(p.rstrip("/")) for p in same]), folder).otherwise(name)
+            parts.append(preprocess(df.select("*", given.alias("_source_file")), schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -32,10 +33,15 @@ def session_metrics(
     )
 
 
-def volume_baseline(history: DataFrame) -> DataFrame:
-    """Mean and population deviation of hourly volume per hour of day: 24 rows."""
-    hourly = history.groupBy(F.date_trunc("hour", "event_time").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    return hourly.groupBy(F.hour("t").alias("hour")).agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"))
+def volume_baseline(history: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+    """Mean and population deviation of hourly volume and of the hourly buyer share, per hour of day: 24 rows."""
+    buyer = F.when(F.col("event_type") == vocab.order, F.col("user_id"))
+    hourly = history.groupBy(F.date_trunc("hour", "event_time").alias("t")).agg(
+        F.count(F.lit(1)).alias("n"), F.try_divide(F.countDistinct(buyer).cast("double"), F.countDistinct("user_id")).alias("share")
+    )
+    return hourly.groupBy(F.hour("t").alias("hour")).agg(
+        F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"), F.avg("share").alias("share_mean"), F.stddev_pop("share").alias("share_deviation")
+    )
 
 
 def volume_flags(
@@ -45,23 +51,29 @@ def volume_flags(
     sensitivity: float = 2.0,
     watermark: str = "1 hour",
 ) -> DataFrame:
-    """Hourly volume and approximate buyer share against the static baseline of the hour of day."""
-    buyer = F.when(F.col("event_type") == vocab.order, F.col("user_id"))
-    g = events.withWatermark("event_time", watermark).groupBy(F.window("event_time", "1 hour").alias("w")).agg(
-        F.count(F.lit(1)).alias("events"),
-        F.approx_count_distinct("user_id").alias("users"),
-        F.approx_count_distinct(buyer).alias("buyers"),
+    """Hourly volume and buyer share against the static baseline of the hour of day.
+
+    Users are counted exactly by two aggregations in a row: first per (hour, user), so that a user is one row, then per hour.
+    """
+    per_user = events.withWatermark("event_time", watermark).groupBy(F.window("event_time", "1 hour").alias("w"), "user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max((F.col("event_type") == vocab.order).cast("int")).alias("bought")
+    )
+    g = per_user.groupBy(F.window(F.window_time("w"), "1 hour").alias("w")).agg(
+        F.sum("n").alias("events"), F.count("user_id").alias("users"), F.sum(F.when(F.col("user_id").isNotNull(), F.col("bought"))).alias("buyers")
     )
     rows = g.select(F.col("w.start").alias("datetime"), F.hour("w.start").alias("hour"), "events", "users", "buyers")
-    z = F.try_divide(F.col("events") - F.col("mean"), F.col("deviation"))
+
+    def flag(z: str, high: str, low: str) -> Column:
+        return F.when(F.col(z) > sensitivity, high).when(F.col(z) < -sensitivity, low).otherwise("normal")
+
     return (
         rows.join(F.broadcast(baseline), "hour")  # 24 rows
-        .withColumn("z_score", z)
         .withColumn("conversion_rate", F.try_divide(F.col("buyers").cast("double"), F.col("users")))
-        .withColumn(
-            "anomaly_type", F.when(F.col("z_score") > sensitivity, "spike").when(F.col("z_score") < -sensitivity, "drop").otherwise("normal")
-        )
-        .drop("mean", "deviation")
+        .withColumn("z_score", F.try_divide(F.col("events") - F.col("mean"), F.col("deviation")))
+        .withColumn("conversion_z_score", F.try_divide(F.col("conversion_rate") - F.col("share_mean"), F.col("share_deviation")))
+        .withColumn("anomaly_type", flag("z_score", "spike", "drop"))
+        .withColumn("conversion_anomaly", flag("conversion_z_score", "high", "low"))
+        .drop("mean", "deviation", "share_mean", "share_deviation")
     )
 
 
@@ -95,50 +107,66 @@ def match_deliveries(orders: DataFrame, delivered: DataFrame, key: str, watermar
     return o.join(d, cond, "leftOuter").select("o.*", F.col("d.delivered_at").alias("delivered_at"))
 
 
-LIVE_SCHEMA = (
-    "user_id long, session_start_us long, event_us long, events_in_session long, unique_events long, session_duration_mins double, "
-    "f0 int, f1 int, f2 int, f3 int, converted int, funnel_depth int"
-)
 _STATE = "start_us long, last_us long, n long, mask long"
 
 
+def live_columns(vocab: Vocabulary = DEFAULT_VOCABULARY) -> list[str]:
+    """The session features of the conversion model, in the order of :func:`live_session_features`."""
+    seen = (vocab.homepage, vocab.product_view, vocab.add, vocab.checkout_button, vocab.order)
+    return ["events_in_session", "unique_events", "session_duration_mins", *(f"has_{t}" for t in seen), "funnel_depth"]
+
+
 def live_session_features(
     events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, gap_minutes: float = 30, watermark: str = "1 hour"
 ) -> DataFrame:
-    """Running features of the open session of each user, one row per event.
+    """Running features of the open session of each user, one row per event, named as the batch features of whole sessions.
 
     State per user is four numbers: session start, last event, events, and a bit set of the event
-    types seen.  A state is dropped once the watermark has passed the session gap.
+    types seen.  A state is dropped once the watermark has passed the session gap.  Rows are taken part by part as Arrow
+    delivers them, each sorted and advanced by cumulative array operations; a user's rows of one micro-batch that exceed a part
+    (spark.sql.execution.arrow.maxRecordsPerBatch) are in order only within their part.
     """
-    types = list(dict.fromkeys((vocab.homepage, vocab.product_view, vocab.add, vocab.checkout_button, vocab.order, *vocab.event_types)))
+    seen = (vocab.homepage, vocab.product_view, vocab.add, vocab.checkout_button, vocab.order)
+    types = list(dict.fromkeys((*seen, *vocab.event_types)))
     bit = {t: 1 << i for i, t in enumerate(types)}
     gap_us = int(gap_minutes * 60_000_000)
+    schema = ", ".join(["user_id long", "session_start_us long", "event_us long", "events_in_session long", "unique_events long", "session_duration_mins double", *(f"`has_{t}` int" for t in seen), "funnel_depth int"])
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
         start, last, n, mask = state.get if state.exists else (0, -(1 << 62), 0, 0)
-        pdf = pd.concat(list(batches)).sort_values(["us", "event_id"], kind="stable")
-        bits = pdf["event_type"].map(bit).fillna(1 << 62).astype("int64")
-        out = []
-        for us, b in zip(pdf["us"].to_numpy(), bits.to_numpy()):
-            if us - last > gap_us:
-                start, n, mask = int(us), 0, 0
-            last, n, mask = max(last, int(us)), n + 1, int(mask) | int(b)
-            seen = [1 if mask & (1 << i) else 0 for i in range(5)]
-            span = min(max((last - start) / 60_000_000.0, 0.0), 120.0)
-            out.append((key[0], start, int(us), n, bin(mask).count("1"), span, *seen[:4], seen[4], sum(seen[:4])))
+        for pdf in batches:
+            pdf = pdf.sort_values(["us", "event_id"], kind="stable")
+            us = pdf["us"].to_numpy("int64")
+            bits = pdf["event_type"].map(bit).fillna(1 << 62).to_numpy("int64")
+            latest = np.maximum.accumulate(np.r_[last, us])
+            new = us - latest[:-1] > gap_us
+            part = np.cumsum(new)  # 0: still the session of the state
+            first = np.r_[0, np.flatnonzero(new)] if len(us) else np.zeros(1, int)
+            begins = np.where(part == 0, start, us[first[part]] if len(us) else start)
+            count = np.where(part == 0, n, 0) + np.arange(1, len(us) + 1) - np.where(part == 0, 0, first[part])
+            masks = np.empty_like(bits)
+            edges = [0, *np.flatnonzero(new).tolist(), len(us)]
+            for a, b in zip(edges, edges[1:]):  # one step for each session
+                if b > a:
+                    masks[a:b] = np.bitwise_or.accumulate(np.r_[mask if a == 0 and not new[0] else 0, bits[a:b]])[1:]
+            flags = [((masks >> i) & 1).astype("int32") for i in range(5)]
+            rows = {"user_id": key[0], "session_start_us": begins, "event_us": us, "events_in_session": count}
+            rows["unique_events"] = np.bitwise_count(masks).astype("int64")
+            rows["session_duration_mins"] = np.clip((latest[1:] - begins) / 60_000_000.0, 0.0, 120.0)
+            rows |= {f"has_{t}": f for t, f in zip(seen, flags)} | {"funnel_depth": flags[0] + flags[1] + flags[2] + flags[3]}
+            if len(us):
+                start, last, n, mask = int(begins[-1]), int(latest[-1]), int(count[-1]), int(masks[-1])
+            yield pd.DataFrame(rows)
         state.update((start, last, n, mask))
         state.setTimeoutTimestamp(max(last // 1000 + gap_us // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in LIVE_SCHEMA.split(", ")])
 
     src = events.withWatermark("event_time", watermark).select(
         "user_id", "event_time", "event_id", "event_type", F.unix_micros("event_time").alias("us")
     )
-    return src.groupBy("user_id").applyInPandasWithState(
-        advance, LIVE_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return src.groupBy("user_id").applyInPandasWithState(advance, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def score_live(features: DataFrame, model: PipelineModel, columns: list[str]) -> DataFrame:
@@ -148,16 +176,17 @@ def score_live(features: DataFrame, model: PipelineModel, columns: list[str]) ->
     from tidelens.models.predictors import clean
 
     scored = model.transform(clean(features, columns))
-    return scored.select("user_id", "session_start_us", "event_us", vector_to_array("probability")[1].alias("conversion_probability"))
+    return scored.select("user_id", "session_start_us", "event_us", F.col("events_in_session").cast("long").alias("events_in_session"), vector_to_array("probability")[1].alias("conversion_probability"))
 
 
-def run_available(stream: DataFrame) -> DataFrame:
-    """Drains a stream over what is available now into a table in the shared checkpoint folder and reads it.
+def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Drains a stream over what is available now into a table and reads it.
 
-    Progress and output live in the shared folder, so a restarted query goes on where it was.
+    Output and progress live in ``folder``: with the same folder a restarted query goes on where it was.  Without one, each call
+    starts anew in the shared checkpoint folder.
     """
     spark: SparkSession = stream.sparkSession
-    base = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    base = folder or f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
     q = (
         stream.writeStream.outputMode("append")
         .format("parquet")
