@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ from tidelens.llm.shared import in_table, membership, pieces, saved
 from tidelens.llm.words import U64, distinct, hashes, mix, shingles, tokens
 
 #: The similarity, as a fraction; tokens of a shingle; tokens that prefixes of similar sets share; tokens put last (bounds a broadcast);
-#: rounds in which neighbours are compared; parts of a frequent token's classes in those rounds.
-OVER, OF, SIZE, SHARED, FREQUENT, ROUNDS, PARTS = 3, 4, 5, 3, 1 << 17, 3, 32
+#: rounds in which neighbours are compared; parts of a frequent token's classes in the later ones.
+OVER, OF, SIZE, SHARED, FREQUENT, ROUNDS, PARTS = 3, 4, 5, 3, 1 << 17, 2, 32
 
 
 def sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,24 +91,30 @@ def _prefixes(last: np.ndarray, size: int):
     return run
 
 
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's class and the text itself, compressed: less than half of what its shingles' hashes take."""
+    pack = zstandard.ZstdCompressor(level=3)
     for texts, _ in pieces(batches):
-        v, _, n, cls = sets(texts)
-        cuts = np.r_[0, np.cumsum(n)]
-        blobs = [v[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(blobs, pa.binary())], ["cls", "tokens"])
+        _, _, _, cls = sets(texts)
+        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([pack.compress(t) for t in texts], pa.binary())], ["cls", "packed"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, tokens of both) whose sets are similar enough."""
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            keep.append(OF * both >= OVER * (len(x) + len(y) - both))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """Pairs (a, b, packed texts of both) whose sets are similar enough."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            b = batch.slice(i, 64)
+            texts = [unpack.decompress(t.as_buffer()) for k in (2, 3) for t in b.column(k)]
+            v, _, n, _ = sets(texts)
+            cuts = np.r_[0, np.cumsum(n)]
+            keep = []
+            for j in range(b.num_rows):
+                x, y = (v[cuts[k] : cuts[k + 1]] for k in (j, j + b.num_rows))
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep.append(OF * both >= OVER * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _compatible(n: str, m: str) -> Column:
@@ -129,54 +136,66 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = common.orderBy(F.desc("c"), "token").limit(frequent).select("token").toArrow().column(0).to_numpy()
     last = np.sort(common.view(U64))
 
-    met = Window.partitionBy("token")
+    # prefixes whose token another class has too, each with the next class in order of size
+    met, row = Window.partitionBy("token"), Window.partitionBy("token").orderBy("n", "cls")
     runs = named.mapInArrow(_prefixes(last, SHARED), "token long, cls long, n int, frequent boolean")
-    runs = runs.withColumn("lo", F.min("cls").over(met)).withColumn("hi", F.max("cls").over(met)).where("lo < hi")
-    runs = saved(runs.select("token", "cls", "n", "frequent").distinct(), "prefixes")
+    runs = runs.select(
+        "*", F.min("cls").over(met).alias("lo"), F.max("cls").over(met).alias("hi"), F.lead("cls").over(row).alias("b"), F.lead("n").over(row).alias("m")
+    ).where("lo < hi")
+    runs = saved(runs.select("token", "cls", "n", "frequent", "b", "m"), "prefixes")
 
     wanted = first.join(runs.select("cls").distinct(), "cls").select("first")
     table = spark.sparkContext.broadcast(membership(wanted))
-    chosen = named.where(in_table(table, F.xxhash64("doc_id"))).join(wanted.withColumnRenamed("first", "doc_id"), "doc_id", "left_semi")
-    blobs = saved(chosen.mapInArrow(_blobs, "cls long, tokens binary").dropDuplicates(["cls"]), "sets")
+    texts = saved(named.where(in_table(table, F.xxhash64("doc_id"))).mapInArrow(_packed, "cls long, packed binary"), "texts")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        one = blobs.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
-        two = blobs.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-        full = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
-        return saved(full.mapInArrow(_compared, "a long, b long"), name)
-
-    links = None
-    groups = runs.select("cls").distinct().select("cls", F.col("cls").alias("g"))
-    for r in range(ROUNDS):
-        placed = runs.join(groups, "cls")
+        """Which of the pairs (a, b) link?"""
+        pairs = saved(pairs, "pairs")
+        ends = spark.sparkContext.broadcast(membership(pairs.select("a").union(pairs.select("b")).distinct()))
+        some = texts.where(in_table(ends, F.xxhash64("cls")))
+        one, two = some.toDF("a", "x"), some.toDF("b", "y")
+        full = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+        return saved(full.mapInArrow(_compared, "a long, b long").distinct(), name)
+
+    def best(counted: DataFrame) -> DataFrame:
+        """For each class the neighbour it shares most with."""
+        either = counted.union(counted.select("b", "a", "c")).toDF("a", "b", "c")
+        chosen = either.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+        return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    classes = saved(runs.select("cls").distinct(), "prefix-classes")
+    nearby = runs.where((F.col("cls") != F.col("b")) & _compatible("n", "m")).groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("c"))
+    links = linked(best(nearby), "links-0")
+    for r in range(1, ROUNDS + 1):
+        merged = components(links)
+        groups = classes.join(merged, classes["cls"] == merged["id"], "left").select("cls", F.coalesce("component", "cls").alias("g"))
+        # only tokens of several groups are still of use
+        placed = runs.select("token", "cls", "n", "frequent").join(groups, "cls")
+        met = Window.partitionBy("token")
+        placed = placed.select("*", F.min("g").over(met).alias("lo"), F.max("g").over(met).alias("hi")).where("lo < hi").drop("lo", "hi")
+        runs = placed = saved(placed, "groups")
+        if r == ROUNDS:
+            break
         part = F.when(F.col("frequent"), F.pmod(F.xxhash64("cls", F.lit(r)), F.lit(PARTS))).otherwise(0)
-        row = Window.partitionBy("token", "part").orderBy("n" if r == 0 else F.xxhash64("cls", F.lit(r)), "cls")
+        row = Window.partitionBy("token", "part").orderBy(F.xxhash64("cls", F.lit(r)), "cls")
         nearby = placed.withColumn("part", part).select(
             F.col("cls").alias("a"), "n", "g", F.lead("cls").over(row).alias("b"), F.lead("n").over(row).alias("m"), F.lead("g").over(row).alias("k")
         )
-        counted = nearby.where((F.col("g") != F.col("k")) & _compatible("n", "m")).groupBy("a", "b").agg(F.count("*").alias("c"))
-        either = counted.union(counted.select("b", "a", "c")).toDF("a", "b", "c")
-        best = either.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-        new = linked(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"links-{r}")
-        links = new if links is None else links.union(new)
-        merged = components(links)
-        groups = saved(
-            groups.select("cls").join(merged, groups["cls"] == merged["id"], "left").select("cls", F.coalesce("component", "cls").alias("g")), "groups"
-        )
+        nearby = nearby.where((F.col("g") != F.col("k")) & _compatible("n", "m")).groupBy("a", "b").agg(F.count("*").alias("c"))
+        links = links.union(linked(best(nearby), f"links-{r}"))
 
-    placed = runs.join(groups, "cls")
     matrix = placed.groupBy("token", F.col("g").alias("k")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     asked = placed.select("token", F.col("cls").alias("a"), "n", "g")
     meet = asked.join(matrix, "token").where(
         (F.col("g") < F.col("k")) & (OF * F.col("n") >= OVER * F.col("low")) & (OF * F.col("high") >= OVER * F.col("n"))
     )
-    fewest = F.least(F.lit(SHARED), least_overlap_column("n"), least_overlap_column("low"))
     bound = meet.groupBy("a", "k").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min("low").alias("low"))
+    fewest = F.least(F.lit(SHARED), least_overlap_column("n"), least_overlap_column("low"))
     opened = saved(bound.where(F.col("c") >= fewest).select("a", "k"), "opened")
     asks = asked.join(opened, "a").select("token", "a", "n", "k")
     members = placed.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("g").alias("k"))
     pairs = asks.join(members, ["token", "k"]).where(_compatible("n", "m")).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min("m").alias("m"))
-    pairs = pairs.where(F.col("c") >= F.least(F.lit(SHARED), least_overlap_column("n"), least_overlap_column("m")))
+    pairs = pairs.where(F.col("c") >= F.least(F.lit(SHARED), least_overlap_column("n"), least_overlap_column("m"))).select("a", "b")
     links = links.union(linked(pairs, "links-last"))
 
     # from classes to documents: equal sets link, rows of one id are one node
