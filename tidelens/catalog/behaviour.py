@@ -434,6 +434,54 @@ def _(spark, sf):
     return journeys.loop_analysis(_journeys(spark, sf))
 
 
+# Whole sessions: the same answers without a bound on the number of events.
+_WHOLE = _JOURNEYS.replace(" FILTER (WHERE rn <= 10)", "")
+
+
+def _session_counts(spark, sf):
+    return journeys.session_counts(b.events(spark, sf), V, LONG)
+
+
+@query("jou05_whole_sessions", f"WITH {_DROP.replace(_JOURNEYS, _WHOLE)} SELECT * FROM sd", "drop_off_rate conversion_at_stage")
+def _(spark, sf):
+    return journeys.stage_drop_off(_session_counts(spark, sf), V)
+
+
+@query(
+    "jou06_whole_sessions",
+    f"WITH {_WHOLE} SELECT {_SIDE} AS side, count(*) AS total_sessions, avg(journey_length) AS avg_journey_length FROM j GROUP BY 1",
+    "avg_journey_length",
+)
+def _(spark, sf):
+    return journeys.path_comparison(_session_counts(spark, sf))
+
+
+@query(
+    "jou06_whole_lift",
+    f"WITH {_LIFT.replace(_JOURNEYS, _WHOLE)} SELECT event_type, CASE WHEN isinf(lift) THEN -1 ELSE lift END AS lift FROM lf",
+    "lift",
+)
+def _(spark, sf):
+    from pyspark.sql import functions as F
+
+    e = journeys.event_lift(_session_counts(spark, sf))
+    return e.withColumn("lift", F.when(F.col("lift") == float("inf"), -1.0).otherwise(F.col("lift")))
+
+
+@query(
+    "jou08_whole_loops",
+    f"""WITH {_WHOLE},
+le AS (SELECT session_key, unnest(journey) AS event FROM j),
+lc AS (SELECT session_key, event, count(*) AS n FROM le GROUP BY 1, 2)
+SELECT event, count(*) FILTER (WHERE n > 1) AS sessions_with_loops, count(*) AS total_sessions,
+       count(*) FILTER (WHERE n > 1)::DOUBLE / count(*) AS loop_rate, avg(n) FILTER (WHERE n > 1) AS avg_repeats
+FROM lc GROUP BY 1 HAVING count(*) FILTER (WHERE n > 1) > 0""",
+    "loop_rate avg_repeats",
+)
+def _(spark, sf):
+    return journeys.loop_analysis(_session_counts(spark, sf))
+
+
 @query(
     "jou09_time_between_stages",
     f"""WITH {sess(LONG)}, {_LEAD_STEPS},

@@ -37,6 +37,11 @@ def _(spark, sf):
     return ev.load(spark, f"{sf}/events.parquet", schema=RAW)
 
 
+@query("src05_load_data", _RAW_SQL)
+def _(spark, sf):
+    return ev.load_data(spark, f"{sf}/events.parquet", RAW)
+
+
 @query("src01_csv_round_trip", "SELECT event_id, user_id, event_type, ts AS event_time FROM events")
 def _(spark, sf):
     path = _scratch(spark) + ".csv"

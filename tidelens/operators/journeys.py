@@ -72,6 +72,31 @@ def journey_sequences(
     )
 
 
+def session_counts(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, timeout_minutes: float = 30) -> DataFrame:
+    """Events of whole sessions by type: session_key, event_type, n, converted (of the session).
+
+    Counts per partial session come before anything is joined, so no session is gathered and none is cut short.
+    """
+    rows = chunked_events(events.select(*_EVENT_COLUMNS), timeout_minutes)
+    keys = ["user_id", "chunk", "local"]
+    by_type = rows.groupBy(*keys, "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("a"), F.max("us").alias("b"))
+    partials = by_type.groupBy(*keys).agg(
+        F.min("a").alias("start_us"), F.max("b").alias("end_us"), F.collect_list(F.struct("event_type", "n")).alias("types")  # at most the vocabulary
+    )
+    linked = link_partials(partials, timeout_minutes).select(_key().alias("session_key"), F.explode("types").alias("t"))
+    per = linked.groupBy("session_key", F.col("t.event_type").alias("event_type")).agg(F.sum("t.n").alias("n"))
+    bought = F.coalesce(F.max(F.col("event_type") == vocab.order).over(Window.partitionBy("session_key")), F.lit(False))
+    return per.withColumn("converted", bought)
+
+
+def _counts(seq: DataFrame) -> DataFrame:
+    """The same columns from bounded journeys; counts pass through."""
+    if "journey" not in seq.columns:
+        return seq
+    each = seq.select("session_key", "converted", F.explode("journey").alias("event_type"))
+    return each.groupBy("session_key", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("converted").alias("converted"))
+
+
 def top_journeys(seq: DataFrame, n: int = 20, min_occurrences: int = 10) -> DataFrame:
     g = seq.groupBy(F.col("journey_str").alias("journey")).agg(
         F.count(F.lit(1)).alias("occurrences"),
@@ -145,14 +170,16 @@ def flow_links(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, timeou
 
 
 def stage_drop_off(seq: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    """Sessions that reach each stage, also reach the next, and convert."""
+    """Sessions that reach each stage, also reach the next, and convert; of bounded journeys or of :func:`session_counts`."""
     stages = list(vocab.journey_stages)
+    flags = _counts(seq).groupBy("session_key").agg(
+        F.max("converted").alias("converted"), *[F.coalesce(F.max(F.col("event_type") == s), F.lit(False)).alias(f"s{i}") for i, s in enumerate(stages)]
+    )
     structs = []
-    for i, s in enumerate(stages):
-        here = F.array_contains("journey", s)
-        nxt = F.array_contains("journey", stages[i + 1]) if i + 1 < len(stages) else F.lit(True)
-        structs.append(F.when(here, F.struct(F.lit(i + 1).alias("stage_order"), nxt.alias("next"), F.col("converted"))))
-    reached = seq.select(F.explode(F.array(*structs)).alias("s")).where(F.col("s").isNotNull()).select("s.*")
+    for i in range(len(stages)):
+        nxt = F.col(f"s{i + 1}") if i + 1 < len(stages) else F.lit(True)
+        structs.append(F.when(F.col(f"s{i}"), F.struct(F.lit(i + 1).alias("stage_order"), nxt.alias("next"), F.col("converted"))))
+    reached = flags.select(F.explode(F.array(*structs)).alias("s")).where(F.col("s").isNotNull()).select("s.*")
     g = reached.groupBy("stage_order").agg(
         F.count(F.lit(1)).alias("users_reached"),
         F.sum(F.col("next").cast("int")).alias("users_continued"),
@@ -175,7 +202,9 @@ def stage_drop_off(seq: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Da
 
 
 def path_comparison(seq: DataFrame) -> DataFrame:
-    """Converters against the rest: sessions and mean journey length."""
+    """Converters against the rest: sessions and mean journey length; of bounded journeys or of :func:`session_counts`."""
+    if "journey_length" not in seq.columns:
+        seq = seq.groupBy("session_key").agg(F.sum("n").alias("journey_length"), F.max("converted").alias("converted"))
     return seq.groupBy(F.when(F.col("converted"), "converters").otherwise("non_converters").alias("side")).agg(
         F.count(F.lit(1)).alias("total_sessions"), F.avg("journey_length").alias("avg_journey_length")
     )
@@ -192,11 +221,10 @@ def first_events_by_side(seq: DataFrame, n: int = 5) -> DataFrame:
 def event_lift(seq: DataFrame) -> DataFrame:
     """Share of an event among converters' events over its share among the others'.
 
-    Infinite where the others never show it.
+    Infinite where the others never show it.  Of bounded journeys or of :func:`session_counts`.
     """
-    e = seq.select("converted", F.explode("journey").alias("event_type"))
-    g = e.groupBy("event_type").agg(
-        F.sum(F.col("converted").cast("long")).alias("c"), F.sum((~F.col("converted")).cast("long")).alias("o")
+    g = _counts(seq).groupBy("event_type").agg(
+        F.sum(F.when(F.col("converted"), F.col("n")).otherwise(0)).alias("c"), F.sum(F.when(F.col("converted"), 0).otherwise(F.col("n"))).alias("o")
     )
     every = Window.partitionBy()  # one row per event type
     rc = F.coalesce(ratio(F.col("c"), F.sum("c").over(every)), F.lit(0.0))
@@ -208,9 +236,9 @@ def event_lift(seq: DataFrame) -> DataFrame:
 
 
 def friction_points(
-    events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, max_length: int = 10, timeout_minutes: float = 30
+    events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, max_length: int | None = None, timeout_minutes: float = 30
 ) -> DataFrame:
-    """Seconds spent before each event, scored by mean and spread, joined with stage drop-off."""
+    """Seconds spent before each event, scored by mean and spread, joined with stage drop-off (of whole sessions, or their first events)."""
     gaps = _gaps(events, timeout_minutes).select("event_type", (F.col("gap_us") / F.lit(float(US_PER_SECOND))).alias("s"))
     g = gaps.groupBy("event_type").agg(
         F.avg("s").alias("avg_time"), F.stddev_samp("s").alias("std_time"), F.count(F.lit(1)).alias("occurrences")
@@ -221,7 +249,8 @@ def friction_points(
     score = F.try_divide(F.col("avg_time"), F.max("avg_time").over(every)) * 0.5 + F.try_divide(
         F.col("std_time"), F.max("std_time").over(every)
     ) * 0.5
-    drop = stage_drop_off(journey_sequences(events, vocab, max_length, timeout_minutes), vocab).select(
+    whole = max_length is None
+    drop = stage_drop_off(session_counts(events, vocab, timeout_minutes) if whole else journey_sequences(events, vocab, max_length, timeout_minutes), vocab).select(
         F.col("stage").alias("event_type"), "drop_off_rate"
     )
     return (
@@ -238,12 +267,8 @@ def friction_points(
 
 
 def loop_analysis(seq: DataFrame) -> DataFrame:
-    """Events repeated inside a (bounded) journey."""
-    per = (
-        seq.select("session_key", F.explode("journey").alias("event"))
-        .groupBy("session_key", "event")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Events repeated inside a session; of bounded journeys or of :func:`session_counts`."""
+    per = _counts(seq).withColumnRenamed("event_type", "event")
     g = per.groupBy("event").agg(
         F.sum((F.col("n") > 1).cast("long")).alias("sessions_with_loops"),
         F.count(F.lit(1)).alias("total_sessions"),
