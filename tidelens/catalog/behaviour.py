@@ -252,6 +252,22 @@ FROM ap GROUP BY 1 ORDER BY users DESC, after_path LIMIT 15""",
 def _(spark, sf):
     from dataclasses import replace
 
+    return paths.paths_to_drop_off(b.events(spark, sf), "click", replace(V, order=_RARE), max_length=10)
+
+
+@query(
+    "pat04_whole_histories",
+    f"""WITH {_PATHS.replace("WHERE rn <= 10 ", "")},
+dr AS (SELECT user_id FROM ev GROUP BY 1 HAVING bool_or(event_type = 'click') AND NOT bool_or(event_type = '{_RARE}')),
+ap AS (SELECT CASE WHEN list_position(path, 'click') = len(path) THEN 'EXIT'
+            ELSE array_to_string(path[list_position(path, 'click') + 1 : list_position(path, 'click') + 3], ' -> ') END AS after_path
+       FROM up SEMI JOIN dr USING (user_id))
+SELECT after_path, count(*) AS users, {pct('count(*)', '(SELECT count(*) FROM dr)', 2)} AS pct
+FROM ap GROUP BY 1 ORDER BY users DESC, after_path LIMIT 15""",
+)
+def _(spark, sf):
+    from dataclasses import replace
+
     return paths.paths_to_drop_off(b.events(spark, sf), "click", replace(V, order=_RARE))
 
 

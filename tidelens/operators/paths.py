@@ -65,13 +65,26 @@ def paths_to_drop_off(
     drop_after: str,
     vocab: Vocabulary = DEFAULT_VOCABULARY,
     n: int = 15,
-    max_length: int = 10,
+    max_length: int | None = None,
 ) -> DataFrame:
-    """The three events after ``drop_after`` for users who did it and never ordered."""
+    """The three events after the first ``drop_after`` for users who did it and never ordered.
+
+    Over whole histories; with ``max_length`` over each user's first events, where 'N/A' means that it comes later.
+    """
     flags = events.groupBy("user_id").agg(
         F.max(F.col("event_type") == drop_after).alias("did"), F.max(F.col("event_type") == vocab.order).alias("ordered")
     )
     dropped = flags.where(F.col("did") & ~F.col("ordered")).select("user_id")
+    if max_length is None:
+        place = F.struct("event_time", "event_id")
+        first = events.where(F.col("event_type") == drop_after).groupBy("user_id").agg(F.min(place).alias("first"))
+        first = first.join(dropped, "user_id", "left_semi")
+        later = events.join(first, "user_id").where(place > F.col("first")).select("user_id", "event_time", "event_id", "event_type")
+        three = top_per_group(later, ["user_id"], [F.asc("event_time"), F.asc("event_id")], 3, "rn")
+        ordered = F.array_sort(F.collect_list(F.struct("rn", "event_type")))
+        text = three.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ARROW).alias("text"))
+        after = first.join(text, "user_id", "left").select(F.coalesce("text", F.lit("EXIT")).alias("after_path"))
+        return _counted(after, "after_path", n, _size(dropped), "pct")
     paths = user_paths(events, max_length).join(dropped, "user_id", "left_semi")
     at = F.array_position("path", F.lit(drop_after)).cast("int")
     after = (
