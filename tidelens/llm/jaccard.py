@@ -1,12 +1,14 @@
 """N-gram Jaccard join: documents of similar word shingles, found group by group with a token-group matrix.  Exact at every size.
 
 * Documents of one shingle set form a class; the work below is done once for each class.
-* Tokens (shingles) have one order for all: the most frequent ones last, else by hash.  Sets of similarity t share at least ``SHARED``
-  tokens among their first n - ceil(t n) + SHARED, so only these prefixes are dealt out.
+* Tokens (shingles) have one order for all: the most frequent ones last, else by hash.  Of two sets of similarity t, each shares at least
+  l tokens of its first n - ceil(t n) + l with such a prefix of the other, so only these prefixes are dealt out.
+* Of its prefix tokens that other classes have too, each class then leaves out the l - 1 most widespread.  One shared token remains in both
+  all the same, and what only a common passage shares is mostly gone.
 * Classes that meet in a prefix are compared with a neighbour first; what links becomes one group.  A few such rounds, each linear in the
   prefixes, join the members of large families without forming their pairs.
-* The token-group matrix holds each group's tokens.  Every class counts how many of its prefix tokens a foreign group holds: an upper
-  bound of what it shares with any member.  Only groups that reach the least possible number are opened, and their members are
+* The token-group matrix holds each group's tokens.  Every class counts how many of its tokens a foreign group holds: an upper bound of
+  what it shares with any member.  Only groups with a token of the class and members of a fitting size are opened, and their members are
   compared exactly.
 """
 
@@ -21,12 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.llm.graph import components
-from tidelens.llm.shared import in_table, membership, pieces, saved
+from tidelens.llm.shared import bits_set, in_table, membership, pieces, saved
 from tidelens.llm.words import U64, distinct, hashes, mix, shingles, tokens
 
-#: The similarity, as a fraction; tokens of a shingle; tokens that prefixes of similar sets share; tokens put last (bounds a broadcast);
-#: rounds in which neighbours are compared; parts of a frequent token's classes in the later ones.
-OVER, OF, SIZE, SHARED, FREQUENT, ROUNDS, PARTS = 3, 4, 5, 3, 1 << 17, 2, 32
+#: The similarity, as a fraction; tokens of a shingle; tokens put last (bounds a broadcast); rounds in which neighbours are compared; classes
+#: of one token that are put in a row there.
+OVER, OF, SIZE, FREQUENT, ROUNDS, ROW = 3, 4, 5, 1 << 17, 2, 4096
 
 
 def sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,6 +47,11 @@ def least_overlap(n):
     return (OVER * n + OF - 1) // OF
 
 
+def shared_tokens(n):
+    """Tokens of the prefix that similar sets share: grows no faster than ``least_overlap``, as the guarantee for unequal sizes needs."""
+    return 1 + least_overlap(n) // 9
+
+
 def _firsts(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_index=True)[1]
 
@@ -66,7 +73,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], ["token", "c"])
 
 
-def _prefixes(last: np.ndarray, size: int):
+def _prefixes(last: np.ndarray):
     """Function for mapInArrow: prefix tokens of each class of a piece; ``last`` are the sorted tokens that come last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,21 +89,29 @@ def _prefixes(last: np.ndarray, size: int):
             v, owner, frequent = v[order], owner[order], frequent[order]
             begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, int)
             place = np.arange(len(v)) - np.repeat(begins, np.diff(np.r_[begins, len(v)]))
-            least = least_overlap(n)
-            keep = place < (n - least + np.minimum(size, least))[owner]
-            v, owner, frequent = v[keep], owner[keep], frequent[keep]
-            columns = [v.view(np.int64), cls[owner], n[owner].astype(np.int32), frequent]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "cls", "n", "frequent"])
+            keep = place < (n - least_overlap(n) + shared_tokens(n))[owner]
+            v, owner = v[keep], owner[keep]
+            columns = [v.view(np.int64), cls[owner], n[owner].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "cls", "n"])
 
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's class and the text itself, compressed: less than half of what its shingles' hashes take."""
-    pack = zstandard.ZstdCompressor(level=3)
-    for texts, _ in pieces(batches):
-        _, _, _, cls = sets(texts)
-        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([pack.compress(t) for t in texts], pa.binary())], ["cls", "packed"])
+def _packed(wanted):
+    """Function for mapInArrow: class and compressed text of each document (id, text, hash of the id) that the table ``wanted`` lets through.
+
+    A compressed text takes less than half of what its shingles' hashes do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            b = b.filter(pa.array(bits_set(wanted.value, b.column(2).to_numpy().view(U64))))
+            for texts, _ in pieces(iter([b])):
+                _, _, _, cls = sets(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([pack.compress(t) for t in texts], pa.binary())], ["cls", "packed"])
+
+    return run
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,17 +151,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = common.orderBy(F.desc("c"), "token").limit(frequent).select("token").toArrow().column(0).to_numpy()
     last = np.sort(common.view(U64))
 
-    # prefixes whose token another class has too, each with the next class in order of size
+    # prefix tokens that another class has too, without each class's most widespread ones
     met, row = Window.partitionBy("token"), Window.partitionBy("token").orderBy("n", "cls")
-    runs = named.mapInArrow(_prefixes(last, SHARED), "token long, cls long, n int, frequent boolean")
-    runs = runs.select(
-        "*", F.min("cls").over(met).alias("lo"), F.max("cls").over(met).alias("hi"), F.lead("cls").over(row).alias("b"), F.lead("n").over(row).alias("m")
-    ).where("lo < hi")
-    runs = saved(runs.select("token", "cls", "n", "frequent", "b", "m"), "prefixes")
+    runs = named.mapInArrow(_prefixes(last), "token long, cls long, n int").select(
+        "*", F.min("cls").over(met).alias("lo"), F.max("cls").over(met).alias("hi"), F.count("*").over(met).alias("df"), F.lag("cls").over(row).alias("same")
+    )
+    runs = runs.where((F.col("lo") < F.col("hi")) & (F.col("same").isNull() | (F.col("same") != F.col("cls")))).select("token", "cls", "n", "df")
+    widespread = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("df"), "token"))
+    runs = runs.withColumn("w", widespread).where(F.col("w") >= 1 + F.floor(F.floor((OVER * F.col("n") + OF - 1) / OF) / 9)).drop("w")
+    runs = saved(runs, "prefixes")
 
     wanted = first.join(runs.select("cls").distinct(), "cls").select("first")
     table = spark.sparkContext.broadcast(membership(wanted))
-    texts = saved(named.where(in_table(table, F.xxhash64("doc_id"))).mapInArrow(_packed, "cls long, packed binary"), "texts")
+    texts = saved(named.withColumn("at", F.xxhash64("doc_id")).mapInArrow(_packed(table), "cls long, packed binary"), "texts")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Which of the pairs (a, b) link?"""
@@ -164,38 +181,36 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     classes = saved(runs.select("cls").distinct(), "prefix-classes")
-    nearby = runs.where((F.col("cls") != F.col("b")) & _compatible("n", "m")).groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("c"))
-    links = linked(best(nearby), "links-0")
-    for r in range(1, ROUNDS + 1):
-        merged = components(links)
-        groups = classes.join(merged, classes["cls"] == merged["id"], "left").select("cls", F.coalesce("component", "cls").alias("g"))
+    groups, links = classes.select("cls", F.col("cls").alias("g")), None
+    for r in range(ROUNDS + 1):
+        if links is not None:
+            merged = components(links)
+            groups = classes.join(merged, classes["cls"] == merged["id"], "left").select("cls", F.coalesce("component", "cls").alias("g"))
         # only tokens of several groups are still of use
-        placed = runs.select("token", "cls", "n", "frequent").join(groups, "cls")
+        placed = runs.select("token", "cls", "n", "df").join(groups, "cls")
         met = Window.partitionBy("token")
         placed = placed.select("*", F.min("g").over(met).alias("lo"), F.max("g").over(met).alias("hi")).where("lo < hi").drop("lo", "hi")
         runs = placed = saved(placed, "groups")
         if r == ROUNDS:
             break
-        part = F.when(F.col("frequent"), F.pmod(F.xxhash64("cls", F.lit(r)), F.lit(PARTS))).otherwise(0)
-        row = Window.partitionBy("token", "part").orderBy(F.xxhash64("cls", F.lit(r)), "cls")
+        part = F.pmod(F.xxhash64("cls", F.lit(r)), 1 + F.floor(F.col("df") / ROW))
+        row = Window.partitionBy("token", "part").orderBy("n" if r == 0 else F.xxhash64("cls", F.lit(r)), "cls")
         nearby = placed.withColumn("part", part).select(
             F.col("cls").alias("a"), "n", "g", F.lead("cls").over(row).alias("b"), F.lead("n").over(row).alias("m"), F.lead("g").over(row).alias("k")
         )
         nearby = nearby.where((F.col("g") != F.col("k")) & _compatible("n", "m")).groupBy("a", "b").agg(F.count("*").alias("c"))
-        links = links.union(linked(best(nearby), f"links-{r}"))
+        new = linked(best(nearby), f"links-{r}")
+        links = new if links is None else links.union(new)
 
     matrix = placed.groupBy("token", F.col("g").alias("k")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     asked = placed.select("token", F.col("cls").alias("a"), "n", "g")
     meet = asked.join(matrix, "token").where(
         (F.col("g") < F.col("k")) & (OF * F.col("n") >= OVER * F.col("low")) & (OF * F.col("high") >= OVER * F.col("n"))
     )
-    bound = meet.groupBy("a", "k").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min("low").alias("low"))
-    fewest = F.least(F.lit(SHARED), least_overlap_column("n"), least_overlap_column("low"))
-    opened = saved(bound.where(F.col("c") >= fewest).select("a", "k"), "opened")
+    opened = saved(meet.groupBy("a", "k").agg(F.count("*").alias("bound")).where("bound > 0").select("a", "k"), "opened")
     asks = asked.join(opened, "a").select("token", "a", "n", "k")
     members = placed.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("g").alias("k"))
-    pairs = asks.join(members, ["token", "k"]).where(_compatible("n", "m")).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min("m").alias("m"))
-    pairs = pairs.where(F.col("c") >= F.least(F.lit(SHARED), least_overlap_column("n"), least_overlap_column("m"))).select("a", "b")
+    pairs = asks.join(members, ["token", "k"]).where(_compatible("n", "m")).select("a", "b").distinct()
     links = links.union(linked(pairs, "links-last"))
 
     # from classes to documents: equal sets link, rows of one id are one node
@@ -208,6 +223,3 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     )
 
-
-def least_overlap_column(n: str) -> Column:
-    return F.floor((OVER * F.col(n) + OF - 1) / OF).cast("int")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tidelens.session import checkpoint_dir
 
 #: Bytes of text that a numpy kernel handles at once; a longer text is one piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,15 +49,13 @@ def partitions(spark: SparkSession) -> int:
 def pieces(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = PIECE) -> Iterator[tuple[list[bytes], pa.RecordBatch]]:
     """Slices of the batches with the texts (null: empty) of column number ``text`` as UTF-8 bytes; about ``limit`` bytes each."""
     for b in batches:
-        texts = [t or b"" for t in b.column(text).cast(pa.binary()).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield texts[start:i], b.slice(start, i - start)
-                start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield texts[start:], b.slice(start)
+        column = b.column(text).cast(pa.binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = done = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
+            yield [t or b"" for t in column.slice(start, stop - start).to_pylist()], b.slice(start, stop - start)
+            start, done = stop, int(ends[stop - 1])
 
 
 #: Bits of a membership table: 8 MB, whatever the input.
