@@ -28,7 +28,7 @@ from tidelens.llm.words import U64, distinct, hashes, mix, shingles, tokens
 
 #: The similarity, as a fraction; tokens of a shingle; tokens put last (bounds a broadcast); rounds in which neighbours are compared; classes
 #: of one token that are put in a row there.
-OVER, OF, SIZE, FREQUENT, ROUNDS, ROW = 3, 4, 5, 1 << 17, 2, 4096
+OVER, OF, SIZE, FREQUENT, ROUNDS, ROW = 3, 4, 5, 1 << 17, 4, 4096
 
 
 def sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,9 +175,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return saved(full.mapInArrow(_compared, "a long, b long").distinct(), name)
 
     def best(counted: DataFrame) -> DataFrame:
-        """For each class the neighbour it shares most with."""
-        either = counted.union(counted.select("b", "a", "c")).toDF("a", "b", "c")
-        chosen = either.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+        """For each class the two neighbours it shares most with."""
+        either = counted.union(counted.select("b", "a", "c")).toDF("a", "b", "c").groupBy("a", "b").agg(F.sum("c").alias("c"))
+        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
+        chosen = either.withColumn("rank", rank).where("rank <= 2")
         return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     classes = saved(runs.select("cls").distinct(), "prefix-classes")
@@ -201,6 +202,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         nearby = nearby.where((F.col("g") != F.col("k")) & _compatible("n", "m")).groupBy("a", "b").agg(F.count("*").alias("c"))
         new = linked(best(nearby), f"links-{r}")
         links = new if links is None else links.union(new)
+        if not new.limit(1).count():
+            break  # no two neighbours of different groups link any more
 
     matrix = placed.groupBy("token", F.col("g").alias("k")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     asked = placed.select("token", F.col("cls").alias("a"), "n", "g")
