@@ -52,17 +52,20 @@ def _key(value: np.ndarray, upper: int, k: int) -> np.ndarray:
     return mix(value + U64((upper * 4099 + k) * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
-def minima(runs: np.ndarray, owner: np.ndarray, upper: int, k: int, doubled: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The k-th MinHash value of every block of ``upper`` shingles of each text (``doubled``: of it and the next), with text numbers."""
+def blocks(owner: np.ndarray, upper: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where blocks of ``upper`` shingles begin in each text, the blocks' text numbers, and which are followed by one of the same text."""
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     place = np.arange(len(owner)) - np.repeat(starts, np.diff(np.r_[starts, len(owner)]))
     block = np.flatnonzero(place % upper == 0)
-    v = np.minimum.reduceat(runs * _factors(k + 1)[k], block)
     who = owner[block]
-    if doubled and len(v) > 1:
-        same = who[1:] == who[:-1]
-        v[:-1] = np.where(same, np.minimum(v[:-1], v[1:]), v[:-1])
-    return v, who
+    return block, who, np.flatnonzero(who[1:] == who[:-1])
+
+
+def minima(values: np.ndarray, block: np.ndarray, followed: np.ndarray) -> np.ndarray:
+    """The least value of every window: a block and the one after it."""
+    v = np.minimum.reduceat(values, block)
+    v[followed] = np.minimum(v[followed], v[followed + 1])
+    return v
 
 
 def contaminated(
@@ -110,13 +113,15 @@ def contaminated(
             runs, owner = runs[order], owner[order]
             ids = rows.column(0).to_numpy()
             found, who = [np.empty(0, U64)], [np.empty(0, np.int64)]
-            for upper in uppers if len(runs) else ():
-                for k in range(values_needed(upper, contained)):
-                    v, text = minima(runs, owner, upper, k, True)
-                    v = _key(v, upper, k)
-                    hit = bits_set(table.value, v)
-                    found.append(v[hit])
-                    who.append(text[hit])
+            laid = {upper: blocks(owner, upper) for upper in uppers} if len(runs) else {}
+            for k, factor in enumerate(_factors(max((values_needed(u, contained) for u in laid), default=0))):
+                values = runs * factor
+                for upper, (block, text, followed) in laid.items():
+                    if k < values_needed(upper, contained):
+                        v = _key(minima(values, block, followed), upper, k)
+                        hit = bits_set(table.value, v)
+                        found.append(v[hit])
+                        who.append(text[hit])
             columns = [np.concatenate(found).view(np.int64), ids[np.concatenate(who)]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id"])
 
