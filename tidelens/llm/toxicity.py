@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelens.llm.shared import pieces
@@ -47,10 +47,10 @@ _SYMBOLS = _symbols()
 def letters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts as one stream of symbols, and where each text begins and ends in it.
 
-    Breaks stand for white space, sentence ends and, in a row, between texts.  Other signs vanish, and so does the space between single
+    Breaks stand for the beginning, white space and, in a row, between texts.  Other signs vanish, and so does the space between single
     letters, so that spelt-out words close up.
     """
-    buf = np.frombuffer(b"".join(t + b"\n" * STRETCH for t in texts), np.uint8)
+    buf = np.frombuffer(b"".join(b" " + t + b"\n" * STRETCH for t in texts), np.uint8)
     s = _SYMBOLS[buf]
     space = (buf == 32) | ((buf >= 9) & (buf <= 13))
     s[space] = BREAK
@@ -58,7 +58,7 @@ def letters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         spelt = space[2:-2] & space[:-4] & space[4:] & ~space[1:-3] & ~space[3:-1]
         s[2:-2][spelt] = DROPPED
     kept = np.flatnonzero(s != DROPPED)
-    sizes = np.array([len(t) for t in texts], np.int64)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
     begins = np.cumsum(sizes + STRETCH) - sizes - STRETCH
     return s[kept].astype(np.int32), np.searchsorted(kept, begins), np.searchsorted(kept, begins + sizes)
 
@@ -73,13 +73,13 @@ def codes(s: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
 
 
 def features(word: str | bytes) -> dict[int, float]:
-    """Weights of all subsequences of one word, as a unit vector."""
+    """Weights of all subsequences of one word, as a unit vector; the break before the word may begin one."""
     s, _, _ = letters([word.encode() if isinstance(word, str) else word])
     s = np.r_[s, np.full(SPAN, BREAK, np.int32)]
     found: Counter = Counter()
     for o, w in zip(_OFFSETS, _WEIGHTS, strict=True):
         for c in codes(s, o).tolist():
-            if all((c >> 5 * k) & 31 != BREAK for k in range(LENGTH)):
+            if all((c >> 5 * k) & 31 != BREAK for k in range(LENGTH - 1)):
                 found[c] += w
     norm = np.sqrt(sum(v * v for v in found.values()))
     return {c: v / norm for c, v in found.items()}
@@ -174,7 +174,7 @@ def landmark_words(texts: list[bytes], toxic: np.ndarray, each: int) -> list[str
     """Words that tell the classes apart most, and common words of clean texts; none much like another."""
     seen = (Counter(), Counter())
     for t, y in zip(texts, toxic, strict=True):
-        seen[int(y)].update({w for w in re.findall(r"[^\W\d_]{4,}", t.decode("utf-8", "replace").lower())})
+        seen[int(y)].update(set(re.findall(r"[^\W\d_]{4,}", t.decode("utf-8", "replace").lower())))
     n = [max(1, int((~toxic).sum())), max(1, int(toxic.sum()))]
     odds = {w: np.log((c + 0.1) / n[1]) - np.log((seen[0][w] + 1) / n[0]) for w, c in seen[1].items() if c >= 2}
     ranked = sorted(odds, key=lambda w: (-odds[w] * np.log1p(seen[1][w]), w))[: each * 40], [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0]))[: each * 10]]
@@ -242,15 +242,19 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Scorer | None:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Scorer | None:
     """A machine from at most ``per_class`` documents of each label (null labels aside) of at most ``most_bytes``, by a hash of the id."""
-    rows = labelled.where(labelled[label_col].isin(0, 1) & (F.octet_length(text_col) <= most_bytes)).select(
-        labelled[label_col].cast("int").alias("toxic"), labelled[id_col].alias("id"), F.xxhash64(labelled[id_col], F.lit(3)).alias("at"), labelled[text_col].alias("text")
-    )
-    order = Window.partitionBy("toxic").orderBy("at", "id")
-    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).orderBy("toxic", "at", "id")
-    found = rows.select("text", "toxic").collect()
+    usable = labelled.where(labelled[label_col].isin(0, 1) & (F.octet_length(text_col) <= most_bytes) & labelled[id_col].isNotNull())
+    keyed = usable.select(labelled[label_col].cast("int").alias("toxic"), labelled[id_col].alias("id"), F.xxhash64(labelled[id_col], F.lit(3)).alias("at"))
+    # ids first, so that no text is sorted; their number is bounded
+    ids = [r["id"] for y in (0, 1) for r in keyed.where(F.col("toxic") == y).orderBy("at", "id").limit(per_class).collect()]
+    found = docs_of(usable, id_col, ids).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), F.col(id_col).alias("id")).collect()
+    found = sorted(found, key=lambda r: (r["toxic"], r["id"], r["text"]))
     return train([r["text"].encode() for r in found], np.array([bool(r["toxic"]) for r in found], bool)) if found else None
 
 
+def docs_of(docs: DataFrame, id_col: str, ids: list) -> DataFrame:
+    return docs.where(F.col(id_col).isin(ids)) if ids else docs.limit(0)
+
+
 def score(docs: DataFrame, scorer: Scorer | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (the probability that a label would be toxic, from the text's worst stretch) for every document with an id.
 
