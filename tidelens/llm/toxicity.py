@@ -55,7 +55,8 @@ def letters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = (buf == 32) | ((buf >= 9) & (buf <= 13))
     s[space] = BREAK
     if len(buf) > 4:
-        spelt = space[2:-2] & space[:-4] & space[4:] & ~space[1:-3] & ~space[3:-1]
+        edge = space | ((s == DROPPED) & (buf < 128))
+        spelt = space[2:-2] & edge[:-4] & edge[4:] & ~edge[1:-3] & ~edge[3:-1]
         s[2:-2][spelt] = DROPPED
     kept = np.flatnonzero(s != DROPPED)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
