@@ -73,3 +73,39 @@ def test_against_all_runs(make_docs):
 def test_odd_rows(odd, odd_rows, nothing):
     assert sorted(map(tuple, without_repeated_sentences(odd).collect())) == brute(odd_rows)
     assert without_repeated_sentences(nothing).count() == 0
+
+
+def brute_all(rows):
+    """Removed sentences of every row when all runs count, however long."""
+    texts = [(i, [[w for w, _ in s] for s in split(t)[0]]) for i, t in rows]
+    runs, first = [], {}
+    for i, sentences in texts:
+        for k in range(len(sentences)):
+            words = ()
+            for m in range(k, len(sentences)):
+                words += tuple(sentences[m])
+                if (m > k and m - k + 1 >= SENTENCES and len(words) >= WORDS) or (m == k and len(words) >= ALONE):
+                    runs.append((i, k, m, words))
+                    first[words] = min(first.get(words, (i, k)), (i, k))
+    gone = {i: set() for i, _ in texts}
+    for i, k, m, words in runs:
+        if first[words] < (i, k):
+            gone[i].update(range(k, m + 1))
+    return sorted((i, len(s), len(gone[i])) for i, s in texts)
+
+
+def test_ends_of_repeated_passages_go_too(make_docs):
+    rng = np.random.default_rng(6)
+    number = iter(range(10**6))
+
+    def sentence(n):
+        return " ".join("w%d" % next(number) for _ in range(n)) + ". "
+
+    block = sentence(15) + sentence(15) + sentence(3)  # 33 words: only the end's run holds the third sentence
+    passages = ["".join(sentence(int(rng.integers(1, 16))) for _ in range(8)) for _ in range(4)]
+    rows = [(i, sentence(30) + block + sentence(30)) for i in (1, 2)]
+    rows += [(10 + i, "".join(sentence(5) + p for p in passages if rng.random() < 0.4) + sentence(9)) for i in range(30)]
+    rows.append((50, block + block))
+    got = sorted(tuple(r)[:3] for r in without_repeated_sentences(make_docs(rows), ends=True).collect())
+    assert got == brute_all(rows)
+    assert got[1] == (2, 5, 3)

@@ -105,7 +105,7 @@ def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every text without runs of sentences that occur before."""
-    done = sentences.without_repeated_sentences(table(spark, sf_dir, "documents"))
+    done = sentences.without_repeated_sentences(table(spark, sf_dir, "documents"), ends=True)
     return done.select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

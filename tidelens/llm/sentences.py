@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans: runs of consecutive sentences that occur before elsewhere take their sentences away.
 
 A sentence ends with a word that ends in `.`, `!` or `?`, or at a line break.  From every sentence goes one run: the next ``SENTENCES`` or
-more that hold ``WORDS`` words (a single sentence does from ``ALONE`` words on).  Runs are hashed by their words in lower case.
+more that hold ``WORDS`` words (a single sentence does from ``ALONE`` words on).  With ``ends``, one run also leads to every sentence: the
+``SENTENCES`` or more up to it that hold ``WORDS`` words.  Both together cover every sentence of every longer run that is repeated sentence
+by sentence.  Runs are hashed by their words in lower case.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ def sentences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return (text[first], first, stop, starts[first] - begins[text[first]]), hashes(buf, starts, lengths)
 
 
-def runs(texts: list[bytes], least: int = SENTENCES, words: int = WORDS, alone: int = ALONE):
-    """Two hashes of each run, its text number, and its first and last sentence (numbers in the text)."""
+def runs(texts: list[bytes], least: int = SENTENCES, words: int = WORDS, alone: int = ALONE, ends: bool = False):
+    """Two hashes of each run, its text number, and its first and last sentence (numbers in the text); no run twice."""
     (text, first, stop, _), h = sentences(texts)
     n = len(text)
     if not n:
@@ -51,16 +53,27 @@ def runs(texts: list[bytes], least: int = SENTENCES, words: int = WORDS, alone:
     last = np.where(stop - first >= alone, np.arange(n), last)
     inside = last < n
     inside[inside] = text[last[inside]] == text[inside]
-    a, b = first[inside], stop[last[inside]]
-    own = np.searchsorted(text, text[inside])
+    i = np.flatnonzero(inside)
+    last = last[inside]
+    if ends:
+        j = np.arange(n)
+        back = np.minimum(np.searchsorted(first, stop - words, "right"), j - least + 2) - 1
+        back = np.where(stop - first >= alone, j, back)
+        new = back >= 0
+        new[new] = text[back[new]] == text[new]
+        forward = np.full(n, -1)
+        forward[i] = last
+        new[new] = forward[back[new]] != j[new]
+        i, last = np.r_[i, back[new]], np.r_[last, j[new]]
+    a, b = first[i], stop[last]
+    own = np.searchsorted(text, text[i])
     out = []
     p = powers(len(h) + 1)
     inverse = inverse_powers(len(h) + 1)
     for salt in (1, 2):
         sums = np.r_[U64(0), np.cumsum(mix(h + U64(salt)) * p[: len(h)])]
         out.append(mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(U64)))
-    i = np.flatnonzero(inside)
-    return out[0], out[1], text[i], i - own, last[i] - own
+    return out[0], out[1], text[i], i - own, last - own
 
 
 _INVERSES = np.ones(1, U64)
@@ -75,13 +88,6 @@ def inverse_powers(n: int) -> np.ndarray:
     return _INVERSES[:n]
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for texts, _ in pieces(batches):
-        h, _, _, _, _ = runs(texts)
-        values, c = np.unique(h, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(c > 1)], ["h1", "more"])
-
-
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without their covered sentences (columns: doc_id, text, firsts, lasts; null: none)."""
     for texts, rows in pieces(batches):
@@ -105,21 +111,28 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 KEPT = "doc_id long, n_sentences long, n_removed long, kept string"
 
 
-def without_repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ends: bool = False) -> DataFrame:
     """doc_id, n_sentences, n_removed and kept (the text without the sentences of any run that also begins earlier) per document with an id.
 
+    ``ends``: runs that lead to a sentence count too, so that a repeated passage goes to its last sentence; without, only those from one.
     Earlier: in a document of smaller id, or before in the same one.  Null and empty texts have no sentences.  Rows of one id stand at the
     same place: they are reported each, and what one of them repeats goes from all of them.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     named = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     named = named.where("doc_id is not null")
-    counted = named.mapInArrow(_counts, "h1 long, more boolean").groupBy("h1").agg(F.count("*").alias("n"), F.max("more").alias("more"))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, _ in pieces(batches):
+            values, c = np.unique(runs(texts, ends=ends)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(c > 1)], ["h1", "more"])
+
+    counted = named.mapInArrow(counts, "h1 long, more boolean").groupBy("h1").agg(F.count("*").alias("n"), F.max("more").alias("more"))
     again = spark.sparkContext.broadcast(membership(counted.where("n > 1 or more").select("h1"), hashed=True))
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, rows in pieces(batches):
-            h1, h2, text, first, last = runs(texts)
+            h1, h2, text, first, last = runs(texts, ends=ends)
             keep = bits_set(again.value, h1)
             ids = rows.column(0).to_numpy()[text[keep]]
             columns = [h1[keep].view(np.int64), h2[keep].view(np.int64), ids, first[keep], last[keep]]
