@@ -38,3 +38,27 @@ def test_live_features_equal_final_sessions(spark, tmp_path):
     batch = spark.read.schema(SCHEMA).parquet(f"{base}/*").withColumn("platform", F.lit("ios"))
     want = sorted((r["user_id"], r["event_count"], int(r["converted"])) for r in sessions.sessions(batch).collect())
     assert got == want
+
+
+def test_live_features_are_ordered_whatever_the_size_of_an_arrow_part(spark, tmp_path):
+    base = str(tmp_path)
+    at = [k * 13 + k // 10 * 40 for k in (i * 37 % 100 for i in range(100))]  # minutes in a mixed order, with gaps of over 30
+    write(spark, base, "f1", [(i, 1, m, "a") for i, m in enumerate(at)])
+    write(spark, base, "f2", [(200, 1, max(at) + 5, "homepage_viewed"), (201, 1, max(at) + 90, "a"), (202, 2, max(at), "a")])
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = streams.run_available(streams.live_session_features(stream)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    micro = lambda m: int((T0 + dt.timedelta(minutes=m)).timestamp() * 1_000_000)
+    want, last = [], None
+    for m in [*sorted(at), max(at) + 5, max(at) + 90]:
+        if last is None or m - last > 30:
+            start, n = m, 0
+        n, last = n + 1, m
+        want.append((1, micro(start), micro(m), n, float(min(m - start, 120))))
+    want.append((2, micro(max(at)), micro(max(at)), 1, 0.0))
+    assert sorted(tuple(r[k] for k in ("user_id", "session_start_us", "event_us", "events_in_session", "session_duration_mins")) for r in got) == sorted(want)
+    assert len({w[1] for w in want if w[0] == 1}) > 2
