@@ -1,11 +1,12 @@
-"""Suffix-array dedup: bytes that lie in a string of LENGTH bytes which also starts earlier, found with a family of suffix arrays.
+"""Suffix-array dedup: bytes that lie in a string of LENGTH bytes which also starts earlier, found with levels of hashed anchors.
 
 * Suffixes are sampled.  Of the grams in each window of LENGTH bytes the one of least hash is its anchor, so equal windows have equal
   anchors at equal places, and the suffixes at anchors are all that is needed.  An entry of a suffix array is one anchor with the windows
   it stands for: the gram's hash (``key``, the order of the arrays), the hash of all bytes of those windows (``seg``), where they begin.
 * Anchors that occur once in the whole input cannot match; fixed-size tables of the others keep them out.
-* Batches of documents come in order of their ids.  A batch's array is merge-scanned with the levels that exist: an entry whose ``seg``
-  is known is covered as a whole; where a key has several segs, their windows are sorted as suffixes and compared byte by byte.
+* No suffix array is sorted by bytes: an anchor has a window's 100 bytes around it, so hashes find the same matches by joins.
+* Batches of documents come in order of their ids.  A batch's entries are joined with the levels that exist: an entry whose ``seg``
+  (by this 64-bit hash alone) is known is covered as a whole; where a key has several segs, their windows are sorted as suffixes and compared byte by byte.
 * A level holds the first place of each seg.  Levels of equal size merge, so n batches leave log n levels.
 
 A key with more than ``HOT`` different segs is not gathered: its windows become rows and are grouped by Spark.
