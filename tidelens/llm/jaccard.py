@@ -7,9 +7,8 @@
   all the same, and what only a common passage shares is mostly gone.
 * Classes that meet in a prefix are compared with a neighbour first; what links becomes one group.  A few such rounds, each linear in the
   prefixes, join the members of large families without forming their pairs.
-* The token-group matrix holds each group's tokens.  Every class counts how many of its tokens a foreign group holds: an upper bound of
-  what it shares with any member.  Only groups with a token of the class and members of a fitting size are opened, and their members are
-  compared exactly.
+* The token-group matrix holds each group's prefix tokens that are left.  Every foreign group with one such token of the class and members
+  of a fitting size is opened, and its members are compared exactly.  No bound of the overlap is used: that takes whole token unions.
 """
 
 from __future__ import annotations
