@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import bpe, decontam, jaccard, langid, licences, pitmanyor, sentences, suffixes, toxicity, vptree
+from tidelens.llm import bpe, decontam, filteraudit, jaccard, langid, licences, pitmanyor, sentences, suffixes, toxicity, vptree
 from tidelens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,21 @@ r AS (SELECT a AS id, a AS reached FROM e UNION SELECT r.id, e.b FROM r JOIN e O
 m AS (SELECT id, min(reached) AS component FROM r GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = w.doc_id"""
 
+SQL["op11_filter_audit"] = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+f AS (SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t) AS c,
+ regexp_matches(t, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY t) AS e FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+ count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+p AS (SELECT '' AS o UNION ALL SELECT o || x FROM p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+s AS (SELECT o AS filter_order, step::INTEGER AS step, o[step] AS x, o[1:step - 1] AS done FROM p, range(1, 6) r(step) WHERE length(o) = 5),
+g AS (SELECT part, filter_order, step, x, sum(CASE WHEN regexp_matches(fails, '[' || done || x || ']') THEN 0 ELSE n END)::BIGINT AS kept,
+ sum(CASE WHEN contains(fails, x) AND (done = '' OR NOT regexp_matches(fails, '[' || done || '_]')) THEN n ELSE 0 END)::BIGINT AS removed,
+ sum(CASE WHEN contains(fails, x) THEN n ELSE 0 END)::BIGINT AS failing, sum(CASE WHEN fails = x THEN n ELSE 0 END)::BIGINT AS unique_fails,
+ sum(CASE WHEN contains(fails, x) AND (done = '' OR NOT regexp_matches(fails, '[' || done || '_]')) THEN good ELSE 0 END)::BIGINT AS good_lost,
+ sum(CASE WHEN contains(fails, x) AND (done = '' OR NOT regexp_matches(fails, '[' || done || '_]')) THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM m, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, failing - removed AS redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM g"""
+
 
 @query
 def op1_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,3 +134,9 @@ def op9_jaccard_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, identifier tags and their expressions in every text."""
     return licences.licence_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five text filters remove in each of their orders, by source."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
