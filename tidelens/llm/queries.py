@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import bpe, decontam, filteraudit, jaccard, langid, licences, pitmanyor, sentences, suffixes, toxicity, vptree
+from tidelens.llm import bpe, conversations, decontam, filteraudit, jaccard, langid, licences, pitmanyor, ruleensemble, sentences, suffixes, toxicity, vptree
 from tidelens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,3 +140,20 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five text filters remove in each of their orders, by source."""
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its lightest repair."""
+    given = table(spark, sf_dir, "conversations")
+    return conversations.repaired(given, conversations.damaged(given))
+
+
+@query
+def op13_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text, learned from labels where the remainder of the id's checksum is not 2."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    taught = docs.where(_remainder(docs, 4) != 2).select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id")
+    found = ruleensemble.score(docs, ruleensemble.fit(taught))
+    held_out = (_remainder(found, 4) == 2).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= ruleensemble.THRESHOLD).cast("int").alias("predicted"))
