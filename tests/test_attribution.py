@@ -95,3 +95,30 @@ def test_top_paths(make_events, rows):
 def test_no_pair_join_in_the_plan(make_events, rows):
     plan = att.conversion_touches(make_events(rows), V)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Cartesian" not in plan
+
+
+def test_a_user_with_a_third_of_the_rows_is_spread(make_events):
+    rng = random.Random(2)
+    rows = [(0 if i % 3 == 0 else i, rng.randrange(0, 4 * DAY * 60) / 60, rng.choice(["a", "b", "buy"])) for i in range(6000)]
+    units = att._in_units(make_events(rows), V, 24)
+    for keys, most in ((("user_id", "unit"), 6000 // 200), (("user_id", "chunk", "unit"), 6000 // 200)):
+        assert units.groupBy(*keys).count().agg({"count": "max"}).first()[0] <= most
+    dealt = units.repartition(8, "user_id", "unit").selectExpr("spark_partition_id() AS task").groupBy("task").count().collect()
+    sizes = sorted(r["count"] for r in dealt)
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+
+
+def test_odd_look_backs(make_events, rows):
+    """Look-backs that no minute divides."""
+    for hours in (0.37, 24 * 7 + 1 / 3600):
+        touches = att.conversion_touches(make_events(rows), V, lookback_hours=hours)
+        span = int(hours * 3600e6) / 60e6
+        want = sorted((u, sum(uu == u and k in V.touchpoints and t - span <= m < t for uu, m, k in rows)) for u, t, kind in rows if kind == "buy")
+        assert sorted((r["user_id"], r["n"]) for r in touches.collect()) == [x for x in want if x[1]]
+
+
+def test_path_hashes_tell_paths_apart(make_events, rows):
+    js = [(" ".join(k for *_, k in x)) for _, _, x in brute(rows)]
+    hashes = att.path_hashes(make_events(rows), V).select("n", "h0", "h1").collect()
+    assert len(hashes) == len(js) and len({tuple(h) for h in hashes}) == len(set(js))
+    assert "collect_list" not in att.path_hashes(make_events(rows), V)._jdf.queryExecution().toString()

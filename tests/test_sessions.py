@@ -1,7 +1,10 @@
 import random
+from functools import partial
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidelens.functions import distributed
 from tidelens.operators import journeys, paths, sessions
 from tidelens.schema import Vocabulary
 
@@ -93,6 +96,41 @@ def test_long_session_over_many_chunks(make_events):
     assert j["journey"] == ["b", "a"] * 5
 
 
+@pytest.mark.parametrize("most", [1, 7])
+def test_busy_users_are_split_further(make_events, monkeypatch, most):
+    """Chunks of days, hours, minutes and seconds side by side; sessions that go on over months."""
+    rng = random.Random(11)
+    rows = sample(6, users=3) + [(7, rng.randrange(0, 200 * 60) / 60, rng.choice(["a", "b", "buy"])) for _ in range(300)]
+    rows += [(8, 29.0 * i, "a") for i in range(4000)] + [(9, 60 * 24 * 11 * i + j, "b") for i in range(20) for j in (0, 40)]
+    plain = distributed.with_chunks
+    for module in (sessions, distributed):
+        monkeypatch.setattr(module, "with_chunks", partial(plain, most=most))
+    got = {
+        (r["user_id"], int(r["session_key"].split("_")[1])): (r["event_count"], r["entry_event"], r["exit_event"], r["converted"], round(r["duration_minutes"], 6))
+        for r in sessions.sessions(make_events(rows), V).collect()
+    }
+    want = {(u, n): (len(s), s[0][2], s[-1][2], any(e[2] == "buy" for e in s), round(s[-1][0] - s[0][0], 6)) for u, n, s in brute(rows)}
+    assert got == want
+    steps = {}
+    for u in {r[0] for r in rows}:
+        seq = [k for *_, k in sorted((m, i, k) for i, (uu, m, k) in enumerate(rows) if uu == u)]
+        for pair in zip(seq, seq[1:]):
+            steps[pair] = steps.get(pair, 0) + 1
+    counted = distributed.transition_counts(make_events(rows)).collect()
+    assert {(r["event_type"], r["next_event"]): r["count"] for r in counted} == steps
+
+
+def test_a_user_with_a_third_of_the_rows_is_spread(make_events):
+    """The window of sessions and journeys is dealt by (user, chunk): no chunk is larger than the bound, no task far above the median."""
+    rng = random.Random(12)
+    rows = [(0 if i % 3 == 0 else i, rng.randrange(0, 4 * 24 * 3600) / 60, "a") for i in range(6000)]
+    chunks = distributed.with_chunks(make_events(rows), most=40)
+    assert chunks.groupBy("user_id", "chunk").count().agg({"count": "max"}).first()[0] <= 40
+    dealt = chunks.repartition(8, "user_id", "chunk").selectExpr("spark_partition_id() AS task").groupBy("task").count().collect()
+    sizes = sorted(r["count"] for r in dealt)
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+
+
 def test_duration_zero_is_in_no_bucket(make_events):
     s = sessions.sessions(make_events([(1, 0, "a"), (2, 0, "a"), (2, 0.5, "b")]), V)
     d = {r["duration_bucket"]: r["session_count"] for r in sessions.duration_distribution(s).collect()}

@@ -16,6 +16,12 @@ def _(spark, sf):
     return affinity.merchant_affinity(b.orders(spark, sf))
 
 
+@query("aff01_top_affinity", f"WITH {_SAME_DAY} SELECT merchant_1, merchant_2, n AS co_occurrence FROM pr ORDER BY n DESC, 1, 2 LIMIT 50")
+def _(spark, sf):
+    """The 50 most frequent pairs, found with bounds instead of all pairs."""
+    return affinity.merchant_affinity(b.orders(spark, sf), n=50)
+
+
 @query("aff10_complementary", f"WITH {_SAME_DAY} SELECT merchant_1, merchant_2, n AS same_day_orders FROM pr ORDER BY n DESC, 1, 2 LIMIT 20")
 def _(spark, sf):
     return affinity.complementary_merchants(b.orders(spark, sf))

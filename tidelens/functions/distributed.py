@@ -13,10 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelens.functions.columns import US_PER_HOUR, micros, round_half_even
+from tidelens.functions.columns import US_PER_DAY, US_PER_HOUR, US_PER_MINUTE, US_PER_SECOND, micros, round_half_even
+from tidelens.functions.tables import Scratch, stored
 
 RANGES_PER_OCTAVE = 1024
 PAIR_BLOCK = 512
+PAIR_SEED = 64
+#: Events of one chunk of a user's time, and the widths of chunks: day, hour, minute, second.
+CHUNK_ROWS = 4096
+CHUNK_LEVELS = (US_PER_DAY, US_PER_HOUR, US_PER_MINUTE, US_PER_SECOND)
 
 
 # --- value ranges ---------------------------------------------------------------------------
@@ -204,11 +209,27 @@ def total_of(df: DataFrame, column: str) -> Column:
 # --- time chunks ----------------------------------------------------------------------------
 
 
-def with_chunks(events: DataFrame, chunk_us: int = US_PER_HOUR) -> DataFrame:
-    """Adds ``us`` (event time in microseconds) and ``chunk`` (its time chunk)."""
-    return events.withColumn("us", micros(F.col("event_time"))).withColumn(
-        "chunk", F.floor(F.col("us") / F.lit(chunk_us))
-    )
+def with_chunks(events: DataFrame, most: int = CHUNK_ROWS) -> DataFrame:
+    """Adds ``us`` (event time in microseconds) and ``chunk``, the start of the event's stretch of its user's time.
+
+    A user's day is one chunk unless it holds more than ``most`` events; then it is split into hours, an hour with too many into minutes,
+    a minute into seconds.  One pass counts days; finer counts read only what is still too large, and are tables with one row for each
+    stretch that is split.  Chunks of one user are disjoint and in the order of their starts.
+    """
+    timed = events.withColumn("us", micros(F.col("event_time")))
+    chunk = F.floor(F.col("us") / F.lit(CHUNK_LEVELS[0])) * F.lit(CHUNK_LEVELS[0])
+    out, rest = timed.withColumn("chunk", chunk), timed.select("user_id", "us")
+    for width, finer in zip(CHUNK_LEVELS, CHUNK_LEVELS[1:], strict=False):
+        start = F.floor(F.col("us") / F.lit(width)) * F.lit(width)
+        counts = rest.groupBy("user_id", start.alias("_start")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+        split = stored(counts.select(F.col("user_id").alias("_user"), "_start"), "chunk-splits")
+        if split.isEmpty():
+            break
+        inside = F.col("user_id").eqNullSafe(F.col("_user")) & (start == F.col("_start"))
+        fine = F.floor(F.col("us") / F.lit(finer)) * F.lit(finer)
+        out = out.join(split, inside, "left").withColumn("chunk", F.when(F.col("_start").isNotNull(), fine).otherwise(F.col("chunk"))).drop("_user", "_start")
+        rest = rest.join(split, inside, "left_semi")
+    return out
 
 
 def chunk_window() -> Window:
@@ -302,6 +323,50 @@ def pair_counts(
     return pairs if min_count is None else pairs.where(F.col("count") >= min_count)
 
 
+def top_pairs(
+    rows: DataFrame, keys: Sequence[str], item: str, n: int, by: Sequence[str] = (), first: int = PAIR_SEED
+) -> DataFrame:
+    """The ``n`` pairs (of each ``by`` group) that most keys share: ``by..., a, b, count``; equal counts by a, then b.
+
+    Exact, without forming all pairs.  A pair is no more frequent than its rarer item.  Pairs of the ``first`` most frequent items come
+    first; their n-th count is a bound below which no pair can enter, so the next round only takes items that reach it.  While fewer than
+    n pairs are known, the bound on items falls eightfold.  A round is one pass; groups that are finished take no part in the next.
+    Rounds are bounded by the logarithm of the highest count, and only a table of bounds (one row a group) passes between them.
+    """
+    by = list(by) or ["_all"]
+    scratch = Scratch(rows.sparkSession)
+    src = rows.withColumn("_all", F.lit(0)) if by == ["_all"] else rows
+    keys = [k for k in keys if k not in by]
+    distinct = src.select(*by, *keys, item).where(F.col(item).isNotNull()).distinct()
+    counts = distinct.groupBy(*by, item).agg(F.count(F.lit(1)).alias("_c"))
+    known = scratch.stored(counts, "pair-items")
+    sized = scratch.stored(distinct.join(known, [*by, item]), "pair-rows")
+    leading = top_per_group(known, by, [F.desc("_c"), F.asc(item)], first + 1)
+    bounds = leading.groupBy(*by).agg(
+        F.when(F.count(F.lit(1)) <= first, 1).otherwise(F.min(F.when(F.col("rank") <= first, F.col("_c")))).cast("long").alias("_t")
+    )
+    found = None
+    while True:
+        bounds = scratch.stored(bounds, "pair-bounds")
+        taken = sized.join(bounds, by).where(F.col("_c") >= F.col("_t")).drop("_t", "_c")
+        pairs = item_pairs(taken, [*by, *keys], item).groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("count"))
+        best = stored(top_per_group(pairs, by, [F.desc("count"), F.asc("a"), F.asc("b")], n), "pair-best")
+        reached = best.groupBy(*by).agg(F.max("rank").alias("_n"), F.min("count").alias("_nth"))
+        nth = F.when(F.col("_n") == n, F.col("_nth")).otherwise(0)
+        state = bounds.join(reached, by, "left").withColumn("_nth", F.coalesce(nth, F.lit(0)))
+        more = state.where(F.col("_t") > F.greatest("_nth", F.lit(1)))
+        again = more.select(*by, F.when(F.col("_nth") > 0, F.col("_nth")).otherwise(F.greatest(F.floor(F.col("_t") / 8), F.lit(1))).cast("long").alias("_t"))
+        if again.isEmpty():
+            found = best if found is None else found.unionByName(best)
+            break
+        done = best.join(more.select(*by), by, "left_anti")
+        done = stored(done, "pair-done")  # does not read the bounds of this round any more
+        found = done if found is None else found.unionByName(done)
+        bounds = again
+    scratch.close()
+    return found.select(*[c for c in by if c != "_all"], "a", "b", "count")
+
+
 # --- ranking --------------------------------------------------------------------------------
 
 

@@ -10,27 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelens.functions.columns import percent, ratio
-from tidelens.functions.distributed import pair_counts, top_per_group, transition_counts
+from tidelens.functions.distributed import pair_counts, top_pairs, top_per_group, transition_counts
 
 
 def _orders(lines: DataFrame) -> Column:
     return lines.agg(F.countDistinct("order_id").alias("n")).scalar()
 
 
-def _same_day(orders: DataFrame, name: str) -> DataFrame:
+def _same_day(orders: DataFrame, name: str, n: int | None) -> DataFrame:
     o = orders.where(F.col("merchant").isNotNull()).select("user_id", F.to_date("event_time").alias("d"), "merchant")
-    return pair_counts(o, ["user_id", "d"], "merchant").select(
-        F.col("a").alias("merchant_1"), F.col("b").alias("merchant_2"), F.col("count").alias(name)
-    )
+    pairs = pair_counts(o, ["user_id", "d"], "merchant") if n is None else top_pairs(o, ["user_id", "d"], "merchant", n)
+    return pairs.select(F.col("a").alias("merchant_1"), F.col("b").alias("merchant_2"), F.col("count").alias(name))
 
 
-def merchant_affinity(orders: DataFrame) -> DataFrame:
-    """Merchant pairs a user orders from on the same day."""
-    return _same_day(orders.where(F.col("merchant") != "unknown"), "co_occurrence")
+def merchant_affinity(orders: DataFrame, n: int | None = None) -> DataFrame:
+    """Merchant pairs a user orders from on the same day; with ``n`` the most frequent ones, without forming the others."""
+    return _same_day(orders.where(F.col("merchant") != "unknown"), "co_occurrence", n)
 
 
 def complementary_merchants(orders: DataFrame, n: int = 20) -> DataFrame:
-    return _same_day(orders, "same_day_orders").orderBy(F.desc("same_day_orders"), "merchant_1", "merchant_2").limit(n)
+    return _same_day(orders, "same_day_orders", n)
 
 
 def merchant_substitutes(orders: DataFrame, n: int = 20) -> DataFrame:
@@ -138,8 +137,7 @@ def cross_sell(rules: DataFrame, product_name: str, top_n: int = 5) -> DataFrame
 
 def merchant_top_bundles(lines: DataFrame) -> DataFrame:
     """Most frequent product pair of every merchant, all merchants in one pass."""
-    pairs = pair_counts(lines, ["merchant", "order_id"], "product_name", by=["merchant"])
-    top = top_per_group(pairs, ["merchant"], [F.desc("count"), F.asc("a"), F.asc("b")], 1)
+    top = top_pairs(lines, ["order_id"], "product_name", 1, by=["merchant"])
     totals = lines.groupBy("merchant").agg(F.countDistinct("order_id").alias("total_orders"))
     return top.join(totals, "merchant").select(
         "merchant",

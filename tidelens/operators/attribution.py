@@ -1,10 +1,10 @@
 """Multi-touch attribution without a join of conversions to touches.
 
-For a look-back of L, time is cut into chunks of length L.  The look-back window of a conversion at
-t then covers the head of t's chunk (before t) and the tail of the chunk before it (from t-L).  Each
-conversion therefore places two probe rows, one in each chunk, and reads running aggregates there:
-a forward running sum for the head, a backward one for the tail.  Cost is one sort per (user, chunk)
-whatever the number of touches per conversion; no (conversion, touch) pair is ever formed.
+For a look-back of L, time is cut into chunks of length L and chunks into up to ``UNITS`` equal units.  The look-back of a conversion at t
+covers the head of t's unit (before t), the units of t's chunk before it, the tail of the unit of t-L (from t-L) and the units of that
+chunk after it.  Rows are summed by unit; running sums over the units of a chunk give each unit what lies before and after it in its chunk,
+and enter the unit as one more row, so running sums inside the unit end in the whole head or tail.  A user with a large share of all events
+is thus sorted by unit, a chunk holds at most ``UNITS`` sums, and no (conversion, touch) pair is ever formed.
 """
 
 from __future__ import annotations
@@ -19,112 +19,137 @@ from tidelens.functions.columns import (
     percent,
 )
 from tidelens.functions.distributed import scalar_quantile
+from tidelens.functions.tables import Scratch, stored
 from tidelens.schema import DEFAULT_VOCABULARY, Vocabulary
 
 ARROW = " -> "
 MODELS = ("first_touch", "last_touch", "linear", "time_decay", "position_based")
+#: Units of a look-back at most: minutes of a day.
+UNITS = 1440
+#: Two fields and bases for hashes of touch sequences (Horner form), and the touches of a path that are compared first.
+FIELDS = ((2147483647, 1103515245), (2147483629, 1610612741))
+FIRST_TOUCHES = 32
 
 
-def conversion_touches(
-    events: DataFrame,
-    vocab: Vocabulary = DEFAULT_VOCABULARY,
-    lookback_hours: float = 24,
-    half_life_hours: float = 6.0,
-) -> DataFrame:
-    """One row per conversion with at least one touch in ``[t - lookback, t)``.
+def _span(lookback_hours: float) -> tuple[int, int]:
+    """The look-back and its unit in microseconds; the unit divides the look-back."""
+    span = int(lookback_hours * US_PER_HOUR)
+    return span, span // next(k for k in range(UNITS, 0, -1) if span % k == 0)
 
-    Columns: ``n`` touches, per touchpoint i the count ``n{i}`` and decayed weight ``w{i}``, indexes
-    ``first`` and ``last`` of the first and last touch, and ``duration_mins`` from the first touch.
+
+def _in_units(events: DataFrame, vocab: Vocabulary, lookback_hours: float) -> DataFrame:
+    """Touches and two probes for each conversion, one at t for the head and one at t-L for the tail, with their ``unit`` and ``chunk``.
+
+    ``point`` is the touch's place in the vocabulary, NULL for probes; ``kind`` puts probes before touches of the same time.
     """
     points = list(vocab.touchpoints)
-    span = int(lookback_hours * US_PER_HOUR)
-    half = half_life_hours * US_PER_HOUR
+    span, unit = _span(lookback_hours)
     us = F.unix_micros("event_time")
     index = F.create_map(*[F.lit(x) for i, p in enumerate(points) for x in (p, i)])
-    base = events.where(F.col("event_type").isin([*points, vocab.order])).select(
-        "user_id", us.alias("us"), "event_id", "event_type"
-    )
+    base = events.where(F.col("event_type").isin([*points, vocab.order])).select("user_id", us.alias("us"), "event_id", "event_type")
     touch = F.struct(
         F.col("us").alias("at"),
-        F.lit(1).alias("kind"),  # probes (kind 0) sort before touches of the same time
+        F.lit(1).alias("kind"),
         F.try_element_at(index, F.col("event_type")).alias("point"),
         F.lit(None).cast("long").alias("conv_us"),
         F.lit(None).cast("boolean").alias("tail"),
     )
 
     def probe(at: Column, tail: bool) -> Column:
-        return F.struct(
-            at.alias("at"),
-            F.lit(0).alias("kind"),
-            F.lit(None).cast("int").alias("point"),
-            F.col("us").alias("conv_us"),
-            F.lit(tail).alias("tail"),
-        )
+        return F.struct(at.alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("point"), F.col("us").alias("conv_us"), F.lit(tail).alias("tail"))
 
     is_touch = F.col("event_type").isin(points)
     is_order = F.col("event_type") == vocab.order
     nothing = F.array().cast("array<struct<at:bigint,kind:int,point:int,conv_us:bigint,tail:boolean>>")
-    rows = base.select(
-        "user_id",
-        "event_id",
-        F.explode(
-            F.concat(
-                F.when(is_touch, F.array(touch)).otherwise(nothing),
-                F.when(is_order, F.array(probe(F.col("us"), False), probe(F.col("us") - F.lit(span), True))).otherwise(nothing),
-            )
-        ).alias("r"),
-    ).select("user_id", "event_id", "r.*").withColumn("chunk", F.floor(F.col("at") / F.lit(span)))
-
-    fwd = Window.partitionBy("user_id", "chunk").orderBy("at", "kind", "event_id").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    bwd = Window.partitionBy("user_id", "chunk").orderBy(F.desc("at"), F.desc("kind"), F.desc("event_id")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    found = F.concat(
+        F.when(is_touch, F.array(touch)).otherwise(nothing),
+        F.when(is_order, F.array(probe(F.col("us"), False), probe(F.col("us") - F.lit(span), True))).otherwise(nothing),
     )
-    offset = (F.col("at") - F.col("chunk") * F.lit(span)) / F.lit(float(half))
-    rise = F.pow(F.lit(2.0), offset)
+    rows = base.select("user_id", "event_id", F.explode(found).alias("r")).select("user_id", "event_id", "r.*")
+    return rows.withColumn("unit", F.floor(F.col("at") / F.lit(unit))).withColumn("chunk", F.floor(F.col("at") / F.lit(span)))
+
+
+def _order(tail: bool) -> list[Column]:
+    """Order inside a unit; the row that carries the rest of the chunk comes first."""
+    if tail:
+        return [F.col("at").desc_nulls_first(), F.desc("kind"), F.desc("event_id")]
+    return [F.col("at").asc_nulls_first(), F.asc("kind"), F.asc("event_id")]
+
+
+def _running(keys: list[str], order: list[Column], own: bool = True) -> Window:
+    """The rows up to the current one; without ``own``, before it."""
+    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if own else -1)
+
+
+def conversion_touches(
+    events: DataFrame,
+    vocab: Vocabulary = DEFAULT_VOCABULARY,
+    lookback_hours: float = 24,
+    half_life_hours: float = 6.0,
+) -> DataFrame:
+    """One row per conversion with at least one touch in ``[t - lookback, t)``.
+
+    Columns: ``n`` touches, per touchpoint i the count ``n{i}`` and decayed weight ``w{i}``, indexes
+    ``first`` and ``last`` of the first and last touch, and ``duration_mins`` from the first touch.
+    """
+    each = range(len(vocab.touchpoints))
+    span, _ = _span(lookback_hours)
+    half = half_life_hours * US_PER_HOUR
+    rows = _in_units(events, vocab, lookback_hours)
     point = F.col("point")
-    mark = F.when(point.isNotNull(), F.struct("at", "point"))
-
-    def read(w) -> list[Column]:
-        out = []
-        for i in range(len(points)):
-            out.append(F.count(F.when(point == i, 1)).over(w).alias(f"n{i}"))
-            out.append(F.sum(F.when(point == i, rise).otherwise(0.0)).over(w).alias(f"w{i}"))
-        return out
-
-    common = ["user_id", "event_id", "conv_us", "tail", "chunk", point]
-    # Forward pass answers the heads, backward pass the tails; both reuse the same shuffle.
-    heads = rows.select(
-        *common, *read(fwd), F.first(mark, True).over(fwd).alias("early"), F.last(mark, True).over(fwd).alias("late")
-    ).where(F.col("tail") == False)  # noqa: E712
-    tails = rows.select(
-        *common, *read(bwd), F.last(mark, True).over(bwd).alias("early"), F.first(mark, True).over(bwd).alias("late")
-    ).where(F.col("tail"))
-    # Weights are relative to their chunk start; bring them to the conversion time.
-    to_conv = F.pow(F.lit(2.0), -(F.col("conv_us") - F.col("chunk") * F.lit(span)) / F.lit(float(half)))
+    # weights are relative to the start of the chunk, so sums of its units add up
+    rise = F.pow(F.lit(2.0), (F.col("at") - F.col("chunk") * F.lit(span)) / F.lit(float(half)))
+    mark = F.when(point.isNotNull(), F.struct("at", "event_id", "point"))
+
+    units = rows.groupBy("user_id", "chunk", "unit").agg(
+        *[F.count(F.when(point == i, 1)).alias(f"n{i}") for i in each],
+        *[F.sum(F.when(point == i, rise).otherwise(0.0)).alias(f"w{i}") for i in each],
+        F.min(mark).alias("early"),
+        F.max(mark).alias("late"),
+        F.max((F.col("kind") == 0).cast("int")).alias("probed"),
+    )
+
+    def rest(side: str, order: Column) -> list[Column]:
+        w = _running(["user_id", "chunk"], [order], own=False)
+        sums = [F.coalesce(F.sum(f"{c}{i}").over(w), F.lit(0)).alias(f"{side}_{c}{i}") for c in "nw" for i in each]
+        return [*sums, F.min("early").over(w).alias(f"{side}_early"), F.max("late").over(w).alias(f"{side}_late")]
+
+    carried = units.select("user_id", "chunk", "unit", "probed", *rest("before", F.asc("unit")), *rest("after", F.desc("unit"))).where("probed = 1")
+    both = rows.unionByName(carried.drop("probed"), allowMissingColumns=True)
+
+    def read(tail: bool) -> DataFrame:
+        w, side = _running(["user_id", "unit"], _order(tail)), "after" if tail else "before"
+        sums = []
+        for i in each:
+            sums.append(F.sum(F.when(point == i, 1).otherwise(F.coalesce(f"{side}_n{i}", F.lit(0)))).over(w).alias(f"n{i}"))
+            sums.append(F.sum(F.when(point == i, rise).otherwise(F.coalesce(f"{side}_w{i}", F.lit(0.0)))).over(w).alias(f"w{i}"))
+        ends = [F.min(F.coalesce(mark, f"{side}_early")).over(w).alias("early"), F.max(F.coalesce(mark, f"{side}_late")).over(w).alias("late")]
+        return both.select("user_id", "event_id", "conv_us", "tail", "chunk", *sums, *ends).where(F.col("tail") == F.lit(tail))
+
+    # brought from the chunk's start to the conversion
+    scale = F.pow(F.lit(2.0), -(F.col("conv_us") - F.col("chunk") * F.lit(span)) / F.lit(float(half)))
     per = (
-        heads.unionByName(tails)
-        .withColumn("scale", to_conv)
+        read(False)
+        .unionByName(read(True))
+        .withColumn("scale", scale)
         .groupBy("user_id", "conv_us", "event_id")
         .agg(
-            *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(points))],
-            *[F.sum(F.col(f"w{i}") * F.col("scale")).alias(f"w{i}") for i in range(len(points))],
+            *[F.sum(f"n{i}").alias(f"n{i}") for i in each],
+            *[F.sum(F.col(f"w{i}") * F.col("scale")).alias(f"w{i}") for i in each],
             F.min("early").alias("early"),
             F.max("late").alias("late"),
-            # max over two structs keeps the later touch; on equal times only one chunk can hold it
         )
     )
-    n = sum((F.col(f"n{i}") for i in range(1, len(points))), F.col("n0"))
-    w = sum((F.col(f"w{i}") for i in range(1, len(points))), F.col("w0"))
+    n = sum((F.col(f"n{i}") for i in each[1:]), F.col("n0"))
+    w = sum((F.col(f"w{i}") for i in each[1:]), F.col("w0"))
     return per.withColumn("n", n).where(F.col("n") > 0).select(
         "user_id",
         F.timestamp_micros("conv_us").alias("conversion_time"),
         "event_id",
         "n",
         w.alias("w"),
-        *[f"n{i}" for i in range(len(points))],
-        *[f"w{i}" for i in range(len(points))],
+        *[f"n{i}" for i in each],
+        *[f"w{i}" for i in each],
         F.col("early.point").alias("first"),
         F.col("late.point").alias("last"),
         ((F.col("conv_us") - F.col("early.at")) / F.lit(float(US_PER_MINUTE))).alias("duration_mins"),
@@ -257,45 +282,122 @@ def channel_influence(touches: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY
     return g.withColumn("appearance_rate", percent(F.col("total_appearances"), total))
 
 
+def _power(base: int, field: int, exponent: Column) -> Column:
+    """``base ** exponent`` modulo ``field`` for exponents below 2**31, by its bits."""
+    out: Column | None = None
+    for i in range(31):
+        bit = F.shiftright(exponent.cast("long"), i).bitwiseAND(F.lit(1)) == 1
+        factor = F.when(bit, F.lit(pow(base, 1 << i, field))).otherwise(F.lit(1)).cast("long")
+        out = factor if out is None else out * factor % F.lit(field)
+    return out
+
+
+def path_hashes(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, lookback_hours: float = 24) -> DataFrame:
+    """``user_id, conv_us, event_id, n, h0, h1, first`` of every conversion with touches: length and hashes of its touch path.
+
+    A hash is a polynomial in the touches, so that of two joined stretches follows from theirs and their lengths: running sums
+    over rows and units give the hashes of heads and tails, as they give counts.
+    """
+    rows = _in_units(events, vocab, lookback_hours)
+    code = (F.col("point") + 1).cast("long")
+    fields = [(p, base, pow(base, -1, p)) for p, base in FIELDS]
+
+    def total(c: Column, w: Window | None = None) -> Column:
+        return F.coalesce(F.sum(c).over(w) if w is not None else F.sum(c), F.lit(0))
+
+    later = F.count("point").over(_running(["user_id", "unit"], _order(True)))
+    inside = rows.withColumn("later", later)
+    is_touch = F.col("point").isNotNull()
+    units = inside.groupBy("user_id", "chunk", "unit").agg(
+        F.count("point").alias("n"),
+        *[(total(F.when(is_touch, code * _power(b, p, F.col("later") - 1) % F.lit(p))) % F.lit(p)).alias(f"u{k}") for k, (p, b, _) in enumerate(fields)],
+        F.max((F.col("kind") == 0).cast("int")).alias("probed"),
+        F.min(F.when(is_touch, F.struct("at", "event_id", "point"))).alias("early"),
+    )
+    chunk = ["user_id", "chunk"]
+    up, down = [F.asc("unit")], [F.desc("unit")]
+    units = units.withColumn("upto", total(F.col("n"), _running(chunk, up))).withColumn("beyond", total(F.col("n"), _running(chunk, down)) - F.col("n"))
+    rest = [(F.col("upto") - F.col("n")).alias("before_n"), F.col("beyond").alias("after_n")]
+    for k, (p, b, inverse) in enumerate(fields):
+        u = F.col(f"u{k}")
+        left = total(u * _power(inverse, p, F.col("upto")) % F.lit(p), _running(chunk, up, own=False)) % F.lit(p)
+        rest.append((left * _power(b, p, F.col("upto") - F.col("n")) % F.lit(p)).alias(f"before_h{k}"))
+        rest.append((total(u * _power(b, p, F.col("beyond")) % F.lit(p), _running(chunk, down, own=False)) % F.lit(p)).alias(f"after_h{k}"))
+    ends = [F.min("early").over(_running(chunk, up, own=False)).alias("before_early"), F.min("early").over(_running(chunk, down, own=False)).alias("after_early")]
+    carried = units.select("user_id", "chunk", "unit", "probed", *rest, *ends).where("probed = 1").drop("probed")
+    both = rows.unionByName(carried, allowMissingColumns=True)
+    mark = F.when(is_touch, F.struct("at", "event_id", "point"))
+
+    def read(tail: bool) -> DataFrame:
+        w, side = _running(["user_id", "unit"], _order(tail)), "after" if tail else "before"
+        carries = F.col(f"{side}_n").isNotNull()
+        at = both.withColumn("length", total(F.when(is_touch, 1).otherwise(F.coalesce(f"{side}_n", F.lit(0))), w))
+        hashes = []
+        for k, (p, b, inverse) in enumerate(fields):
+            value = F.when(is_touch, code).otherwise(F.coalesce(f"{side}_h{k}", F.lit(0)))
+            if tail:
+                place = _power(b, p, F.when(carries, 0).otherwise(F.greatest(F.col("length") - 1, F.lit(0))))
+                hashes.append((total(value * place % F.lit(p), w) % F.lit(p)).alias(f"h{k}"))
+            else:
+                gathered = total(value * _power(inverse, p, F.col("length")) % F.lit(p), w) % F.lit(p)
+                hashes.append((gathered * _power(b, p, F.col("length")) % F.lit(p)).alias(f"h{k}"))
+        early = F.min(F.coalesce(mark, f"{side}_early")).over(w).alias("early")
+        return at.select("user_id", "event_id", "conv_us", "tail", "length", *hashes, early).where(F.col("tail") == F.lit(tail))
+
+    def of(tail: bool, c: str) -> Column:
+        return F.max(F.when(F.col("tail") == F.lit(tail), F.col(c)))
+
+    wide = read(False).unionByName(read(True)).groupBy("user_id", "conv_us", "event_id").agg(
+        of(False, "length").alias("head"),
+        of(True, "length").alias("back"),
+        *[of(t, f"h{k}").alias(f"{x}{k}") for k in range(len(fields)) for t, x in ((False, "hh"), (True, "th"))],
+        F.min("early").alias("early"),
+    )
+    joined = [((F.col(f"th{k}") * _power(b, p, F.col("head")) + F.col(f"hh{k}")) % F.lit(p)).alias(f"h{k}") for k, (p, b, _) in enumerate(fields)]
+    return wide.select("user_id", "conv_us", "event_id", (F.col("head") + F.col("back")).alias("n"), *joined, F.col("early.point").alias("first")).where("n > 0")
+
+
 def top_paths(
     events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, lookback_hours: float = 24, n: int = 10
 ) -> DataFrame:
-    """Commonest full touch paths before a conversion.
+    """Commonest full touch paths before a conversion; equal counts by the path's text.
 
-    Within one user a path is the slice of the user's own touch sequence between two positions, so
-    touches are packed once per (user, look-back chunk) and each conversion cuts its slice from two
-    neighbouring chunks.  Chunks no conversion looks at are dropped first.  The text of a path is the
-    result itself, so this report (unlike the models above) needs memory for a user's touches of one
-    look-back period.
+    Paths are counted by their hashes and lengths.  Texts are fetched for one conversion of each path that may be among the ``n``: those
+    of higher count, and of the ties at the n-th count those whose first touch, then whose first ``FIRST_TOUCHES`` touches, sort early enough.
     """
-    span = int(lookback_hours * US_PER_HOUR)
+    scratch = Scratch(events.sparkSession)
+    points = list(vocab.touchpoints)
+    name = F.create_map(*[F.lit(x) for i, p in enumerate(points) for x in (i, p)])
+    hashes = path_hashes(events, vocab, lookback_hours)
+    one = F.struct("user_id", "conv_us", "event_id", F.try_element_at(name, F.col("first")).alias("begin"))
+    counts = hashes.groupBy("n", "h0", "h1").agg(F.count(F.lit(1)).alias("count"), F.min(one).alias("one"))
+    counted = scratch.stored(counts.select("count", "one.*"), "paths")
+    kept = scratch.stored(_not_after(counted, n, "begin"), "paths-begun")
+    span, _ = _span(lookback_hours)
     us = F.unix_micros("event_time")
-    touches = events.where(F.col("event_type").isin(list(vocab.touchpoints))).select(
-        "user_id", us.alias("us"), "event_id", "event_type"
-    )
-    orders = events.where(F.col("event_type") == vocab.order).select(
-        "user_id", us.alias("conv_us"), F.col("event_id").alias("conv_id")
-    )
-    at = F.floor(F.col("conv_us") / F.lit(span))
-    probes = orders.select("*", F.explode(F.array(at, at - 1)).alias("chunk"))
-    packed = (
-        touches.withColumn("chunk", F.floor(F.col("us") / F.lit(span)))
-        .join(probes.select("user_id", "chunk").distinct(), ["user_id", "chunk"], "left_semi")
-        .groupBy("user_id", "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "event_type"))).alias("seq"))
-    )
-    cut = F.filter(
-        "seq", lambda e: (e["us"] < F.col("conv_us")) & (e["us"] >= F.col("conv_us") - F.lit(span))
-    )
-    parts = probes.join(packed, ["user_id", "chunk"]).select(
-        "user_id", "conv_us", "conv_id", "chunk", F.array_join(F.transform(cut, lambda e: e["event_type"]), ARROW).alias("part")
-    ).where(F.col("part") != "")
-    path = parts.groupBy("user_id", "conv_us", "conv_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), ARROW
-        ).alias("path")
-    )
-    return path.groupBy("path").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "path").limit(n)
+    touches = events.where(F.col("event_type").isin(points)).select(F.col("user_id").alias("_user"), us.alias("us"), F.col("event_id").alias("_id"), "event_type")
+
+    def texts(chosen: DataFrame, most: int | None) -> DataFrame:
+        met = chosen.join(touches, (F.col("user_id") == F.col("_user")) & (F.col("us") >= F.col("conv_us") - F.lit(span)) & (F.col("us") < F.col("conv_us")))
+        key = ["user_id", "conv_us", "event_id", "count"]
+        if most is not None:
+            w = Window.partitionBy(*key).orderBy("us", "_id")
+            met = met.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
+        return met.groupBy(*key).agg(F.expr(f"listagg(event_type, '{ARROW}') WITHIN GROUP (ORDER BY us, _id)").alias("path"))
+
+    begun = scratch.stored(_not_after(texts(kept, FIRST_TOUCHES), n, "path"), "paths-first")
+    best = texts(begun.drop("path"), None).select("path", "count").orderBy(F.desc("count"), "path").limit(n)
+    out = stored(best, "paths-best")
+    scratch.close()
+    return out
+
+
+def _not_after(df: DataFrame, n: int, text: str) -> DataFrame:
+    """Rows not after the n-th by falling count, then text; all rows that equal the n-th are kept."""
+    order = [F.desc("count"), F.asc(text)]
+    last = df.select("count", text).orderBy(*order).limit(n).orderBy(F.asc("count"), F.desc(text)).limit(1)
+    edge = last.select(F.struct(F.col("count").alias("c"), F.col(text).alias("t")).alias("edge")).scalar()
+    return df.withColumn("_edge", edge).where((F.col("count") > F.col("_edge.c")) | ((F.col("count") == F.col("_edge.c")) & (F.col(text) <= F.col("_edge.t")))).drop("_edge")
 
 
 def platform_attribution(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:

@@ -1,9 +1,9 @@
 """Gap sessions and their summaries.
 
-Sessions are built in two steps.  Inside each (user, hour chunk) a window cuts the events into
-partial sessions; a partial session is one row, and a user has at most a few per hour of history.
-A second window over these few rows joins partial sessions whose gap is within the timeout.  A user
-with a large share of all events is thus spread over as many tasks as it has hours.
+Sessions are built in steps.  A user's time is cut into chunks of a bounded number of events (days, and
+hours, minutes or seconds where a user is busy).  Inside each (user, chunk) a window cuts the events into
+partial sessions of one row each.  Partial sessions whose gap is within the timeout are linked inside blocks
+of a month, then the blocks of a user.  A user with a large share of all events is thus spread over many tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelens.functions.columns import (
     INF,
+    US_PER_DAY,
     US_PER_MINUTE,
     bins,
     flag_mean,
@@ -25,6 +26,9 @@ from tidelens.functions.columns import (
 from tidelens.functions.distributed import chunk_window, scalar_quantile, with_chunks
 from tidelens.schema import DEFAULT_VOCABULARY, Vocabulary
 
+#: Time of a user in which partial sessions are linked before the blocks are.
+BLOCK_US = 30 * US_PER_DAY
+
 # Bucket edges and labels of the session reports.
 DURATION_EDGES = (0, 1, 2, 5, 10, 15, 30, 60, INF)
 DURATION_LABELS = ("<1min", "1-2min", "2-5min", "5-10min", "10-15min", "15-30min", "30-60min", "60+min")
@@ -57,21 +61,34 @@ def chunked_events(events: DataFrame, timeout_minutes: float = 30) -> DataFrame:
 def link_partials(partials: DataFrame, timeout_minutes: float = 30) -> DataFrame:
     """Numbers the sessions of each user over partial sessions with ``start_us`` and ``end_us``.
 
-    Adds ``session_no`` and ``gap_before_us`` (gap to the previous partial of the same session).
+    Adds ``session_no`` and ``gap_before_us`` (gap to the previous partial of the same session).  Partials are linked inside (user, block)
+    first; then one row for each block tells how many sessions began before it and whether its first one goes on from the block before.
     """
     limit = F.lit(int(timeout_minutes * US_PER_MINUTE))
-    w = Window.partitionBy("user_id").orderBy("chunk", "local")
+    w = Window.partitionBy("user_id", "_block").orderBy("chunk", "local")
     gap = F.col("start_us") - F.lag("end_us").over(w)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = (
+        partials.withColumn("_block", F.floor(F.col("chunk") / F.lit(BLOCK_US)))
+        .withColumn("_gap", gap)
+        .withColumn("_breaks", F.sum(F.when(F.col("_gap") > limit, 1).otherwise(0)).over(upto))
+    )
+    by_block = Window.partitionBy("_user").orderBy("_at")
+    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    border = F.col("_first") - F.lag("_last").over(by_block)
+    blocks = (
+        inside.groupBy(F.col("user_id").alias("_user"), F.col("_block").alias("_at"))
+        .agg(F.min("start_us").alias("_first"), F.max("end_us").alias("_last"), F.max("_breaks").alias("_inner"))
+        .withColumn("_border", border)
+        .withColumn("_opens", F.when(F.col("_border").isNull() | (F.col("_border") > limit), 1).otherwise(0))
+        .withColumn("_offset", F.sum("_opens").over(by_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.coalesce(F.sum("_inner").over(before), F.lit(0)))
+    )
+    linked = inside.join(blocks, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_block") == F.col("_at")))
+    whole_gap = F.coalesce("_gap", "_border")
     return (
-        partials.withColumn("_gap", gap)
-        .withColumn(
-            "session_no",
-            F.sum(F.when(F.col("_gap").isNull() | (F.col("_gap") > limit), 1).otherwise(0)).over(
-                w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
-        .withColumn("gap_before_us", F.when(F.col("_gap") <= limit, F.col("_gap")))
-        .drop("_gap")
+        linked.withColumn("session_no", F.col("_offset") + F.col("_breaks"))
+        .withColumn("gap_before_us", F.when(whole_gap <= limit, whole_gap))
+        .drop("_gap", "_breaks", "_block", "_user", "_at", "_first", "_last", "_inner", "_border", "_opens", "_offset")
     )
 
 
