@@ -283,11 +283,11 @@ def channel_influence(touches: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY
 
 
 def _power(base: int, field: int, exponent: Column) -> Column:
-    """``base ** exponent`` modulo ``field`` for exponents below 2**31, by its bits."""
+    """``base ** exponent`` modulo ``field`` for exponents below 2**30, by tables for each six bits."""
     out: Column | None = None
-    for i in range(31):
-        bit = F.shiftright(exponent.cast("long"), i).bitwiseAND(F.lit(1)) == 1
-        factor = F.when(bit, F.lit(pow(base, 1 << i, field))).otherwise(F.lit(1)).cast("long")
+    for shift in range(0, 30, 6):
+        table = ", ".join(f"{pow(base, k << shift, field)}L" for k in range(64))
+        factor = F.get(F.expr(f"array({table})"), F.shiftright(exponent.cast("long"), shift).bitwiseAND(F.lit(63)).cast("int"))
         out = factor if out is None else out * factor % F.lit(field)
     return out
 
