@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelens.catalog import bindings as b
 from tidelens.catalog.bindings import ORD
 from tidelens.catalog.registry import query
+from tidelens.functions.tables import new_path, stored
 from tidelens.operators import crm, evaluation, recommender
 
 SPLIT = "2000-04-01"
@@ -19,6 +21,30 @@ def _inter(spark, sf):
     return recommender.interactions(b.orders(spark, sf))
 
 
+_FITTED: dict[tuple[str, str, str], recommender.ItemItemRecommender] = {}
+
+
+def fitted(spark, sf: str, part: str = "all") -> recommender.ItemItemRecommender:
+    """The recommender of all orders or of those before the split: fitted once in a session, then read from its stored tables."""
+    key = (spark.sparkContext.applicationId, sf, part)
+    if key not in _FITTED:
+        inter = _inter(spark, sf) if part == "all" else _train_test(spark, sf)[0]
+        _FITTED[key] = recommender.ItemItemRecommender.fit(inter)
+    return _FITTED[key]
+
+
+DEPTH = 50
+_LISTS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def lists(spark, sf: str, n: int, part: str = "all") -> DataFrame:
+    """Each user's list to rank ``n`` (``DEPTH`` at most), from one stored table."""
+    key = (spark.sparkContext.applicationId, sf, part)
+    if key not in _LISTS:
+        _LISTS[key] = stored(fitted(spark, sf, part).recommend(DEPTH), "recommended")
+    return _LISTS[key].where(F.col("rank") <= n)
+
+
 def _train_test(spark, sf):
     o = b.orders(spark, sf)
     cut = F.to_timestamp(F.lit(SPLIT))
@@ -69,13 +95,29 @@ def _(spark, sf):
 
 @query("rec06_recommend_all", f"WITH {REC} SELECT * FROM rc WHERE rank <= 10", "score")
 def _(spark, sf):
-    i = _inter(spark, sf)
-    return recommender.recommend(i, recommender.item_similarity(i), 10)
+    return fitted(spark, sf).recommend(10)
 
 
 @query("rec07_similar_merchants", f"WITH {REC} SELECT other AS merchant, similarity FROM sm WHERE merchant = '{M1}' ORDER BY round(similarity, 9) DESC, other LIMIT 10", "similarity")
 def _(spark, sf):
-    return recommender.similar_merchants(recommender.item_similarity(_inter(spark, sf)), M1)
+    return fitted(spark, sf).similar_merchants(M1)
+
+
+LEAST = 0.34
+
+
+@query("rec05_similar_above", f"WITH {REC} SELECT * FROM sm WHERE round(similarity, 9) >= {LEAST}", "similarity")
+def _(spark, sf):
+    """Pairs of a least cosine, by bounds instead of all pairs."""
+    return recommender.item_similarity(_inter(spark, sf), min_similarity=LEAST)
+
+
+@query("rec05_saved_and_loaded", f"WITH {REC} SELECT * FROM sm", "similarity")
+def _(spark, sf):
+    """The similarity table of a recommender that was saved and loaded again."""
+    path = new_path(spark, "saved-recommender")
+    fitted(spark, sf).save(path)
+    return recommender.ItemItemRecommender.load(spark, path).similarity
 
 
 @query(
@@ -85,8 +127,7 @@ WHERE user_id = 7 ORDER BY round(similarity, 9) DESC, i.merchant LIMIT 5""",
     "similarity",
 )
 def _(spark, sf):
-    i = _inter(spark, sf)
-    return recommender.explain(i, recommender.item_similarity(i), 7, M1)
+    return fitted(spark, sf).explain(7, M1)
 
 
 @query(
@@ -114,8 +155,8 @@ def _(spark, sf):
 K = (5, 10)
 
 
-def eval_sql(recs: str) -> str:
-    """Per-user metrics ``ux`` of the ranked lists in ``recs``."""
+def eval_sql(recs: str, p: str = "") -> str:
+    """Per-user metrics ``ux`` of the ranked lists in ``recs``; ``p`` prefixes the names."""
     ideal = {k: "CASE " + " ".join(f"WHEN least(rel, {k}) = {m} THEN {sum(1.0 / math.log2(i + 1) for i in range(1, m + 1))!r}::DOUBLE" for m in range(1, k + 1)) + " END" for k in K}
     cols = ", ".join(
         f"""coalesce(h{k}, 0) / {k}.0::DOUBLE AS precision_{k}, coalesce(h{k}, 0)::DOUBLE / rel AS recall_{k},
@@ -123,11 +164,11 @@ def eval_sql(recs: str) -> str:
         for k in K
     )
     aggs = ", ".join(f"count(*) FILTER (WHERE rank <= {k}) AS h{k}, sum(CASE WHEN rank <= {k} THEN 1 / log2(rank + 1) ELSE 0.0::DOUBLE END) AS d{k}" for k in K)
-    return f"""tr AS (SELECT DISTINCT user_id, merchant FROM o WHERE event_time >= TIMESTAMP '{SPLIT}'),
-eu AS (SELECT user_id, count(*) AS rel FROM tr WHERE user_id IN (SELECT user_id FROM it) GROUP BY 1),
-hx AS (SELECT r.user_id, r.merchant, rank, row_number() OVER (PARTITION BY r.user_id ORDER BY rank) AS seen FROM {recs} r JOIN tr USING (user_id, merchant) WHERE rank <= {max(K)}),
-hp AS (SELECT user_id, {aggs}, sum(seen::DOUBLE / rank) AS ap FROM hx GROUP BY 1),
-ux AS (SELECT user_id, {cols}, coalesce(ap / rel, 0) AS map FROM eu LEFT JOIN hp USING (user_id))"""
+    return f"""{p}tr AS (SELECT DISTINCT user_id, merchant FROM o WHERE event_time >= TIMESTAMP '{SPLIT}'),
+{p}eu AS (SELECT user_id, count(*) AS rel FROM {p}tr WHERE user_id IN (SELECT user_id FROM it) GROUP BY 1),
+{p}hx AS (SELECT r.user_id, r.merchant, rank, row_number() OVER (PARTITION BY r.user_id ORDER BY rank) AS seen FROM {recs} r JOIN {p}tr USING (user_id, merchant) WHERE rank <= {max(K)}),
+{p}hp AS (SELECT user_id, {aggs}, sum(seen::DOUBLE / rank) AS ap FROM {p}hx GROUP BY 1),
+{p}ux AS (SELECT user_id, {cols}, coalesce(ap / rel, 0) AS map FROM {p}eu LEFT JOIN {p}hp USING (user_id))"""
 
 
 TRAIN = f"{ORD}, {rec_sql('o', f'''WHERE event_time < TIMESTAMP '{SPLIT}' ''')}"
@@ -139,9 +180,9 @@ dv AS (SELECT user_id, CASE WHEN coalesce(n, 0) < 2 THEN 1.0::DOUBLE ELSE 1 - co
 
 
 def _eval_inputs(spark, sf):
-    train, test = _train_test(spark, sf)
-    sim = recommender.item_similarity(train)
-    return train, test, sim, recommender.recommend(train, sim, max(K))
+    _, test = _train_test(spark, sf)
+    model = fitted(spark, sf, "train")
+    return model.inter, test, model.similarity, lists(spark, sf, max(K), "train")
 
 
 @query("eva08_user_metrics", f"WITH {TRAIN}, {eval_sql('rc')} SELECT * FROM ux", " ".join(NAMES))
@@ -182,9 +223,18 @@ def _(spark, sf):
     return evaluation.evaluate(recommender.recommend_popular(train, max(K)), train, test, None, K).drop("mean_diversity")
 
 
-@query("eva10_compare_models")
+_MODEL_COLS = ", ".join(f"avg(precision_{k}) AS p_{k}, avg(recall_{k}) AS r_{k}, avg(hit_rate_{k}) AS hr_{k}, avg(ndcg_{k}) AS ndcg_{k}" for k in K) + ", avg(map) AS map"
+
+
+@query(
+    "eva10_compare_models",
+    f"""WITH {TRAIN}, {pop_sql(max(K))}, {eval_sql('rc')}, {DIV}, {eval_sql('pr', 'q')}
+SELECT 'item_item' AS model, {_MODEL_COLS}, {_COVER} AS coverage, (SELECT avg(diversity) FROM dv) AS diversity FROM ux UNION ALL
+SELECT 'popularity', {_MODEL_COLS}, (SELECT count(DISTINCT merchant) FROM pr WHERE user_id IN (SELECT user_id FROM eu))::DOUBLE / (SELECT count(DISTINCT merchant) FROM it), NULL FROM qux""",
+    " ".join([*(f"{m}_{k}" for k in K for m in ("p", "r", "hr", "ndcg")), "map", "coverage", "diversity"]),
+)
 def _(spark, sf):
-    """One row per model; each row's SQL twin is the single-model query above."""
+    """One row per model."""
     train, test, sim, recs = _eval_inputs(spark, sf)
     models = {"item_item": (recs, sim), "popularity": (recommender.recommend_popular(train, max(K)), None)}
     return evaluation.compare_models(models, train, test, K)
@@ -205,8 +255,8 @@ def wide(n: int) -> str:
 
 def _crm(spark, sf, n):
     o = b.orders(spark, sf)
-    i = recommender.interactions(o)
-    return o, i, recommender.recommend(i, recommender.item_similarity(i), n), crm.order_profiles(o)
+    model = fitted(spark, sf)
+    return o, model.inter, lists(spark, sf, n), crm.order_profiles(o)
 
 
 @query("crm01_profiles", f"WITH {ORD}, {PROF} SELECT * FROM pf", "total_revenue:3 avg_order_value")

@@ -191,6 +191,22 @@ def ordinal_bin(cuts: Column, value: str, tiebreak: str, n: int) -> Column:
     return out.cast("int")
 
 
+def ordinal_ranks(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Adds the 1-based place of each row in the order of the whole frame.
+
+    Rows are dealt by ranges of the order and numbered inside their range; the rows of the ranges before are added.  The ranges are a
+    written table, so both passes see the same ones; one array with a number for each range is all that is shared.
+    """
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    dealt = stored(dealt, "ranks")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    table = sizes.agg(F.collect_list(F.struct("_range", "_n")).alias("t")).scalar()
+    before = F.aggregate(F.filter("_table", lambda x: x["_range"] < F.col("_range")), F.lit(0).cast("long"), lambda a, x: a + x["_n"])
+    here = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_here", here).withColumn("_table", table).withColumn(name, before + F.col("_here")).drop("_range", "_here", "_table")
+
+
 def first_rows(df: DataFrame, n: int | None, *order: Column | str) -> DataFrame:
     """The first ``n`` rows in that order; None: all rows, which then need no global sort."""
     return df if n is None else df.orderBy(*order).limit(n)

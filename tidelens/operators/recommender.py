@@ -6,11 +6,16 @@ Everything is in long form.  ``interactions`` is (user, merchant, cnt); a simila
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions.columns import ratio
-from tidelens.functions.distributed import item_pairs, top_per_group, total_of, value_positions
+from tidelens.functions.distributed import item_pairs, ordinal_ranks, top_per_group, total_of
+from tidelens.functions.tables import new_path, stored
+
+#: Copies of each popularity rank, so that no task answers all users; slack of compared cosines for the order of addition.
+RANK_SALTS = 32
+MARGIN = 1e-9
 
 
 def interactions(orders: DataFrame) -> DataFrame:
@@ -28,52 +33,148 @@ def recommend_popular(inter: DataFrame, n: int = 10, exclude_ordered: bool = Tru
 
     A user with h merchants in the history needs at most the n+h most popular ones: the user's rank
     list is generated and joined on the rank, so work grows with users and history, not with
-    users times merchants.
+    users times merchants.  Every user asks for the first ranks, so ranks are salted by the user.
     """
+    inter = stored(inter, "interactions")
     hist = inter.groupBy("user_id").agg(F.count(F.lit(1)).alias("h"))
-    pop = popularity(inter)
     need = hist.agg((F.max("h") + F.lit(n)).alias("k")).scalar() if exclude_ordered else F.lit(n)
-    pos = value_positions(pop, "orders").select(
-        "orders", (F.col("total") - F.col("before") - F.col("cnt")).alias("above")
-    ).where(F.col("above") < need)
-    # merchants at the needed ranks only
-    w = Window.partitionBy().orderBy(F.desc("orders"), F.asc("merchant"))
-    ranked = pop.join(pos, "orders").withColumn("pop_rank", F.row_number().over(w)).select("merchant", "score", "pop_rank")
+    pop = popularity(inter)
+    ranked = ordinal_ranks(pop, [F.desc("orders"), F.asc("merchant")], "pop_rank").where(F.col("pop_rank") <= need)
     depth = (F.col("h") + F.lit(n)) if exclude_ordered else F.lit(n)
-    wanted = hist.select("user_id", F.explode(F.sequence(F.lit(1), depth.cast("int"))).alias("pop_rank"))
-    cand = wanted.join(ranked, "pop_rank")
+    salt = F.pmod(F.xxhash64("user_id"), F.lit(RANK_SALTS)).cast("int")
+    wanted = hist.select("user_id", salt.alias("salt"), F.explode(F.sequence(F.lit(1).cast("long"), depth.cast("long"))).alias("pop_rank"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(RANK_SALTS - 1))).alias("salt")
+    cand = wanted.join(ranked.select("merchant", "score", "pop_rank", every), ["pop_rank", "salt"])
     if exclude_ordered:
         cand = cand.join(inter.select("user_id", "merchant"), ["user_id", "merchant"], "left_anti")
     return top_per_group(cand, ["user_id"], [F.asc("pop_rank")], n).select("user_id", "merchant", "score", "rank")
 
 
-def item_similarity(inter: DataFrame, min_support: int = 0, n_neighbors: int | None = None) -> DataFrame:
+def _supported(inter: DataFrame, min_support: int) -> DataFrame:
+    if min_support <= 0:
+        return inter
+    ok = inter.groupBy("merchant").agg(F.sum("cnt").alias("n")).where(F.col("n") >= min_support).select("merchant")
+    return inter.join(ok, "merchant", "left_semi")
+
+
+def _unit_vectors(inter: DataFrame) -> DataFrame:
+    """``user_id, merchant, cnt, w``: counts over the norm of their merchant."""
+    norms = inter.groupBy("merchant").agg(F.sqrt(F.sum(F.col("cnt").cast("double") * F.col("cnt"))).alias("norm"))
+    return inter.join(norms, "merchant").select("user_id", "merchant", "cnt", (F.col("cnt") / F.col("norm")).alias("w"))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity) as (merchant, other, similarity) in both directions, from one evaluation."""
+    way = F.array(
+        F.struct(F.col("a").alias("merchant"), F.col("b").alias("other")), F.struct(F.col("b").alias("merchant"), F.col("a").alias("other"))
+    )
+    return pairs.select(F.explode(way).alias("p"), "similarity").select("p.merchant", "p.other", "similarity")
+
+
+def item_similarity(inter: DataFrame, min_support: int = 0, n_neighbors: int | None = None, min_similarity: float | None = None) -> DataFrame:
     """Cosine of the merchants' count vectors over users.
 
-    ``min_support`` drops merchants with fewer orders, ``n_neighbors`` keeps the closest ones; both
-    are off by default and change the result when used.
+    ``min_support`` drops merchants with fewer orders, ``n_neighbors`` keeps the closest ones, ``min_similarity`` the pairs that reach it
+    (to nine digits), found without forming all pairs; all are off by default and change the result when used.
     """
-    src = inter
-    if min_support > 0:
-        ok = inter.groupBy("merchant").agg(F.sum("cnt").alias("n")).where(F.col("n") >= min_support).select("merchant")
-        src = inter.join(ok, "merchant", "left_semi")
-    norms = src.groupBy("merchant").agg(F.sqrt(F.sum(F.col("cnt").cast("double") * F.col("cnt"))).alias("norm"))
-    dots = (
-        item_pairs(src, ["user_id"], "merchant", carry=["cnt"])
-        .groupBy("a", "b")
-        .agg(F.sum(F.col("cnt_a").cast("double") * F.col("cnt_b")).alias("dot"))
-    )
-    sim = (
+    src = stored(_supported(inter, min_support), "interactions")
+    if min_similarity is not None and min_similarity > 0:
+        pairs = similar_pairs(src, min_similarity)
+    else:
+        # dots are sums of whole numbers, so they do not depend on the order of addition
+        norms = src.groupBy("merchant").agg(F.sqrt(F.sum(F.col("cnt").cast("double") * F.col("cnt"))).alias("norm"))
+        dots = (
+            item_pairs(src, ["user_id"], "merchant", carry=["cnt"])
+            .groupBy("a", "b")
+            .agg(F.sum(F.col("cnt_a").cast("double") * F.col("cnt_b")).alias("dot"))
+        )
+        pairs = (
+            dots.join(norms.select(F.col("merchant").alias("a"), F.col("norm").alias("na")), "a")
+            .join(norms.select(F.col("merchant").alias("b"), F.col("norm").alias("nb")), "b")
+            .select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("similarity"))
+        )
+    both = _both_ways(pairs)
+    if n_neighbors:
+        both = top_per_group(both, ["merchant"], [F.desc("similarity"), F.asc("other")], n_neighbors).drop("rank")
+    return both
+
+
+def indexed_part(inter: DataFrame, least: float) -> DataFrame:
+    """``user_id, merchant, cnt, w, bound``: the part of each merchant's unit vector that any pair of cosine ``least`` must share.
+
+    Users are put into classes by the number of their merchants, those with most first.  The dot product over the leading classes of a
+    vector is at most the norm of that part, and at most its sum against each user's largest weight.  While the smaller of both stays
+    below ``least``, a pair needs more than these classes, so they are left out, and with them the users who form most pairs.
+    ``bound`` is what the part left out can still add.
+    """
+    v = _unit_vectors(inter)
+    users = v.groupBy("user_id").agg(F.count(F.lit(1)).alias("_m"), F.max("w").alias("_top"))
+    classed = v.join(users, "user_id").withColumn("_class", -F.floor(F.log2("_m")))
+    sums = classed.groupBy("merchant", "_class").agg(F.sum(F.col("w") * F.col("w")).alias("_square"), F.sum(F.col("w") * F.col("_top")).alias("_reach"))
+    upto = Window.partitionBy("merchant").orderBy("_class").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a class
+    reach = F.least(F.sqrt(F.sum("_square").over(upto)), F.sum("_reach").over(upto))
+    classes = sums.select("merchant", "_class", reach.alias("_upto")).withColumn("_left", F.col("_upto") < F.lit(least - MARGIN))
+    bounds = Window.partitionBy("merchant")
+    marked = classes.select("merchant", "_class", "_left", F.coalesce(F.max(F.when(F.col("_left"), F.col("_upto"))).over(bounds), F.lit(0.0)).alias("bound"))
+    return classed.join(marked.where("not _left"), ["merchant", "_class"]).select("user_id", "merchant", "cnt", "w", "bound")
+
+
+def similar_pairs(inter: DataFrame, least: float) -> DataFrame:
+    """``a, b, similarity`` of every pair of merchants whose cosine is at least ``least``: exact, and without forming most others.
+
+    Pairs are formed over the indexed parts only; those whose partial dot product and bounds can still reach ``least`` get their whole one.
+    """
+    part = item_pairs(indexed_part(inter, least), ["user_id"], "merchant", carry=["w", "bound"])
+    sums = part.groupBy("a", "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("_dot"), F.max("bound_a").alias("_ba"), F.max("bound_b").alias("_bb"))
+    # the dot product over the longer of the parts left out is within that merchant's bound, and so within the larger bound
+    maybe = stored(sums.where(F.col("_dot") + F.greatest("_ba", "_bb") >= F.lit(least - MARGIN)).select("a", "b"), "similar-pairs")
+    rows = inter.select("user_id", "merchant", "cnt")
+    norms = rows.groupBy("merchant").agg(F.sqrt(F.sum(F.col("cnt").cast("double") * F.col("cnt"))).alias("norm"))
+    mine = rows.select("user_id", F.col("merchant").alias("a"), F.col("cnt").alias("ca"))
+    theirs = rows.select("user_id", F.col("merchant").alias("b"), F.col("cnt").alias("cb"))
+    dots = maybe.join(mine, "a").join(theirs, ["user_id", "b"]).groupBy("a", "b").agg(F.sum(F.col("ca").cast("double") * F.col("cb")).alias("dot"))
+    return (
         dots.join(norms.select(F.col("merchant").alias("a"), F.col("norm").alias("na")), "a")
         .join(norms.select(F.col("merchant").alias("b"), F.col("norm").alias("nb")), "b")
         .select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("similarity"))
+        .where(F.round("similarity", 9) >= F.lit(least))
     )
-    both = sim.select(F.col("a").alias("merchant"), F.col("b").alias("other"), "similarity").unionByName(
-        sim.select(F.col("b").alias("merchant"), F.col("a").alias("other"), "similarity")
-    )
-    if n_neighbors:
-        both = top_per_group(both, ["merchant"], [F.desc("similarity"), F.asc("other")], n_neighbors).drop("rank")
-    return both
+
+
+class ItemItemRecommender:
+    """A fitted recommender as two tables, interactions and similarities, that can be saved, loaded and read by other reports."""
+
+    def __init__(self, inter: DataFrame, similarity: DataFrame):
+        self.inter, self.similarity = inter, similarity
+
+    @staticmethod
+    def fit(inter: DataFrame, path: str | None = None, **options) -> ItemItemRecommender:
+        """Evaluated once and written to ``path`` (or to the shared folder); ``options`` are those of :func:`item_similarity`."""
+        spark = inter.sparkSession
+        path = path or new_path(spark, "recommender")
+        inter = stored(inter, "", f"{path}/interactions")
+        stored(item_similarity(inter, **options), "", f"{path}/similarity")
+        return ItemItemRecommender.load(spark, path)
+
+    def save(self, path: str) -> None:
+        self.inter.write.mode("overwrite").parquet(f"{path}/interactions")
+        self.similarity.write.mode("overwrite").parquet(f"{path}/similarity")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> ItemItemRecommender:
+        return ItemItemRecommender(spark.read.parquet(f"{path}/interactions"), spark.read.parquet(f"{path}/similarity"))
+
+    def recommend(self, n: int = 10, exclude_ordered: bool = True) -> DataFrame:
+        return recommend(self.inter, self.similarity, n, exclude_ordered)
+
+    def similar_merchants(self, merchant: str, n: int = 10) -> DataFrame:
+        return similar_merchants(self.similarity, merchant, n)
+
+    def explain(self, user_id: int, merchant: str, n: int = 5) -> DataFrame:
+        return explain(self.inter, self.similarity, user_id, merchant, n)
+
+    def stats(self) -> DataFrame:
+        return stats(self.inter)
 
 
 def score_all(inter: DataFrame, similarity: DataFrame) -> DataFrame:
