@@ -11,7 +11,7 @@ from tidelens.catalog import bindings as b
 from tidelens.catalog.bindings import ORD
 from tidelens.catalog.registry import query
 from tidelens.functions.tables import new_path, stored
-from tidelens.operators import crm, evaluation, recommender
+from tidelens.operators import crm, evaluation, factors, recommender
 
 SPLIT = "2000-04-01"
 M1, M2, M3 = "Supplier#000000003", "Supplier#000000007", "Supplier#000000005"
@@ -140,6 +140,35 @@ def _(spark, sf):
     return recommender.stats(_inter(spark, sf))
 
 
+@query(
+    "rec10_factor_facts",
+    f"""WITH {REC}, m AS (SELECT count(DISTINCT merchant) AS m FROM it) SELECT count(*) AS users, CAST(sum(least(10, m - h)) AS BIGINT) AS list_rows, 0::BIGINT AS ordered, max(least(10, m - h)) AS longest, true AS ranked
+FROM hs CROSS JOIN m""",
+)
+def _(spark, sf):
+    """What must hold for the lists of a matrix factorisation, whatever its numbers: full lists, no ordered merchant, ranks by score."""
+    inter = fitted(spark, sf).inter
+    recs = stored(factors.saved_factors(inter, rank=8, iterations=4).recommend(10), "factor-lists")
+    ordered = recs.join(inter, ["user_id", "merchant"], "left_semi").agg(F.count(F.lit(1))).scalar()
+    users = inter.agg(F.countDistinct("user_id")).scalar()
+    per = recs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"), F.min_by("score", "rank").alias("top"), F.max("score").alias("best"))
+    ranked = F.bool_and((F.col("n") == F.col("last")) & (F.col("top") == F.col("best")))
+    return per.agg(F.sum("n").alias("list_rows"), F.max("n").alias("longest"), ranked.alias("ranked")).select(users.alias("users"), "list_rows", ordered.alias("ordered"), "longest", "ranked")
+
+
+@query(
+    "rec11_hybrid_lists",
+    f"""WITH {REC}, {pop_sql(20)}, fu AS (SELECT user_id, merchant, sum(part) AS score FROM (
+ SELECT user_id, merchant, 1.0::DOUBLE / (rank + 60) AS part FROM rc WHERE rank <= 20 UNION ALL SELECT user_id, merchant, 0.5::DOUBLE / (rank + 60) FROM pr) GROUP BY 1, 2)
+SELECT user_id, merchant, score, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, merchant) AS rank FROM fu QUALIFY rank <= 10""",
+    "score:9",
+)
+def _(spark, sf):
+    """Lists of the item-item and the popularity recommender fused by rank."""
+    inter = fitted(spark, sf).inter
+    return factors.hybrid({"item_item": (lists(spark, sf, 20), 1.0), "popularity": (recommender.recommend_popular(inter, 20), 0.5)}, 10)
+
+
 @query("dsh13_user_history", f"WITH {REC} SELECT merchant, cnt AS orders FROM it WHERE user_id = 7 ORDER BY cnt DESC, merchant LIMIT 10")
 def _(spark, sf):
     return recommender.user_history(_inter(spark, sf), 7)

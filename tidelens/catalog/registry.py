@@ -19,7 +19,7 @@ NUDGE = 1.0000000000001137
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("behaviour", "attribution", "users", "commerce", "baskets", "recommendations", "modelling", "dashboards", "streams", "scans")
+_MODULES = ("behaviour", "attribution", "users", "commerce", "baskets", "recommendations", "modelling", "dashboards", "streams", "scans", "patterns")
 
 
 def shaped(df: DataFrame, rounded: Mapping[str, int]) -> DataFrame:

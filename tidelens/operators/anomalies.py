@@ -6,11 +6,15 @@ are small.  Per-user limits are exact quantiles from the distributed kernel.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions.columns import US_PER_HOUR, count_if, micros, ratio, round_half_even
 from tidelens.functions.distributed import quantiles, scalar_row
+from tidelens.functions.graph import components
+from tidelens.functions.tables import stored
 from tidelens.operators.journeys import union_all
 from tidelens.schema import DEFAULT_VOCABULARY, Vocabulary
 
@@ -288,3 +292,82 @@ def alerts(
         ),
     ]
     return union_all(rows).where(F.col("severity_level") >= SEVERITY.get(severity_threshold, 2)).orderBy(F.desc("severity_level"), "type")
+
+
+def fraud_patterns(
+    events: DataFrame, attributes: Sequence[str], vocab: Vocabulary = DEFAULT_VOCABULARY, min_users: int = 3, min_orders: int = 1
+) -> DataFrame:
+    """Rings of users linked by values they share, such as a device, an address or a card.
+
+    Users of one value are linked through the smallest of them, so a value shared by very many users makes as many links as it has users.
+    Rings are the connected components of at least ``min_users`` users and ``min_orders`` orders: ``ring`` (smallest user), ``users``,
+    ``shared_values``, ``events``, ``orders``, ``revenue``, ``orders_per_user`` and the share of the ring's users who ordered.
+    Null values link nobody.
+    """
+    one = F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value")) for c in attributes])
+    held = events.where(F.col("user_id").isNotNull()).select("user_id", F.explode(one).alias("v")).select("user_id", "v.*")
+    held = stored(held.where(F.col("value").isNotNull()).distinct(), "user-values")
+    first = held.groupBy("attribute", "value").agg(F.min("user_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    links = held.join(first, ["attribute", "value"]).where("user_id <> a").select("a", F.col("user_id").alias("b"))
+    rings = components(links)
+    is_order = F.col("event_type") == vocab.order
+    per_user = events.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("events"),
+        count_if(is_order).alias("orders"),
+        F.sum(F.when(is_order, F.col("order_total"))).alias("revenue"),
+    )
+    by_ring = (
+        rings.join(per_user, F.col("node") == F.col("user_id"))
+        .groupBy(F.col("component").alias("ring"))
+        .agg(
+            F.count(F.lit(1)).alias("users"),
+            F.sum("events").alias("events"),
+            F.sum("orders").alias("orders"),
+            F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"),
+            F.avg((F.col("orders") > 0).cast("double")).alias("ordering_share"),
+        )
+    )
+    values = first.join(rings, F.col("a") == F.col("node")).groupBy(F.col("component").alias("ring")).agg(F.count(F.lit(1)).alias("shared_values"))
+    kept = by_ring.where((F.col("users") >= min_users) & (F.col("orders") >= min_orders))
+    return kept.join(values, "ring").select(
+        "ring", "users", "shared_values", "events", "orders", "revenue", ratio(F.col("orders"), F.col("users")).alias("orders_per_user"), "ordering_share"
+    )
+
+
+def hourly_series(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+    """``metric, hour, value``: events, orders and orders per event of every hour with events."""
+    hourly = events.groupBy(F.date_trunc("hour", "event_time").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), count_if(F.col("event_type") == vocab.order).alias("o")
+    )
+    cells = F.array(
+        F.struct(F.lit("events").alias("metric"), F.col("n").cast("double").alias("value")),
+        F.struct(F.lit("orders").alias("metric"), F.col("o").cast("double").alias("value")),
+        F.struct(F.lit("order_share").alias("metric"), ratio(F.col("o"), F.col("n")).alias("value")),
+    )
+    return hourly.where(F.col("hour").isNotNull()).select("hour", F.explode(cells).alias("c")).select("c.metric", "hour", "c.value")
+
+
+def systemic_issues(series: DataFrame, slack: float = 0.5, limit: float = 5.0) -> DataFrame:
+    """Lasting shifts of a series (metric, hour, value): cumulative sums of its standardised values, upwards and downwards.
+
+    A sum S grows by the value's distance from the mean beyond ``slack`` deviations and never falls below 0; an alarm is an hour at which it
+    passes ``limit``.  S is the running total minus its smallest earlier value (or 0), so no recursion is needed.  ``onset`` is the hour after the last one at which S was
+    0.  A metric has one row an hour, so a window over it is small.  Constant series have no alarms.
+    """
+    by = Window.partitionBy("metric")
+    z = F.try_divide(F.col("value") - F.avg("value").over(by), F.stddev_pop("value").over(by))
+    signs = F.array(F.struct(F.lit("up").alias("direction"), F.lit(1.0).alias("sign")), F.struct(F.lit("down").alias("direction"), F.lit(-1.0).alias("sign")))
+    scored = series.withColumn("z", z).where(F.col("z").isNotNull())
+    steps = scored.select("metric", "hour", "value", "z", F.explode(signs).alias("d")).select(
+        "metric", "hour", "value", "d.direction", round_half_even(F.col("d.sign") * F.col("z") - F.lit(float(slack)), 9).alias("step")
+    )
+    run = Window.partitionBy("metric", "direction").orderBy("hour")
+    upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = steps.withColumn("total", round_half_even(F.sum("step").over(upto), 6))
+    sums = total.withColumn("score", round_half_even(F.col("total") - F.least(F.lit(0.0), F.min("total").over(upto)), 6))
+    zero = F.max(F.when(F.col("score") <= 0, F.col("hour"))).over(upto)
+    marked = sums.withColumn("zero", zero).withColumn("before", F.coalesce(F.lag("score").over(run), F.lit(0.0)))
+    start = F.min("hour").over(Window.partitionBy("metric", "direction", "zero").orderBy("hour").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # the hours that follow a zero share it; the first of them begins the shift
+    shifts = marked.where("score > 0").withColumn("onset", start)
+    return shifts.where((F.col("score") > limit) & (F.col("before") <= limit)).select("metric", "direction", "onset", F.col("hour").alias("alarm"), "score")

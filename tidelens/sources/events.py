@@ -131,6 +131,10 @@ def load_folder(
     return load_date_range(spark, folder, pattern=pattern, schema=schema)
 
 
+#: Partition column of event tables written by ``sinks.write_events``.
+DATE_PARTITION = "event_date"
+
+
 def load_date_range(
     spark: SparkSession,
     folder: str,
@@ -139,14 +143,29 @@ def load_date_range(
     pattern: str = "*.parquet",
     schema: EventSchema = DEFAULT_SCHEMA,
 ) -> DataFrame:
-    """All files of a folder that match the pattern, limited to a date range (both days included)."""
+    """All files of a folder that match the pattern, limited to a date range (both days included).
+
+    A folder partitioned by ``DATE_PARTITION`` is pruned to the days of the range, and one day more on either side, as it may have been
+    written in another time zone; the event times decide.
+    """
     reader = spark.read.option("pathGlobFilter", pattern)
     if pattern.lower().endswith(".csv"):
         df = _typed(reader.option("header", True).option("escape", '"').csv(folder))
     else:
         df = reader.parquet(folder)
     validate_schema(df, schema)
-    out = preprocess(df, schema).withColumn("_source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    source = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    if DATE_PARTITION in df.columns and isinstance(df.schema[DATE_PARTITION].dataType, T.DateType):
+        df = df.select("*", source.alias("_source_file"))
+        day = F.col(DATE_PARTITION)
+        # rows without a time lie in no day; without a range they stay
+        if start_date:
+            df = df.where(day >= F.date_sub(F.to_date(F.lit(start_date)), 1))
+        if end_date:
+            df = df.where(day <= F.date_add(F.to_date(F.lit(end_date)), 1))
+        out = preprocess(df.drop(DATE_PARTITION), schema)
+    else:
+        out = preprocess(df, schema).withColumn("_source_file", source)
     t = F.col(schema.time)
     if start_date:
         out = out.where(t >= F.to_timestamp(F.lit(start_date)))

@@ -25,9 +25,9 @@ def export_segment(segment: DataFrame, name: str, output: str, stamp: str) -> st
     return path
 
 
-def write_events(events: DataFrame, path: str) -> str:
+def write_events(events: DataFrame, path: str, time: str = "event_time") -> str:
     """Event table partitioned by date, so date ranges prune whole directories."""
     from pyspark.sql import functions as F
 
-    events.withColumn("event_date", F.to_date("event_time")).write.mode("overwrite").partitionBy("event_date").parquet(path)
+    events.withColumn("event_date", F.to_date(time)).write.mode("overwrite").partitionBy("event_date").parquet(path)
     return path
