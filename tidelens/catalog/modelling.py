@@ -1,7 +1,8 @@
-"""Model features with SQL twins, and trained models (rows-only: their numbers are not SQL-expressible)."""
+"""Model features with SQL twins, and trained models with the facts about them that SQL can state."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelens.catalog import bindings as b
@@ -9,8 +10,10 @@ from tidelens.catalog.behaviour import sess
 from tidelens.catalog.commerce import rank_pct
 from tidelens.catalog.registry import query
 from tidelens.catalog.users import DAY, _REF, cnt
+from tidelens.functions.tables import new_path, stored
 from tidelens.models import features as feats
 from tidelens.models import predictors as pred
+from tidelens.plans import jobs
 
 V = b.VOCAB
 FUTURE = "2024-01-30 12:00:00"
@@ -147,19 +150,141 @@ def _(spark, sf):
     return pred.ltv_tier_summary(_tiers(spark, sf)).select("ltv_tier", "users", "avg_revenue", "avg_orders")
 
 
-@query("mlb10_churn_model")
+# --- fitted models: what must hold for them whatever their numbers -----------------------------
+
+
+def held_out(key: str) -> str:
+    """SQL twin of ``predictors.hold_out`` for a fifth of the keys."""
+    return f"('0x' || substr(md5({key}::VARCHAR), 1, 8))::BIGINT % 10000 < 2000"
+
+
+def classifier_facts(tables: dict, probability: str) -> DataFrame:
+    """One row: rows scored, rows and positives of the hold-out, and whether probabilities, decisions, ratios and importances fit together."""
+    p = F.col(probability)
+    scored = tables["predictions"].agg(
+        F.count(F.lit(1)).alias("scored"),
+        F.bool_and(p.between(0, 1)).alias("in_range"),
+        F.bool_and((p > 0.5).cast("int") == F.col(probability.replace("probability", "prediction"))).alias("decided"),
+    )
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    right = F.col("accuracy") * F.col("test_size")
+    metrics = tables["metrics"].select(
+        (tp + fp + fn + tn).alias("test_rows"), (tp + fn).alias("test_positives"), (F.abs(right - (tp + tn)) < 1e-6).alias("accurate"), F.col("auc_roc").between(0, 1).alias("auc_in_range")
+    )
+    ranked = tables["feature_importance"].agg(F.bool_and(F.col("importance") >= 0).alias("ok")).scalar()
+    row = metrics.select(F.struct("*").alias("m")).scalar()
+    return scored.withColumn("m", row).select("scored", "in_range", "decided", "m.*", ranked.alias("ranked"))
+
+
+_TRUE = "true AS in_range, true AS decided, {rows} AS test_rows, {pos} AS test_positives, true AS accurate, true AS auc_in_range, true AS ranked"
+CHURN_FACTS = f"""WITH la AS (SELECT user_id, CASE WHEN user_id IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '{FUTURE}') THEN 0 ELSE 1 END::BIGINT AS label, {held_out('user_id')} AS test
+ FROM events WHERE ts < TIMESTAMP '{FUTURE}' GROUP BY 1)
+SELECT count(*) AS scored, {_TRUE.format(rows="count(*) FILTER (WHERE test)", pos="count(*) FILTER (WHERE test AND label = 1)")} FROM la"""
+SESSION_FACTS = f"""WITH {sess(30)}, la AS (SELECT session_key, converted, {held_out('session_key')} AS test FROM ss)
+SELECT count(*) AS scored, {_TRUE.format(rows="count(*) FILTER (WHERE test)", pos="count(*) FILTER (WHERE test AND converted)")} FROM la"""
+USER_FACTS = f"""WITH la AS (SELECT user_id, bool_or(event_type = 'purchase') AS converted, {held_out('user_id')} AS test FROM events GROUP BY 1)
+SELECT count(*) AS scored, {_TRUE.format(rows="count(*) FILTER (WHERE test)", pos="count(*) FILTER (WHERE test AND converted)")} FROM la"""
+
+
+@query("mlb10_churn_model", CHURN_FACTS)
+def _(spark, sf):
+    """A random forest on all users; the future is the last half day."""
+    return classifier_facts(pred.ChurnPredictor("random_forest", V, rounds=20).run(*_split(spark, sf)), "churn_probability")
+
+
+@query("mlb10_churn_logistic", CHURN_FACTS)
+def _(spark, sf):
+    return classifier_facts(pred.ChurnPredictor("logistic", V).run(*_split(spark, sf)), "churn_probability")
+
+
+@query("mlb17_conversion_model", SESSION_FACTS)
+def _(spark, sf):
+    """A boosted model on sessions."""
+    return classifier_facts(pred.ConversionPredictor("gradient_boosting", V, rounds=8).run(b.events(spark, sf), "session"), "conversion_probability")
+
+
+@query("mlb17_conversion_forest", USER_FACTS)
+def _(spark, sf):
+    """A random forest on users."""
+    return classifier_facts(pred.ConversionPredictor("random_forest", V, rounds=20).run(b.events(spark, sf), "user"), "conversion_probability")
+
+
+def value_facts(tables: dict) -> DataFrame:
+    """One row: users scored and held out, their mean revenue, and whether predictions and errors are possible ones."""
+    scored = tables["predictions"].agg(F.count(F.lit(1)).alias("scored"), F.bool_and(F.col("predicted_ltv") >= 0).alias("clipped"), F.sum("order_count").alias("orders"))
+    possible = (F.col("mae") >= 0) & (F.col("rmse") >= F.col("mae") - 1e-9) & (F.col("r2") <= 1)
+    row = tables["metrics"].select(F.struct(F.col("test_size").alias("test_rows"), F.col("mean_actual"), possible.alias("possible")).alias("m")).scalar()
+    return scored.withColumn("m", row).select("scored", "clipped", "orders", "m.*")
+
+
+VALUE_FACTS = f"""WITH la AS (SELECT user_id, count(*) AS n, sum(value) AS r, {held_out('user_id')} AS test FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT count(*) AS scored, true AS clipped, CAST(sum(n) AS BIGINT) AS orders, count(*) FILTER (WHERE test) AS test_rows, avg(r) FILTER (WHERE test) AS mean_actual, true AS possible FROM la"""
+
+
+def _value(name: str, model: str, rounds: int) -> None:
+    @query(name, VALUE_FACTS, "mean_actual:3")
+    def _(spark, sf):
+        return value_facts(pred.LtvPredictor(model, V, rounds=rounds).run(b.events(spark, sf)))
+
+
+_value("mlb25_ltv_model", "gradient_boosting", 8)
+_value("mlb25_ltv_forest", "random_forest", 20)
+_value("mlb25_ltv_ridge", "ridge", 1)
+
+
+@query(
+    "mlb11_at_risk_users",
+    f"""SELECT count(*) AS scored, true AS split, true AS sorted_out FROM (SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '{FUTURE}')""",
+)
+def _(spark, sf):
+    """Users at risk are those who reach the threshold, and no others."""
+    scores = stored(pred.ChurnPredictor("logistic", V).run(*_split(spark, sf))["predictions"], "churn-scores")
+    risky = pred.at_risk_users(scores, 0.6)
+    inside = risky.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min("churn_probability"), F.lit(1.0)).alias("least"))
+    row = inside.select(F.struct("n", "least").alias("r")).scalar()
+    return scores.agg(F.count(F.lit(1)).alias("scored"), F.sum((F.col("churn_probability") >= 0.6).cast("long")).alias("n")).withColumn("r", row).select(
+        "scored", (F.col("n") == F.col("r.n")).alias("split"), (F.col("r.least") >= 0.6).alias("sorted_out")
+    )
+
+
+@query("mlb05_saved_and_loaded", f"SELECT user_id, true AS same FROM events WHERE ts < TIMESTAMP '{FUTURE}' GROUP BY 1")
+def _(spark, sf):
+    """A saved and loaded forest gives every user the score it gave before."""
+    history, future = _split(spark, sf)
+    model = pred.ChurnPredictor("random_forest", V, rounds=5)
+    before = stored(model.run(history, future)["predictions"], "churn-scores")
+    path = new_path(spark, "churn-model")
+    model.save(path)
+    again = pred.ChurnPredictor("random_forest", V).load(path).predict(feats.churn_features(history, V), "churn")
+    after = again.select("user_id", F.col("churn_probability").alias("p"))
+    return before.join(after, "user_id").select("user_id", (F.abs(F.col("p") - F.col("churn_probability")) < 1e-6).alias("same"))
+
+
+# --- jobs run to their end --------------------------------------------------------------------
+
+
+def _read(spark, paths: dict[str, str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(path) for name, path in paths.items()}
+
+
+@query("src38_churn_training_job", CHURN_FACTS)
 def _(spark, sf):
-    """Churn scores of a logistic model trained on all users; the future is the last half day."""
-    return pred.ChurnPredictor("logistic", V).run(*_split(spark, sf))["predictions"]
+    """The churn job with a future period: trained, scored and saved; read back from its tables."""
+    return classifier_facts(_read(spark, jobs.churn_prediction(*_split(spark, sf), new_path(spark, "churn-job"), V, "random_forest", rounds=10)), "churn_probability")
 
 
-@query("mlb17_conversion_model")
+@query("src39_conversion_prediction_job", SESSION_FACTS.replace("true AS ranked", "true AS ranked, true AS intent"))
 def _(spark, sf):
-    """Hold-out metrics of a logistic conversion model on sessions."""
-    return pred.ConversionPredictor("logistic", V).run(b.events(spark, sf), "session")["metrics"]
+    """The conversion job on sessions; its list of high intent is that part of its scores."""
+    tables = _read(spark, jobs.conversion_prediction(b.events(spark, sf), new_path(spark, "conversion-job"), V, "logistic", "session"))
+    listed = tables["high_intent"].agg(F.count(F.lit(1))).scalar()
+    wanted = tables["predictions"].agg(F.sum((F.col("conversion_probability") > 0.7).cast("long"))).scalar()
+    return classifier_facts(tables, "conversion_probability").withColumn("intent", listed == wanted)
 
 
-@query("mlb25_ltv_model")
+@query("src40_ltv_job", VALUE_FACTS.replace("true AS possible", "true AS possible, true AS tiered"), "mean_actual:3")
 def _(spark, sf):
-    """Feature importance of a ridge value model."""
-    return pred.LtvPredictor("ridge", V).run(b.events(spark, sf))["feature_importance"]
+    """The value job to its end; tiers hold every scored user once."""
+    tables = _read(spark, jobs.ltv_prediction(b.events(spark, sf), new_path(spark, "ltv-job"), V, "gradient_boosting", rounds=5))
+    tiers = tables["ltv_tiers"].agg(F.sum("users")).scalar()
+    return value_facts(tables).withColumn("tiered", tiers == F.col("scored"))

@@ -255,13 +255,13 @@ def _(spark, sf):
 _MODEL_COLS = ", ".join(f"avg(precision_{k}) AS p_{k}, avg(recall_{k}) AS r_{k}, avg(hit_rate_{k}) AS hr_{k}, avg(ndcg_{k}) AS ndcg_{k}" for k in K) + ", avg(map) AS map"
 
 
-@query(
-    "eva10_compare_models",
-    f"""WITH {TRAIN}, {pop_sql(max(K))}, {eval_sql('rc')}, {DIV}, {eval_sql('pr', 'q')}
+COMPARED = f"""WITH {TRAIN}, {pop_sql(max(K))}, {eval_sql('rc')}, {DIV}, {eval_sql('pr', 'q')}
 SELECT 'item_item' AS model, {_MODEL_COLS}, {_COVER} AS coverage, (SELECT avg(diversity) FROM dv) AS diversity FROM ux UNION ALL
-SELECT 'popularity', {_MODEL_COLS}, (SELECT count(DISTINCT merchant) FROM pr WHERE user_id IN (SELECT user_id FROM eu))::DOUBLE / (SELECT count(DISTINCT merchant) FROM it), NULL FROM qux""",
-    " ".join([*(f"{m}_{k}" for k in K for m in ("p", "r", "hr", "ndcg")), "map", "coverage", "diversity"]),
-)
+SELECT 'popularity', {_MODEL_COLS}, (SELECT count(DISTINCT merchant) FROM pr WHERE user_id IN (SELECT user_id FROM eu))::DOUBLE / (SELECT count(DISTINCT merchant) FROM it), NULL FROM qux"""
+COMPARED_ROUNDED = " ".join([*(f"{m}_{k}" for k in K for m in ("p", "r", "hr", "ndcg")), "map", "coverage", "diversity"])
+
+
+@query("eva10_compare_models", COMPARED, COMPARED_ROUNDED)
 def _(spark, sf):
     """One row per model."""
     train, test, sim, recs = _eval_inputs(spark, sf)

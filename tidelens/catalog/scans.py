@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidelens.catalog import bindings as b
 from tidelens.catalog.bindings import EV, ORD, STEPS
 from tidelens.catalog.commerce import SLOT, top_sql
+from tidelens.catalog.recommendations import COMPARED, COMPARED_ROUNDED
 from tidelens.catalog.registry import query
 from tidelens.catalog.users import _COH
 from tidelens.operators import segments
@@ -343,14 +344,7 @@ def _(spark, sf):
     return spark.read.parquet(paths["churn_features"]).select("user_id", "total_events")
 
 
-@query("src39_conversion_prediction_job", None)
-def _(spark, sf):
-    """High-intent sessions written by the conversion job."""
-    paths = jobs.conversion_prediction(b.events(spark, sf), _scratch(spark), V, "logistic", "session")
-    return spark.read.parquet(paths["high_intent"])
-
-
-@query("src42_recommendation_job", None)
+@query("src42_recommendation_job", COMPARED, COMPARED_ROUNDED)
 def _(spark, sf):
     """Evaluation table written by the recommendation job; the split is by order date."""
     o = b.orders(spark, sf)

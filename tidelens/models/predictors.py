@@ -1,6 +1,6 @@
 """Trainable predictors: assemble, scale, fit, evaluate, score, persist.
 
-The hold-out split hashes the user id, so it is repeatable, needs no shuffle and keeps class shares.
+The hold-out split hashes the key by MD5, so it is repeatable, needs no shuffle and keeps class shares.
 The training frame is checkpointed before the iterative fit: a lost executor re-reads it instead of
 recomputing the event aggregates.
 """
@@ -42,7 +42,7 @@ def clean(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def hold_out(df: DataFrame, key: str, test_size: float) -> tuple[DataFrame, DataFrame]:
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(10_000))
+    part = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 10_000
     limit = int(test_size * 10_000)
     return df.where(part >= limit), df.where(part < limit)
 
@@ -50,8 +50,10 @@ def hold_out(df: DataFrame, key: str, test_size: float) -> tuple[DataFrame, Data
 class Predictor:
     """Shared training and scoring; subclasses choose the estimator."""
 
-    def __init__(self, model_type: str, vocab: Vocabulary = DEFAULT_VOCABULARY):
+    def __init__(self, model_type: str, vocab: Vocabulary = DEFAULT_VOCABULARY, rounds: int = 100):
+        """``rounds``: trees of a forest or of a boosted model."""
         self.model_type = model_type
+        self.rounds = rounds
         self.vocab = vocab
         self.columns: list[str] = []
         self.model: PipelineModel | None = None
@@ -141,10 +143,10 @@ class Classifier(Predictor):
         depth, leaf = self.tree_depth, self.tree_leaf
         if self.model_type == "random_forest":
             return RandomForestClassifier(
-                labelCol="label", weightCol="weight", numTrees=100, maxDepth=depth, minInstancesPerNode=leaf, seed=SEED
+                labelCol="label", weightCol="weight", numTrees=self.rounds, maxDepth=depth, minInstancesPerNode=leaf, seed=SEED
             )
         if self.model_type == "gradient_boosting":
-            return GBTClassifier(labelCol="label", maxIter=100, maxDepth=5, stepSize=0.1, seed=SEED)
+            return GBTClassifier(labelCol="label", maxIter=self.rounds, maxDepth=5, stepSize=0.1, seed=SEED)
         if self.model_type == "logistic":
             return LogisticRegression(labelCol="label", weightCol="weight", maxIter=1000)
         raise ValueError(f"unknown model type: {self.model_type}")
@@ -153,8 +155,8 @@ class Classifier(Predictor):
 class ChurnPredictor(Classifier):
     tree_depth, tree_leaf = 10, 10
 
-    def __init__(self, model_type: str = "random_forest", vocab: Vocabulary = DEFAULT_VOCABULARY):
-        super().__init__(model_type, vocab)
+    def __init__(self, model_type: str = "random_forest", vocab: Vocabulary = DEFAULT_VOCABULARY, rounds: int = 100):
+        super().__init__(model_type, vocab, rounds)
 
     def run(self, history: DataFrame, future: DataFrame, test_size: float = 0.2) -> dict[str, DataFrame]:
         f = feats.churn_features(history, self.vocab)
@@ -174,8 +176,8 @@ def at_risk_users(predictions: DataFrame, threshold: float = 0.7) -> DataFrame:
 class ConversionPredictor(Classifier):
     tree_depth, tree_leaf = 8, 20
 
-    def __init__(self, model_type: str = "gradient_boosting", vocab: Vocabulary = DEFAULT_VOCABULARY):
-        super().__init__(model_type, vocab)
+    def __init__(self, model_type: str = "gradient_boosting", vocab: Vocabulary = DEFAULT_VOCABULARY, rounds: int = 100):
+        super().__init__(model_type, vocab, rounds)
 
     def run(self, events: DataFrame, level: str = "user", test_size: float = 0.2) -> dict[str, DataFrame]:
         labelled = feats.conversion_labels(feats.conversion_features(events, level, self.vocab), self.vocab)
@@ -192,15 +194,15 @@ class ConversionPredictor(Classifier):
 
 
 class LtvPredictor(Predictor):
-    def __init__(self, model_type: str = "gradient_boosting", vocab: Vocabulary = DEFAULT_VOCABULARY, drop_leaky: bool = False):
-        super().__init__(model_type, vocab)
+    def __init__(self, model_type: str = "gradient_boosting", vocab: Vocabulary = DEFAULT_VOCABULARY, drop_leaky: bool = False, rounds: int = 100):
+        super().__init__(model_type, vocab, rounds)
         self.drop_leaky = drop_leaky
 
     def estimator(self):
         if self.model_type == "random_forest":
-            return RandomForestRegressor(labelCol="label", numTrees=100, maxDepth=10, seed=SEED)
+            return RandomForestRegressor(labelCol="label", numTrees=self.rounds, maxDepth=10, seed=SEED)
         if self.model_type == "gradient_boosting":
-            return GBTRegressor(labelCol="label", maxIter=100, maxDepth=5, stepSize=0.1, seed=SEED)
+            return GBTRegressor(labelCol="label", maxIter=self.rounds, maxDepth=5, stepSize=0.1, seed=SEED)
         if self.model_type == "ridge":
             return LinearRegression(labelCol="label", regParam=1.0, elasticNetParam=0.0)
         raise ValueError(f"unknown model type: {self.model_type}")

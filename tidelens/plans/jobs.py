@@ -78,29 +78,30 @@ def churn_prediction(
     vocab: Vocabulary = DEFAULT_VOCABULARY,
     model_type: str = "random_forest",
     threshold: float = 0.7,
+    rounds: int = 100,
 ) -> dict[str, str]:
     """Without a future period only the features are written."""
     if future is None:
         return write_frames({"churn_features": churn_features(history, vocab)}, output)
-    p = ChurnPredictor(model_type, vocab)
+    p = ChurnPredictor(model_type, vocab, rounds)
     r = p.run(history, future)
     p.save(f"{output.rstrip('/')}/churn_model")
     return write_frames({**r, "at_risk_users": at_risk_users(r["predictions"], threshold)}, output)
 
 
 def conversion_prediction(
-    events: DataFrame, output: str, vocab: Vocabulary = DEFAULT_VOCABULARY, model_type: str = "gradient_boosting", level: str = "user"
+    events: DataFrame, output: str, vocab: Vocabulary = DEFAULT_VOCABULARY, model_type: str = "gradient_boosting", level: str = "user", rounds: int = 100
 ) -> dict[str, str]:
-    p = ConversionPredictor(model_type, vocab)
+    p = ConversionPredictor(model_type, vocab, rounds)
     r = p.run(events, level)
     p.save(f"{output.rstrip('/')}/conversion_model")
     return write_frames({**r, "high_intent": r["predictions"].where(F.col("conversion_probability") > 0.7)}, output)
 
 
 def ltv_prediction(
-    events: DataFrame, output: str, vocab: Vocabulary = DEFAULT_VOCABULARY, model_type: str = "gradient_boosting"
+    events: DataFrame, output: str, vocab: Vocabulary = DEFAULT_VOCABULARY, model_type: str = "gradient_boosting", rounds: int = 100
 ) -> dict[str, str]:
-    p = LtvPredictor(model_type, vocab)
+    p = LtvPredictor(model_type, vocab, rounds=rounds)
     r = p.run(events)
     p.save(f"{output.rstrip('/')}/ltv_model")
     with shared(segment_by_ltv(r["predictions"])) as (tiers,):
