@@ -1,5 +1,6 @@
 import re
 
+from tidelens.llm import decontam
 from tidelens.llm.decontam import contaminated
 
 WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
@@ -45,3 +46,12 @@ def test_query_against_all_pairs(spark, sf):
     items = [(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").collect()]
     got = QUERIES["op5_minhash_containment"](spark, sf).collect()
     assert sorted(tuple(r)[:4] for r in got) == brute(docs, items)
+
+
+def test_the_shortest_items_are_missed_seldom():
+    """Five words are one shingle: a window of the first partition holds it among twice the partition's words."""
+    for upper in decontam.bounds(100):
+        k = decontam.values_needed(upper, 0.75)
+        fewest = 1 if upper == decontam.FIRST else max(1, int(upper / decontam.GROWTH) + 1 - 4)
+        similarity = 0.75 * fewest / (2 * upper + fewest - 0.75 * fewest)
+        assert (1 - similarity) ** k <= decontam.MISS

@@ -36,6 +36,19 @@ def test_exact_with_slack_one_over_shards_ties_and_odd_rows(spark):
     assert np.allclose([r[3] for r in got], [w[3] for w in want], rtol=1e-12)
 
 
+def test_many_different_vectors_at_one_distance(spark):
+    """2000 different vectors tie; the smallest ids win, in every shard and over all."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, *(float(np.float32(x)) for x in rng.normal(size=3))]) for i in rng.permutation(2000).tolist()]
+    rows += [(5000, [1.0, 0.0, 0.0, 0.0]), (5001, [-1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for shard_rows in (300, 16384):
+        got = nearest_neighbours(df, F.col("vec_id") == 5000, k=20, slack=1.0, shard_rows=shard_rows).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == list(range(20)) and {r["score"] for r in got} == {1.0}
+    got = nearest_neighbours(df, F.col("vec_id") == 5000, k=20, slack=0.3, shard_rows=300).collect()
+    assert len(got) == 20 and {r["score"] for r in got} == {1.0}
+
+
 @pytest.mark.parametrize("n", [0, 1, 3])
 def test_small_tables(spark, n):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "vec_id long, embedding array<float>")

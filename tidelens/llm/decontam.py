@@ -20,13 +20,15 @@ from tidelens.llm.shared import bits_set, in_table, membership, pieces, saved
 from tidelens.llm.words import U64, distinct, hashes, mix, shingles, tokens
 
 CONTAINED, SIZE, MISS, GROWTH = 0.75, 5, 1e-4, 1.5
+#: Words of the first partition's longest items; its shortest have one shingle.
+FIRST = 8
 #: Between words: all of ASCII but letters and digits.
 SEPARATORS = np.array([not (chr(b).isalnum() and b < 128) and b < 128 for b in range(256)])
 
 
 def bounds(most: int) -> list[int]:
     """Upper word counts of the partitions, up to one that holds ``most``."""
-    out = [8]
+    out = [FIRST]
     while out[-1] < most:
         out.append(math.ceil(out[-1] * GROWTH))
     return out
@@ -34,7 +36,7 @@ def bounds(most: int) -> list[int]:
 
 def values_needed(upper: int, contained: float, miss: float = MISS) -> int:
     """MinHash values of a partition: (1 - s)**k <= miss for its shortest items."""
-    fewest = max(1, math.floor(upper / GROWTH) + 1 - (SIZE - 1))
+    fewest = 1 if upper == FIRST else max(1, math.floor(upper / GROWTH) + 1 - (SIZE - 1))
     s = contained * fewest / (2 * upper + fewest - contained * fewest)
     return math.ceil(math.log(miss) / math.log(1 - s))
 

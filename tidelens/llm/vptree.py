@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Vectors of one shard (bounds a task's memory) and of one leaf; queries that walk a tree together.
 SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 16384, 256, 1024
 
+#: Rounding of squared distances in single precision, as a share of the squared norms.
+ROUNDING = 4e-6
+
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -104,15 +107,38 @@ class Shard:
         by_group = np.argsort(group, kind="stable")
         self.ids, self.copies = ids[by_group], np.bincount(group)
         self.first = np.cumsum(self.copies) - self.copies
+        self.largest = largest
         self.vectors = vectors[first].astype(np.float64)
         rest = np.sqrt(np.maximum(largest**2 - np.einsum("ij,ij->i", self.vectors, self.vectors), 0))
         self.tree = Tree(np.c_[self.vectors, rest].astype(np.float32))
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The shard's ``k`` nearest of each query, without the query itself: query ids, ids, scores."""
+        """The shard's ``k`` nearest of each query, without the query itself: query ids, ids, scores.
+
+        The tree works in single precision, so some more than k + 1 come out of it.  Where the last of them is within rounding of the k-th,
+        others may tie with it unseen, and these queries ask for four times as many.
+        """
         queries = queries.astype(np.float64)
-        # the tree works in single precision, so some more than k + 1 come out of it
-        _, rows = self.tree.search(np.c_[queries, np.zeros(len(queries))].astype(np.float32), min(k + 9, len(self.vectors)), slack)
+        asked = np.c_[queries, np.zeros(len(queries))].astype(np.float32)
+        square = np.einsum("ij,ij->i", queries, queries) + self.largest**2
+        parts = []
+        left, most = np.arange(len(queries)), min(k + 9, len(self.vectors))
+        while len(left):
+            best, rows = self.tree.search(asked[left], most, slack)
+            owner, ids, scores = self._expanded(rows, query_ids[left], queries[left], k)
+            counts = np.bincount(owner, minlength=len(left))
+            last = np.full(len(left), -np.inf)
+            last[owner] = scores  # the last of each owner's is its least
+            unsure = (counts < k) | (best.max(axis=1) <= square[left] - 2 * last + ROUNDING * square[left])
+            unsure &= most < len(self.vectors)
+            sure = ~unsure[owner]
+            parts.append((left[owner[sure]], ids[sure], scores[sure]))
+            left, most = left[unsure], min(4 * most, len(self.vectors))
+        owner, ids, scores = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 3
+        return query_ids[owner], ids, scores
+
+    def _expanded(self, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of queries, ids and scores of the ``k`` best among the tree's rows, best first; scores in double precision."""
         owner, place = np.nonzero(rows >= 0)
         found = rows[owner, place]
         scores = np.einsum("ij,ij->i", self.vectors[found], queries[owner])
@@ -126,7 +152,7 @@ class Shard:
         owner, scores, ids = owner[order], scores[order], ids[order]
         starts = np.searchsorted(owner, np.arange(len(queries)))
         top = np.arange(len(owner)) - starts[owner] < k
-        return query_ids[owner[top]], ids[top], scores[top]
+        return owner[top], ids[top], scores[top]
 
 
 def nearest_neighbours(
