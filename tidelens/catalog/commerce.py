@@ -578,7 +578,7 @@ def _(spark, sf):
 
 
 # Single-order customers are rare in these tables: orders of one in ten users are cut to their first line.
-def _with_new(spark, sf):
+def with_new_customers(spark, sf):
     o = b.orders(spark, sf)
     f = o.groupBy("user_id").agg(F.min(F.struct("event_time", "event_id")).alias("_f"))
     return o.join(f, "user_id").where((F.col("user_id") % 10 > 0) | (F.struct("event_time", "event_id") == F.col("_f"))).drop("_f")
@@ -594,7 +594,7 @@ nw AS (SELECT merchant, count(*) AS new_customer_orders FROM o2 WHERE user_id IN
 FROM ({top_sql('SELECT * FROM nw', 'new_customer_orders DESC, merchant', 10)}) JOIN (SELECT merchant, count(*) AS order_count FROM o2 GROUP BY 1) USING (merchant)""",
 )
 def _(spark, sf):
-    return trending.new_customer_favorites(_with_new(spark, sf))
+    return trending.new_customer_favorites(with_new_customers(spark, sf))
 
 
 @query(
@@ -622,7 +622,7 @@ SELECT row_number() OVER (ORDER BY (io.merchant IS NOT NULL) DESC, order_count D
 FROM sl LEFT JOIN io ON io.merchant = sl.merchant ORDER BY rank LIMIT 10""",
 )
 def _(spark, sf):
-    return trending.for_context(_with_new(spark, sf), 12, "ios", True)
+    return trending.for_context(with_new_customers(spark, sf), 12, "ios", True)
 
 
 @query(

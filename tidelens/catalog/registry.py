@@ -19,6 +19,7 @@ NUDGE = 1.0000000000001137
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_ROUNDED: dict[str, dict[str, int]] = {}
 _MODULES = ("behaviour", "attribution", "users", "commerce", "baskets", "recommendations", "modelling", "dashboards", "streams", "scans", "patterns")
 
 
@@ -56,6 +57,7 @@ def query(name: str, sql: str | None = None, rounded: str = "", digits: int = 6)
         if name in _QUERIES:
             raise ValueError(f"duplicate query {name}")
         _QUERIES[name] = run
+        _ROUNDED[name] = names
         if sql is not None:
             text = sql.strip()
             if names:
@@ -67,6 +69,17 @@ def query(name: str, sql: str | None = None, rounded: str = "", digits: int = 6)
     return wrap
 
 
+def twin(name: str, of: str):
+    """Registers another way to the rows of the query ``of``: same SQL, same rounding."""
+
+    def wrap(fn: Query) -> Query:
+        query(name, None, " ".join(f"{c}:{d}" for c, d in _ROUNDED[of].items()))(fn)
+        _SQL[name] = _SQL[of]
+        return fn
+
+    return wrap
+
+
 def _load() -> None:
     for m in _MODULES:
         importlib.import_module(f"tidelens.catalog.{m}")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tidelens.catalog import bindings as b
 from tidelens.catalog.bindings import EV, ORD, STEPS
-from tidelens.catalog.commerce import SLOT, top_sql
+from tidelens.catalog.commerce import SLOT, top_sql, with_new_customers
 from tidelens.catalog.recommendations import COMPARED, COMPARED_ROUNDED
-from tidelens.catalog.registry import query
+from tidelens.catalog.registry import query, twin
 from tidelens.catalog.users import _COH
 from tidelens.operators import segments
 from tidelens.plans import jobs
@@ -308,6 +308,34 @@ def _(spark, sf):
     return spark.read.parquet(paths["retention"])
 
 
+# Jobs run once in a session; every table they write is compared.
+_WRITTEN: dict[tuple[str, str, str], dict[str, str]] = {}
+
+
+def _written(spark, sf: str, job: str, run) -> dict[str, str]:
+    key = (spark.sparkContext.applicationId, sf, job)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = run(_scratch(spark))
+    return _WRITTEN[key]
+
+
+def _explored(name: str, table: str, of: str) -> None:
+    @twin(name, of)
+    def _(spark, sf):
+        return spark.read.parquet(_written(spark, sf, "exploration", lambda out: jobs.exploration(b.events(spark, sf), out, V))[table])
+
+
+def _trending(name: str, table: str, of: str, source=b.orders) -> None:
+    @twin(name, of)
+    def _(spark, sf):
+        return spark.read.parquet(_written(spark, sf, f"trending-{source.__name__}", lambda out: jobs.trending_tables(source(spark, sf), out))[table])
+
+
+_explored("src33_headline", "headline", "dsh01_headline")
+_explored("src33_bands_written", "order_bands", "src33_order_bands")
+_explored("src33_platforms", "platforms", "src13_counts_by_platform")
+
+
 @query(
     "src33_exploration_job",
     f"""WITH {EV} SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users, count(*)::DOUBLE / (SELECT count(*) FROM ev) * 100 AS pct FROM ev GROUP BY 1""",
@@ -325,6 +353,19 @@ def _(spark, sf):
     return spark.read.parquet(paths["popular_by_slot"])
 
 
+for _name, _table, _of in (
+    ("src43_popular_now", "popular_now", "tre02_popular_now"),
+    ("src43_per_platform", "popular_per_platform", "tre04_popular_per_platform"),
+    ("src43_velocity", "velocity", "tre05_velocity"),
+    ("src43_categories", "categories", "tre06_categories"),
+    ("src43_repeat_customers", "repeat_favorites", "tre08_repeat_favorites"),
+    ("src43_weekend_weekday", "weekend_vs_weekday", "tre09_weekend_weekday"),
+    ("src43_summary", "summary", "tre11_summary"),
+):
+    _trending(_name, _table, _of)
+_trending("src43_new_customers", "new_customer_favorites", "tre07_new_customer_favorites", with_new_customers)
+
+
 @query("src34_features_job", "SELECT user_id, count(*) AS total_events FROM events GROUP BY 1")
 def _(spark, sf):
     paths = jobs.user_features(b.events(spark, sf), _scratch(spark), V)

@@ -7,16 +7,28 @@ from pyspark.sql import functions as F
 
 from tidelens.functions.columns import count_if, percent, ratio
 from tidelens.functions.distributed import scalar_row
+from tidelens.functions.tables import stored
 from tidelens.schema import DEFAULT_VOCABULARY, Vocabulary
 
+#: Grouping ids of the exploration's sets over (user, type, platform): a bit is set where the column is summed over.
+BY_TYPE, BY_USER, BY_PLATFORM = 0b001, 0b011, 0b110
 
-def headline(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    """Events, users, conversion (buyers over homepage users, %), orders, orders per buyer."""
+
+def counts_by_user(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+    """``user_id, n, h, o``: events, homepage views and orders."""
     t = F.col("event_type")
-    u = events.groupBy("user_id").agg(
+    return events.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"), count_if(t == vocab.homepage).alias("h"), count_if(t == vocab.order).alias("o")
     )
-    g = u.agg(
+
+
+def headline(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+    """Events, users, conversion (buyers over homepage users, %), orders, orders per buyer."""
+    return headline_of(counts_by_user(events, vocab))
+
+
+def headline_of(users: DataFrame) -> DataFrame:
+    g = users.agg(
         F.sum("n").alias("total_events"),
         F.count(F.lit(1)).alias("unique_users"),
         count_if(F.col("h") > 0).alias("homepage_users"),
@@ -34,15 +46,37 @@ def headline(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataF
 
 def event_shares(events: DataFrame) -> DataFrame:
     """Events, share and distinct users per event type."""
-    g = (
-        events.groupBy("event_type", "user_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("event_type")
-        .agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("users"))
-    )
+    return event_shares_of(events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+def event_shares_of(user_types: DataFrame) -> DataFrame:
+    g = user_types.groupBy("event_type").agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("users"))
     return g.withColumn("pct", percent(F.col("events"), F.sum("events").over(Window.partitionBy())))  # one row per type
 
 
+def explored(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> dict[str, DataFrame]:
+    """The exploration tables from one pass: (user, type, platform) counts, then grouping sets of these.
+
+    ``headline``, ``event_shares``, ``order_bands`` and ``platforms`` read the sets they need from one stored table.
+    """
+    cells = events.groupBy("user_id", "event_type", "platform").agg(F.count(F.lit(1)).alias("n")).withColumn("type", F.col("event_type"))
+
+    def of(kind: str) -> Column:
+        return F.sum(F.when(F.col("type") == kind, F.col("n")).otherwise(0))
+
+    sets = cells.groupingSets([["user_id", "event_type"], ["user_id"], ["platform"]], "user_id", "event_type", "platform").agg(
+        F.grouping_id().alias("kind"), F.sum("n").alias("n"), of(vocab.homepage).alias("h"), of(vocab.order).alias("o")
+    )
+    sets = stored(sets, "exploration")
+    users = sets.where(F.col("kind") == BY_USER)
+    return {
+        "headline": headline_of(users.select("user_id", "n", "h", "o")),
+        "event_shares": event_shares_of(sets.where(F.col("kind") == BY_TYPE).select("event_type", "user_id", "n")),
+        "order_bands": order_bands_of(users.select("user_id", "o")),
+        "platforms": sets.where((F.col("kind") == BY_PLATFORM) & F.col("platform").isNotNull()).select("platform", F.col("n").alias("events")),
+    }
+
+
 def orders_per_user(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, n: int | None = 10) -> DataFrame:
     """Users by number of orders, smallest numbers first."""
     u = events.where(F.col("event_type") == vocab.order).groupBy("user_id").agg(F.count(F.lit(1)).alias("orders"))
@@ -52,8 +86,12 @@ def orders_per_user(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, n
 
 def order_bands(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Users with 1, 2 and 3 or more orders, and the largest number."""
-    u = events.where(F.col("event_type") == vocab.order).groupBy("user_id").agg(F.count(F.lit(1)).alias("o"))
+    return order_bands_of(events.where(F.col("event_type") == vocab.order).groupBy("user_id").agg(F.count(F.lit(1)).alias("o")))
+
+
+def order_bands_of(users: DataFrame) -> DataFrame:
     o = F.col("o")
+    u = users.where(o > 0)
     return u.agg(
         count_if(o == 1).alias("one_order"), count_if(o == 2).alias("two_orders"), count_if(o >= 3).alias("three_or_more"), F.max("o").alias("max_orders")
     )

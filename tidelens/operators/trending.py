@@ -6,7 +6,7 @@ merchant with a large share of all orders is pre-aggregated before its rows meet
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions.columns import US_PER_HOUR, micros, percent, ratio, round_half_even, time_slot
@@ -16,11 +16,31 @@ from tidelens.operators.merchants import SLOTS
 SLOT_NAMES = tuple(s[0] for s in SLOTS)
 
 
+def order_partials(orders: DataFrame) -> DataFrame:
+    """Orders summed by merchant, user, platform and hour: every list of this module takes them in place of the orders.
+
+    ``event_time`` is the hour, ``orders_in`` the number of orders, ``first_us`` and ``last_us`` their exact times.
+    """
+    us = micros(F.col("event_time"))
+    return orders.groupBy("merchant", "category", "user_id", "platform", F.date_trunc("hour", "event_time").alias("event_time")).agg(
+        F.count(F.lit(1)).alias("orders_in"), F.sum("order_total").alias("order_total"), F.min(us).alias("first_us"), F.max(us).alias("last_us")
+    )
+
+
+def _number(orders: DataFrame) -> Column:
+    return F.sum("orders_in") if "orders_in" in orders.columns else F.count(F.lit(1))
+
+
+def _first_and_last(orders: DataFrame) -> tuple[Column, Column]:
+    if "orders_in" in orders.columns:
+        return F.min("first_us"), F.max("last_us")
+    us = micros(F.col("event_time"))
+    return F.min(us), F.max(us)
+
+
 def _counts(orders: DataFrame, *extra) -> DataFrame:
     """Orders and distinct customers per merchant (and per extra key)."""
-    per_user = orders.groupBy("merchant", *extra, "user_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("order_total").alias("rev")
-    )
+    per_user = orders.groupBy("merchant", *extra, "user_id").agg(_number(orders).alias("n"), F.sum("order_total").alias("rev"))
     group = [c for c in per_user.columns if c not in ("user_id", "n", "rev")]
     return per_user.groupBy(*group).agg(
         F.sum("n").alias("order_count"), F.count(F.lit(1)).alias("unique_customers"), F.sum("rev").alias("total_revenue")
@@ -83,9 +103,9 @@ def popular_by_platform(orders: DataFrame, platform: str = "ios", n: int = 10) -
 
 def trending_velocity(orders: DataFrame, n: int = 10, min_orders: int = 3) -> DataFrame:
     """Orders per hour of the whole observed span (a span of 0 counts as one hour)."""
-    us = micros(F.col("event_time"))
-    hours = orders.agg(((F.max(us) - F.min(us)) / F.lit(float(US_PER_HOUR))).alias("h")).scalar()
-    c = orders.groupBy("merchant").agg(F.count(F.lit(1)).alias("order_count")).where(F.col("order_count") >= min_orders)
+    first, last = _first_and_last(orders)
+    hours = orders.agg(((last - first) / F.lit(float(US_PER_HOUR))).alias("h")).scalar()
+    c = orders.groupBy("merchant").agg(_number(orders).alias("order_count")).where(F.col("order_count") >= min_orders)
     c = c.withColumn("orders_per_hour", F.col("order_count") / F.when(hours == 0, 1.0).otherwise(hours))
     return _ranked(c, [F.desc("order_count"), F.asc("merchant")], n, "merchant", "order_count", "orders_per_hour")
 
@@ -94,7 +114,7 @@ def category_breakdown(orders: DataFrame) -> DataFrame:
     named = orders.where(F.col("category").isNotNull())
     users = (
         named.groupBy("category", "user_id")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(_number(named).alias("n"))
         .groupBy("category")
         .agg(F.sum("n").alias("order_count"), F.count(F.lit(1)).alias("unique_customers"))
     )
@@ -106,10 +126,10 @@ def category_breakdown(orders: DataFrame) -> DataFrame:
 def new_customer_favorites(orders: DataFrame, n: int = 10) -> DataFrame:
     """Merchants ordered from by users with exactly one order."""
     # A user with one order has one merchant row of count 1, so the order's merchant is that row's.
-    single = orders.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("merchant").alias("merchant")).where(F.col("n") == 1)
+    single = orders.groupBy("user_id").agg(_number(orders).alias("n"), F.min("merchant").alias("merchant")).where(F.col("n") == 1)
     fav = single.groupBy("merchant").agg(F.count(F.lit(1)).alias("new_customer_orders"))
     top = _ranked(fav, [F.desc("new_customer_orders"), F.asc("merchant")], n, "merchant", "new_customer_orders")
-    totals = orders.groupBy("merchant").agg(F.count(F.lit(1)).alias("order_count"))
+    totals = orders.groupBy("merchant").agg(_number(orders).alias("order_count"))
     return (
         top.join(totals, "merchant", "left")
         .withColumn("new_customer_pct", percent(F.col("new_customer_orders"), F.col("order_count"), 1))
@@ -120,7 +140,7 @@ def new_customer_favorites(orders: DataFrame, n: int = 10) -> DataFrame:
 def repeat_customer_favorites(orders: DataFrame, n: int = 10, min_customers: int = 5) -> DataFrame:
     c = (
         orders.groupBy("merchant", "user_id")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(_number(orders).alias("n"))
         .groupBy("merchant")
         .agg(F.count(F.lit(1)).alias("total_customers"), F.sum((F.col("n") > 1).cast("long")).alias("repeat_customers"))
         .where(F.col("total_customers") >= min_customers)
@@ -134,7 +154,7 @@ def repeat_customer_favorites(orders: DataFrame, n: int = 10, min_customers: int
 def weekend_vs_weekday(orders: DataFrame, n: int = 10, weekend_days: tuple[int, ...] = (4, 5)) -> DataFrame:
     """Top merchants of weekend and weekday orders (Monday is 0; the default weekend is Friday, Saturday)."""
     period = F.when(F.weekday("event_time").isin(list(weekend_days)), "weekend").otherwise("weekday")
-    c = orders.groupBy(period.alias("period"), "merchant").agg(F.count(F.lit(1)).alias("order_count"))
+    c = orders.groupBy(period.alias("period"), "merchant").agg(_number(orders).alias("order_count"))
     return top_per_group(c, ["period"], [F.desc("order_count"), F.asc("merchant")], n).select(
         "period", "rank", "merchant", "order_count"
     )
@@ -167,11 +187,12 @@ def for_context(
 
 
 def summary(orders: DataFrame) -> DataFrame:
+    first, last = _first_and_last(orders)
     g = orders.agg(
-        F.count(F.lit(1)).alias("total_orders"),
+        _number(orders).alias("total_orders"),
         F.countDistinct("user_id").alias("unique_customers"),
-        F.min("event_time").alias("start"),
-        F.max("event_time").alias("end"),
+        F.timestamp_micros(first).alias("start"),
+        F.timestamp_micros(last).alias("end"),
     )
     merchants = orders.agg(F.countDistinct("merchant").alias("n")).scalar()
     return g.withColumn("unique_merchants", merchants).select(

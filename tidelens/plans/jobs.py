@@ -11,6 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelens.functions.tables import stored
 from tidelens.models.predictors import (
     ChurnPredictor,
     ConversionPredictor,
@@ -22,7 +23,6 @@ from tidelens.models.predictors import (
 from tidelens.models.features import churn_features
 from tidelens.operators import cohorts, crm, evaluation, features, funnels, overview, recommender, segments, trending
 from tidelens.schema import DEFAULT_VOCABULARY, Vocabulary
-from tidelens.sources import events as ev
 from tidelens.sources.normalise import with_order_total
 from tidelens.sources.sinks import write_frames
 
@@ -39,15 +39,8 @@ def shared(*frames: DataFrame):
 
 
 def exploration(events: DataFrame, output: str, vocab: Vocabulary = DEFAULT_VOCABULARY) -> dict[str, str]:
-    return write_frames(
-        {
-            "headline": overview.headline(events, vocab),
-            "event_shares": overview.event_shares(events),
-            "order_bands": overview.order_bands(events, vocab),
-            "platforms": ev.counts_by(events, "platform"),
-        },
-        output,
-    )
+    """All tables come from grouping sets of one pass over the events."""
+    return write_frames(overview.explored(events, vocab), output)
 
 
 def user_features(events: DataFrame, output: str, vocab: Vocabulary = DEFAULT_VOCABULARY) -> dict[str, str]:
@@ -157,6 +150,8 @@ def recommendations(
 
 
 def trending_tables(orders: DataFrame, output: str, n: int = 10) -> dict[str, str]:
+    """All tables come from hourly sums of one pass over the orders."""
+    orders = stored(trending.order_partials(orders), "order-partials")
     return write_frames(
         {
             "popular_now": trending.popular_now(orders),
