@@ -102,3 +102,10 @@ def test_transitions_across_chunks(spark, make_events):
         for a, b in zip(seq, seq[1:]):
             want[a, b] = want.get((a, b), 0) + 1
     assert got == want
+
+
+def test_percentile_ranks_of_small_and_mixed_values(spark):
+    rows = [(1, 1e-10, 5), (2, 2e-10, 5), (3, None, 7), (4, 0.1 + 0.2, 1), (5, 0.3, None), (6, -4e12, 9)]
+    df = spark.createDataFrame(rows, "id int, x double, n long")
+    got = {r["id"]: (r["px"], r["pn"]) for r in d.percentile_ranks(df, {"x": "px", "n": "pn"}).collect()}
+    assert got == {1: (0.4, 0.5), 2: (0.6, 0.5), 3: (None, 0.8), 4: (0.9, 0.2), 5: (0.9, None), 6: (0.2, 1.0)}

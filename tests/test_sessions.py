@@ -144,3 +144,22 @@ def test_paths(make_events):
     drop = {(r["after_path"], r["users"]) for r in paths.paths_to_drop_off(e, "a", V).collect()}
     assert drop == {("EXIT", 1), ("c", 1)}
     assert {r["entry_event"]: r["users"] for r in paths.entry_points(e, V).collect()} == {"a": 2, "b": 1}
+
+
+@pytest.mark.parametrize("n", [3, 200])
+def test_whole_paths_to_conversion_equal_brute_force(make_events, n):
+    """Orders after thousands of events count, equal numbers go by the path's text, and long common beginnings are told apart."""
+    rng = random.Random(13)
+    rows = [(u, rng.randrange(0, 40 * 24 * 60), rng.choice(["a", "b", "buy"])) for u in range(30) for _ in range(12)]
+    rows += [(100 + u, i, "a") for u in range(4) for i in range(50 + u // 2)] + [(100 + u, 5000, "buy") for u in range(4)]
+    rows += [(200, i / 2, "b") for i in range(5000)] + [(200, 3000, "buy"), (200, 3001, "buy"), (201, 1, "a")]
+    want = {}
+    users = {r[0] for r in rows}
+    for u in users:
+        seq = [k for *_, k in sorted((m, i, k) for i, (uu, m, k) in enumerate(rows) if uu == u)]
+        if "buy" in seq:
+            path = " -> ".join(seq[: seq.index("buy") + 1])
+            want[path] = want.get(path, 0) + 1
+    best = sorted(want.items(), key=lambda kv: (-kv[1], kv[0]))[:n]
+    got = [(r["conversion_path"], r["users"]) for r in paths.paths_to_conversion(make_events(rows), V, n).collect()]
+    assert got == best

@@ -231,6 +231,17 @@ SELECT array_to_string(CASE WHEN list_contains(path, 'purchase') THEN path[1:lis
 FROM up SEMI JOIN conv USING (user_id) GROUP BY 1 ORDER BY users DESC, conversion_path LIMIT 20""",
 )
 def _(spark, sf):
+    return paths.paths_to_conversion(b.events(spark, sf), V, max_length=10)
+
+
+@query(
+    "pat03_whole_histories",
+    f"""WITH {_PATHS}, fo AS (SELECT user_id, min(us) AS t, min_by(event_id, (us, event_id)) AS i FROM ev WHERE event_type = 'purchase' GROUP BY 1),
+wp AS (SELECT ev.user_id, string_agg(event_type, ' -> ' ORDER BY us, event_id) AS conversion_path FROM ev JOIN fo USING (user_id) WHERE (us, event_id) <= (t, i) GROUP BY 1)
+SELECT conversion_path, count(*) AS users, {pct('count(*)', '(SELECT count(*) FROM conv)', 2)} AS pct_of_converters FROM wp GROUP BY 1 ORDER BY users DESC, conversion_path LIMIT 20""",
+)
+def _(spark, sf):
+    """Paths up to the first order, wherever it lies."""
     return paths.paths_to_conversion(b.events(spark, sf), V)
 
 
@@ -420,18 +431,18 @@ def _(spark, sf):
     return e.withColumn("lift", F.when(F.col("lift") == float("inf"), -1.0).otherwise(F.col("lift")))
 
 
-@query(
-    "jou07_friction",
-    f"""WITH {_DROP},
+_FRICTION = f"""WITH {_DROP},
 gp AS (SELECT event_type, CASE WHEN rn > 1 THEN gap / 1000000.0::DOUBLE END AS s FROM sx),
 ga AS (SELECT event_type, avg(s) AS avg_time, quantile_cont(s, 0.5) AS median_time, stddev_samp(s) AS std_time, count(s) AS occurrences
        FROM gp GROUP BY 1),
 gf AS (SELECT *, avg_time / max(avg_time) OVER () * 0.5 + std_time / max(std_time) OVER () * 0.5 AS friction_score FROM ga)
 SELECT event_type, avg_time, median_time, std_time, occurrences, friction_score, drop_off_rate,
        friction_score * 0.5 + coalesce(drop_off_rate, 0) * 0.5 AS overall_friction
-FROM gf LEFT JOIN sd ON stage = event_type""",
-    "avg_time:4 median_time:7 std_time:4 friction_score drop_off_rate overall_friction",
-)
+FROM gf LEFT JOIN sd ON stage = event_type"""
+_FRICTION_ROUNDED = "avg_time:4 median_time:7 std_time:4 friction_score drop_off_rate overall_friction"
+
+
+@query("jou07_friction", _FRICTION, _FRICTION_ROUNDED)
 def _(spark, sf):
     return journeys.friction_points(b.events(spark, sf), V, 10, LONG)
 
@@ -458,6 +469,11 @@ def _session_counts(spark, sf):
     return journeys.session_counts(b.events(spark, sf), V, LONG)
 
 
+@query("jou07_whole_friction", _FRICTION.replace(_JOURNEYS, _WHOLE), _FRICTION_ROUNDED)
+def _(spark, sf):
+    return journeys.friction_points(b.events(spark, sf), V, timeout_minutes=LONG)
+
+
 @query("jou05_whole_sessions", f"WITH {_DROP.replace(_JOURNEYS, _WHOLE)} SELECT * FROM sd", "drop_off_rate conversion_at_stage")
 def _(spark, sf):
     return journeys.stage_drop_off(_session_counts(spark, sf), V)

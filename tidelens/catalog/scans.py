@@ -366,6 +366,36 @@ for _name, _table, _of in (
 _trending("src43_new_customers", "new_customer_favorites", "tre07_new_customer_favorites", with_new_customers)
 
 
+def _features(name: str, table: str, of: str) -> None:
+    @twin(name, of)
+    def _(spark, sf):
+        return spark.read.parquet(_written(spark, sf, "features", lambda out: jobs.user_features(b.events(spark, sf), out, V))[table])
+
+
+_features("src34_user_features", "user_features", "fea01_user_features")
+_features("src34_rfm", "rfm", "fea09_rfm")
+
+
+@twin("src37_funnel_written", "fun01_funnel")
+def _(spark, sf):
+    return spark.read.parquet(jobs.conversion_funnel(b.events(spark, sf), _scratch(spark), STEPS, V)["conversion_funnel"])
+
+
+@twin("src38_churn_features_written", "mlb08_churn_features")
+def _(spark, sf):
+    return spark.read.parquet(jobs.churn_prediction(b.events(spark, sf), None, _scratch(spark), V)["churn_features"])
+
+
+@twin("src31_cohorts_written", "coh04_first_visit_week")
+def _(spark, sf):
+    return spark.read.parquet(_written(spark, sf, "cohorts", lambda out: jobs.cohort_analysis(b.events(spark, sf), out, "first_visit_week", V))["cohorts"])
+
+
+@twin("src31_second_orders_written", "coh10_time_to_second_order")
+def _(spark, sf):
+    return spark.read.parquet(_written(spark, sf, "cohorts", lambda out: jobs.cohort_analysis(b.events(spark, sf), out, "first_visit_week", V))["time_to_second_order"])
+
+
 @query("src34_features_job", "SELECT user_id, count(*) AS total_events FROM events GROUP BY 1")
 def _(spark, sf):
     paths = jobs.user_features(b.events(spark, sf), _scratch(spark), V)

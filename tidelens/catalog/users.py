@@ -701,6 +701,20 @@ def _(spark, sf):
     return survival.retention_curve(_ev(spark, sf), "day", V)
 
 
+# Customers of the orders table come back for years.
+_LONG = f"""{ORD}, ol AS (SELECT user_id, CAST(floor((max(us) - min(us)) / {DAY}) AS BIGINT) AS hi FROM o GROUP BY 1),
+dy AS (SELECT unnest(range(0, (SELECT max(hi) FROM ol) + 1)) AS days_since_first_order), hc AS (SELECT hi, count(*) AS n FROM ol GROUP BY 1)
+SELECT days_since_first_order, CAST(sum(n) FILTER (WHERE hi >= days_since_first_order) AS BIGINT) AS users_retained,
+ sum(n) FILTER (WHERE hi >= days_since_first_order)::DOUBLE / sum(n) AS retention_rate FROM dy CROSS JOIN hc GROUP BY 1"""
+
+
+@query("sur10_whole_curve", f"WITH {_LONG}", "retention_rate")
+def _(spark, sf):
+    """The curve to the last order of the slowest customer."""
+    orders = b.orders(spark, sf).withColumn("event_type", F.lit("purchase"))
+    return survival.retention_curve(orders, "day", V, last_day=None)
+
+
 @query("sur10_retention_curve_weekly", f"WITH {_CURVE} SELECT * FROM cu WHERE days_since_first_order % 7 = 0", "retention_rate")
 def _(spark, sf):
     return survival.retention_curve(_ev(spark, sf), "week", V)

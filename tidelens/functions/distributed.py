@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelens.functions.columns import US_PER_DAY, US_PER_HOUR, US_PER_MINUTE, US_PER_SECOND, micros, round_half_even
+from tidelens.functions.columns import US_PER_DAY, US_PER_HOUR, US_PER_MINUTE, US_PER_SECOND, micros
 from tidelens.functions.tables import Scratch, stored
 
 RANGES_PER_OCTAVE = 1024
@@ -130,17 +130,28 @@ def scalar_quantile(df: DataFrame, column: str, q: float) -> Column:
 def percentile_ranks(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Adds, for each ``source -> target``, the average-tie rank divided by the non-null count.
 
-    Doubles are compared to nine digits after the point, so a sum that is evaluated again in another order finds its rank.
+    The frame is evaluated once and stored; all columns are ranked together, by name.  Doubles are compared to twelve significant digits,
+    so values that differ by the order of addition only are ties.
     """
-    out = df
+    out = stored(df, "ranked")
+    kinds = {c: isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) for c in columns}
+    mixed = any(kinds.values())
+
+    def key(c: str) -> Column:
+        if not kinds[c]:
+            return F.col(c).cast("double" if mixed else "decimal(38,0)" if isinstance(df.schema[c].dataType, T.DecimalType) else "long")
+        v = F.col(c).cast("double")
+        scale = F.pow(F.lit(10.0), F.lit(11) - F.floor(F.log10(F.abs(v))))
+        return F.when((v == 0) | F.isnan(v) | (F.abs(v) == float("inf")), v).otherwise(F.rint(v * scale) / scale)
+
+    long = out.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_name"), key(c).alias("_ranked")) for c in columns])).alias("x")).select("x.*")
+    ranks = value_positions(long, "_ranked", ["_name"]).select(
+        "_name", F.col("_ranked").alias("_value"), ((F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)) / F.col("total")).alias("_rank")
+    )
+    ranks = stored(ranks, "ranks")
     for source, target in columns.items():
-        kind = df.schema[source].dataType
-        key = round_half_even(F.col(source), 9) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(source)
-        r = value_positions(df.select(key.alias("_ranked")), "_ranked").select(
-            F.col("_ranked").alias("_ranked_value"),
-            ((F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)) / F.col("total")).alias(target),
-        )
-        out = out.join(r, key == F.col("_ranked_value"), "left").drop("_ranked_value")
+        r = ranks.where(F.col("_name") == source).select("_value", F.col("_rank").alias(target))
+        out = out.join(r, key(source) == F.col("_value"), "left").drop("_value")
     return out
 
 

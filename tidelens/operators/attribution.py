@@ -19,6 +19,7 @@ from tidelens.functions.columns import (
     percent,
 )
 from tidelens.functions.distributed import scalar_quantile
+from tidelens.functions.sequences import FIELDS, not_after, power
 from tidelens.functions.tables import Scratch, stored
 from tidelens.schema import DEFAULT_VOCABULARY, Vocabulary
 
@@ -26,8 +27,7 @@ ARROW = " -> "
 MODELS = ("first_touch", "last_touch", "linear", "time_decay", "position_based")
 #: Units of a look-back at most: minutes of a day.
 UNITS = 1440
-#: Two fields and bases for hashes of touch sequences (Horner form), and the touches of a path that are compared first.
-FIELDS = ((2147483647, 1103515245), (2147483629, 1610612741))
+#: Touches of a path that are compared first.
 FIRST_TOUCHES = 32
 
 
@@ -282,16 +282,6 @@ def channel_influence(touches: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY
     return g.withColumn("appearance_rate", percent(F.col("total_appearances"), total))
 
 
-def _power(base: int, field: int, exponent: Column) -> Column:
-    """``base ** exponent`` modulo ``field`` for exponents below 2**30, by tables for each six bits."""
-    out: Column | None = None
-    for shift in range(0, 30, 6):
-        table = ", ".join(f"{pow(base, k << shift, field)}L" for k in range(64))
-        factor = F.get(F.expr(f"array({table})"), F.shiftright(exponent.cast("long"), shift).bitwiseAND(F.lit(63)).cast("int"))
-        out = factor if out is None else out * factor % F.lit(field)
-    return out
-
-
 def path_hashes(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, lookback_hours: float = 24) -> DataFrame:
     """``user_id, conv_us, event_id, n, h0, h1, first`` of every conversion with touches: length and hashes of its touch path.
 
@@ -310,7 +300,7 @@ def path_hashes(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, lookb
     is_touch = F.col("point").isNotNull()
     units = inside.groupBy("user_id", "chunk", "unit").agg(
         F.count("point").alias("n"),
-        *[(total(F.when(is_touch, code * _power(b, p, F.col("later") - 1) % F.lit(p))) % F.lit(p)).alias(f"u{k}") for k, (p, b, _) in enumerate(fields)],
+        *[(total(F.when(is_touch, code * power(b, p, F.col("later") - 1) % F.lit(p))) % F.lit(p)).alias(f"u{k}") for k, (p, b, _) in enumerate(fields)],
         F.max((F.col("kind") == 0).cast("int")).alias("probed"),
         F.min(F.when(is_touch, F.struct("at", "event_id", "point"))).alias("early"),
     )
@@ -320,9 +310,9 @@ def path_hashes(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, lookb
     rest = [(F.col("upto") - F.col("n")).alias("before_n"), F.col("beyond").alias("after_n")]
     for k, (p, b, inverse) in enumerate(fields):
         u = F.col(f"u{k}")
-        left = total(u * _power(inverse, p, F.col("upto")) % F.lit(p), _running(chunk, up, own=False)) % F.lit(p)
-        rest.append((left * _power(b, p, F.col("upto") - F.col("n")) % F.lit(p)).alias(f"before_h{k}"))
-        rest.append((total(u * _power(b, p, F.col("beyond")) % F.lit(p), _running(chunk, down, own=False)) % F.lit(p)).alias(f"after_h{k}"))
+        left = total(u * power(inverse, p, F.col("upto")) % F.lit(p), _running(chunk, up, own=False)) % F.lit(p)
+        rest.append((left * power(b, p, F.col("upto") - F.col("n")) % F.lit(p)).alias(f"before_h{k}"))
+        rest.append((total(u * power(b, p, F.col("beyond")) % F.lit(p), _running(chunk, down, own=False)) % F.lit(p)).alias(f"after_h{k}"))
     ends = [F.min("early").over(_running(chunk, up, own=False)).alias("before_early"), F.min("early").over(_running(chunk, down, own=False)).alias("after_early")]
     carried = units.select("user_id", "chunk", "unit", "probed", *rest, *ends).where("probed = 1").drop("probed")
     both = rows.unionByName(carried, allowMissingColumns=True)
@@ -336,11 +326,11 @@ def path_hashes(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, lookb
         for k, (p, b, inverse) in enumerate(fields):
             value = F.when(is_touch, code).otherwise(F.coalesce(f"{side}_h{k}", F.lit(0)))
             if tail:
-                place = _power(b, p, F.when(carries, 0).otherwise(F.greatest(F.col("length") - 1, F.lit(0))))
+                place = power(b, p, F.when(carries, 0).otherwise(F.greatest(F.col("length") - 1, F.lit(0))))
                 hashes.append((total(value * place % F.lit(p), w) % F.lit(p)).alias(f"h{k}"))
             else:
-                gathered = total(value * _power(inverse, p, F.col("length")) % F.lit(p), w) % F.lit(p)
-                hashes.append((gathered * _power(b, p, F.col("length")) % F.lit(p)).alias(f"h{k}"))
+                gathered = total(value * power(inverse, p, F.col("length")) % F.lit(p), w) % F.lit(p)
+                hashes.append((gathered * power(b, p, F.col("length")) % F.lit(p)).alias(f"h{k}"))
         early = F.min(F.coalesce(mark, f"{side}_early")).over(w).alias("early")
         return at.select("user_id", "event_id", "conv_us", "tail", "length", *hashes, early).where(F.col("tail") == F.lit(tail))
 
@@ -353,7 +343,7 @@ def path_hashes(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, lookb
         *[of(t, f"h{k}").alias(f"{x}{k}") for k in range(len(fields)) for t, x in ((False, "hh"), (True, "th"))],
         F.min("early").alias("early"),
     )
-    joined = [((F.col(f"th{k}") * _power(b, p, F.col("head")) + F.col(f"hh{k}")) % F.lit(p)).alias(f"h{k}") for k, (p, b, _) in enumerate(fields)]
+    joined = [((F.col(f"th{k}") * power(b, p, F.col("head")) + F.col(f"hh{k}")) % F.lit(p)).alias(f"h{k}") for k, (p, b, _) in enumerate(fields)]
     return wide.select("user_id", "conv_us", "event_id", (F.col("head") + F.col("back")).alias("n"), *joined, F.col("early.point").alias("first")).where("n > 0")
 
 
@@ -372,7 +362,7 @@ def top_paths(
     one = F.struct("user_id", "conv_us", "event_id", F.try_element_at(name, F.col("first")).alias("begin"))
     counts = hashes.groupBy("n", "h0", "h1").agg(F.count(F.lit(1)).alias("count"), F.min(one).alias("one"))
     counted = scratch.stored(counts.select("count", "one.*"), "paths")
-    kept = scratch.stored(_not_after(counted, n, "begin"), "paths-begun")
+    kept = scratch.stored(not_after(counted, n, "begin"), "paths-begun")
     span, _ = _span(lookback_hours)
     us = F.unix_micros("event_time")
     touches = events.where(F.col("event_type").isin(points)).select(F.col("user_id").alias("_user"), us.alias("us"), F.col("event_id").alias("_id"), "event_type")
@@ -385,21 +375,13 @@ def top_paths(
             met = met.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
         return met.groupBy(*key).agg(F.expr(f"listagg(event_type, '{ARROW}') WITHIN GROUP (ORDER BY us, _id)").alias("path"))
 
-    begun = scratch.stored(_not_after(texts(kept, FIRST_TOUCHES), n, "path"), "paths-first")
+    begun = scratch.stored(not_after(texts(kept, FIRST_TOUCHES), n, "path"), "paths-first")
     best = texts(begun.drop("path"), None).select("path", "count").orderBy(F.desc("count"), "path").limit(n)
     out = stored(best, "paths-best")
     scratch.close()
     return out
 
 
-def _not_after(df: DataFrame, n: int, text: str) -> DataFrame:
-    """Rows not after the n-th by falling count, then text; all rows that equal the n-th are kept."""
-    order = [F.desc("count"), F.asc(text)]
-    last = df.select("count", text).orderBy(*order).limit(n).orderBy(F.asc("count"), F.desc(text)).limit(1)
-    edge = last.select(F.struct(F.col("count").alias("c"), F.col(text).alias("t")).alias("edge")).scalar()
-    return df.withColumn("_edge", edge).where((F.col("count") > F.col("_edge.c")) | ((F.col("count") == F.col("_edge.c")) & (F.col(text) <= F.col("_edge.t")))).drop("_edge")
-
-
 def platform_attribution(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     is_order = F.col("event_type") == vocab.order
     g = (

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions.columns import flag_mean, percent, round_half_even
-from tidelens.functions.distributed import top_per_group, transition_counts
+from tidelens.functions.distributed import chunk_window, top_per_group, transition_counts, with_chunks
+from tidelens.functions.sequences import FIELDS, not_after, power
+from tidelens.functions.tables import Scratch, stored
 from tidelens.schema import DEFAULT_VOCABULARY, Vocabulary
 
 ARROW = " -> "
+#: Events of a path that are compared first.
+FIRST_EVENTS = 32
 
 
 def user_paths(events: DataFrame, max_length: int = 10) -> DataFrame:
@@ -49,10 +53,17 @@ def common_paths(events: DataFrame, n: int = 20, min_length: int = 2, max_length
 
 
 def paths_to_conversion(
-    events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, n: int = 20, max_length: int = 10
+    events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, n: int = 20, max_length: int | None = None
 ) -> DataFrame:
-    """Paths of converters, cut at the first order where it lies inside the path."""
+    """Commonest paths of converters up to their first order, wherever it lies in their history.
+
+    Paths are counted by hash; texts are fetched for those that may be among the ``n``.  With ``max_length`` only each user's first events
+    are looked at, and a path without its order is cut there.
+    """
     converters = _did(events, vocab.order)
+    if max_length is None:
+        best = _whole_paths(events, vocab, n)
+        return best.select("conversion_path", "users", percent(F.col("users"), _size(converters), 2).alias("pct_of_converters"))
     at = F.array_position("path", F.lit(vocab.order)).cast("int")
     cut = F.when(at > 0, F.slice(F.col("path"), F.lit(1), at)).otherwise(F.col("path"))
     paths = user_paths(events, max_length).join(converters, "user_id", "left_semi")
@@ -60,6 +71,46 @@ def paths_to_conversion(
     return _counted(text, "conversion_path", n, _size(converters), "pct_of_converters")
 
 
+def _whole_paths(events: DataFrame, vocab: Vocabulary, n: int) -> DataFrame:
+    """``conversion_path, users`` of the ``n`` commonest paths up to the first order; equal numbers by the text.
+
+    The hash of a path is the sum of its events' codes times powers of their places.  Chunks of a user's time are hashed from their own
+    beginnings and shifted by the number of events before them.
+    """
+    scratch = Scratch(events.sparkSession)
+    place = F.struct("event_time", "event_id")
+    first = events.where(F.col("event_type") == vocab.order).groupBy("user_id").agg(F.min(place).alias("_first"))
+    rows = events.select("user_id", "event_time", "event_id", "event_type").where(F.col("event_type").isNotNull())
+    upto = scratch.stored(rows.join(first, "user_id").where(place <= F.col("_first")).drop("_first"), "paths-events")
+    rn = F.row_number().over(chunk_window())
+    code = F.pmod(F.xxhash64("event_type"), F.lit(1 << 30)) + 1
+    hashes = [(F.sum(code * power(base, p, F.col("_rn")) % F.lit(p)) % F.lit(p)).alias(f"h{k}") for k, (p, base) in enumerate(FIELDS)]
+    chunks = with_chunks(upto).withColumn("_rn", rn).groupBy("user_id", "chunk").agg(
+        F.count(F.lit(1)).alias("n"), *hashes, F.min_by("event_type", "_rn").alias("begin")
+    )
+    before = Window.partitionBy("user_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row a chunk
+    placed = chunks.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    users = placed.groupBy("user_id").agg(
+        F.sum("n").alias("n"),
+        *[(F.sum(F.col(f"h{k}") * power(base, p, F.col("_before")) % F.lit(p)) % F.lit(p)).alias(f"h{k}") for k, (p, base) in enumerate(FIELDS)],
+        F.min_by("begin", "chunk").alias("begin"),
+    )
+    counts = users.groupBy("n", "h0", "h1").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("user_id", "begin")).alias("one"))
+    kept = scratch.stored(not_after(scratch.stored(counts.select("count", "one.*"), "paths"), n, "begin"), "paths-begun")
+
+    def texts(chosen: DataFrame, most: int | None) -> DataFrame:
+        met = chosen.select("user_id", "count").join(upto, "user_id")
+        if most is not None:
+            met = top_per_group(met, ["user_id"], [F.asc("event_time"), F.asc("event_id")], most, "_k")
+        return met.groupBy("user_id", "count").agg(F.expr(f"listagg(event_type, '{ARROW}') WITHIN GROUP (ORDER BY event_time, event_id)").alias("path"))
+
+    begun = scratch.stored(not_after(texts(kept, FIRST_EVENTS), n, "path"), "paths-first")
+    best = texts(begun, None).select(F.col("path").alias("conversion_path"), F.col("count").alias("users")).orderBy(F.desc("users"), "conversion_path").limit(n)
+    out = stored(best, "paths-best")
+    scratch.close()
+    return out
+
+
 def paths_to_drop_off(
     events: DataFrame,
     drop_after: str,

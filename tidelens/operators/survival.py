@@ -240,14 +240,16 @@ def risk_factors(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, chur
     return by_platform.unionByName(by_orders).withColumn("churn_rate", ratio(F.col("churned"), F.col("total")))
 
 
-def retention_curve(events: DataFrame, by: str = "day", vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    """Share of buyers with an order on day d after their first or later, d up to 90."""
+def retention_curve(
+    events: DataFrame, by: str = "day", vocab: Vocabulary = DEFAULT_VOCABULARY, last_day: int | None = 90
+) -> DataFrame:
+    """Share of buyers with an order on day d after their first or later, d up to ``last_day`` (None: to the last order)."""
     us = micros(F.col("event_time"))
     last = (
         events.where(F.col("event_type") == vocab.order)
         .groupBy("user_id")
         .agg(whole_days(F.max(us) - F.min(us)).alias("day"))
-        .groupBy(F.least(F.col("day"), F.lit(90)).alias("day"))
+        .groupBy((F.col("day") if last_day is None else F.least(F.col("day"), F.lit(last_day))).alias("day"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     days = last.agg(F.max("day").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("day"))
