@@ -27,8 +27,10 @@ from tidelens.llm.shared import bits_set, folder, in_table, membership, partitio
 from tidelens.llm.words import U64, mix
 
 #: Bytes of a match and of an anchor's gram; batches; windows that are looked at together; different segs of a key in one task.
-LENGTH, GRAM, BATCHES, STRIDE, HOT = 100, 24, 4, 1 << 20, 20000
-_PLACE = 21  # bits of a position among STRIDE windows
+LENGTH, GRAM, BATCHES, STRIDE, HOT = 100, 24, 4, 1 << 17, 20000
+#: Bytes of entries that one task compares at once, but for a single key's; arrays over their windows are some fifty times as large.
+COMPARED = 1 << 20
+_PLACE = 21  # bits of a position, more than STRIDE windows and the bytes around them need
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _tables: dict[int, np.ndarray] = {}
@@ -207,7 +209,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = b.column(0).to_numpy()
         held.append(b)
         size += b.nbytes
-        if size > (8 << 20) and keys[0] != keys[-1]:  # all but the last key are complete
+        if size > COMPARED and keys[0] != keys[-1]:  # all but the last key are complete
             cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
             held[-1] = b.slice(0, cut)
             yield spans(pa.Table.from_batches(held))
