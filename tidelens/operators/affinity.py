@@ -69,26 +69,26 @@ def association_rules(
     floor_count = F.greatest(F.ceil(total * F.lit(float(min_support)) - F.lit(1e-9)), F.lit(1))
     items = baskets.groupBy("product_name").agg(F.count(F.lit(1)).alias("freq"))
     pairs = pair_counts(baskets, ["order_id"], "product_name", floor_count)
-    both = pairs.select(F.col("a").alias("antecedent"), F.col("b").alias("consequent"), "count").unionByName(
-        pairs.select(F.col("b").alias("antecedent"), F.col("a").alias("consequent"), "count")
+    # each pair meets its two items' numbers once, then becomes two rules
+    counted = (
+        pairs.where(total >= min_orders)
+        .where(ratio(F.col("count"), total) >= min_support)
+        .join(items.select(F.col("product_name").alias("a"), F.col("freq").alias("_na")), "a")
+        .join(items.select(F.col("product_name").alias("b"), F.col("freq").alias("_nb")), "b")
     )
-    fa = items.select(F.col("product_name").alias("antecedent"), F.col("freq").alias("_fa"))
-    fb = items.select(F.col("product_name").alias("consequent"), F.col("freq").alias("_fb"))
+
+    def rule(x: str, y: str, nx: str, ny: str) -> Column:
+        return F.struct(F.col(x).alias("antecedent"), F.col(y).alias("consequent"), F.col(nx).alias("_fa"), F.col(ny).alias("_fb"))
+
+    both = counted.select("count", F.explode(F.array(rule("a", "b", "_na", "_nb"), rule("b", "a", "_nb", "_na"))).alias("r")).select("count", "r.*")
     confidence = ratio(F.col("count"), F.col("_fa"))
-    return (
-        both.where(total >= min_orders)
-        .where(ratio(F.col("count"), total) >= min_support)
-        .join(fa, "antecedent")
-        .join(fb, "consequent")
-        .where(confidence >= min_confidence)
-        .select(
-            "antecedent",
-            "consequent",
-            percent(F.col("count"), total).alias("support"),
-            (confidence * 100).alias("confidence"),
-            F.try_divide(confidence, ratio(F.col("_fb"), total)).alias("lift"),
-            "count",
-        )
+    return both.where(confidence >= min_confidence).select(
+        "antecedent",
+        "consequent",
+        percent(F.col("count"), total).alias("support"),
+        (confidence * 100).alias("confidence"),
+        F.try_divide(confidence, ratio(F.col("_fb"), total)).alias("lift"),
+        "count",
     )
 
 

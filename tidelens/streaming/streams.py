@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -146,7 +147,7 @@ def live_session_features(
 
     State per user is four numbers: session start, last event, events, and a bit set of the event types seen.  A state is dropped once the
     watermark has passed the session gap.  Each micro-batch is ordered by (event_time, event_id) whatever its size: windows per
-    (user, hour) give the running values of partial sessions, which one small row each links to the open session and to each other.
+    (user, chunk) give the running values of partial sessions, which one small row each links to the open session and to each other.
     """
     seen = (vocab.homepage, vocab.product_view, vocab.add, vocab.checkout_button, vocab.order)
     types = list(dict.fromkeys((*seen, *vocab.event_types)))
@@ -250,12 +251,16 @@ def _batches(live: LiveFeatures, base: str) -> Callable[[DataFrame, int], None]:
         if number:
             latest = spark.read.schema("latest long").parquet(f"{base}/latest/{number - 1}").first()[0]
             state = spark.read.schema(_STATE).parquet(f"{base}/open/{number - 1}")
-        out, opened = live.step(rows, state, None if latest is None else latest - live.delay_us, f"{base}/linked/{number}")
-        for fn in live.then:
-            out = fn(out)
-        out.write.mode("overwrite").parquet(f"{base}/out/{number}")
-        opened.write.mode("overwrite").parquet(f"{base}/open/{number}")
-        now = rows.agg(F.greatest(F.max(F.unix_micros("event_time")), F.lit(latest).cast("long")).alias("latest"))
-        now.write.mode("overwrite").parquet(f"{base}/latest/{number}")
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # read by several jobs of the batch
+        try:
+            out, opened = live.step(rows, state, None if latest is None else latest - live.delay_us, f"{base}/linked/{number}")
+            for fn in live.then:
+                out = fn(out)
+            out.write.mode("overwrite").parquet(f"{base}/out/{number}")
+            opened.write.mode("overwrite").parquet(f"{base}/open/{number}")
+            now = rows.agg(F.greatest(F.max(F.unix_micros("event_time")), F.lit(latest).cast("long")).alias("latest"))
+            now.write.mode("overwrite").parquet(f"{base}/latest/{number}")
+        finally:
+            rows.unpersist()
 
     return run
