@@ -1,9 +1,11 @@
 import datetime as dt
+import random
+import shutil
 
 from pyspark.sql import functions as F
 
 from tidelens.operators import sessions
-from tidelens.streaming import streams
+from tidelens.streaming import live_state, streams
 
 T0 = dt.datetime(2024, 3, 1)
 SCHEMA = "user_id long, event_time timestamp, event_type string, event_id long"
@@ -62,3 +64,35 @@ def test_live_features_are_ordered_whatever_the_size_of_an_arrow_part(spark, tmp
     want.append((2, micro(max(at)), micro(max(at)), 1, 0.0))
     assert sorted(tuple(r[k] for k in ("user_id", "session_start_us", "event_us", "events_in_session", "session_duration_mins")) for r in got) == sorted(want)
     assert len({w[1] for w in want if w[0] == 1}) > 2
+
+
+def test_state_processor_equals_tables_over_batches_and_a_restart(spark, tmp_path):
+    base = str(tmp_path / "in")
+    rng = random.Random(21)
+    kinds = ["homepage_viewed", "product_page_viewed", "product_added", "checkout_completed", "other"]
+    i, now = 0, 0
+    for f in range(4):
+        rows = []
+        for _ in range(60):
+            now += rng.choice([0, 1, 4, 20])
+            rows.append((i, rng.randrange(5), now - rng.choice([0, 0, 25, 45]), rng.choice(kinds)))
+            i += 1
+        write(spark, base, f"f{f}", [(n, u, max(0, m), k) for n, u, m, k in rows])
+
+    def rows_of(df):
+        return sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+
+    def stream(pattern):
+        return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(pattern)
+
+    whole = rows_of(streams.run_available(streams.live_session_features(stream(f"{base}/*"))))
+    assert rows_of(streams.run_available(live_state.live_session_features(stream(f"{base}/*")))) == whole
+    # stopped after two files, and started again with the others
+    part, folder = str(tmp_path / "part"), str(tmp_path / "run")
+    shutil.copytree(f"{base}/f0", f"{part}/f0")
+    shutil.copytree(f"{base}/f1", f"{part}/f1")
+    first = rows_of(streams.run_available(live_state.live_session_features(stream(f"{part}/*")), folder))
+    shutil.copytree(f"{base}/f2", f"{part}/f2")
+    shutil.copytree(f"{base}/f3", f"{part}/f3")
+    assert 0 < len(first) < len(whole)
+    assert rows_of(streams.run_available(live_state.live_session_features(stream(f"{part}/*")), folder)) == whole

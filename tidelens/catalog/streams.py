@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tidelens.catalog import bindings as b
 from tidelens.catalog.bindings import EV
 from tidelens.catalog.behaviour import sess
-from tidelens.catalog.registry import query
+from tidelens.catalog.registry import query, twin
 from tidelens.models import predictors as pred
 from tidelens.operators import sessions
-from tidelens.streaming import streams
+from tidelens.streaming import live_state, streams
 
 V = b.VOCAB
 # Rows leave the state when the watermark (one hour behind the latest event) has passed their end.
@@ -70,6 +70,12 @@ def _(spark, sf):
     return streams.run_available(streams.live_session_features(_stream(spark, sf), V))
 
 
+@twin("str03_live_by_state", "str03_live_features")
+def _(spark, sf):
+    """The same features from a state store."""
+    return streams.run_available(live_state.live_session_features(_stream(spark, sf), V))
+
+
 @query(
     "str03_live_scores",
     f"""WITH {sess(30)} SELECT user_id, min(us) AS session_start_us, count(*) AS events_in_session, true AS as_in_batch FROM sx GROUP BY user_id, sno""",
