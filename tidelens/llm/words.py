@@ -12,7 +12,6 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 _POWERS = np.ones(1, U64)
-_BYTES = np.empty(0, U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,15 +24,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_values() -> np.ndarray:
-    global _BYTES
-    if not len(_BYTES):
-        _BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-    return _BYTES
-
-
 def powers(n: int) -> np.ndarray:
-    """1, m, m², … (n of them, modulo 2**64) of the word hash's odd multiplier."""
+    """1, m, m², … (n of them, modulo 2**64) of an odd multiplier."""
     global _POWERS
     if len(_POWERS) < n:
         p = np.full(max(n, 2 * len(_POWERS), 256), 0xD6E8FEB86659FD93, U64)
@@ -54,13 +46,18 @@ def tokens(texts: list[bytes], separators: np.ndarray = SPACES) -> tuple[np.ndar
 
 
 def hashes(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
+    """A 64-bit hash of each word: the sum of its blocks of eight bytes, each mixed with its place, mixed with the length."""
     if not len(starts):
         return np.empty(0, U64)
-    firsts = np.cumsum(lengths) - lengths
-    within = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
-    values = _byte_values()[buf[within + np.repeat(starts, lengths)]] * powers(int(lengths.max()))[within]
-    return mix(np.add.reduceat(values, firsts) + lengths.astype(U64))
+    padded = np.r_[buf, np.zeros(8, np.uint8)]
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    blocks = (lengths + 7) // 8
+    firsts = np.cumsum(blocks) - blocks
+    number = np.arange(int(blocks.sum())) - np.repeat(firsts, blocks)
+    inside = np.minimum(np.repeat(lengths, blocks) - 8 * number, 8)
+    values = eight[8 * number + np.repeat(starts, blocks)] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(8) * (8 - inside).astype(U64)))
+    place = mix((number.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(mix(mix(values ^ place) + place), firsts) + lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def shingles(words: np.ndarray, text: np.ndarray, n_texts: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
