@@ -1,38 +1,45 @@
 """Language-model scores by a hierarchical Pitman-Yor model: Chinese-restaurant seating, sampled by Gibbs, averaged predictions.
 
-* A restaurant for each frequent word (and for the beginning of a text) seats the words that follow it.  All share one parent restaurant;
-  what follows rarer words sits in the parent itself, whose base is uniform over the vocabulary and one unknown word.
-* Words are dealt to shards by hash, with all their contexts, so a shard seats its words alone: it needs only the number of tables of each
-  restaurant, which the shards sum up between rounds.  A shard is one row of a table in the shared folder.
-* Words with a fixed share of all tokens, of which there can be few, are counted before any shuffle and seated on the driver.
-* Groups of 2 to ``SEATED`` equal customers are reseated customer by customer; of larger groups the number of tables is drawn, in blocks.
+* A restaurant for each frequent word, for each of ``CLASSES`` classes of the other words (by hash) and for the beginning of a text seats
+  the words that follow it.  All share one parent restaurant, whose base is uniform over the vocabulary and one unknown word.
+* The state of a group of equal customers is its number of tables.  A sweep draws it for every group from its law given all the rest,
+  P(t) ~ S(c, t) new**t with the generalised Stirling numbers S, which holds for groups of every size.
+* Texts come in pieces of 16 MB.  A piece sends each shard its different (context, word) pairs once, with their counts, and gets their
+  probabilities back; the documents are put together again from the pieces.
+* Words are dealt to shards by hash, with all their contexts; those of frequent words by word and context.  A shard seats its words alone:
+  it needs only the tables of each restaurant and of the frequent words, which the shards sum up between rounds.
 * The last round's samples are drawn twice with one seed: first for their table counts, then, with these, for the probabilities.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.shared import partitions, pieces, saved
+from tidelens.llm.shared import pieces, saved
 from tidelens.llm.words import U64, hashes, mix, tokens
 
-#: Shares of all tokens from which a word is counted beforehand, and from which it is a context: at most 2 / share words each.
-COMMON, CONTEXT = 2e-4, 1e-3
-#: Tokens of a shard; customers of one kind that are seated one by one; sweeps before the first sample; samples.
-SHARD_TOKENS, SEATED, SWEEPS, SAMPLES = 1 << 21, 32, 4, 4
+#: Shares of all tokens from which a word's pairs are dealt by context, and from which it has a restaurant of its own.
+COMMON, CONTEXT = 2e-4, 1e-4
+#: Restaurants that the other words share by hash; with at most 1 / CONTEXT own ones and the beginning they stay below 2**15.
+CLASSES = 1 << 14
+#: Tokens of a shard; bytes of a piece; sweeps of a round before its first sample; samples.
+SHARD_TOKENS, PIECE_BYTES, SWEEPS, SAMPLES = 1 << 21, 1 << 24, 3, 4
+#: Customers up to which the Stirling numbers are a table; beyond, its last row is scaled.
+TABLED = 512
 STRENGTH = 1.0
 _END = U64(0x0E7D)  # stands for the end of a text; no word's hash is looked at here
-_NO_CONTEXT = -1
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens (each text's words, then its end), their text numbers, and which begin a text."""
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buf, starts, lengths, text = tokens(texts)
     h = hashes(buf, starts, lengths)
     counts = np.bincount(text, minlength=len(texts))
@@ -44,6 +51,13 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(len(texts)), counts + 1), np.r_[True, is_end[:-1]][: len(out)]
 
 
+def words(texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens (each text's words, then its end), their text numbers, and which begin a text; hashed in blocks of bytes."""
+    cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // block, prepend=-1)).tolist() + [len(texts)]
+    parts = [(a, _words(texts[a:b])) for a, b in zip(cuts, cuts[1:])]
+    return np.concatenate([p[0] for _, p in parts]), np.concatenate([p[1] + a for a, p in parts]), np.concatenate([p[2] for _, p in parts])
+
+
 def place(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Index in a sorted array, -1 where absent."""
     if not len(sorted_):
@@ -53,14 +67,16 @@ def place(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def contexts(w: np.ndarray, begins: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Context number of each token: the word before if it is one of ``known``, their number at a beginning, else _NO_CONTEXT."""
+    """Restaurant of each token: that of the word before, its class's if it is none of ``known``, the first at a beginning."""
     before = np.r_[U64(0), w[:-1]]
-    return np.where(begins, len(known), place(known, before)).astype(np.int16)
+    own = place(known, before)
+    shared = 1 + len(known) + (mix(before + U64(29)) % U64(CLASSES)).astype(np.int64)
+    return np.where(begins, 0, np.where(own >= 0, 1 + own, shared)).astype(np.int16)
 
 
 @dataclass
 class Totals:
-    """What shards need of the others: customers and tables of each context, of the parent, and the vocabulary."""
+    """What shards need of the others: customers and tables of each restaurant, of the parent, of the frequent words, the vocabulary."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -69,190 +85,246 @@ class Totals:
     vocabulary: int
     discount: float
     parent_discount: float
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
+
+    @property
+    def fresh(self) -> float:
+        """Weight of a new table of the parent."""
+        return (STRENGTH + self.parent_discount * self.parent_tables) / (self.vocabulary + 1)
 
     def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        new = (STRENGTH + self.parent_discount * self.parent_tables) / (self.vocabulary + 1)
-        return (customers - self.parent_discount * tables + new) / (STRENGTH + self.parent_customers)
+        return (customers - self.parent_discount * tables + self.fresh) / (STRENGTH + self.parent_customers)
+
+
+@lru_cache(maxsize=4)
+def stirling(discount: float, most: int = TABLED) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S(c, t) for c and t up to ``most``: S(c+1, t) = S(c, t-1) + (c - discount t) S(c, t)."""
+    out = np.full((most + 1, most + 2), -np.inf)
+    out[1, 1] = 0
+    t = np.arange(1, most + 1)
+    for c in range(1, most):
+        with np.errstate(divide="ignore"):
+            stay = np.where(t <= c, np.log(np.maximum(c - discount * t, 1e-300)), -np.inf) + out[c, 1:-1]
+        out[c + 1, 1:-1] = np.logaddexp(stay, out[c, :-2])
+    return out
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    y = x + 7
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - np.log(np.multiply.reduce([x + k for k in range(7)]))
+
+
+def log_stirling(customers: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """log S(c, t) up to a constant of c, for c beyond the table.
+
+    S(c, t) discount**(t-1) gamma(t) gamma(1-discount) c**discount / gamma(c) tends to a function of t / c**discount alone; the table's last
+    row gives that function.
+    """
+    most = TABLED
+    k = np.arange(1.0, most + 1)
+    knots = stirling(discount)[most, 1:-1] + (k - 1) * np.log(discount) + _lgamma(k) + lgamma(1 - discount) - lgamma(most) + discount * np.log(most)
+    return np.interp(t * (most / customers) ** discount, np.r_[0, k], np.r_[0, knots]) - (t - 1) * np.log(discount) - _lgamma(t)
+
+
+def _drawn(logits: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Column drawn in each row of weights given by their logarithms."""
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p = np.cumsum(p, axis=1)
+    return np.minimum((p < (rng.random(len(p)) * p[:, -1])[:, None]).sum(axis=1), p.shape[1] - 1)
 
 
 def draw_tables(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of groups of equal customers who come in one after the other; ``new``: weight of a new table."""
+    """Numbers of tables of groups of equal customers, each from its law given the rest; ``new``: weight of a new table."""
     tables = np.minimum(customers, 1).astype(np.float64)
-    order = np.argsort(-customers, kind="stable")
-    c, t, n = customers[order], tables[order], new[order]
-    seated = 1
-    while True:
-        many = int(np.searchsorted(-c, -seated, "left"))  # groups with more customers than are seated
-        if not many:
-            break
-        block = 1 if seated < SEATED else seated // 4  # later ones in blocks, during which the chance stays
-        more = np.minimum(block, c[:many] - seated).astype(np.int64)
-        chance = n[:many] / (n[:many] + np.maximum(seated - discount * t[:many], 1e-9))
-        t[:many] += rng.binomial(more, np.clip(chance, 0, 1))
-        seated += block
-    tables[order] = t
+    some = np.flatnonzero(customers > 1)
+    some = some[np.argsort(customers[some], kind="stable")]
+    c_sorted = customers[some]
+    with np.errstate(divide="ignore"):
+        log_new = np.log(new)
+    sizes, starts = np.unique(c_sorted[c_sorted <= TABLED], return_index=True)
+    for c, a, b in zip(sizes.tolist(), starts.tolist(), [*starts.tolist()[1:], int((c_sorted <= TABLED).sum())]):
+        t = np.arange(1.0, c + 1)
+        for i in range(a, b, max(1, (1 << 18) // c)):
+            rows = some[i : min(b, i + max(1, (1 << 18) // c))]
+            tables[rows] = 1 + _drawn(stirling(discount)[c, 1 : c + 1] + t * log_new[rows, None], rng)
+    large = some[c_sorted > TABLED]
+    steps = np.linspace(0, 1, 1025)
+    for i in range(0, len(large), 256):
+        rows = large[i : i + 256]
+        c = customers[rows].astype(np.float64)[:, None]
+        # cells of whole numbers of tables, wider the more there are; a number is drawn inside its cell
+        edges = np.round(np.exp(steps * np.log(TABLED * (c / TABLED) ** discount + 1)))
+        width, middle = np.diff(edges, axis=1), (edges[:, 1:] + edges[:, :-1] - 1) / 2
+        with np.errstate(divide="ignore"):
+            logits = log_stirling(c, np.maximum(middle, 1), discount) + middle * log_new[rows, None] + np.log(width)
+        cell = _drawn(logits, rng)
+        at = np.arange(len(rows))
+        tables[rows] = np.minimum(edges[at, cell] + np.floor(rng.random(len(rows)) * width[at, cell]), c[:, 0])
     return tables
 
 
-class Seats:
-    """Table sizes of groups of 2 to SEATED equal customers, by number of customers."""
-
-    def __init__(self, customers: np.ndarray):
-        self.groups = [(np.flatnonzero(customers == c), c) for c in range(2, SEATED + 1)]
-        self.sizes = []
-        for rows, c in self.groups:
-            s = np.zeros((len(rows), c), np.int16)
-            s[:, 0] = c
-            self.sizes.append(s)
-
-    def sweep(self, tables: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-        """Takes one customer of every group from its table and seats it again."""
-        for (rows, c), sizes in zip(self.groups, self.sizes, strict=True):
-            if not len(rows):
-                continue
-            all_rows = np.arange(len(rows))
-            leaving = (np.cumsum(sizes, axis=1) > rng.integers(c, size=len(rows))[:, None]).argmax(axis=1)
-            sizes[all_rows, leaving] -= 1
-            weight = np.maximum(sizes - discount, 0)
-            total = weight.sum(axis=1)
-            draw = rng.random(len(rows)) * (total + new[rows])
-            old = (np.cumsum(weight, axis=1) > draw[:, None]).argmax(axis=1)
-            at = np.where(draw < total, old, sizes.argmin(axis=1))
-            sizes[all_rows, at] += 1
-            tables[rows] = (sizes > 0).sum(axis=1)
-
-
-def sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, totals: Totals, seed: int, sweeps: int = SWEEPS, samples: int = SAMPLES):
-    """Samples of (tables of each pair, parent customers and tables of each word) for pairs (word number, context, training count)."""
+def sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, hot: np.ndarray, totals: Totals, seed: int, sweeps: int = SWEEPS, samples: int = SAMPLES):
+    """Samples of (tables of each pair, parent customers and tables of each word) for pairs (word number, context, training count).
+
+    ``hot``: for each word its number among the frequent ones, whose parent customers and tables are those of ``totals``; else -1.
+    """
     rng = np.random.default_rng(seed)
-    own = context >= 0
-    direct = np.bincount(word[~own], count[~own], n_words)
-    u = np.where(own, context, 0)
-    tables = np.where(own, np.minimum(count, 1), 0).astype(np.float64)
-    seats = Seats(np.where(own, count, 0))
-    large = np.flatnonzero(own & (count > SEATED))
-    parent_customers = direct + np.bincount(word, tables, n_words)
-    parent_tables = np.minimum(parent_customers, 1)
+    own, n_words = hot < 0, len(hot)
+    theirs = np.maximum(hot, 0)
+    tables = np.minimum(count, 1).astype(np.float64)
+    fixed = [np.where(own, 0, a[theirs]) for a in (totals.hot_customers, totals.hot_tables)]
+    parent_customers = np.where(own, np.bincount(word, tables, n_words), fixed[0])
+    parent_tables = np.where(own, np.minimum(parent_customers, 1), fixed[1])
+    weight = STRENGTH + totals.discount * totals.tables[context]
     for step in range(sweeps + samples):
-        base = totals.parent(parent_customers, parent_tables)
-        new = (STRENGTH + totals.discount * totals.tables[u]) * base[word]
-        seats.sweep(tables, new, totals.discount, rng)
-        tables[large] = draw_tables(count[large], new[large], totals.discount, rng)
-        parent_customers = direct + np.bincount(word, tables, n_words)
-        fresh = (STRENGTH + totals.parent_discount * totals.parent_tables) / (totals.vocabulary + 1)
-        parent_tables = draw_tables(parent_customers.astype(np.int64), np.full(n_words, fresh), totals.parent_discount, rng)
+        tables = draw_tables(count, weight * totals.parent(parent_customers, parent_tables)[word], totals.discount, rng)
+        parent_customers = np.where(own, np.bincount(word, tables, n_words), fixed[0])
+        drawn = draw_tables(np.where(own, parent_customers, 0).astype(np.int64), np.full(n_words, totals.fresh), totals.parent_discount, rng)
+        parent_tables = np.where(own, drawn, fixed[1])
         if step >= sweeps:
-            yield tables.copy(), parent_customers, parent_tables
+            yield tables, parent_customers, parent_tables
 
 
-def predicted(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, totals: list[Totals], seen: Totals, seed: int) -> np.ndarray:
+def predicted(word: np.ndarray, context: np.ndarray, count: np.ndarray, hot: np.ndarray, totals: list[Totals], seen: Totals, seed: int) -> np.ndarray:
     """Probability of each pair's word after its context, averaged over the samples; ``totals``: those of each sample."""
     p = np.zeros(len(word))
-    u = np.where(context >= 0, context, 0)
-    for now, (tables, customers, parent_tables) in zip(totals, sampled(word, context, count, n_words, seen, seed), strict=True):
+    theirs = np.maximum(hot, 0)
+    for now, (tables, customers, parent_tables) in zip(totals, sampled(word, context, count, hot, seen, seed), strict=True):
+        customers, parent_tables = (np.where(hot < 0, a, b[theirs]) for a, b in ((customers, now.hot_customers), (parent_tables, now.hot_tables)))
         base = now.parent(customers, parent_tables)[word]
-        own = (np.maximum(count - now.discount * tables, 0) + (STRENGTH + now.discount * now.tables[u]) * base) / (STRENGTH + now.customers[u])
-        p += np.where(context >= 0, own, base)
+        p += (np.maximum(count - now.discount * tables, 0) + (STRENGTH + now.discount * now.tables[context]) * base) / (STRENGTH + now.customers[context])
     return p / len(totals)
 
 
-SHARD = "shard int, words binary, word binary, context binary, count binary, rows binary, ids binary, sizes binary, pairs binary"
+SHARD = "shard int, words binary, hot binary, word binary, context binary, count binary, pieces binary, sizes binary, inverse binary"
+PACKET = "shard int, piece long, words binary, n binary, context binary, count binary"
+PART = "piece long, shard int, a binary, b binary, c binary"
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _seed(shard: int) -> int:
     return 1000003 * (shard + 2)
 
 
-def score(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", common: float = COMMON, context: float = CONTEXT, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [f for f, _ in fields])
+
+
+@dataclass
+class Layout:
+    """The different (word, context) pairs of a piece in the order of shard, word and context, and the pair of each token."""
+
+    words: np.ndarray
+    context: np.ndarray
+    count: np.ndarray
+    shard: np.ndarray
+    token: np.ndarray
+    sizes: np.ndarray
+    piece: int
+
+
+def laid_out(texts: list[bytes], teaches: np.ndarray, known: np.ndarray, hot: np.ndarray, shards: int, number: int) -> Layout:
+    """``number``: of the piece in its partition.  A piece is named by it and its pairs, so pieces of one name have equal probabilities."""
+    w, text, begins = words(texts)
+    u = contexts(w, begins, known)
+    key, first, token = np.unique(mix(mix(w) + u.astype(U64)), return_index=True, return_inverse=True)
+    count = np.bincount(token, teaches[text], len(key)).astype(np.int32)
+    w, u = w[first], u[first]
+    spread = np.where(place(hot, w) >= 0, mix(u.astype(U64) + U64(1)), U64(0))
+    shard = (mix(w + spread + U64(17)) % U64(shards)).astype(np.int32)
+    order = np.lexsort((u, w, shard))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    name = mix(mix(np.array([number], np.int64).view(U64)) + key.sum(dtype=U64) + U64(len(token)))
+    return Layout(w[order], u[order], count[order], shard[order], rank[token], np.bincount(text, minlength=len(texts)), int(name.view(np.int64)[0]))
+
+
+def score(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", common: float = COMMON, context: float = CONTEXT, shard_tokens: int = SHARD_TOKENS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Scores of every document with an id by a model of those for which ``teaches`` (a condition on ``docs``) holds.
 
     doc_id, n_tokens (words and the end), n_known (of these, in the training tokens), train_tokens, base_score (add-one unigrams) and score
     (log10 of the model's probability of the text).  Null and empty texts are the end alone.  A null condition does not teach.  Repeated
-    rows are reported each.  An empty table gives no rows; without training text every word is the unknown one.
+    rows are reported each.  An empty table gives no rows; without training text every word is the unknown one.  ``docs`` is read four
+    times and has to hold the same rows in the same order each time, as a stored table does; otherwise the job fails.
     """
-    spark = docs.sparkSession
-    named = docs.select(
-        docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.coalesce(teaches, F.lit(False)).alias("teaches"), F.monotonically_increasing_id().alias("row")
-    ).where("doc_id is not null")
+    named = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.coalesce(teaches, F.lit(False)).alias("teaches")).where("doc_id is not null")
+    least = min(common, context)
+
+    def learning(part: pa.RecordBatch) -> np.ndarray:
+        return part.column(2).to_numpy(zero_copy_only=False).astype(bool)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, _ in pieces(batches):
-            w, _, _ = words(texts)
-            h, c = np.unique(w, return_counts=True)
-            often = (c >= common / 2 * len(w)) & (h != _END)
-            yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often]), pa.array(np.zeros(int(often.sum()), bool))], ["word", "c", "total"])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([len(w)], pa.int64()), pa.array([True])], ["word", "c", "total"])
-
-    counted = named.mapInArrow(frequent, "word long, c long, total boolean").groupBy("word", "total").agg(F.sum("c").alias("c"))
-    counted = saved(counted, "frequent")
-    n_all = counted.where("total").agg(F.sum("c")).first()[0] or 0
-    found = counted.where(~F.col("total") & (F.col("c") >= common / 2 * n_all)).toArrow()
-    hot, hot_c = found.column("word").to_numpy().view(U64), found.column("c").to_numpy()
-    known = np.sort(hot[hot_c >= context * n_all])
-    hot = np.sort(np.r_[hot, _END])
-    n_contexts = len(known) + 1
+        """Words with half the least share of a piece's training tokens; kind 1: training tokens, kind 2: all tokens."""
+        for texts, part in pieces(batches, limit=piece_bytes):
+            w, text, _ = words(texts)
+            h, c = np.unique(w[learning(part)[text]], return_counts=True)
+            often = (c >= least / 2 * c.sum()) & (h != _END)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[h[often].view(np.int64), 0, 0]), pa.array(np.r_[c[often], c.sum(), len(w)].astype(np.int64)), pa.array(np.r_[np.zeros(int(often.sum())), 1, 2].astype(np.int32))], ["word", "c", "kind"])
+
+    counted = saved(named.mapInArrow(frequent, "word long, c long, kind int").groupBy("word", "kind").agg(F.sum("c").alias("c")), "frequent")
+    sums = {r["kind"]: r["c"] for r in counted.where("kind > 0").groupBy("kind").agg(F.sum("c").alias("c")).collect()}
+    n, n_all = sums.get(1, 0), sums.get(2, 0)
+    candidates = np.sort(counted.where((F.col("kind") == 0) & (F.col("c") >= least / 2 * n)).select("word").toArrow().column("word").to_numpy().view(U64))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.zeros(len(candidates), np.int64)
+        for texts, part in pieces(batches):
+            w, text, _ = words(texts)
+            at = place(candidates, w[learning(part)[text]])
+            c += np.bincount(at[at >= 0], minlength=len(c))
+        yield pa.RecordBatch.from_arrays([pa.array(candidates.view(np.int64)), pa.array(c)], ["word", "c"])
+
+    found = named.mapInArrow(exact, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).toArrow()
+    often, often_c = found.column("word").to_numpy().view(U64), found.column("c").to_numpy()
+    known = np.sort(often[often_c >= context * n])
+    hot = np.sort(np.r_[often[often_c >= common * n], _END])
+    n_contexts, n_hot = 1 + len(known) + CLASSES, len(hot)
     shards = max(1, -(-n_all // shard_tokens))
 
+    def layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Layout, pa.RecordBatch]]:
+        for i, (texts, part) in enumerate(pieces(batches, limit=piece_bytes)):
+            yield laid_out(texts, learning(part), known, hot, shards, i), part
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Frequent words' training counts by context (shard -1), and all other tokens, packed for each shard."""
-        names = ["shard", "words", "context", "count", "rows", "ids", "sizes", "teaches"]
-        for texts, part in pieces(batches):
-            w, text, begins = words(texts)
-            ids, learn, rows = part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False).astype(bool), part.column(3).to_numpy()
-            u, at = contexts(w, begins, known), place(hot, w)
-            pair = at[(at >= 0) & learn[text]] * (n_contexts + 1) + u[(at >= 0) & learn[text]] + 1
-            pair, c = np.unique(pair, return_counts=True)
-            out = [(-1, b"", (pair % (n_contexts + 1) - 1).astype(np.int16).tobytes(), c.astype(np.int64).tobytes(), (pair // (n_contexts + 1)).astype(np.int64).tobytes(), b"", b"", b"")]
-            cold = np.flatnonzero(at < 0)
-            shard = (mix(w[cold] + U64(17)) % U64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        for x, _ in layouts(batches):
+            cuts = np.searchsorted(x.shard, np.arange(shards + 1))
+            rows = []
             for k in np.flatnonzero(np.diff(cuts)).tolist():
-                mine = cold[order[cuts[k] : cuts[k + 1]]]
-                new = np.flatnonzero(np.r_[True, text[mine][1:] != text[mine][:-1]])
-                t = text[mine][new]
-                out.append((k, w[mine].tobytes(), u[mine].tobytes(), b"", rows[t].tobytes(), ids[t].tobytes(), np.diff(np.r_[new, len(mine)]).astype(np.int32).tobytes(), learn[t].tobytes()))
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names)
-
-    packed = "shard int, words binary, context binary, count binary, rows binary, ids binary, sizes binary, teaches binary"
+                mine = slice(cuts[k], cuts[k + 1])
+                first = np.flatnonzero(np.r_[True, x.words[mine][1:] != x.words[mine][:-1]])
+                n_of = np.diff(np.r_[first, cuts[k + 1] - cuts[k]]).astype(np.int32)
+                rows.append((k, x.piece, x.words[mine][first].tobytes(), n_of.tobytes(), x.context[mine].tobytes(), x.count[mine].tobytes()))
+            yield _rows(PACKET, rows)
 
     def gathered(table: pa.Table) -> pa.Table:
-        """A shard's words, pairs and tokens from all its packets."""
+        """A shard's words and pairs, and the pairs of each piece."""
+        table = table.sort_by("piece")
 
         def whole(name: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
-        w, u, sizes, learn = whole("words", U64), whole("context", np.int16), whole("sizes", np.int32), whole("teaches", bool)
-        named_, word = np.unique(w, return_inverse=True)
-        pair, inverse = np.unique(word * (n_contexts + 1) + u + 1, return_inverse=True)
-        count = np.bincount(inverse, np.repeat(learn, sizes), len(pair)).astype(np.int64)
-        values = [named_.tobytes(), (pair // (n_contexts + 1)).astype(np.int32).tobytes(), (pair % (n_contexts + 1) - 1).astype(np.int16).tobytes(), count.astype(np.int32 if not len(count) or count.max() < 2**31 else np.int64).tobytes()]
-        tail = [whole("rows", np.int64).tobytes(), whole("ids", np.int64).tobytes(), sizes.tobytes(), inverse.astype(np.int32).tobytes()]
-        return pa.table([table.column("shard")[:1], *(pa.array([v], pa.binary()) for v in values + tail)], [c.split()[0] for c in SHARD.split(", ")])
-
-    packets = named.mapInArrow(dealt, packed)
-    stored = saved(packets.where("shard >= 0").repartition(min(shards, 100000), "shard").groupBy("shard").applyInArrow(gathered, SHARD), "shards")
-
-    def hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                columns = [np.frombuffer(r["rows"], np.int64), np.frombuffer(r["context"], np.int16).astype(np.int64), np.frombuffer(r["count"], np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "u", "c"])
-
-    pairs = packets.where("shard = -1").mapInArrow(hot_counts, "word long, u long, c long").groupBy("word", "u").agg(F.sum("c").alias("c")).toArrow()
-    order = np.lexsort((pairs.column("u").to_numpy(), pairs.column("word").to_numpy()))
-    hw, hu, hc = (pairs.column(k).to_numpy()[order] for k in ("word", "u", "c"))
+        w, u, count = np.repeat(whole("words", U64), whole("n", np.int32)), whole("context", np.int16), whole("count", np.int32)
+        sizes = np.array([len(c) // 2 for c in table.column("context").to_pylist()], np.int32)
+        pair, first, inverse = np.unique(mix(mix(w) + u.astype(U64)), return_index=True, return_inverse=True)
+        named_, word = np.unique(w[first], return_inverse=True)
+        order = np.lexsort((u[first], word))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        total = np.bincount(inverse, count, len(pair)).astype(np.int64)[order]
+        columns = [named_, place(hot, named_).astype(np.int32), word[order].astype(np.int32), u[first][order], total, table.column("piece").to_numpy(), sizes, rank[inverse]]
+        return pa.Table.from_batches([_rows(SHARD, [(table.column("shard")[0].as_py(), *(c.tobytes() for c in columns))])])
 
-    def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        word = np.frombuffer(row["word"], np.int32)
-        kind = np.int64 if len(row["count"]) == 8 * len(word) and len(word) else np.int32
-        return word, np.frombuffer(row["context"], np.int16).astype(np.int64), np.frombuffer(row["count"], kind).astype(np.int64), len(row["words"]) // 8
+    stored = saved(named.mapInArrow(dealt, PACKET).repartition(min(shards, 100000), "shard").groupBy("shard").applyInArrow(gathered, SHARD), "shards")
 
-    small = stored.select("shard", "words", "word", "context", "count")
+    def opened(row: dict) -> tuple[np.ndarray, ...]:
+        kinds = {"word": np.int32, "context": np.int16, "count": np.int64, "hot": np.int32}
+        return tuple(np.frombuffer(row[k], kind).astype(np.int64) for k, kind in kinds.items())
 
-    def summed(fn, width: int) -> np.ndarray:
-        """Sum over all shards of the vectors that ``fn`` makes of a shard's pairs."""
+    def summed(fn, width: int, block: int = 4096) -> np.ndarray:
+        """Sum over all shards of the vectors that ``fn`` makes of a shard's pairs; it travels in blocks."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(width)
@@ -260,103 +332,94 @@ def score(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: st
                 for i in range(b.num_rows):
                     row = b.slice(i, 1).to_pylist()[0]
                     total += fn(row["shard"], *opened(row))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "v"])
+            yield _rows("at int, v binary", [(i, total[i : i + block].tobytes()) for i in range(0, width, block)])
 
-        got = small.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+        def added(table: pa.Table) -> pa.Table:
+            v = np.sum([np.frombuffer(x, np.float64) for x in table.column("v").to_pylist()], axis=0)
+            return pa.Table.from_batches([_rows("at int, v binary", [(table.column("at")[0].as_py(), v.tobytes())])])
+
+        got = stored.select("shard", "hot", "word", "context", "count").mapInArrow(run, "at int, v binary").groupBy("at").applyInArrow(added, "at int, v binary").toArrow()
         out = np.zeros(width)
-        out[got.column("k").to_numpy()] = got.column("v").to_numpy()
+        for at, v in zip(got.column("at").to_pylist(), got.column("v").to_pylist(), strict=True):
+            out[at : at + block] = np.frombuffer(v, np.float64)
         return out
 
-    def shape(_, word, u, c, n_words) -> np.ndarray:
-        """Customers of each context, then: tokens, words, pairs and parent groups with one and with two customers."""
-        own = (u >= 0) & (c > 0)
-        direct = np.bincount(word, np.where(u >= 0, c > 0, c), n_words)
-        figures = [c.sum(), (np.bincount(word, c, n_words) > 0).sum(), (c[own] == 1).sum(), (c[own] == 2).sum(), (direct == 1).sum(), (direct == 2).sum()]
-        return np.r_[np.bincount(u[own], c[own], n_contexts), figures]
-
-    def tables_of(states, u: np.ndarray) -> np.ndarray:
-        """For each sample the tables of each context, then customers and tables of the parent."""
-        own = u >= 0
-        return np.concatenate([np.r_[np.bincount(u[own], t[own], n_contexts), pc.sum(), pt.sum()] for t, pc, pt in states])
-
-    n_hot = len(hot)
-    figures = summed(shape, n_contexts + 6) + shape(0, hw, hu, hc, n_hot)
-    n, vocabulary, one, two, parent_one, parent_two = figures[n_contexts:]
-    rate = [np.clip(a / (a + 2 * b) if a else 0.5, 0.05, 0.95) for a, b in ((one, two), (parent_one, parent_two))]
-    totals = Totals(figures[:n_contexts], np.ones(n_contexts), n, vocabulary, int(vocabulary), *rate)
-
-    def round_(now: Totals) -> list[Totals]:
-        def seated(shard, word, u, c, n_words) -> np.ndarray:
-            return tables_of(sampled(word, u, c, n_words, now, _seed(shard)), u)
-
-        sums = summed(seated, SAMPLES * (n_contexts + 2)) + seated(-1, hw, hu, hc, n_hot)
-        return [Totals(now.customers, s[:-2], s[-2], s[-1], now.vocabulary, now.discount, now.parent_discount) for s in sums.reshape(SAMPLES, -1)]
-
-    for _ in range(2):
-        totals = round_(totals)[-1]
-    last = round_(totals)
-
-    def base_of(count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 1) / (n + vocabulary + 1))
+    def by_hot(word: np.ndarray, values: np.ndarray, hot_of: np.ndarray) -> np.ndarray:
+        return np.bincount(hot_of[word] + 1, values, n_hot + 1)[1:]
+
+    def shape(_, word, u, c, hot_of) -> np.ndarray:
+        """Customers and pairs of each context, tokens and pairs of each frequent word, figures of pairs and of other words."""
+        some, own = (c > 0).astype(np.float64), hot_of < 0
+        of_word, pairs = np.bincount(word, c, len(hot_of))[own], np.bincount(word, some, len(hot_of))[own]
+        figures = [(c == 1).sum(), (c == 2).sum(), (of_word > 0).sum(), pairs.sum(), (pairs == 1).sum(), (pairs == 2).sum()]
+        return np.r_[np.bincount(u, c, n_contexts), np.bincount(u, some, n_contexts), by_hot(word, c, hot_of), by_hot(word, some, hot_of), figures]
+
+    customers, kinds, hot_count, hot_kinds, figures = np.split(summed(shape, 2 * (n_contexts + n_hot) + 6), np.cumsum([n_contexts, n_contexts, n_hot, n_hot]))
+    one, two, cold_words, cold_pairs, parent_one, parent_two = figures
+    rate = [float(np.clip(a / (a + 2 * b) if a else 0.5, 0.05, 0.95)) for a, b in ((one, two), (parent_one, parent_two))]
+    vocabulary = int(cold_words + (hot_count > 0).sum())
+    totals = Totals(customers, kinds, cold_pairs + hot_kinds.sum(), vocabulary, vocabulary, *rate, hot_kinds, np.minimum(hot_kinds, 1))
+
+    def round_(now: Totals, samples: int, number: int) -> list[Totals]:
+        def seated(shard, word, u, c, hot_of) -> np.ndarray:
+            own = hot_of < 0
+            states = sampled(word, u, c, hot_of, now, _seed(shard), samples=samples)
+            return np.concatenate([np.r_[np.bincount(u, t, n_contexts), by_hot(word, t, hot_of), served[own].sum(), at[own].sum()] for t, served, at in states])
+
+        out = []
+        rng = np.random.default_rng(number)
+        for s in summed(seated, samples * (n_contexts + n_hot + 2)).reshape(samples, -1):
+            served = s[n_contexts:-2]
+            seats = draw_tables(served.astype(np.int64), np.full(n_hot, now.fresh), now.parent_discount, rng)
+            out.append(replace(now, tables=s[:n_contexts], parent_customers=s[-2] + served.sum(), parent_tables=s[-1] + seats.sum(), hot_customers=served, hot_tables=seats))
+        return out
 
-    totals_of = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"]
+    for number in range(2):
+        totals = round_(totals, 1, number)[-1]
+    last = round_(totals, SAMPLES, 2)
 
-    def cold_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each piece the logarithms of its pairs' probabilities, and differences of their words' training counts."""
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                word, u, c, n_words = opened(row)
-                p = np.log10(predicted(word, u, c, n_words, last, totals, _seed(row["shard"])))
-                count = np.bincount(word, c, n_words)[word]
-                base, pair = base_of(count), np.frombuffer(row["pairs"], np.int32)
-                rows, ids, sizes = np.frombuffer(row["rows"], np.int64), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int32)
-                starts = np.cumsum(sizes) - sizes
-                sums = [np.add.reduceat((count > 0)[pair].astype(np.int64), starts), np.add.reduceat(base[pair], starts), np.add.reduceat(p[pair], starts)]
-                bucket = (mix(rows.view(U64)) % U64(2 * shards)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(2 * shards + 1))
-                used = np.flatnonzero(np.diff(cuts))
-                packs = [[c[order[cuts[k] : cuts[k + 1]]].tobytes() for k in used] for c in (rows, ids, sizes.astype(np.int64), *sums)]
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(c, pa.binary()) for c in packs)], ["bucket", *totals_of])
-
-    def added(table: pa.Table) -> pa.Table:
-        """One row for each document of a bucket from the packets of all shards."""
-        kinds = [np.int64] * 4 + [np.float64] * 2
-        values = [np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in zip(totals_of, kinds, strict=True)]
-        rows, first, group = np.unique(values[0], return_index=True, return_inverse=True)
-        sums = [np.bincount(group, v, len(rows)).astype(k) for v, k in zip(values[2:], kinds[2:], strict=True)]
-        return pa.table([rows, values[1][first], *sums], totals_of)
-
-    # every pair of a frequent word and a context, seen or not
-    dense = np.zeros((n_hot, n_contexts + 1), np.int64)
-    dense[hw, hu + 1] = hc
-    p = np.zeros(dense.shape)
-    u_all = np.arange(-1, n_contexts)
-    for now, (t, pc, pt) in zip(last, sampled(hw, hu, hc, n_hot, totals, _seed(-1)), strict=True):
-        tables = np.zeros(dense.shape)
-        tables[hw, hu + 1] = t
-        base = now.parent(pc, pt)[:, None]
-        u = np.maximum(u_all, 0)
-        own = (np.maximum(dense - now.discount * tables, 0) + (STRENGTH + now.discount * now.tables[u]) * base) / (STRENGTH + now.customers[u])
-        p += np.where(u_all >= 0, own, base)
-    shared = spark.sparkContext.broadcast((np.log10(p / len(last)), base_of(dense.sum(1)), dense.sum(1) > 0))
-
-    def hot_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, base, seen = shared.value
-        for texts, part in pieces(batches):
-            w, text, begins = words(texts)
-            at = place(hot, w)
-            some = at >= 0
-            at, u, text = at[some], contexts(w, begins, known)[some].astype(np.int64) + 1, text[some]
-            m = len(texts)
-            columns = [part.column(3), part.column(0), np.bincount(text, minlength=m), np.bincount(text, seen[at], m).astype(np.int64), np.bincount(text, base[at], m), np.bincount(text, model[at, u], m)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    scored = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"
-    # a shard's sums travel packed by buckets of documents, not as a row for each document and shard
-    packets = stored.mapInArrow(cold_scores, "bucket int, " + ", ".join(f"{c} binary" for c in totals_of))
-    cold = packets.groupBy("bucket").applyInArrow(added, scored)
-    both = named.mapInArrow(hot_scores, scored).union(cold)
-    total = both.groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+                word, u, c, hot_of = opened(row)
+                p = np.log10(predicted(word, u, c, hot_of, last, totals, _seed(row["shard"]))).astype(np.float32)
+                count = np.where(hot_of < 0, np.bincount(word, c, len(hot_of)), hot_count[np.maximum(hot_of, 0)]).astype(np.int64)[word]
+                inverse, ends = np.frombuffer(row["inverse"], np.int32), np.cumsum(np.frombuffer(row["sizes"], np.int32))
+                for piece, at in zip(np.frombuffer(row["pieces"], np.int64).tolist(), np.split(inverse, ends[:-1]), strict=True):
+                    yield _rows(PART, [(piece, row["shard"], p[at].tobytes(), np.diff(count[at], prepend=0).tobytes(), None)])
+
+    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents of each piece with the places of their tokens' pairs, three bytes each where these suffice, byte by byte."""
+        for x, part in layouts(batches):
+            planes = x.token.view(np.uint8).reshape(-1, 4).T[: 3 if len(x.words) < 1 << 24 else 4]
+            yield _rows(PART, [(x.piece, -1, part.column(0).to_numpy().tobytes(), x.sizes.astype(np.int64).tobytes(), planes.tobytes())])
+
+    def put_together(table: pa.Table) -> pa.Table:
+        replies = {r["shard"]: r for r in table.filter(pc.field("shard") >= 0).to_pylist()}
+        if not replies:
+            raise RuntimeError("the documents were not the same each time they were read")
+        p_of, count_of = [], []
+        for k in sorted(replies):
+            p_of.append(np.frombuffer(replies[k]["a"], np.float32))
+            count_of.append(np.cumsum(np.frombuffer(replies[k]["b"], np.int64)))
+        p_of, count_of = np.concatenate(p_of).astype(np.float64), np.concatenate(count_of)
+        base_of = np.log10((count_of + 1) / (n + vocabulary + 1))
+        out = []
+        for r in table.filter(pc.field("shard") < 0).to_pylist():
+            ids, sizes = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64)
+            planes = np.frombuffer(r["c"], np.uint8).reshape(-1, int(sizes.sum()))
+            token = np.zeros((planes.shape[1], 4), np.uint8)
+            token[:, : len(planes)] = planes.T
+            token = token.view(np.int32).ravel()
+            starts = np.cumsum(sizes) - sizes
+            sums = [np.add.reduceat(v[token], starts) for v in ((count_of > 0).astype(np.int64), base_of, p_of)]
+            out.append(pa.table([ids, sizes, *sums], [f.split()[0] for f in SCORED.split(", ")]))
+        if not out:
+            raise RuntimeError("the documents were not the same each time they were read")
+        return pa.concat_tables(out)
+
+    parts = stored.mapInArrow(probabilities, PART).unionByName(named.mapInArrow(outlines, PART))
+    total = parts.repartition(min(shards, 100000), "piece").groupBy("piece").applyInArrow(put_together, SCORED)
     return total.select("doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
