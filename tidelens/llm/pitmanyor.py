@@ -32,7 +32,7 @@ COMMON, CONTEXT = 2e-4, 1e-4
 #: Restaurants that the other words share by hash; with at most 1 / CONTEXT own ones and the beginning they stay below 2**15.
 CLASSES = 1 << 14
 #: Tokens of a shard; bytes of a piece; sweeps of a round before its first sample; samples.
-SHARD_TOKENS, PIECE_BYTES, SWEEPS, SAMPLES = 1 << 21, 1 << 24, 3, 4
+SHARD_TOKENS, PIECE_BYTES, SWEEPS, SAMPLES = 1 << 21, 1 << 24, 1, 4
 #: Customers up to which the Stirling numbers are a table; beyond, its last row is scaled.
 TABLED = 512
 STRENGTH = 1.0
@@ -134,34 +134,50 @@ def _drawn(logits: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.minimum((p < (rng.random(len(p)) * p[:, -1])[:, None]).sum(axis=1), p.shape[1] - 1)
 
 
-def draw_tables(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables of groups of equal customers, each from its law given the rest; ``new``: weight of a new table."""
-    tables = np.minimum(customers, 1).astype(np.float64)
-    some = np.flatnonzero(customers > 1)
-    some = some[np.argsort(customers[some], kind="stable")]
-    c_sorted = customers[some]
-    with np.errstate(divide="ignore"):
-        log_new = np.log(new)
-    sizes, starts = np.unique(c_sorted[c_sorted <= TABLED], return_index=True)
-    for c, a, b in zip(sizes.tolist(), starts.tolist(), [*starts.tolist()[1:], int((c_sorted <= TABLED).sum())]):
-        t = np.arange(1.0, c + 1)
-        for i in range(a, b, max(1, (1 << 18) // c)):
-            rows = some[i : min(b, i + max(1, (1 << 18) // c))]
-            tables[rows] = 1 + _drawn(stirling(discount)[c, 1 : c + 1] + t * log_new[rows, None], rng)
-    large = some[c_sorted > TABLED]
-    steps = np.linspace(0, 1, 1025)
-    for i in range(0, len(large), 256):
-        rows = large[i : i + 256]
-        c = customers[rows].astype(np.float64)[:, None]
-        # cells of whole numbers of tables, wider the more there are; a number is drawn inside its cell
-        edges = np.round(np.exp(steps * np.log(TABLED * (c / TABLED) ** discount + 1)))
-        width, middle = np.diff(edges, axis=1), (edges[:, 1:] + edges[:, :-1] - 1) / 2
+class Groups:
+    """Groups of equal customers, ordered by their numbers of customers once for all draws."""
+
+    def __init__(self, customers: np.ndarray, discount: float):
+        self.customers, self.discount = customers, discount
+        some = np.flatnonzero(customers > 1)
+        some = some[np.argsort(customers[some], kind="stable")]
+        tabled = int(np.searchsorted(customers[some], TABLED, "right"))
+        self.large = some[tabled:]
+        sizes, starts = np.unique(customers[some[:tabled]], return_index=True)
+        self.small = [(c, some[a:b]) for c, a, b in zip(sizes.tolist(), starts.tolist(), [*starts.tolist()[1:], tabled])]
+
+    def draw(self, new: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Numbers of tables, each from its law given the rest; ``new``: weight of a new table."""
+        tables = np.minimum(self.customers, 1).astype(np.float64)
         with np.errstate(divide="ignore"):
-            logits = log_stirling(c, np.maximum(middle, 1), discount) + middle * log_new[rows, None] + np.log(width)
-        cell = _drawn(logits, rng)
-        at = np.arange(len(rows))
-        tables[rows] = np.minimum(edges[at, cell] + np.floor(rng.random(len(rows)) * width[at, cell]), c[:, 0])
-    return tables
+            log_new = np.log(new)
+        for c, all_rows in self.small:
+            t = np.arange(1.0, c + 1)
+            s = stirling(self.discount)[c, 1 : c + 1]
+            if c == 2:  # one table, or a second one
+                tables[all_rows] += rng.random(len(all_rows)) * (np.exp(s[0]) + new[all_rows]) >= np.exp(s[0])
+                continue
+            step = max(1, (1 << 16) // c)
+            for i in range(0, len(all_rows), step):
+                rows = all_rows[i : i + step]
+                tables[rows] = 1 + _drawn(s + t * log_new[rows, None], rng)
+        steps = np.linspace(0, 1, 1025)
+        for i in range(0, len(self.large), 256):
+            rows = self.large[i : i + 256]
+            c = self.customers[rows].astype(np.float64)[:, None]
+            # cells of whole numbers of tables, wider the more there are; a number is drawn inside its cell
+            edges = np.round(np.exp(steps * np.log(TABLED * (c / TABLED) ** self.discount + 1)))
+            width, middle = np.diff(edges, axis=1), (edges[:, 1:] + edges[:, :-1] - 1) / 2
+            with np.errstate(divide="ignore"):
+                logits = log_stirling(c, np.maximum(middle, 1), self.discount) + middle * log_new[rows, None] + np.log(width)
+            cell = _drawn(logits, rng)
+            at = np.arange(len(rows))
+            tables[rows] = np.minimum(edges[at, cell] + np.floor(rng.random(len(rows)) * width[at, cell]), c[:, 0])
+        return tables
+
+
+def draw_tables(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    return Groups(customers, discount).draw(new, rng)
 
 
 def sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, hot: np.ndarray, totals: Totals, seed: int, sweeps: int = SWEEPS, samples: int = SAMPLES):
@@ -177,8 +193,9 @@ def sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, hot: np.nd
     parent_customers = np.where(own, np.bincount(word, tables, n_words), fixed[0])
     parent_tables = np.where(own, np.minimum(parent_customers, 1), fixed[1])
     weight = STRENGTH + totals.discount * totals.tables[context]
+    groups = Groups(count, totals.discount)
     for step in range(sweeps + samples):
-        tables = draw_tables(count, weight * totals.parent(parent_customers, parent_tables)[word], totals.discount, rng)
+        tables = groups.draw(weight * totals.parent(parent_customers, parent_tables)[word], rng)
         parent_customers = np.where(own, np.bincount(word, tables, n_words), fixed[0])
         drawn = draw_tables(np.where(own, parent_customers, 0).astype(np.int64), np.full(n_words, totals.fresh), totals.parent_discount, rng)
         parent_tables = np.where(own, drawn, fixed[1])
@@ -230,16 +247,18 @@ def laid_out(texts: list[bytes], teaches: np.ndarray, known: np.ndarray, hot: np
     """``number``: of the piece in its partition.  A piece is named by it and its pairs, so pieces of one name have equal probabilities."""
     w, text, begins = words(texts)
     u = contexts(w, begins, known)
-    key, first, token = np.unique(mix(mix(w) + u.astype(U64)), return_index=True, return_inverse=True)
+    named, number_of = np.unique(w, return_inverse=True)
+    is_hot = place(hot, named) >= 0
+    spread = np.where(is_hot[number_of], mix(u.astype(U64) + U64(1)), U64(0))
+    shard = (mix(w + spread + U64(17)) % U64(shards)).astype(np.int64)
+    bits = len(named).bit_length()
+    if bits + 15 + shards.bit_length() > 63:
+        raise OverflowError("too many different words in one text")
+    key, token = np.unique((shard << (bits + 15)) | (number_of << 15) | u, return_inverse=True)
+    w, u = named[(key >> 15) & ((1 << bits) - 1)], (key & 0x7FFF).astype(np.int16)
     count = np.bincount(token, teaches[text], len(key)).astype(np.int32)
-    w, u = w[first], u[first]
-    spread = np.where(place(hot, w) >= 0, mix(u.astype(U64) + U64(1)), U64(0))
-    shard = (mix(w + spread + U64(17)) % U64(shards)).astype(np.int32)
-    order = np.lexsort((u, w, shard))
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    name = mix(mix(np.array([number], np.int64).view(U64)) + key.sum(dtype=U64) + U64(len(token)))
-    return Layout(w[order], u[order], count[order], shard[order], rank[token], np.bincount(text, minlength=len(texts)), int(name.view(np.int64)[0]))
+    name = mix(mix(np.array([number], np.int64).view(U64)) + mix(w + u.astype(U64)).sum(dtype=U64) + U64(len(w)))
+    return Layout(w, u, count, (key >> (bits + 15)).astype(np.int32), token.astype(np.int32), np.bincount(text, minlength=len(texts)), int(name.view(np.int64)[0]))
 
 
 def score(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", common: float = COMMON, context: float = CONTEXT, shard_tokens: int = SHARD_TOKENS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
