@@ -1,10 +1,11 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidelens.functions.distributed import ordinal_ranks
+from tidelens.functions.distributed import ordinal_ranks, pair_sums
 from tidelens.operators import recommender as r
 
 
@@ -113,3 +114,56 @@ def test_ranks_without_a_window_over_everything(spark):
     assert {x["place"] for x in ranked.collect()} == set(range(1, 5001))
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and "SinglePartition" not in plan.split("Subquery")[0]
+
+
+def listed(df):
+    return sorted((x["user_id"], x["rank"], x["merchant"], round(x["score"], 8)) for x in df.collect())
+
+
+@pytest.mark.parametrize("block", [2_000_000, 90])
+@pytest.mark.parametrize("ordered", [True, False])
+def test_lists_from_blocks_equal_all_scores(inter, block, ordered):
+    """Blocks of similarities, however small, give the lists of all scores."""
+    sim = r.item_similarity(inter)
+    scores = r.score_all(inter, sim).where("score > 0")
+    if ordered:
+        scores = scores.join(inter, ["user_id", "merchant"], "left_anti")
+    want = r.top_per_group(scores, ["user_id"], [F.desc(F.round("score", 9)), F.asc("merchant")], 7)
+    assert listed(r.recommend(inter, sim, 7, ordered, block=block)) == listed(want)
+
+
+def test_lists_of_odd_histories(spark):
+    """Users without id, merchants without neighbour or name; ties go by name; the whole history divides."""
+    inter = spark.createDataFrame([(1, "a", 1), (1, "lone", 4), (1, None, 2), (None, "a", 1), (2, "lone", 1)], "user_id long, merchant string, cnt long")
+    sim = spark.createDataFrame([("a", x, 0.5) for x in ("d", "b", "c")], "merchant string, other string, similarity double")
+    assert listed(r.recommend(inter, sim, 2)) == [(1, k, m, round(0.5 * math.log(2) / 3, 8)) for k, m in ((1, "b"), (2, "c"))]
+    assert r.recommend(inter, sim.limit(0), 2).count() == 0
+
+
+def test_lists_shuffle_no_scores(inter):
+    """Scores are summed where they are formed: no aggregate by user and recommended merchant follows."""
+    plan = r.recommend(inter, r.item_similarity(inter), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "log1p" not in plan.lower()
+
+
+@pytest.mark.parametrize("block, hot", [(512, 32_768), (4, 32_768), (7, 3)])
+def test_pair_sums_equal_all_pairs(spark, counts, block, hot):
+    want = {}
+    rows = {}
+    for (u, m), c in counts.items():
+        rows.setdefault(u, []).append((m, c))
+    for items in rows.values():
+        for a, x in items:
+            for b, y in items:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + x * y
+    df = spark.createDataFrame([(u, m, c) for (u, m), c in counts.items()] + [(None, "m01", 3), (7, None, 1)], "user_id long, merchant string, cnt long")
+    got = pair_sums(df, "user_id", "merchant", "cnt", block=block, task=50, hot=hot)
+    assert {(x["a"], x["b"]): x["total"] for x in got.collect()} == want
+
+
+def test_pairs_do_not_travel(inter):
+    """The sums by pair follow from the dealing by owner: one exchange of packed lists, none of pairs."""
+    plan = pair_sums(inter, "user_id", "merchant", "cnt", task=50)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(_a#\d+, \d+\), REPARTITION_BY_NUM", plan)
+    assert not re.search(r"hashpartitioning\([^)]*_b#\d+, \d+\), ENSURE_REQUIREMENTS[^*]*HashAggregate", plan) and plan.count("HashAggregate") == 2
