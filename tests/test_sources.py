@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelens.sources import events as ev
 from tidelens.sources import normalise as nm
@@ -118,3 +119,14 @@ def test_search_keys(make_events):
     )
     got = sorted((r["query"], r["results_count"], r["zero_results"]) for r in nm.searches_frame(e).collect())
     assert got == [("pizza", 0.0, True), ("tea", 3.0, False)]
+
+
+def test_order_properties_are_read_in_one_pass(spark, make_events):
+    """The JSON is made once, however many columns and filters mention its properties; repeated keys keep their first value."""
+    made = make_events([(1, 0, "checkout_completed")]).withColumn("event_properties", F.to_json(F.struct(F.col("event_type").alias("merchant_name"))))
+    plan = nm.orders_frame(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert "json_tuple" in plan.split("Generate")[1].splitlines()[0]
+    assert not any("get_json_object" in line or "StructsToJson" in line for line in plan.split("Generate")[0].splitlines())
+    odd = ['{"merchant_name": "a", "merchant_name": "b"}', '{"merchant_name": "a"', '[{"merchant_name": "a"}]', '{"merchant_name": {"x": 1.50}}', None]
+    rows = nm.orders_frame(make_events([(i, i, "checkout_completed", p) for i, p in enumerate(odd)])).collect()
+    assert sorted((r["user_id"], r["merchant"]) for r in rows) == [(0, "a"), (3, '{"x":1.5}')]

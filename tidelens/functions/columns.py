@@ -14,16 +14,38 @@ US_PER_DAY = 24 * US_PER_HOUR
 INF = float("inf")
 
 
+def first_text(*found: Column) -> Column:
+    """First text that is not empty."""
+    given = [F.nullif(c, F.lit("")) for c in found]
+    return given[0] if len(given) == 1 else F.coalesce(*given)
+
+
+def first_number(*found: Column) -> Column:
+    """First text that is a number other than zero."""
+    given = [F.nullif(c.try_cast("double"), F.lit(0.0)) for c in found]
+    return given[0] if len(given) == 1 else F.coalesce(*given)
+
+
 def json_text(props: Column, *keys: str) -> Column:
     """First non-empty property among ``keys``; NULL when all are absent, empty or the JSON is bad."""
-    found = [F.nullif(F.get_json_object(props, f"$.{k}"), F.lit("")) for k in keys]
-    return found[0] if len(found) == 1 else F.coalesce(*found)
+    return first_text(*[F.get_json_object(props, f"$.{k}") for k in keys])
 
 
 def json_number(props: Column, *keys: str) -> Column:
     """First non-zero numeric property among ``keys``; NULL when there is none."""
-    found = [F.nullif(F.get_json_object(props, f"$.{k}").try_cast("double"), F.lit(0.0)) for k in keys]
-    return found[0] if len(found) == 1 else F.coalesce(*found)
+    return first_number(*[F.get_json_object(props, f"$.{k}") for k in keys])
+
+
+def with_json(df: DataFrame, props: str, keys: Sequence[str], prefix: str = "_js_") -> DataFrame:
+    """Adds the texts of JSON properties as columns ``_js_<key>``, as ``get_json_object`` gives them, from one pass over the JSON.
+
+    They come out of a generator, so no filter on them is moved below it, where each mention would make and read the JSON again.
+    Of a key that occurs twice the first value counts, so such an object is written anew with the first ones.
+    """
+    names = F.json_object_keys(props)
+    first = F.to_json(F.struct(*[F.get_json_object(props, f"$.{k}").alias(k) for k in keys]))
+    single = df.withColumn("_single", F.when(F.size(names) > F.size(F.array_distinct(names)), first).otherwise(F.col(props)))
+    return single.select(*df.columns, F.json_tuple("_single", *keys).alias(*[f"{prefix}{k}" for k in keys]))
 
 
 def round_half_even(c: Column, digits: int) -> Column:

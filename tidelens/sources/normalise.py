@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.functions.columns import US_PER_MINUTE, json_number, json_text, micros
+from tidelens.functions.columns import US_PER_MINUTE, first_number, first_text, json_number, json_text, micros, with_json
 from tidelens.schema import DEFAULT_VOCABULARY, Vocabulary
 
 UNKNOWN = "Unknown"
@@ -70,6 +70,13 @@ def with_order_value(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY,
     return events.withColumn("order_value", F.when(F.col("event_type") == vocab.order, raw))
 
 
+#: Properties that :func:`orders_frame` reads.
+_ORDER_KEYS = (
+    "order_id merchant_id merchant_name category_name order_total order_type delivery_fee products_quantity payment_method "
+    "promo_code coupon_code discount_amount promo_discount"
+).split()
+
+
 def orders_frame(
     events: DataFrame,
     vocab: Vocabulary = DEFAULT_VOCABULARY,
@@ -80,29 +87,37 @@ def orders_frame(
 
     ``name_as_id`` keys merchants by name; ``keep_unknown`` keeps merchants called 'Unknown'.
     """
-    o = events.where(F.col("event_type") == vocab.order)
-    mid = _text(o, "event_data_merchant_id", "merchant_id")
-    name = _text(o, "event_data_merchant_name", "merchant_name")
+    o = with_json(events.where(F.col("event_type") == vocab.order), "event_properties", _ORDER_KEYS)
+
+    def text(flat: str | None, *keys: str) -> Column:
+        js = first_text(*[F.col(f"_js_{k}") for k in keys])
+        col = _flat(o, flat) if flat else None
+        return js if col is None else F.coalesce(F.nullif(col.cast("string"), F.lit("")), js)
+
+    def number(*keys: str) -> Column:
+        return first_number(*[F.col(f"_js_{k}") for k in keys])
+
+    mid = text("event_data_merchant_id", "merchant_id")
+    name = text("event_data_merchant_name", "merchant_name")
     merchant = F.coalesce(name, mid) if name_as_id else F.coalesce(mid, name)
-    discount = F.coalesce(_number(o, None, "discount_amount", "promo_discount"), F.lit(0.0))
-    promo = json_text(F.col("event_properties"), "promo_code", "coupon_code")
+    promo = text(None, "promo_code", "coupon_code")
     out = o.select(
         "user_id",
         "event_time",
         "event_id",
         "platform",
-        _text(o, "event_data_order_id", "order_id").alias("order_id"),
+        text("event_data_order_id", "order_id").alias("order_id"),
         merchant.alias("merchant"),
         mid.alias("merchant_id"),
-        F.coalesce(_text(o, "event_data_category_name", "category_name"), F.lit(UNKNOWN)).alias("category"),
-        F.coalesce(_number(o, None, "order_total"), F.lit(0.0)).alias("order_total"),
-        F.coalesce(json_text(F.col("event_properties"), "order_type"), F.lit("unknown")).alias("order_type"),
-        F.coalesce(_number(o, None, "delivery_fee"), F.lit(0.0)).alias("delivery_fee"),
-        F.coalesce(_number(o, None, "products_quantity"), F.lit(1.0)).alias("quantity"),
-        F.coalesce(json_text(F.col("event_properties"), "payment_method"), F.lit("unknown")).alias("payment_method"),
+        F.coalesce(text("event_data_category_name", "category_name"), F.lit(UNKNOWN)).alias("category"),
+        F.coalesce(number("order_total"), F.lit(0.0)).alias("order_total"),
+        F.coalesce(text(None, "order_type"), F.lit("unknown")).alias("order_type"),
+        F.coalesce(number("delivery_fee"), F.lit(0.0)).alias("delivery_fee"),
+        F.coalesce(number("products_quantity"), F.lit(1.0)).alias("quantity"),
+        F.coalesce(text(None, "payment_method"), F.lit("unknown")).alias("payment_method"),
         promo.alias("promo_code"),
         promo.isNotNull().alias("has_promo"),
-        discount.alias("discount_amount"),
+        F.coalesce(number("discount_amount", "promo_discount"), F.lit(0.0)).alias("discount_amount"),
     )
     keep = F.col("merchant").isNotNull()
     return out.where(keep if keep_unknown else keep & (F.col("merchant") != UNKNOWN))
