@@ -91,3 +91,22 @@ def test_affinity_reports_use_bounds(spark, baskets):
     got = [(r["merchant_1"], r["merchant_2"], r["co_occurrence"]) for r in affinity.merchant_affinity(orders, n=5).collect()]
     everything = {(r["merchant_1"], r["merchant_2"], r["co_occurrence"]) for r in affinity.merchant_affinity(orders).collect()}
     assert set(got) <= everything and sorted(r[2] for r in got) == sorted((r[2] for r in everything), reverse=True)[:5][::-1]
+
+
+def test_tasks_follow_rows_and_pairs(spark):
+    """Packing and forming pairs is dealt by what there is to do, not by a fixed number of partitions."""
+    rows = spark.createDataFrame([(k, f"i{x}") for k in range(60) for x in range(5)], "k int, item string")
+    few, many = (d.item_pairs(rows, ["k"], "item", **more) for more in ({}, {"most": 30}))
+    assert few.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() == 10
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 600
+    assert d.item_pairs(rows, ["k"], "item", task=20).rdd.getNumPartitions() == 38
+    assert sorted(d.distinct_rows(rows.union(rows), ["k", "item"], most=100).collect()) == sorted(rows.collect())
+
+
+def test_pair_counts_form_no_pairs_in_a_shuffle(spark):
+    """Counts come from packed lists; keys may be null, several, and part of ``by``."""
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 1, "b"), (2, 1, "a"), (2, 1, "b"), (1, 2, "b"), (1, 2, "a"), (None, 1, "a"), (None, 1, "b"), (1, 1, None)], "m int, k int, item string")
+    assert [tuple(r) for r in d.pair_counts(rows, ["m", "k"], "item").collect()] == [("a", "b", 3)]
+    assert sorted(tuple(r) for r in d.pair_counts(rows, ["m", "k"], "item", by=["m"]).collect()) == [(1, "a", "b", 2), (2, "a", "b", 1)]
+    plan = d.pair_counts(rows, ["m", "k"], "item")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin [k" not in plan

@@ -23,6 +23,8 @@ PAIR_SEED = 64
 #: Pairs that one task forms in :func:`pair_sums`, and keys of an item beyond which its pairs are dealt to several tasks.
 PAIR_TASK = 2_000_000
 PAIR_HOT = 32_768
+#: Rows of items that one task packs in :func:`item_pairs`.
+PAIR_ROWS = 500_000
 #: Events of one chunk of a user's time, and the widths of chunks: day, hour, minute, second.
 CHUNK_ROWS = 4096
 CHUNK_LEVELS = (US_PER_DAY, US_PER_HOUR, US_PER_MINUTE, US_PER_SECOND)
@@ -302,40 +304,60 @@ def item_pairs(
     item: str,
     carry: Sequence[str] = (),
     block: int = PAIR_BLOCK,
+    task: int = PAIR_TASK,
+    most: int = PAIR_ROWS,
 ) -> DataFrame:
     """Unordered item pairs that share a key: ``keys..., a, b [, carry_a, carry_b]`` with a < b.
 
-    ``rows`` must be distinct on (keys, item).  A key with more than ``block`` items is cut into
-    item blocks; its pairs are then joined block against block in separate tasks, each pair once.
+    ``rows`` must be distinct on (keys, item).  The items of a key travel once, into one packed list that forms its pairs.  A key with
+    more than ``block`` items is cut into item blocks; their lists meet block against block in separate tasks, each pair once.  The
+    number of tasks follows the numbers of rows and pairs, so what one of them holds does not grow.
     """
     keys = list(keys)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    sized = rows.join(sizes, keys).withColumn(
-        "_blocks", F.ceil(F.col("_n") / F.lit(block)).cast("int")
-    ).withColumn("_own", F.when(F.col("_blocks") == 1, 0).otherwise(F.pmod(F.xxhash64(item), F.col("_blocks"))).cast("int"))
-    left = sized.select(
-        *keys,
-        F.col(item).alias("_x"),
-        *[F.col(c).alias(f"_x_{c}") for c in carry],
-        F.col("_own").alias("_i"),
-        F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1)).alias("_j"),
-    )
-    right = sized.select(
-        *keys,
-        F.col(item).alias("_y"),
-        *[F.col(c).alias(f"_y_{c}") for c in carry],
-        F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"),
-        F.col("_own").alias("_j"),
-    )
-    met = left.join(right, [*keys, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_x") < F.col("_y")))
-    up = F.col("_x") < F.col("_y")
-    return met.select(
-        *keys,
-        F.least("_x", "_y").alias("a"),
-        F.greatest("_x", "_y").alias("b"),
-        *[F.when(up, F.col(f"_x_{c}")).otherwise(F.col(f"_y_{c}")).alias(f"{c}_a") for c in carry],
-        *[F.when(up, F.col(f"_y_{c}")).otherwise(F.col(f"_x_{c}")).alias(f"{c}_b") for c in carry],
-    )
+    known = rows.where(_all_known([*keys, item]))
+    sizes = stored(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "pair-sizes")
+    n = F.col("_n").cast("double")
+    facts = sizes.agg(F.sum(n).alias("rows"), F.sum(n * F.least(n, F.lit(float(block))) / 2).alias("pairs"), F.max("_n").alias("most")).first()
+    tasks = max(1, math.ceil((facts["rows"] or 0) / most), math.ceil((facts["pairs"] or 0) / task))
+    entry = F.struct(F.col(item).alias("_x"), *[F.col(c).alias(f"_x_{c}") for c in carry])
+    large = (facts["most"] or 0) > block
+    if large:
+        blocks = sizes.where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_blocks"))
+        known = known.join(blocks, keys, "left").withColumn("_own", F.coalesce(F.pmod(F.xxhash64(item), F.col("_blocks")), F.lit(0)).cast("int"))
+    place = [*keys, "_own", "_blocks"] if large else keys
+    packed = known.repartition(tasks, *place).groupBy(*place).agg(F.sort_array(F.collect_list(entry)).alias("_l"))
+
+    def named(df: DataFrame, x: Column, y: Column) -> DataFrame:
+        sides = [F.when(up, x[f"_x_{c}"]).otherwise(y[f"_x_{c}"]).alias(f"{c}_{side}") for side, up in (("a", x["_x"] < y["_x"]), ("b", x["_x"] > y["_x"])) for c in carry]
+        return df.select(*keys, F.least(x["_x"], y["_x"]).alias("a"), F.greatest(x["_x"], y["_x"]).alias("b"), *sides)
+
+    # positions are from 0, slices from 1
+    at = packed.where(F.size("_l") > 1).select(*keys, F.posexplode("_l").alias("_at", "_p"), "_l")
+    pairs = named(at.select(*keys, "_p", F.explode(F.slice("_l", F.col("_at") + 2, F.size("_l"))).alias("_q")), F.col("_p"), F.col("_q"))
+    if not large:
+        return pairs
+    lists = stored(packed.where("_blocks is not null"), "pair-blocks")
+    left = lists.select(*keys, F.col("_l").alias("_p"), F.col("_own").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_j"))
+    right = lists.select(*keys, F.col("_l").alias("_q"), F.col("_own").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_i"))
+    met = left.where("_i < _j").join(right.where("_i < _j"), [*keys, "_i", "_j"])
+    crossed = met.select(*keys, F.explode("_p").alias("_p"), "_q").select(*keys, "_p", F.explode("_q").alias("_q"))
+    return pairs.unionByName(named(crossed, F.col("_p"), F.col("_q")))
+
+
+def distinct_rows(rows: DataFrame, columns: Sequence[str], most: int = PAIR_ROWS) -> DataFrame:
+    """The distinct rows of ``columns`` as a table.  ``rows`` are evaluated once; each task takes about ``most`` of them."""
+    scratch = Scratch(rows.sparkSession)
+    src = scratch.stored(rows.select(*columns), "rows")
+    found = stored(src.repartition(max(1, math.ceil(src.count() / most)), *columns).distinct(), "distinct-rows")
+    scratch.close()
+    return found
+
+
+def _all_known(columns: Sequence[str]) -> Column:
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull()
+    return known
 
 
 def pair_sums(rows: DataFrame, key: str, item: str, weight: str, block: int = PAIR_BLOCK, task: int = PAIR_TASK, hot: int = PAIR_HOT) -> DataFrame:
@@ -388,18 +410,23 @@ def pair_sums(rows: DataFrame, key: str, item: str, weight: str, block: int = PA
 
 
 def pair_counts(
-    rows: DataFrame, keys: Sequence[str], item: str, min_count: int | Column | None = None, by: Sequence[str] = ()
+    rows: DataFrame, keys: Sequence[str], item: str, min_count: int | Column | None = None, by: Sequence[str] = (), distinct: bool = False
 ) -> DataFrame:
     """Number of keys in which two items occur together: ``by..., a, b, count`` (``by`` is part of ``keys``).
 
     With a minimum count, items below it are dropped before any pair is formed: a pair cannot be
-    more frequent than its rarer item, so the result is unchanged.
+    more frequent than its rarer item, so the result is unchanged.  ``distinct``: rows are so already.
     """
-    d = rows.select(*keys, item).where(F.col(item).isNotNull()).distinct()
+    d = rows.select(*keys, item).where(F.col(item).isNotNull())
+    if not distinct:
+        d = distinct_rows(d, d.columns)
     if min_count is not None:
         frequent = d.groupBy(*by, item).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= min_count)
         d = d.join(frequent.drop("_c"), [*by, item], "left_semi")
-    pairs = item_pairs(d, keys, item).groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("count"))
+    # by is part of the key, so items that meet agree on it
+    entry = F.struct(*by, F.col(item).alias("_value"))
+    sums = pair_sums(d.where(_all_known(keys)).select(F.struct(*keys).alias("_key"), entry.alias("_entry"), F.lit(1).alias("_one")), "_key", "_entry", "_one")
+    pairs = sums.select(*[F.col("a")[c].alias(c) for c in by], F.col("a._value").alias("a"), F.col("b._value").alias("b"), F.col("total").cast("long").alias("count"))
     return pairs if min_count is None else pairs.where(F.col("count") >= min_count)
 
 
@@ -417,7 +444,7 @@ def top_pairs(
     scratch = Scratch(rows.sparkSession)
     src = rows.withColumn("_all", F.lit(0)) if by == ["_all"] else rows
     keys = [k for k in keys if k not in by]
-    distinct = src.select(*by, *keys, item).where(F.col(item).isNotNull()).distinct()
+    distinct = distinct_rows(src.where(F.col(item).isNotNull()), [*by, *keys, item])
     counts = distinct.groupBy(*by, item).agg(F.count(F.lit(1)).alias("_c"))
     known = scratch.stored(counts, "pair-items")
     sized = scratch.stored(distinct.join(known, [*by, item]), "pair-rows")

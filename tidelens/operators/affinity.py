@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelens.functions.columns import percent, ratio
-from tidelens.functions.distributed import pair_counts, top_pairs, top_per_group, transition_counts
+from tidelens.functions.distributed import distinct_rows, pair_counts, top_pairs, top_per_group, transition_counts
 
 
 def _orders(lines: DataFrame) -> Column:
@@ -64,11 +64,11 @@ def association_rules(
 
     Products below the support are removed before pairs are formed (a pair cannot exceed its parts).
     """
-    baskets = lines.select("order_id", "product_name").where(F.col("product_name").isNotNull()).distinct()
+    baskets = distinct_rows(lines.where(F.col("product_name").isNotNull()), ["order_id", "product_name"])
     total = _orders(lines)
     floor_count = F.greatest(F.ceil(total * F.lit(float(min_support)) - F.lit(1e-9)), F.lit(1))
     items = baskets.groupBy("product_name").agg(F.count(F.lit(1)).alias("freq"))
-    pairs = pair_counts(baskets, ["order_id"], "product_name", floor_count)
+    pairs = pair_counts(baskets, ["order_id"], "product_name", floor_count, distinct=True)
     # each pair meets its two items' numbers once, then becomes two rules
     counted = (
         pairs.where(total >= min_orders)
