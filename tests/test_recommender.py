@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,23 @@ def test_pairs_do_not_travel(inter):
     plan = pair_sums(inter, "user_id", "merchant", "cnt", task=50)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(_a#\d+, \d+\), REPARTITION_BY_NUM", plan)
     assert not re.search(r"hashpartitioning\([^)]*_b#\d+, \d+\), ENSURE_REQUIREMENTS[^*]*HashAggregate", plan) and plan.count("HashAggregate") == 2
+
+
+def test_a_block_answers_a_user_with_one_list(spark, inter):
+    """Similarities that fit one block give each user one packed row, so rows that travel do not grow with blocks of a fixed number."""
+    users = pa.table({"user_id": [5, 6], "_size": [2, 1], "_h": [[{"_m": 0, "_w": 1.0}, {"_m": 1, "_w": 0.5}], [{"_m": 9, "_w": 1.0}]]})
+    for near in ([(0, 2), (1, 2), (0, 1), (1, 0)], [(0, 2), (1, 2), *((100 + i, 200 + i) for i in range(9))]):
+        table = pa.table({"_m": pa.array([a for a, _ in near], pa.int32()), "_o": pa.array([b for _, b in near], pa.int32()), "similarity": [0.5] * len(near)})
+        got = r._best_of_block(3, True)(users, table).to_pylist()
+        assert got == [{"user_id": 5, "_os": [2], "_scores": [0.375]}, {"user_id": 6, "_os": [], "_scores": []}]
+    plan = r.recommend(inter, r.item_similarity(inter), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" in plan
+
+
+def test_pairs_met_very_often_travel_as_sums(spark):
+    """Few items in many keys: sums by pair of whole tasks travel, not every key's lists; the sums are the same."""
+    df = spark.range(900).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("m")).withColumn("c", F.col("m") + F.col("k") % 3)
+    got = pair_sums(df, "k", "m", "c")
+    want = {(a, b): float(sum((a + k % 3) * (b + k % 3) for k in range(900))) for a in range(1, 6) for b in range(a + 1, 6)}
+    assert {(x["a"], x["b"]): x["total"] for x in got.collect()} == want
+    assert not re.search(r"hashpartitioning\(_a#\d+, \d+\), REPARTITION_BY_NUM", got._jdf.queryExecution().executedPlan().toString())
