@@ -188,3 +188,15 @@ def test_pairs_met_very_often_travel_as_sums(spark):
     want = {(a, b): float(sum((a + k % 3) * (b + k % 3) for k in range(900))) for a in range(1, 6) for b in range(a + 1, 6)}
     assert {(x["a"], x["b"]): x["total"] for x in got.collect()} == want
     assert not re.search(r"hashpartitioning\(_a#\d+, \d+\), REPARTITION_BY_NUM", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_popular_lists_take_n_rows_a_user(spark):
+    """Only the places of a list become rows: no ranking by user follows.  Odd rows: no user, no merchant, repeated rows, short lists."""
+    rows = [(1, "a", 5), (1, "a", 5), (1, None, 1), (2, "b", 2), (None, "a", 1), (3, "c", 1), (3, "b", 1), (3, "a", 1)]
+    inter = spark.createDataFrame(rows, "user_id long, merchant string, cnt long")
+    lists = r.recommend_popular(inter, 2)
+    got = {(x["user_id"], x["rank"]): x["merchant"] for x in lists.collect()}
+    assert got == {(1, 1): "b", (1, 2): None, (2, 1): "a", (2, 2): None, (None, 1): "a", (None, 2): "b", (3, 1): None}
+    assert "Window" not in lists._jdf.queryExecution().optimizedPlan().toString()
+    whole = {(x["user_id"], x["rank"]): x["merchant"] for x in r.recommend_popular(inter, 2, False).collect()}
+    assert whole == {(u, k): m for u in (1, 2, 3, None) for k, m in ((1, "a"), (2, "b"))}

@@ -40,23 +40,26 @@ def popularity(inter: DataFrame) -> DataFrame:
 def recommend_popular(inter: DataFrame, n: int = 10, exclude_ordered: bool = True) -> DataFrame:
     """Most popular merchants per user, without those already ordered.
 
-    A user with h merchants in the history needs at most the n+h most popular ones: the user's rank
-    list is generated and joined on the rank, so work grows with users and history, not with
-    users times merchants.  Every user asks for the first ranks, so ranks are salted by the user.
+    A user with h merchants in the history needs at most the n+h most popular ones: their ranks without those of the history are taken
+    in an array, and only the n that stay become rows, so work grows with users and history, not with users times merchants.  Every
+    user asks for the first ranks, so ranks are salted by the user.
     """
     inter = stored(inter, "interactions")
-    hist = inter.groupBy("user_id").agg(F.count(F.lit(1)).alias("h"))
-    need = hist.agg((F.max("h") + F.lit(n)).alias("k")).scalar() if exclude_ordered else F.lit(n)
     pop = popularity(inter)
-    ranked = ordinal_ranks(pop, [F.desc("orders"), F.asc("merchant")], "pop_rank").where(F.col("pop_rank") <= need)
-    depth = (F.col("h") + F.lit(n)) if exclude_ordered else F.lit(n)
+    ranked = stored(ordinal_ranks(pop, [F.desc("orders"), F.asc("merchant")], "pop_rank").select("merchant", "score", "pop_rank"), "popularity")
+    if exclude_ordered:
+        # rows without a user are no one's history
+        known = inter.join(ranked.select("merchant", F.col("pop_rank").alias("own")), "merchant", "left")
+        own = F.collect_list(F.when(F.col("user_id").isNotNull(), F.col("own")))
+        hist = known.groupBy("user_id").agg(F.count(F.lit(1)).alias("h"), own.alias("own"))
+        left = F.slice(F.array_except(F.sequence(F.lit(1).cast("long"), F.col("h") + F.lit(n)), "own"), 1, n)
+    else:
+        hist, left = inter.select("user_id").distinct(), F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))
     salt = F.pmod(F.xxhash64("user_id"), F.lit(RANK_SALTS)).cast("int")
-    wanted = hist.select("user_id", salt.alias("salt"), F.explode(F.sequence(F.lit(1).cast("long"), depth.cast("long"))).alias("pop_rank"))
+    wanted = hist.select("user_id", salt.alias("salt"), F.posexplode(left).alias("at", "pop_rank"))
     every = F.explode(F.sequence(F.lit(0), F.lit(RANK_SALTS - 1))).alias("salt")
     cand = wanted.join(ranked.select("merchant", "score", "pop_rank", every), ["pop_rank", "salt"])
-    if exclude_ordered:
-        cand = cand.join(inter.select("user_id", "merchant"), ["user_id", "merchant"], "left_anti")
-    return top_per_group(cand, ["user_id"], [F.asc("pop_rank")], n).select("user_id", "merchant", "score", "rank")
+    return cand.select("user_id", "merchant", "score", (F.col("at") + 1).alias("rank"))
 
 
 def _supported(inter: DataFrame, min_support: int) -> DataFrame:
