@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tidelens.llm.jaccard import similar_components
+from tidelens.llm.jaccard import SKETCH, _alike, similar_components, sketches
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -54,3 +54,46 @@ def test_odd_rows(odd, odd_rows, nothing):
     got = similar_components(odd).collect()
     assert sorted(map(tuple, got)) == brute(odd_rows)
     assert similar_components(nothing).count() == 0
+
+
+def test_sketches_rule_out_no_similar_pair(spark):
+    """Sets at and about the threshold: those that link always pass, most of a family's others do not."""
+    rng = np.random.default_rng(9)
+    rows, linked = [], []
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        values = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        cut = int(rng.integers(0, n // 2 + 1))
+        x, y = values[:n], values[cut : cut + n]
+        marks = sketches(np.r_[x, y], np.repeat([0, 1], n), 2).view(np.int64).tolist()
+        rows.append((len(rows), n, n, *marks[0], *marks[1]))
+        linked.append(4 * (n - cut) >= 3 * (n + cut))
+    names = ["i", "n", "m", *("x" + s for s in SKETCH), *("y" + s for s in SKETCH)]
+    passed = {r["i"] for r in spark.createDataFrame(rows, names).where(_alike("n", "m", "x", "y")).select("i").collect()}
+    assert passed >= {i for i, yes in enumerate(linked) if yes}
+    assert len(passed) < sum(linked) + 0.25 * (len(rows) - sum(linked))
+
+
+def test_family_members_apart_are_not_joined(make_docs, monkeypatch):
+    """Copies of one text with too many edits share its frequent tokens, but their pairs do not come to the comparison."""
+    from tidelens.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    base = ["w%d" % i for i in range(150)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for k in rng.choice(30, 5, replace=False):
+            copy[int(k) * 5 + 2] = f"x{i}y{k}"
+        rows.append((i, " ".join(copy)))
+    sizes = {}
+    store = jaccard.saved
+
+    def counted(df, name, path=None):
+        out = store(df, name, path)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "saved", counted)
+    assert sorted(map(tuple, similar_components(make_docs(rows)).collect())) == brute(rows)
+    assert sizes["pairs"][-1] < 0.2 * len(rows) * (len(rows) - 1) / 2

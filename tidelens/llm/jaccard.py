@@ -7,8 +7,10 @@
   all the same, and what only a common passage shares is mostly gone.
 * Classes that meet in a prefix are compared with a neighbour first; what links becomes one group.  A few such rounds, each linear in the
   prefixes, join the members of large families without forming their pairs.
-* The token-group matrix holds each group's prefix tokens that are left.  Every foreign group with one such token of the class and members
-  of a fitting size is opened, and its members are compared exactly.  No bound of the overlap is used: that takes whole token unions.
+* The token-group matrix holds the prefix tokens that are left, with the classes that have them and their groups.  A class meets those of
+  foreign groups that share a token, have a fitting size and a fitting sketch: the parities of a set's tokens in 1,024 places.  A place
+  where two sketches differ holds a token that only one of the sets has, so sets whose sketches differ in more places than similar sets
+  differ in tokens cannot link.  What is left is compared exactly.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from tidelens.llm.words import U64, distinct, hashes, mix, shingles, tokens
 #: The similarity, as a fraction; tokens of a shingle; tokens put last (bounds a broadcast); rounds in which neighbours are compared; classes
 #: of one token that are put in a row there.
 OVER, OF, SIZE, FREQUENT, ROUNDS, ROW = 3, 4, 5, 1 << 17, 4, 4096
+#: Columns of a sketch, 64 places each.
+SKETCH = [f"s{j}" for j in range(16)]
 
 
 def sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,6 +55,13 @@ def shared_tokens(n):
     return 1 + least_overlap(n) // 9
 
 
+def sketches(v: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """For each text the parities of its tokens in 64 places a column."""
+    out = np.zeros((texts, len(SKETCH)), U64)
+    np.bitwise_xor.at(out, (owner, ((v >> U64(6)) % U64(len(SKETCH))).astype(np.int64)), U64(1) << (v & U64(63)))
+    return out
+
+
 def _firsts(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_index=True)[1]
 
@@ -97,7 +108,7 @@ def _prefixes(last: np.ndarray):
 
 
 def _packed(wanted):
-    """Function for mapInArrow: class and compressed text of each document (id, text, hash of the id) that the table ``wanted`` lets through.
+    """Function for mapInArrow: class, compressed text and sketch of each document (id, text, hash of the id) that the table ``wanted`` lets through.
 
     A compressed text takes less than half of what its shingles' hashes do.
     """
@@ -107,8 +118,10 @@ def _packed(wanted):
         for b in batches:
             b = b.filter(pa.array(bits_set(wanted.value, b.column(2).to_numpy().view(U64))))
             for texts, _ in pieces(iter([b])):
-                _, _, _, cls = sets(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([pack.compress(t) for t in texts], pa.binary())], ["cls", "packed"])
+                v, owner, _, cls = sets(texts)
+                marks = sketches(v, owner, len(texts)).view(np.int64).T
+                columns = [pa.array(cls), pa.array([pack.compress(t) for t in texts], pa.binary()), *(pa.array(np.ascontiguousarray(m)) for m in marks)]
+                yield pa.RecordBatch.from_arrays(columns, ["cls", "packed", *SKETCH])
 
     return run
 
@@ -135,6 +148,12 @@ def _compatible(n: str, m: str) -> Column:
     return (OF * F.col(n) >= OVER * F.col(m)) & (OF * F.col(m) >= OVER * F.col(n))
 
 
+def _alike(n: str, m: str, one: str, two: str) -> Column:
+    """Can sets of ``n`` and ``m`` tokens link whose sketches have these prefixes?  They differ in (1 - t) / (1 + t) of n + m tokens at most."""
+    apart = sum((F.bit_count(F.col(one + s).bitwiseXOR(F.col(two + s))) for s in SKETCH), F.lit(0))
+    return (OF + OVER) * apart <= (OF - OVER) * (F.col(n) + F.col(m))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable over similar documents) for every document with an id.
 
@@ -162,13 +181,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     wanted = first.join(runs.select("cls").distinct(), "cls").select("first")
     table = spark.sparkContext.broadcast(membership(wanted))
-    texts = saved(named.withColumn("at", F.xxhash64("doc_id")).mapInArrow(_packed(table), "cls long, packed binary"), "texts")
+    texts = saved(named.withColumn("at", F.xxhash64("doc_id")).mapInArrow(_packed(table), "cls long, packed binary, " + ", ".join(f"{s} long" for s in SKETCH)), "texts")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Which of the pairs (a, b) link?"""
         pairs = saved(pairs, "pairs")
         ends = spark.sparkContext.broadcast(membership(pairs.select("a").union(pairs.select("b")).distinct()))
-        some = texts.where(in_table(ends, F.xxhash64("cls")))
+        some = texts.select("cls", "packed").where(in_table(ends, F.xxhash64("cls")))
         one, two = some.toDF("a", "x"), some.toDF("b", "y")
         full = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
         return saved(full.mapInArrow(_compared, "a long, b long").distinct(), name)
@@ -204,15 +223,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not new.limit(1).count():
             break  # no two neighbours of different groups link any more
 
-    matrix = placed.groupBy("token", F.col("g").alias("k")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asked = placed.select("token", F.col("cls").alias("a"), "n", "g")
-    meet = asked.join(matrix, "token").where(
-        (F.col("g") < F.col("k")) & (OF * F.col("n") >= OVER * F.col("low")) & (OF * F.col("high") >= OVER * F.col("n"))
-    )
-    opened = saved(meet.groupBy("a", "k").agg(F.count("*").alias("bound")).where("bound > 0").select("a", "k"), "opened")
-    asks = asked.join(opened, "a").select("token", "a", "n", "k")
-    members = placed.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("g").alias("k"))
-    pairs = asks.join(members, ["token", "k"]).where(_compatible("n", "m")).select("a", "b").distinct()
+    left = spark.sparkContext.broadcast(membership(placed.select("cls").distinct()))
+    marks = texts.where(in_table(left, F.xxhash64("cls"))).select("cls", *SKETCH).dropDuplicates(["cls"])
+    matrix = saved(placed.select("token", "cls", "n", "g").join(marks, "cls"), "matrix")
+    asked = matrix.select("token", F.col("cls").alias("a"), "n", "g", *(F.col(s).alias("x" + s) for s in SKETCH))
+    members = matrix.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("g").alias("k"), *(F.col(s).alias("y" + s) for s in SKETCH))
+    met = asked.join(members, "token").where((F.col("g") < F.col("k")) & _compatible("n", "m") & _alike("n", "m", "x", "y"))
+    pairs = met.select("a", "b").distinct()
     links = links.union(linked(pairs, "links-last"))
 
     # from classes to documents: equal sets link, rows of one id are one node
