@@ -200,3 +200,19 @@ def test_popular_lists_take_n_rows_a_user(spark):
     assert "Window" not in lists._jdf.queryExecution().optimizedPlan().toString()
     whole = {(x["user_id"], x["rank"]): x["merchant"] for x in r.recommend_popular(inter, 2, False).collect()}
     assert whole == {(u, k): m for u in (1, 2, 3, None) for k, m in ((1, "a"), (2, "b"))}
+
+
+def test_pairs_met_very_often_are_added_in_arrays(spark):
+    """No row per key and pair is made in the plan; lists of one item and of several lengths are all counted."""
+    few = F.expr("filter(sequence(1, 6), x -> x <= 1 + k % 6)")
+    df = spark.range(1200).select(F.col("id").alias("k")).select("k", F.explode(few).alias("m")).withColumn("c", F.col("m") + F.col("k") % 3)
+    got = pair_sums(df, "k", "m", "c")
+    keys = {(a, b): [k for k in range(1200) if 1 + k % 6 >= b] for a in range(1, 7) for b in range(a + 1, 7)}
+    assert {(x["a"], x["b"]): x["total"] for x in got.collect()} == {(a, b): float(sum((a + k % 3) * (b + k % 3) for k in ks)) for (a, b), ks in keys.items()}
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_of_one_block_are_ranked_in_place(inter):
+    """One block holds all of a user's scores: no window and no shuffle by user follows."""
+    plan = r.recommend(inter, r.item_similarity(inter), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "RepartitionByExpression" not in plan
