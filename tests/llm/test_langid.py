@@ -43,3 +43,18 @@ def test_held_out_accuracy(spark, sf):
     lang = {r["doc_id"]: r["lang"] for r in table(spark, sf, "documents").collect()}
     got = QUERIES["op3_language_recurrent"](spark, sf).where("held_out").collect()
     assert np.mean([lang[r["doc_id"]] == r["lang_pred"] for r in got if lang[r["doc_id"]]]) > 0.9
+
+
+def test_memory_of_a_piece_is_bounded():
+    """Arrays of a megabyte of text take less than 32 MB, so the workers of an executor leave room for its heap."""
+    import tracemalloc
+
+    from tidelens.llm.langid import Network
+
+    net = Network(["a", "b", "c", "d"])
+    text = bytes(range(65, 91)) * (1 << 20 >> 5)
+    tracemalloc.start()
+    net.documents([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidelens.llm.shared import pieces
 
 #: Bytes of a segment, hidden units of a direction, segments walked side by side.
-STEPS, HIDDEN, BESIDE = 64, 8, 8192
+STEPS, HIDDEN, BESIDE = 64, 8, 2048
 #: Training: labelled documents for each language at most (the fit is on a bounded sample), and optimiser steps of BATCH segments.
 SAMPLE, UPDATES, BATCH, RATE = 1500, 300, 192, 0.02
 UNKNOWN = "und"
