@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidelens.functions import distributed
 from tidelens.functions.distributed import ordinal_ranks, pair_sums
 from tidelens.operators import recommender as r
 
@@ -216,3 +217,31 @@ def test_lists_of_one_block_are_ranked_in_place(inter):
     """One block holds all of a user's scores: no window and no shuffle by user follows."""
     plan = r.recommend(inter, r.item_similarity(inter), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "RepartitionByExpression" not in plan
+
+
+@pytest.mark.parametrize("owned, chunk, half", [(1, 2_000_000, 1), (1, 50, 2), (0.02, 50, 1)])
+def test_lists_travel_once_per_block_of_items(spark, counts, monkeypatch, owned, chunk, half):
+    """Blocks of owners, also such as need several tasks or many rounds, give the sums of all pairs; whole and broken weights."""
+    monkeypatch.setattr(distributed, "PAIR_OWNED", owned)
+    monkeypatch.setattr(distributed, "PAIR_CHUNK", chunk)
+    want, rows = {}, {}
+    for (u, m), c in counts.items():
+        rows.setdefault(u, []).append((m, c / half))
+    for items in rows.values():
+        for a, x in items:
+            for b, y in items:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + x * y
+    df = spark.createDataFrame([(u, m, c / half) for (u, m), c in counts.items()] + [(None, "m01", 3.0), (7, None, 1.0)], "user_id long, merchant string, w double")
+    got = pair_sums(df, "user_id", "merchant", "w", task=200)
+    assert {(x["a"], x["b"]): x["total"] for x in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "direct_shuffle_partition_id" in plan and "slice(" not in plan
+
+
+def test_small_tables_of_merchants_and_blocks_are_written(inter):
+    """What joins pairs, similarities or histories is a table of known size, so they are not dealt out for the join."""
+    sim = r.item_similarity(inter)
+    dots = pair_sums(inter, "user_id", "merchant", "cnt")
+    for plan in (r._cosines(dots, inter), r.recommend(inter, sim, 3, block=90)):
+        assert "Aggregate" not in plan._jdf.queryExecution().optimizedPlan().toString()
