@@ -180,3 +180,27 @@ def test_ranges_of_a_partitioned_table(spark, tmp_path):
     assert "event_date" in pruned and "2024-01-04" in pruned
     assert len({r["_source_file"] for r in got.collect()}) <= 8 * 4
     assert ev.load_date_range(spark, path, schema=schema).count() == 100
+
+
+@pytest.mark.parametrize("merchants, users", [(1000, 1000), (4, 7)])
+@pytest.mark.parametrize("ordered", [True, False])
+def test_factor_lists_equal_all_scores(spark, monkeypatch, merchants, users, ordered):
+    """Lists are formed where the scores are, users against blocks of merchants: those of all scores, without histories or whole lists in a shuffle."""
+    monkeypatch.setattr(factors, "MERCHANTS_BLOCK", merchants)
+    monkeypatch.setattr(factors, "USERS_PART", users)
+    monkeypatch.setattr(factors, "CELLS", 40)
+    rng = random.Random(3)
+    held = {(u, f"m{rng.randrange(13):02}") for u in range(20) for _ in range(5)} | {(20, f"m{i:02}") for i in range(12)}
+    inter = spark.createDataFrame([(u, m, 1 + u % 3) for u, m in held], "user_id long, merchant string, cnt long")
+    model = factors.FactorRecommender.fit(inter, rank=3, iterations=2)
+    recs = model.recommend(3, ordered)
+    m = {r["m"]: r["merchant"] for r in model.merchants.collect()}
+    u = {r["u"]: r["user_id"] for r in model.users.collect()}
+    items = {m[r["id"]]: r["features"] for r in model.model.itemFactors.collect()}
+    want = {}
+    for r in model.model.userFactors.collect():
+        scores = sorted((-sum(x * y for x, y in zip(r["features"], f)), k) for k, f in items.items() if not ordered or (u[r["id"]], k) not in held)
+        want |= {(u[r["id"]], i + 1): (k, pytest.approx(-s, abs=1e-6)) for i, (s, k) in enumerate(scores[:3])}
+    assert {(r["user_id"], r["rank"]): (r["merchant"], r["score"]) for r in recs.collect()} == want
+    plan = recs._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "LeftAnti" not in plan
