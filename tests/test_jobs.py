@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tidelens.operators import overview, trending
+from tidelens.operators import overview, recommender, trending
 from tidelens.plans import jobs
 from tidelens.schema import Vocabulary
 from tidelens.sources import events as ev
@@ -55,3 +55,23 @@ def test_trending_job_writes_every_table(spark, make_events, tmp_path):
     orders = events.withColumn("merchant", F.lit("m")).withColumn("category", F.lit("c")).withColumn("order_total", F.lit(1.0))
     paths = jobs.trending_tables(orders, str(tmp_path))
     assert len(paths) == 9 and spark.read.parquet(paths["summary"]).first()["total_orders"] == 24
+
+
+def test_recommendation_job_shares_tables(spark, make_events, tmp_path, monkeypatch):
+    """Interactions, similarities and lists are tables that all results read: nothing is kept in executors, and the interactions are written once."""
+
+    def refused(*_):
+        raise AssertionError("persisted")
+
+    monkeypatch.setattr(jobs, "shared", refused)
+    written, plain = [], recommender.stored
+    monkeypatch.setattr(recommender, "stored", lambda df, name, path=None: written.append(path.rsplit("/", 1)[-1] if path else name) or plain(df, name, path))
+    events = make_events([(u, 61 * i + u, "buy") for u in range(8) for i in range(2 + u)])
+    orders = events.withColumn("merchant", F.concat(F.lit("m"), ((F.col("event_id") * 7 + F.col("user_id")) % 6).cast("string"))).withColumn("order_total", F.lit(1.0))
+    train, test = orders.where("event_id % 3 > 0"), orders.where("event_id % 3 = 0")
+    paths = jobs.recommendations(train, test, str(tmp_path), 3, k_values=(2, 4))
+    inter = recommender.interactions(train)
+    assert written.count("interactions") == 1 and spark.read.parquet(paths["evaluation"]).count() == 2
+    assert rows(spark.read.parquet(paths["model_stats"])) == rows(recommender.stats(inter))
+    lists = recommender.recommend(inter, recommender.item_similarity(inter), 3).select("user_id", "merchant", "rank")
+    assert rows(spark.read.parquet(paths["recommendations"]).select("user_id", "merchant", "rank")) == rows(lists) != []

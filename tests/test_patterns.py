@@ -3,6 +3,7 @@ import random
 from itertools import pairwise
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelens.functions.graph import components
 from tidelens.operators import anomalies, factors, recommender, trajectories
@@ -204,3 +205,19 @@ def test_factor_lists_equal_all_scores(spark, monkeypatch, merchants, users, ord
     assert {(r["user_id"], r["rank"]): (r["merchant"], r["score"]) for r in recs.collect()} == want
     plan = recs._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and "LeftAnti" not in plan
+
+
+def test_lists_go_to_the_depth_asked(spark, monkeypatch):
+    """A report of three ranks has lists of three made; shorter ones come from a table that goes so far."""
+    from tidelens.catalog import recommendations as catalog
+
+    made = []
+
+    class Model:
+        def recommend(self, n):
+            made.append(n)
+            return spark.range(n).select((F.col("id") + 1).alias("rank"))
+
+    monkeypatch.setattr(catalog, "fitted", lambda *_: Model())
+    monkeypatch.setattr(catalog, "_LISTS", {})
+    assert [catalog.lists(spark, "sf", n).count() for n in (3, 2, 5, 3)] == [3, 2, 5, 3] and made == [3, 5]
